@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, sharding
+from . import bpe, chat, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,23 @@ def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_chat_format": op3_chat_format, "op7_quality_rules": op7_quality_rules, "op10_shard_bytes": op10_shard_bytes}
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op4_pack_sequences": op4_pack_sequences, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op3_chat_format": op3_chat_format, "op7_quality_rules": op7_quality_rules, "op10_shard_bytes": op10_shard_bytes}
 
 ORACLES = {"op3_chat_format": OP3_SQL, "op7_quality_rules": _op7_sql()}
