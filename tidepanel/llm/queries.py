@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, quality, sharding, simhash
+from . import bpe, chat, exact_dedup, packing, quality, sharding, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+keys AS (SELECT doc_id, i, array_to_string(ws[i:i+19], ' ') AS k FROM places),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM keys) WHERE r > 1),
+cover AS (SELECT DISTINCT doc_id, i + j AS p FROM later, (SELECT unnest(range(20)) AS j)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.p) AS body FROM words ANTI JOIN cover ON words.doc_id = cover.doc_id AND words.p = cover.p GROUP BY words.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -111,6 +129,6 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op4_pack_sequences": op4_pack_sequences, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op3_chat_format": op3_chat_format, "op7_quality_rules": op7_quality_rules, "op10_shard_bytes": op10_shard_bytes}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op4_pack_sequences": op4_pack_sequences, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_substring_dedup": op9_substring_dedup, "op3_chat_format": op3_chat_format, "op7_quality_rules": op7_quality_rules, "op10_shard_bytes": op10_shard_bytes}
 
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_quality_rules": _op7_sql()}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL}
