@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Bits of sequence_id for the sequences of one partition.
 PART_BITS = 38
 
 #: Distinct words whose ids a task keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 @functools.lru_cache(2)
@@ -36,31 +39,54 @@ def _tokenizer(path: str):
 
 
 class Ids:
-    """Token ids of texts, equal to the library's over whole texts. This pre-tokenizer attaches one blank to the word after it, so a text without
-    runs of blanks may be cut before each blank; the library then sees each distinct word once. Other texts go to it whole."""
+    """Token ids of texts, equal to the library's over whole texts. Its pre-tokenizer attaches one blank to the word after it, so a
+    text without runs of blanks may be cut before each blank; each distinct piece is then looked at once, and a piece that is
+    letters, or letters and a comma or full stop, goes straight to the library's model. Other texts go to the library whole."""
 
     def __init__(self, path: str):
-        self.lib, self.known = _tokenizer(path), {}
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.lib, self.known, self.letters = _tokenizer(path), {}, {}
+        self.model, self.special = self.lib.model, [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.byte = byte_symbols()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [None if "  " in t or t.endswith(" ") or any(s in t for s in self.special) else self.words(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list({w for ws in cut if ws is not None for w in ws} - self.known.keys())
-        self.known.update(zip(new, self.library(new), strict=True))
+        cut = [None if "  " in t or t.endswith(" ") or any(s in t for s in self.special) else self.pieces(t) for t in texts]
+        for kept in (self.known, self.letters):
+            if len(kept) > CACHE_WORDS:
+                kept.clear()
+        new, hard = {w for ws in cut if ws is not None for w in ws} - self.known.keys(), []
+        for w in new:
+            if (found := self.simple(w)) is None:
+                hard.append(w)
+            else:
+                self.known[w] = found
+        self.known.update(zip(hard, self.library(hard), strict=True))
         whole = iter(self.library([t for t, ws in zip(texts, cut, strict=True) if ws is None]))
         get = self.known.__getitem__
         return [next(whole) if ws is None else b"".join(map(get, ws)) for ws in cut]
 
     @staticmethod
-    def words(text: str) -> list[str]:
+    def pieces(text: str) -> list[str]:
         first, *rest = text.split(" ")
         return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
 
+    def simple(self, piece: str) -> bytes | None:
+        """Ids of one blank and letters (of blocks where everyone agrees what a letter is), perhaps with one mark after them."""
+        end = piece[-1:] if piece[-1:] in (".", ",") else ""
+        core = piece[: len(piece) - len(end)]
+        if not core[1:].isalpha() or core[0] != " " or max(core) >= "\u0250":
+            return None
+        return self.word(core) + self.word(end) if end else self.word(core)
+
+    def word(self, text: str) -> bytes:
+        out = self.letters.get(text)
+        if out is None:
+            mapped = "".join([self.byte[b] for b in text.encode()])
+            out = self.letters[text] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return out
+
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
 
 def cost(length, linear: float, quadratic: float):
