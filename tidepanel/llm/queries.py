@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, quality, sharding, simhash, substring
+from . import bpe, chat, exact_dedup, packing, quality, sharding, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,13 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = toxicity.fit(*toxicity.sample(docs, labels.where(~held_out)))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", *[f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
@@ -129,6 +136,6 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op4_pack_sequences": op4_pack_sequences, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_substring_dedup": op9_substring_dedup, "op3_chat_format": op3_chat_format, "op7_quality_rules": op7_quality_rules, "op10_shard_bytes": op10_shard_bytes}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op4_pack_sequences": op4_pack_sequences, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op5_toxicity": op5_toxicity, "op9_substring_dedup": op9_substring_dedup, "op3_chat_format": op3_chat_format, "op7_quality_rules": op7_quality_rules, "op10_shard_bytes": op10_shard_bytes}
 
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL}
