@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that the model is fitted on, at most.
 MAX_ROWS = 6000
-#: Landmarks of either kind; similarity from which a word counts; decay a letter of span; longest span.
-LANDMARKS, NEAR, DECAY, SPAN = 48, 0.5, 0.7, 6
+#: Landmarks of either kind, no two of the telling ones more alike than APART; similarity from which a word counts; decay a letter of span; longest span.
+LANDMARKS, APART, NEAR, DECAY, SPAN = 64, 0.6, 0.5, 0.7, 6
 #: Words that a task remembers.
 CACHE_WORDS = 400_000
 
@@ -96,11 +96,14 @@ def _norm(v: dict[int, float]) -> float:
     return math.sqrt(sum(x * x for x in v.values()))
 
 
+def _cosine(u: dict[int, float], v: dict[int, float]) -> float:
+    n = _norm(u) * _norm(v)
+    return sum(x * v[k] for k, x in u.items() if k in v) / n if n else 0.0
+
+
 def similarity(a: str, b: str) -> float:
     """Normalized kernel of two marked words; 0 if either has fewer than three characters."""
-    u, v = _vectors([a, b])
-    n = _norm(u) * _norm(v)
-    return sum(x * v.get(k, 0.0) for k, x in u.items()) / n if n else 0.0
+    return _cosine(*_vectors([a, b]))
 
 
 class Landmarks:
@@ -264,10 +267,13 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost: f
         if n > share * all_in:  # likelihood ratio of the documents that have it against their labels
             surprise[c] = 2 * (n * math.log(n / (share * all_in)) + (clean[c] and clean[c] * math.log(clean[c] / ((1 - share) * all_in))))
     enough = 2 * math.log(len(toxic) + len(clean))  # one candidate among so many gets so far by chance
+    ranked = sorted((c for c, g in surprise.items() if g > enough), key=lambda c: (-surprise[c], c))
     telling: list[str] = []
-    for c in sorted((c for c, g in surprise.items() if g > enough), key=lambda c: (-surprise[c], c)):
-        if len(telling) < landmarks and all(similarity(c, t) < 0.85 for t in telling):
+    vectors: list[dict[int, float]] = []
+    for c, v in zip(ranked, _vectors(ranked), strict=True):
+        if len(telling) < landmarks and all(_cosine(v, u) < APART for u in vectors):
             telling.append(c)
+            vectors.append(v)
     if not telling:
         return constant
     first = Landmarks(telling, len(telling))
@@ -275,9 +281,9 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost: f
     index, sim = first(words)
     like = [words[index[k]] for k in np.argsort(-sim.max(axis=1), kind="stable")[:landmarks]] if len(index) else []
     marks = Landmarks(telling + like, len(telling))
-    kernel = np.array([[similarity(a, b) for b in marks.words] for a in marks.words])
-    values, vectors = np.linalg.eigh(kernel)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+    vectors = _vectors(marks.words)
+    values, axes = np.linalg.eigh(np.array([[_cosine(u, v) for v in vectors] for u in vectors]))
+    root = axes @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ axes.T
     model = Model(marks, np.zeros(len(marks.words)), 0.0, 1.0, 0.0)
     scorer = Scorer(model)
     bags = [[scorer.hits[w] @ root for w in ws] or [np.zeros(len(marks.words))] for ws in map(lambda t: scorer.words([t])[0], texts)]
