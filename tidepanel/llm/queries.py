@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, quality, sharding, simhash, substring, toxicity
+from . import bpe, chat, exact_dedup, packing, pii, quality, sharding, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.search(_table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    counts = [F.size(pii.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", *[f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
@@ -136,6 +143,6 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op4_pack_sequences": op4_pack_sequences, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op5_toxicity": op5_toxicity, "op9_substring_dedup": op9_substring_dedup, "op3_chat_format": op3_chat_format, "op7_quality_rules": op7_quality_rules, "op10_shard_bytes": op10_shard_bytes}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op4_pack_sequences": op4_pack_sequences, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op9_substring_dedup": op9_substring_dedup, "op3_chat_format": op3_chat_format, "op7_quality_rules": op7_quality_rules, "op10_shard_bytes": op10_shard_bytes}
 
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL}
