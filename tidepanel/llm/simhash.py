@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .shared import drop, written
 
 FANOUT = 16
-#: Entries of one range, and ranges at most (their nodes, 24 bytes each, are what every task gets).
-RANGE_ROWS, MAX_RANGES = 4096, 1 << 17
+#: Entries of one range, and how many ranges there are at least and at most (their nodes, 24 bytes each, are what every task gets).
+#: An entry's visits grow with the square of the logarithm of the number of ranges, so ranges are large and searched as trees.
+RANGE_ROWS, MIN_RANGES, MAX_RANGES = 65536, 64, 1 << 17
 #: Visiting entries that one task searches in a range; beyond it the range is searched by several tasks.
 VISITS = 200_000
 
@@ -122,7 +123,7 @@ def links(entries: DataFrame, limit: int = 2, range_rows: int = RANGE_ROWS) -> D
     """entries: fp (distinct). a, b: fingerprints within the limit of each other, a forest of each range's finds."""
     spark = entries.sparkSession
     n = entries.count()
-    ranges = int(min(MAX_RANGES, max(1, -(-n // range_rows))))
+    ranges = int(min(MAX_RANGES, max(MIN_RANGES, -(-n // range_rows))))
     # a written table, so that each entry has one range for good
     dealt, dealt_at = written(entries.repartitionByRange(ranges, gray_rank(F.col("fp"))).withColumn("range", F.spark_partition_id()), "simhash-ranges")
     top = dealt.groupBy("range").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros"), F.count("*").alias("n")).orderBy("range").toPandas()  # at most MAX_RANGES rows
