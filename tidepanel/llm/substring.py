@@ -3,8 +3,9 @@
 A word sequence of `window` words that also starts earlier (smaller identifier, or same document and earlier start) is a repeat.
 Seeds are winnowed: of the k-grams inside each window the one with the least hash is its anchor, so equal windows have equal anchors
 and only about one k-gram in seven is a seed. Anchors that occur once in the corpus cannot lie in a repeat and end there. Documents are joined on
-the others; around each place of a shared anchor the match is extended both ways to the windows that the anchor stands for, and
-windows of one 128-bit digest are equal. Overlapping windows of a document merge to maximal repeats, whose words go.
+the others; around each place of a shared anchor the match is extended both ways over the run of windows that the anchor stands for.
+Runs of one 128-bit digest are equal: all but the first are repeats as a whole. Where the runs of an anchor differ (a match ends
+inside one of them), the first run of each kind is compared window by window. Overlapping repeats of a document merge to maximal ones, whose words go.
 
 Counts and first places come from pre-aggregated groups, so an anchor or passage that a third of all documents have is one row a task.
 Null and empty texts have no words. Null identifiers come first; repeated rows with one identifier keep the order of arrival.
@@ -93,6 +94,15 @@ def _texts(batch: pa.RecordBatch, column: int):
         yield t.as_buffer().to_pybytes() if t.is_valid else b""
 
 
+def _digests(words: np.ndarray, window: int) -> np.ndarray:
+    """Two independent 64-bit hashes of each window."""
+    return np.stack([_rolling(words, window, 32), _rolling(words, window, 64)], axis=1)
+
+
+def _binary(pairs: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(pairs), [None, pa.py_buffer(np.ascontiguousarray(pairs).tobytes())]).cast(pa.binary())
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, repeats (start, length in words: the maximal repeats), text (kept words joined by one space)."""
     spark = docs.sparkSession
@@ -118,37 +128,75 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
     drop(spark, seeds_at, shared_at)
 
     def extend(batches):
-        """Every window whose anchor is shared: its digest and place."""
+        """Each run of windows with one shared anchor: anchor, digest of all its words, place, and whether a window recurs inside it."""
         known = _Hashes()
         for batch in _slices(batches):
-            ids, ats = batch.column(0), batch.column(1).to_numpy()
-            keys, places, own, names = [], [], [], []
+            ids, ats, out = batch.column(0), batch.column(1).to_numpy(), []
             for k, t in enumerate(_texts(batch, 2)):
                 words = word_hashes(t, known)
                 least = anchors(words, window, gram)[0]
-                wanted = batch.column(3)[k].values.to_numpy().view(np.uint64)
-                start = np.flatnonzero(np.isin(least, wanted))
-                if len(start):
-                    # the extension: all words of the window around the anchor, as two independent 64-bit hashes
-                    pair = np.stack([_rolling(words, window, 32)[start], _rolling(words, window, 64)[start]], axis=1)
-                    keys.append(pair)
-                    places.append(start)
-                    own.append(k)
-                    names.append(len(start))
-            if keys:
-                both, at = np.concatenate(keys), np.repeat(own, names)
-                raw = pa.Array.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(np.ascontiguousarray(both).tobytes())])
-                yield pa.RecordBatch.from_arrays([raw.cast(pa.binary()), ids.take(pa.array(at)), pa.array(ats[at]), pa.array(np.concatenate(places).astype(np.int32))], names=["digest", "doc_id", "at", "start"])
+                wanted = np.isin(least, batch.column(3)[k].values.to_numpy().view(np.uint64))
+                if not wanted.any():
+                    continue
+                edge = np.append(True, least[1:] != least[:-1])
+                first = np.flatnonzero(edge)
+                size = np.diff(np.append(first, len(least)))
+                keep = wanted[first]
+                both = _digests(words, window)
+                run = np.cumsum(edge) - 1
+                order = np.lexsort((both[:, 0], run))
+                same = (run[order][1:] == run[order][:-1]) & (both[order][1:, 0] == both[order][:-1, 0])
+                again = np.zeros(len(first), bool)
+                again[run[order][1:][same]] = True
+                # the digest of a run: its windows' digests with their places in it, summed; a sum of mixed terms is as good as they are
+                place = (np.arange(len(least)) - np.repeat(first, size)).astype(np.uint64)
+                span = np.stack([np.add.reduceat(_mixed(both[:, c] + place * _SEEDED[100 + c]), first) for c in (0, 1)], axis=1)
+                out.append((k, least[first][keep], span[keep], first[keep], size[keep], again[keep]))
+            if out:
+                who = np.repeat([o[0] for o in out], [len(o[1]) for o in out])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([o[1] for o in out]).view(np.int64)), _binary(np.concatenate([o[2] for o in out])), ids.take(pa.array(who)), pa.array(ats[who]), *[pa.array(np.concatenate([o[c] for o in out]).astype(np.int32)) for c in (3, 4)], pa.array(np.concatenate([o[5] for o in out]))],
+                    names=["anchor", "span", "doc_id", "at", "start", "size", "again"],
+                )
 
     found = rows.select("at", "doc_id", "text").join(hits, "at").select("doc_id", "at", "text", "anchors")
-    found, found_at = written(found.mapInArrow(extend, "digest binary, doc_id long, at long, start int"), "substring-windows")
+    runs, runs_at = written(found.mapInArrow(extend, "anchor long, span binary, doc_id long, at long, start int, size int, again boolean"), "substring-runs")
     drop(spark, hits_at)
-    place = F.struct("doc_id", "at", "start")
-    first, first_at = written(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "substring-first")
+    kinds, kinds_at = written(runs.groupBy("anchor", "span").agg(F.min(F.struct("doc_id", "at", "start", "size")).alias("first"), F.bool_or("again").alias("again")), "substring-kinds")
+    drop(spark)
+    of_kind = runs.join(kinds.select("anchor", "span", "first"), ["anchor", "span"])
+    whole = of_kind.where((F.col("at") != F.col("first.at")) | (F.col("start") != F.col("first.start"))).select("at", "start", "size")
+    whole, whole_at = written(whole, "substring-whole")
+    drop(spark, runs_at)
+
+    # anchors with several kinds of runs, or with a run that repeats itself: their first runs, window by window
+    mixed, mixed_at = written(kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.bool_or("again").alias("again")).where("n > 1 or again").select("anchor"), "substring-mixed")
+    near = kinds.join(mixed, "anchor").select("first.at", F.struct("first.start", "first.size").alias("run")).groupBy("at").agg(F.collect_list("run").alias("runs"))
+    near, near_at = written(near, "substring-near")
+    drop(spark, kinds_at, mixed_at)
+
+    def windows(batches):
+        known = _Hashes()
+        for batch in _slices(batches):
+            ids, ats, out = batch.column(0), batch.column(1).to_numpy(), []
+            for k, t in enumerate(_texts(batch, 2)):
+                run = batch.column(3)[k].values
+                start, size = run.field(0).to_numpy(), run.field(1).to_numpy()
+                at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                out.append((k, _digests(word_hashes(t, known), window)[at], at))
+            if out:
+                who = np.repeat([o[0] for o in out], [len(o[2]) for o in out])
+                yield pa.RecordBatch.from_arrays([_binary(np.concatenate([o[1] for o in out])), ids.take(pa.array(who)), pa.array(ats[who]), pa.array(np.concatenate([o[2] for o in out]).astype(np.int32))], names=["digest", "doc_id", "at", "start"])
+
+    single = rows.select("at", "doc_id", "text").join(near, "at").select("doc_id", "at", "text", "runs")
+    single, single_at = written(single.mapInArrow(windows, "digest binary, doc_id long, at long, start int"), "substring-windows")
+    drop(spark, near_at)
+    first = single.groupBy("digest").agg(F.min(F.struct("doc_id", "at", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first, first_at = written(first, "substring-first")
     drop(spark)
-    later = found.join(first, "digest").where((F.col("at") != F.col("first.at")) | (F.col("start") != F.col("first.start")))
-    later, later_at = written(later.groupBy("at").agg(F.collect_list("start").alias("starts")), "substring-repeats")
-    drop(spark, found_at, first_at)
+    ones = single.join(first, "digest").where((F.col("at") != F.col("first.at")) | (F.col("start") != F.col("first.start"))).select("at", "start", F.lit(1).alias("size"))
+    later, _ = written(whole.unionByName(ones).groupBy("at").agg(F.collect_list(F.struct("start", "size")).alias("runs")), "substring-repeats")
+    drop(spark, single_at, first_at, whole_at)
 
     def cut(batches):
         for batch in _slices(batches):
@@ -158,9 +206,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
                 parts = t.split()
                 mask, where = np.zeros(len(parts) + 1, np.int32), lists[k]
                 if where.is_valid:
-                    start = where.values.to_numpy()
+                    start, size = where.values.field(0).to_numpy(), where.values.field(1).to_numpy()
                     np.add.at(mask, start, 1)
-                    np.add.at(mask, start + window, -1)
+                    np.add.at(mask, start + size - 1 + window, -1)
                 covered = np.cumsum(mask[:-1]) > 0
                 edge = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
                 a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -175,5 +223,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
                 names=["doc_id", "n_words", "n_removed", "repeats", "text"],
             )
 
-    out = rows.join(later, "at", "left").select("doc_id", "text", "starts").mapInArrow(cut, "doc_id long, n_words long, n_removed long, repeats array<struct<start:int,length:int>>, text binary")
+    out = rows.join(later, "at", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_words long, n_removed long, repeats array<struct<start:int,length:int>>, text binary")
     return out.withColumn("text", F.col("text").cast("string"))
