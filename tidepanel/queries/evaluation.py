@@ -13,7 +13,11 @@ from ..sources.tables import table
 from .registry import query
 
 D, S = DataFrame, SparkSession
-BY = Window.partitionBy("session")
+
+
+def by():
+    return Window.partitionBy("session")
+
 P = ("panel_w",)
 
 
@@ -47,7 +51,7 @@ def ic_by_group(spark: S, d: str) -> D:
     return ic.groupBy(q.alias("q"), "industry").agg(F.count("ic").alias("n_dates"), r6(F.avg("ic")).alias("mean_ic"))
 
 
-@query("newey_west", f"""WITH s AS (SELECT row_number() OVER (ORDER BY session) - 1 AS i, ic AS x FROM ({_ic_sql()}) WHERE ic IS NOT NULL), k AS (SELECT count(*) AS n, avg(x) AS m, CAST(floor(4 * pow(count(*) / 100.0, 2.0 / 9)) AS INT) AS lags FROM s),
+@query("newey_west", f"""WITH s AS (SELECT row_number() OVER (ORDER by() session) - 1 AS i, ic AS x FROM ({_ic_sql()}) WHERE ic IS NOT NULL), k AS (SELECT count(*) AS n, avg(x) AS m, CAST(floor(4 * pow(count(*) / 100.0, 2.0 / 9)) AS INT) AS lags FROM s),
   e AS (SELECT i, x - m AS e, lags, n FROM s, k), p AS (SELECT a.e * b.e * CASE WHEN l = 0 THEN 1.0 ELSE 2 * (1 - l / (a.lags + 1.0)) END AS z FROM e a, (SELECT unnest(range(0, 50)) AS l), e b WHERE l <= a.lags AND b.i = a.i + l)
   SELECT n, lags, round(m, 6) AS mean, round(m / sqrt((SELECT sum(z) FROM p) / n / n), 4) AS t_stat FROM k""", P)
 def newey_west(spark: S, d: str) -> D:
@@ -58,7 +62,7 @@ def newey_west(spark: S, d: str) -> D:
 _TOP = "(SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, symbol) AS place FROM panel_w)"
 
 
-@query("deflated_sharpe", f"""WITH r AS (SELECT session, avg(ret) AS x FROM {_TOP} WHERE place <= 5 GROUP BY 1), m AS (SELECT count(*) AS n, avg(x) AS mu, stddev_samp(x) AS sd, skewness(x) AS g1, kurtosis(x) AS g2 FROM r),
+@query("deflated_sharpe", f"""WITH r AS (SELECT session, avg(ret) AS x FROM {_TOP} WHERE place <= 5 GROUP by() 1), m AS (SELECT count(*) AS n, avg(x) AS mu, stddev_samp(x) AS sd, skewness(x) AS g1, kurtosis(x) AS g2 FROM r),
   s AS (SELECT *, mu / sd AS sr FROM m), z AS (SELECT *, (sr - 0.05) * sqrt(n - 1) / sqrt(1 - g1 * sr + (g2 + 2) / 4 * sr * sr) AS z FROM s),
   t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z), q AS (SELECT *, exp(-z * z / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS tail FROM t)
   SELECT n, round(sr, 5) AS sharpe, round(g1, 4) AS skew, round(g2, 4) AS excess_kurtosis, round(CASE WHEN z >= 0 THEN 1 - tail ELSE tail END, 4) AS probability FROM q""", P)
@@ -93,9 +97,9 @@ def turnover(spark: S, d: str) -> D:
     return ev.turnover(ev.top_k(v.panel_w(spark, d), "score", 10)).select("session", "i", r6(F.col("turnover")).alias("turnover"))
 
 
-_BT = """dts AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS i FROM (SELECT DISTINCT session FROM panel_w)), reb AS (SELECT session, i // 4 AS i FROM dts WHERE i % 4 = 0),
-  px AS (SELECT p.*, i FROM panel_w p JOIN reb USING (session)), lg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, symbol) AS n FROM px) WHERE n <= 5), sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score, symbol) AS n FROM px) WHERE n <= 5),
-  tl AS (SELECT a.i, 1 - count(b.symbol) / count(*) AS t, avg(a.ret) AS r FROM lg a LEFT JOIN lg b ON a.symbol = b.symbol AND b.i = a.i - 1 GROUP BY 1), ts AS (SELECT a.i, 1 - count(b.symbol) / count(*) AS t, avg(a.ret) AS r FROM sh a LEFT JOIN sh b ON a.symbol = b.symbol AND b.i = a.i - 1 GROUP BY 1),
+_BT = """dts AS (SELECT session, row_number() OVER (ORDER by() session) - 1 AS i FROM (SELECT DISTINCT session FROM panel_w)), reb AS (SELECT session, i // 4 AS i FROM dts WHERE i % 4 = 0),
+  px AS (SELECT p.*, i FROM panel_w p JOIN reb USING (session)), lg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION by() session ORDER by() score DESC, symbol) AS n FROM px) WHERE n <= 5), sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION by() session ORDER by() score, symbol) AS n FROM px) WHERE n <= 5),
+  tl AS (SELECT a.i, 1 - count(b.symbol) / count(*) AS t, avg(a.ret) AS r FROM lg a LEFT JOIN lg b ON a.symbol = b.symbol AND b.i = a.i - 1 GROUP by() 1), ts AS (SELECT a.i, 1 - count(b.symbol) / count(*) AS t, avg(a.ret) AS r FROM sh a LEFT JOIN sh b ON a.symbol = b.symbol AND b.i = a.i - 1 GROUP by() 1),
   bt AS (SELECT session, tl.i, tl.r - ts.r AS gross, 0.001 * 2 * (tl.t + ts.t) AS cost FROM tl JOIN ts USING (i) JOIN reb USING (i))"""
 
 
@@ -132,7 +136,7 @@ def stats(curve: D, per_year: float) -> D:
 
 
 _STATS = """SELECT count(*) AS n, round(exp(sum(ln(1 + net))) - 1, 4) AS total, round(exp(sum(ln(1 + net)) / (count(*) / 13.0)) - 1, 4) AS annual_return, round(stddev_samp(net) * sqrt(13), 4) AS annual_vol, round(avg(net) / stddev_samp(net) * sqrt(13), 4) AS sharpe,
-  round(min(dd), 4) AS max_drawdown, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 4) AS hit_rate FROM (SELECT *, equity / greatest(1.0, max(equity) OVER (ORDER BY i)) - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + net)) OVER (ORDER BY i)) AS equity FROM {0}))"""
+  round(min(dd), 4) AS max_drawdown, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 4) AS hit_rate FROM (SELECT *, equity / greatest(1.0, max(equity) OVER (ORDER by() i)) - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + net)) OVER (ORDER by() i)) AS equity FROM {0}))"""
 
 
 @query("backtest_stats", f"WITH {_BT}, nt AS (SELECT i, (gross - cost) / 1000 AS net FROM bt) {_STATS.format('nt')}", P)
@@ -187,9 +191,9 @@ def block_means(spark: S, d: str) -> D:
     return x.groupBy(F.expr("i div 4").alias("block")).agg(r6(F.avg("r")).alias("mean_ret"), F.count("*").alias("n")).where("n = 4").drop("n")
 
 
-@query("range_bands", f"""WITH {_CAL}, g AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY session ORDER BY score DESC, symbol) <= 10 THEN 'top' ELSE 'rest' END AS grp, session < DATE '1999-01-01' AS fit FROM cal),
-  c AS (SELECT grp, ret, sum(w) OVER (PARTITION BY grp ORDER BY ret RANGE UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY grp) AS t FROM g WHERE fit), b AS (SELECT grp, min(ret) FILTER (WHERE c >= 0.1 * t - 1e-12) AS lo, min(ret) FILTER (WHERE c >= 0.9 * t - 1e-12) AS hi FROM c GROUP BY 1),
-  x AS (SELECT grp, session, avg(CASE WHEN ret BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END) AS cov, any_value(hi - lo) AS width FROM g JOIN b USING (grp) WHERE NOT fit GROUP BY 1, 2) SELECT grp, round(avg(cov), 6) AS coverage, round(avg(width), 6) AS width FROM x GROUP BY 1""", P)
+@query("range_bands", f"""WITH {_CAL}, g AS (SELECT *, CASE WHEN row_number() OVER (PARTITION by() session ORDER by() score DESC, symbol) <= 10 THEN 'top' ELSE 'rest' END AS grp, session < DATE '1999-01-01' AS fit FROM cal),
+  c AS (SELECT grp, ret, sum(w) OVER (PARTITION by() grp ORDER by() ret RANGE UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION by() grp) AS t FROM g WHERE fit), b AS (SELECT grp, min(ret) FILTER (WHERE c >= 0.1 * t - 1e-12) AS lo, min(ret) FILTER (WHERE c >= 0.9 * t - 1e-12) AS hi FROM c GROUP by() 1),
+  x AS (SELECT grp, session, avg(CASE WHEN ret BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END) AS cov, any_value(hi - lo) AS width FROM g JOIN b USING (grp) WHERE NOT fit GROUP by() 1, 2) SELECT grp, round(avg(cov), 6) AS coverage, round(avg(width), 6) AS width FROM x GROUP by() 1""", P)
 def range_bands(spark: S, d: str) -> D:
     top = F.row_number().over(BY.orderBy(F.desc("score"), "symbol")) <= 10
     g = cal(spark, d).withColumn("grp", F.when(top, "top").otherwise("rest"))
@@ -280,7 +284,7 @@ def liquidity_median(spark: S, d: str) -> D:
     return b.groupBy("symbol").agg(r4(F.percentile(F.col("close") * F.col("volume"), F.lit(0.5))).alias("median_value"), F.count("*").alias("n")).where("n >= 20").drop("n")
 
 
-@query("coverage_readiness", """WITH dd AS (SELECT session, count(vol) / count(*) AS frac FROM panel_w GROUP BY 1), q AS (SELECT year(session) * 10 + quarter(session) AS q, avg(frac) AS mean_frac, avg(CASE WHEN frac >= 0.9 THEN 1.0 ELSE 0.0 END) AS pass FROM dd GROUP BY 1)
+@query("coverage_readiness", """WITH dd AS (SELECT session, count(vol) / count(*) AS frac FROM panel_w GROUP by() 1), q AS (SELECT year(session) * 10 + quarter(session) AS q, avg(frac) AS mean_frac, avg(CASE WHEN frac >= 0.9 THEN 1.0 ELSE 0.0 END) AS pass FROM dd GROUP by() 1)
   SELECT q, round(mean_frac, 6) AS mean_coverage, round(pass, 6) AS days_passed, CASE WHEN mean_frac < 0.8 THEN 'coverage' WHEN pass < 0.9 THEN 'days' END AS reason FROM q""", P)
 def coverage_readiness(spark: S, d: str) -> D:
     day = v.panel_w(spark, d).groupBy("session").agg((F.count("vol") / F.count("*")).alias("frac"))
@@ -289,7 +293,7 @@ def coverage_readiness(spark: S, d: str) -> D:
 
 
 @query("trade_attribution", f"""WITH t AS (SELECT industry, CAST(year(session) * 10 + quarter(session) AS VARCHAR) AS q, ret AS gross, (1 + ret) * 0.999 / 1.001 - 1 AS net FROM {_TOP} WHERE place <= 5)
-  SELECT dim, member, count(*) AS trades, round(sum(gross), 5) AS gross, round(sum(net), 5) AS net, round(sum(gross - net), 5) AS cost FROM (SELECT 'total' AS dim, 'all' AS member, gross, net FROM t UNION ALL SELECT 'sector', industry, gross, net FROM t UNION ALL SELECT 'quarter', q, gross, net FROM t) GROUP BY 1, 2""", P)
+  SELECT dim, member, count(*) AS trades, round(sum(gross), 5) AS gross, round(sum(net), 5) AS net, round(sum(gross - net), 5) AS cost FROM (SELECT 'total' AS dim, 'all' AS member, gross, net FROM t UNION ALL SELECT 'sector', industry, gross, net FROM t UNION ALL SELECT 'quarter', q, gross, net FROM t) GROUP by() 1, 2""", P)
 def trade_attribution(spark: S, d: str) -> D:
     from ..functions.windows import net_return
 
@@ -300,8 +304,8 @@ def trade_attribution(spark: S, d: str) -> D:
     return x.groupBy("dim", "member").agg(F.count("*").alias("trades"), rnd(F.sum("ret"), 5).alias("gross"), rnd(F.sum("net"), 5).alias("net"), rnd(F.sum(F.col("ret") - F.col("net")), 5).alias("cost"))
 
 
-@query("portfolio_robustness", f"""WITH i AS (SELECT session, close / lag(close, 4) OVER (ORDER BY session) - 1 AS m FROM index_w), r AS (SELECT session, avg(ret) AS r FROM {_TOP} WHERE place <= 5 GROUP BY 1), x AS (SELECT r, m, year(session) AS y FROM r JOIN i USING (session) WHERE m IS NOT NULL)
-  SELECT y, count(*) AS n, round(covar_samp(r, m) / var_samp(m), 4) AS beta, round(avg(r) - covar_samp(r, m) / var_samp(m) * avg(m), 5) AS residual, round(exp(sum(ln(1 + r / 10))) - 1, 5) AS compounded FROM x GROUP BY 1""", ("panel_w", "index_w"))
+@query("portfolio_robustness", f"""WITH i AS (SELECT session, close / lag(close, 4) OVER (ORDER by() session) - 1 AS m FROM index_w), r AS (SELECT session, avg(ret) AS r FROM {_TOP} WHERE place <= 5 GROUP by() 1), x AS (SELECT r, m, year(session) AS y FROM r JOIN i USING (session) WHERE m IS NOT NULL)
+  SELECT y, count(*) AS n, round(covar_samp(r, m) / var_samp(m), 4) AS beta, round(avg(r) - covar_samp(r, m) / var_samp(m) * avg(m), 5) AS residual, round(exp(sum(ln(1 + r / 10))) - 1, 5) AS compounded FROM x GROUP by() 1""", ("panel_w", "index_w"))
 def portfolio_robustness(spark: S, d: str) -> D:
     i = v.index_w(spark, d).select("session", change(F.col("close"), 4, series("session")).alias("m"))
     r = ev.top_k(v.panel_w(spark, d), "score", 5).groupBy("session").agg(F.avg("ret").alias("r"))

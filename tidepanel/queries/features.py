@@ -12,9 +12,19 @@ from ..plans import views as v
 from .registry import query
 
 D, S = DataFrame, SparkSession
-WD = series()
-WS = series("session")
-WX = series("idx")
+
+
+def wd():
+    return series()
+
+
+def ws():
+    return series("session")
+
+
+def wx():
+    return series("idx")
+
 
 _W = "WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)"
 
@@ -26,7 +36,7 @@ def _need(n: int, agg: str, x: str, t: str = "trade_date", least: int | None = N
 
 @query("sma", f"SELECT symbol, trade_date, round({_need(20, 'avg', 'close')}, 4) AS sma_20, round({_need(50, 'avg', 'close')}, 4) AS sma_50, round({_need(200, 'avg', 'close')}, 4) AS sma_200 FROM bars_d", ("bars_d",))
 def sma(spark: S, d: str) -> D:
-    return v.bars_d(spark, d).select("symbol", "trade_date", *[r4(need(n, F.col("close"), F.avg, WD)).alias(f"sma_{n}") for n in (20, 50, 200)])
+    return v.bars_d(spark, d).select("symbol", "trade_date", *[r4(need(n, F.col("close"), F.avg, wd())).alias(f"sma_{n}") for n in (20, 50, 200)])
 
 
 @query("ema_macd_rsi", """WITH RECURSIVE b AS (SELECT symbol, trade_date, close, row_number() OVER w AS n, close - lag(close) OVER w AS m FROM bars_d WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
@@ -52,19 +62,19 @@ _RET = "SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY trade_da
 
 @query("volatility", f"WITH x AS ({_RET}) SELECT symbol, trade_date, round({_need(20, 'stddev_samp', 'r')}, 6) AS vol_20 FROM x", ("bars_d",))
 def volatility(spark: S, d: str) -> D:
-    b = v.bars_d(spark, d).withColumn("r", change(F.col("close"), 1, WD))
-    return b.select("symbol", "trade_date", r6(need(20, F.col("r"), F.stddev_samp, WD)).alias("vol_20"))
+    b = v.bars_d(spark, d).withColumn("r", change(F.col("close"), 1, wd()))
+    return b.select("symbol", "trade_date", r6(need(20, F.col("r"), F.stddev_samp, wd())).alias("vol_20"))
 
 
 @query("volume_ratio", f"WITH x AS (SELECT *, {_need(20, 'avg', 'volume')} AS m FROM bars_d) SELECT symbol, trade_date, round(m, 4) AS avg_volume_20, CASE WHEN m <> 0 THEN round(volume / m, 6) END AS volume_ratio FROM x", ("bars_d",))
 def volume_ratio(spark: S, d: str) -> D:
-    m = need(20, F.col("volume"), F.avg, WD)
+    m = need(20, F.col("volume"), F.avg, wd())
     return v.bars_d(spark, d).withColumn("m", m).select("symbol", "trade_date", r4(F.col("m")).alias("avg_volume_20"), r6(ratio(F.col("volume"), F.col("m"))).alias("volume_ratio"))
 
 
 @query("distance_52w", f"SELECT symbol, trade_date, round(close / max(close) OVER x - 1, 6) AS from_high, round(close / min(close) OVER x - 1, 6) AS from_low FROM bars_d WINDOW x AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)", ("bars_d",))
 def distance_52w(spark: S, d: str) -> D:
-    w, c = rows(252, WD), F.col("close")
+    w, c = rows(252, wd()), F.col("close")
     return v.bars_d(spark, d).select("symbol", "trade_date", r6(c / F.max(c).over(w) - 1).alias("from_high"), r6(c / F.min(c).over(w) - 1).alias("from_low"))
 
 
@@ -74,7 +84,7 @@ def _mom(n: int, name: str) -> str:
 
 @query("momentum", f"SELECT symbol, trade_date, {_mom(21, 'mom_1m')}, {_mom(63, 'mom_3m')}, {_mom(126, 'mom_6m')} FROM bars_d {_W}", ("bars_d",))
 def momentum(spark: S, d: str) -> D:
-    return v.bars_d(spark, d).select("symbol", "trade_date", *[r6(change(F.col("close"), n, WD)).alias(a) for n, a in ((21, "mom_1m"), (63, "mom_3m"), (126, "mom_6m"))])
+    return v.bars_d(spark, d).select("symbol", "trade_date", *[r6(change(F.col("close"), n, wd())).alias(a) for n, a in ((21, "mom_1m"), (63, "mom_3m"), (126, "mom_6m"))])
 
 
 @query("ts_features", f"""WITH x AS (SELECT *, close / lag(close) OVER w - 1 AS r, abs(close / lag(close) OVER w - 1) / (close * volume) AS ill FROM bars_d {_W})
@@ -93,11 +103,11 @@ def ts_features(spark: S, d: str) -> D:
     )
 
 
-@query("rolling_beta", """WITH i AS (SELECT session, close / lag(close) OVER (ORDER BY session) - 1 AS m FROM index_w),
-  x AS (SELECT symbol, session, close / lag(close) OVER (PARTITION BY symbol ORDER BY session) - 1 AS r, m FROM bars_w JOIN i USING (session)),
-  y AS (SELECT *, CASE WHEN count(r) OVER f >= 60 AND var_samp(m) OVER f <> 0 THEN covar_samp(r, m) OVER f / var_samp(CASE WHEN r IS NOT NULL THEN m END) OVER f END AS beta FROM x WINDOW f AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)),
+@query("rolling_beta", """WITH i AS (SELECT session, close / lag(close) OVER (ORDER by() session) - 1 AS m FROM index_w),
+  x AS (SELECT symbol, session, close / lag(close) OVER (PARTITION by() symbol ORDER by() session) - 1 AS r, m FROM bars_w JOIN i USING (session)),
+  y AS (SELECT *, CASE WHEN count(r) OVER f >= 60 AND var_samp(m) OVER f <> 0 THEN covar_samp(r, m) OVER f / var_samp(CASE WHEN r IS NOT NULL THEN m END) OVER f END AS beta FROM x WINDOW f AS (PARTITION by() symbol ORDER by() session ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)),
   z AS (SELECT *, r - beta * m AS e FROM y)
-  SELECT symbol, session, round(beta, 6) AS beta, CASE WHEN count(e) OVER f >= 20 THEN round(stddev_samp(e) OVER f, 6) END AS idio_vol FROM z WINDOW f AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", ("bars_w", "index_w"))
+  SELECT symbol, session, round(beta, 6) AS beta, CASE WHEN count(e) OVER f >= 20 THEN round(stddev_samp(e) OVER f, 6) END AS idio_vol FROM z WINDOW f AS (PARTITION by() symbol ORDER by() session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", ("bars_w", "index_w"))
 def rolling_beta(spark: S, d: str) -> D:
     i = v.index_w(spark, d).select("session", change(F.col("close"), 1, WS).alias("m"))  # one row a session
     x = v.bars_w(spark, d).join(F.broadcast(i), "session").withColumn("r", change(F.col("close"), 1, WS))
@@ -118,7 +128,9 @@ def derived_features(spark: S, d: str) -> D:
 
 # cross-sections of the scored panel
 
-BY = Window.partitionBy("session")
+
+def by():
+    return Window.partitionBy("session")
 
 
 @query("sector_relative", "SELECT symbol, session, round(score - avg(score) OVER (PARTITION BY session, industry), 6) AS rel_momentum FROM panel_w", ("panel_w",))
@@ -126,7 +138,7 @@ def sector_relative(spark: S, d: str) -> D:
     return v.panel_w(spark, d).select("symbol", "session", r6(F.col("score") - F.avg("score").over(Window.partitionBy("session", "industry"))).alias("rel_momentum"))
 
 
-_WINSOR = """q AS (SELECT session, quantile_cont(score, 0.01) AS lo, quantile_cont(score, 0.99) AS hi, count(*) AS n FROM panel_w GROUP BY 1),
+_WINSOR = """q AS (SELECT session, quantile_cont(score, 0.01) AS lo, quantile_cont(score, 0.99) AS hi, count(*) AS n FROM panel_w GROUP by() 1),
   c AS (SELECT symbol, session, industry, CASE WHEN n >= 2 THEN least(greatest(score, lo), hi) ELSE score END AS x FROM panel_w JOIN q USING (session))"""
 _Z = "CASE WHEN stddev_pop(x) OVER s < 1e-12 THEN 0.0 ELSE (x - avg(x) OVER s) / stddev_pop(x) OVER s END"
 
@@ -287,11 +299,11 @@ def rank_percentile(spark: S, d: str) -> D:
     return v.panel_w(spark, d).select("symbol", "session", r.cast("long").alias("rank"), n.alias("universe_size"), r6(r / n).alias("percentile"))
 
 
-_EQ = f"""WITH {DENSE}, i AS (SELECT session, ln(close / lag(close) OVER (ORDER BY session)) AS m FROM index_w),
-  x AS (SELECT dense.*, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY idx)) AS r, m FROM dense JOIN i USING (session)),
+_EQ = f"""WITH {DENSE}, i AS (SELECT session, ln(close / lag(close) OVER (ORDER by() session)) AS m FROM index_w),
+  x AS (SELECT dense.*, ln(close / lag(close) OVER (PARTITION by() symbol ORDER by() idx)) AS r, m FROM dense JOIN i USING (session)),
   y AS (SELECT symbol, session, close, count(close) OVER f AS n, ln(lag(close, 4) OVER w / lag(close, 51) OVER w) AS mom, stddev_samp(r) OVER f AS sd, avg(r) OVER q AS recent, max(close) OVER p AS prior_high,
     covar_samp(r, m) OVER f / nullif(var_samp(m) OVER f, 0) AS beta, sum(r) OVER q AS sr, sum(m) OVER q AS sm FROM x
-    WINDOW w AS (PARTITION BY symbol ORDER BY idx), f AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 51 PRECEDING AND CURRENT ROW), q AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), p AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING))
+    WINDOW w AS (PARTITION by() symbol ORDER by() idx), f AS (PARTITION by() symbol ORDER by() idx ROWS BETWEEN 51 PRECEDING AND CURRENT ROW), q AS (PARTITION by() symbol ORDER by() idx ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), p AS (PARTITION by() symbol ORDER by() idx ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING))
   SELECT symbol, session, round(mom, 5) AS log_momentum, round(mom / sd, 4) AS risk_adjusted, round(-recent / sd, 4) AS reversal_z, round(sr - beta * sm, 4) AS market_residual, round(close / prior_high - 1, 5) AS breakout FROM y WHERE n = 52"""
 
 
@@ -323,8 +335,8 @@ def rank_blend(spark: S, d: str) -> D:
     return e.select("symbol", "session", r6(sum(p[1:], p[0]) / 3).alias("blend"))
 
 
-@query("market_context", """WITH i AS (SELECT session, close, close / lag(close) OVER o - 1 AS r1, close / lag(close, 4) OVER o - 1 AS r4, close / avg(close) OVER l - 1 AS trend, stddev_samp(r) OVER s AS mvol, count(r) OVER s AS n FROM (SELECT *, close / lag(close) OVER (ORDER BY session) - 1 AS r FROM index_w)
-    WINDOW o AS (ORDER BY session), l AS (ORDER BY session ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), s AS (ORDER BY session ROWS BETWEEN 12 PRECEDING AND CURRENT ROW))
+@query("market_context", """WITH i AS (SELECT session, close, close / lag(close) OVER o - 1 AS r1, close / lag(close, 4) OVER o - 1 AS r4, close / avg(close) OVER l - 1 AS trend, stddev_samp(r) OVER s AS mvol, count(r) OVER s AS n FROM (SELECT *, close / lag(close) OVER (ORDER by() session) - 1 AS r FROM index_w)
+    WINDOW o AS (ORDER by() session), l AS (ORDER by() session ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), s AS (ORDER by() session ROWS BETWEEN 12 PRECEDING AND CURRENT ROW))
   SELECT symbol, session, round(r1, 6) AS market_ret_1, round(r4, 6) AS market_ret_4, round(trend, 6) AS market_trend, CASE WHEN n >= 13 THEN round(mvol, 6) END AS market_vol FROM panel_w JOIN i USING (session)""", ("panel_w", "index_w"))
 def market_context(spark: S, d: str) -> D:
     c = F.col("close")
@@ -349,7 +361,7 @@ def _segments(spark: S, d: str) -> D:
 
 
 @query("segment_reset", """WITH s AS (SELECT b.symbol, session, close, coalesce(session BETWEEN impact_start AND impact_end, false) AS impacted, coalesce(CAST(session > impact_end AS INT), 0) AS segment FROM bars_w b LEFT JOIN ledger l ON b.symbol = l.symbol),
-  k AS (SELECT *, count(*) OVER f AS n, avg(close) OVER f AS m FROM s WHERE NOT impacted WINDOW f AS (PARTITION BY symbol, segment ORDER BY session ROWS BETWEEN 12 PRECEDING AND CURRENT ROW))
+  k AS (SELECT *, count(*) OVER f AS n, avg(close) OVER f AS m FROM s WHERE NOT impacted WINDOW f AS (PARTITION by() symbol, segment ORDER by() session ROWS BETWEEN 12 PRECEDING AND CURRENT ROW))
   SELECT s.symbol, s.session, s.segment, CASE WHEN n >= 13 THEN round(m, 4) END AS sma_13 FROM s LEFT JOIN k ON s.symbol = k.symbol AND s.session = k.session""", ("bars_w", "ledger"))
 def segment_reset(spark: S, d: str) -> D:
     s = _segments(spark, d)
@@ -357,7 +369,7 @@ def segment_reset(spark: S, d: str) -> D:
     return s.select("symbol", "session", "segment", F.when(~F.col("impacted"), r4(need(13, F.col("close"), F.avg, w))).alias("sma_13"))
 
 
-@query("mask_labels", """WITH x AS (SELECT symbol, session, lead(session, 4) OVER w AS exit, lead(close, 4) OVER w / close - 1 AS r FROM bars_w WINDOW w AS (PARTITION BY symbol ORDER BY session))
+@query("mask_labels", """WITH x AS (SELECT symbol, session, lead(session, 4) OVER w AS exit, lead(close, 4) OVER w / close - 1 AS r FROM bars_w WINDOW w AS (PARTITION by() symbol ORDER by() session))
   SELECT x.symbol, session, CASE WHEN EXISTS (SELECT 1 FROM ledger l WHERE l.symbol = x.symbol AND x.session <= impact_end AND x.exit >= impact_start) THEN NULL ELSE round(r, 6) END AS fwd_4 FROM x WHERE exit IS NOT NULL""", ("bars_w", "ledger"))
 def mask_labels(spark: S, d: str) -> D:
     x = v.bars_w(spark, d).select("symbol", "session", F.lead("session", 4).over(WS).alias("exit"), lab.forward_return(F.col("close"), 4, WS).alias("r")).where("exit is not null")
@@ -380,7 +392,7 @@ def sequences(spark: S, d: str) -> D:
 
 
 @query("peer_inputs", f"""WITH {DENSE} SELECT symbol, session, CASE WHEN count(close) OVER f = 40 THEN close > avg(close) OVER f END AS above_40, CASE WHEN count(close) OVER s = 5 THEN close / lag(close, 4) OVER w > 1 END AS up_4, CASE WHEN count(volume) OVER s = 5 AND count(volume) OVER l = 20 THEN round(avg(volume) OVER s / avg(volume) OVER l, 6) END AS volume_ratio FROM dense
-  WINDOW w AS (PARTITION BY symbol ORDER BY idx), f AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), s AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), l AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", DV)
+  WINDOW w AS (PARTITION by() symbol ORDER by() idx), f AS (PARTITION by() symbol ORDER by() idx ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), s AS (PARTITION by() symbol ORDER by() idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), l AS (PARTITION by() symbol ORDER by() idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", DV)
 def peer_inputs(spark: S, d: str) -> D:
     c, vol = F.col("close"), F.col("volume")
     return dense(spark, d).select(
@@ -391,8 +403,8 @@ def peer_inputs(spark: S, d: str) -> D:
     )
 
 
-@query("sector_forward", f"""WITH {DENSE}, r AS (SELECT d.symbol, industry, session, lead(close, 4) OVER (PARTITION BY d.symbol ORDER BY idx) / close - 1 AS r FROM dense d JOIN universe u ON d.symbol = u.symbol),
-  g AS (SELECT *, count(*) OVER k - 1 AS peers, count(r) OVER k - CAST(r IS NOT NULL AS INT) AS known, coalesce(sum(r) OVER k, 0) - coalesce(r, 0) AS s FROM r WINDOW k AS (PARTITION BY session, industry))
+@query("sector_forward", f"""WITH {DENSE}, r AS (SELECT d.symbol, industry, session, lead(close, 4) OVER (PARTITION by() d.symbol ORDER by() idx) / close - 1 AS r FROM dense d JOIN universe u ON d.symbol = u.symbol),
+  g AS (SELECT *, count(*) OVER k - 1 AS peers, count(r) OVER k - CAST(r IS NOT NULL AS INT) AS known, coalesce(sum(r) OVER k, 0) - coalesce(r, 0) AS s FROM r WINDOW k AS (PARTITION by() session, industry))
   SELECT symbol, session, CASE WHEN peers >= 5 AND known >= 0.5 * peers AND known > 0 THEN round(s / known, 6) END AS sector_ret FROM g""", DV)
 def sector_forward(spark: S, d: str) -> D:
     k = Window.partitionBy("session", "industry")
@@ -415,7 +427,7 @@ def nonoverlap_schedule(spark: S, d: str) -> D:
     return c.select(F.explode(fold).alias("x")).select("x.session", "x.idx")
 
 
-@query("version_availability", """SELECT o_custkey AS source, o_orderkey, CAST(o_orderdate AS DATE) AS first_seen, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1 THEN CAST(o_orderdate AS DATE) ELSE (CAST(o_orderdate AS DATE) + 1)::DATE END AS available FROM orders""")
+@query("version_availability", """SELECT o_custkey AS source, o_orderkey, CAST(o_orderdate AS DATE) AS first_seen, row_number() OVER (PARTITION by() o_custkey ORDER by() o_orderdate, o_orderkey) AS version, CASE WHEN row_number() OVER (PARTITION by() o_custkey ORDER by() o_orderdate, o_orderkey) = 1 THEN CAST(o_orderdate AS DATE) ELSE (CAST(o_orderdate AS DATE) + 1)::DATE END AS available FROM orders""")
 def version_availability(spark: S, d: str) -> D:
     from ..sources.tables import table
 

@@ -13,7 +13,10 @@ from ..sources.tables import table
 from .registry import query
 
 D, S = DataFrame, SparkSession
-WS = series("session")
+
+
+def ws():
+    return series("session")
 
 
 @query("join_features", "SELECT p.symbol, p.session, p.score, b.close FROM panel_w p JOIN bars_w b ON p.symbol = b.symbol AND p.session = b.session", ("panel_w", "bars_w"))
@@ -28,11 +31,11 @@ def join_dim_broadcast(spark: S, d: str) -> D:
 
 def snapshot(spark: S, d: str) -> D:
     """Latest state per symbol: last bar and its change, newest statement, momentum and calm ranks of the bar's session, dimension."""
-    b = v.bars_w(spark, d).withColumn("chg", change(F.col("close"), 1, WS))
+    b = v.bars_w(spark, d).withColumn("chg", change(F.col("close"), 1, ws()))
     last = latest_rows(b, ["symbol"], F.desc("session")).select("symbol", "session", "close", "volume", r6(F.col("chg")).alias("change"))
     facts = latest_rows(v.statements(spark, d), ["symbol"], F.desc("period_end")).select("symbol", "revenue", "net_income", "shares", "equity")
     rank = lambda c: F.row_number().over(Window.partitionBy("session").orderBy(F.desc(c), "symbol")).cast("long")
-    m = b.withColumn("score", r6(change(F.col("close"), 13, WS))).where("score is not null").select("symbol", "session", "score", rank("score").alias("rank"))
+    m = b.withColumn("score", r6(change(F.col("close"), 13, ws()))).where("score is not null").select("symbol", "session", "score", rank("score").alias("rank"))
     out = last.join(facts, "symbol", "left").join(m, ["symbol", "session"], "left")
     pe = F.when(F.col("net_income") > 0, r6(F.col("close") * F.col("shares") / F.col("net_income") / 1000))
     return out.join(F.broadcast(v.universe(spark, d).select("symbol", "industry", "sub_industry")), "symbol", "left").withColumn("pe", pe)
