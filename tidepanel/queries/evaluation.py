@@ -79,7 +79,7 @@ def deflated_sharpe(spark: S, d: str) -> D:
 
 @query("precision_at_k", f"WITH m AS (SELECT *, avg(ret) OVER (PARTITION BY session) AS bench FROM {_TOP}), x AS (SELECT session, avg(CASE WHEN ret > bench THEN 1.0 ELSE 0.0 END) AS p FROM m WHERE place <= 10 GROUP BY 1) SELECT count(*) AS n_dates, round(avg(p), 6) AS precision_at_10 FROM x", P)
 def precision_at_k(spark: S, d: str) -> D:
-    p = v.panel_w(spark, d).withColumn("bench", F.avg("ret").over(BY))
+    p = v.panel_w(spark, d).withColumn("bench", F.avg("ret").over(by()))
     x = ev.top_k(p, "score", 10).groupBy("session").agg(F.avg((F.col("ret") > F.col("bench")).cast("double")).alias("p"))
     return x.agg(F.count("*").alias("n_dates"), r6(F.avg("p")).alias("precision_at_10"))
 
@@ -162,7 +162,7 @@ _CAL = "cal AS (SELECT symbol, session, industry, 1 / (1 + exp(-2 * score)) AS p
 
 
 def cal(spark: S, d: str) -> D:
-    return v.panel_w(spark, d).select("symbol", "session", "industry", sigmoid(2 * F.col("score")).alias("p"), (F.col("ret") > 0).cast("double").alias("y"), "ret", "score", (1.0 / F.count("*").over(BY)).alias("w"))
+    return v.panel_w(spark, d).select("symbol", "session", "industry", sigmoid(2 * F.col("score")).alias("p"), (F.col("ret") > 0).cast("double").alias("y"), "ret", "score", (1.0 / F.count("*").over(by())).alias("w"))
 
 
 @query("weighted_quantile", f"WITH {_CAL}, c AS (SELECT industry, ret, sum(w) OVER (PARTITION BY industry ORDER BY ret RANGE UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY industry) AS t FROM cal) SELECT industry, min(ret) AS quantile FROM c WHERE c >= 0.9 * t - 1e-12 GROUP BY 1", P)
@@ -195,7 +195,7 @@ def block_means(spark: S, d: str) -> D:
   c AS (SELECT grp, ret, sum(w) OVER (PARTITION BY grp ORDER BY ret RANGE UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY grp) AS t FROM g WHERE fit), b AS (SELECT grp, min(ret) FILTER (WHERE c >= 0.1 * t - 1e-12) AS lo, min(ret) FILTER (WHERE c >= 0.9 * t - 1e-12) AS hi FROM c GROUP BY 1),
   x AS (SELECT grp, session, avg(CASE WHEN ret BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END) AS cov, any_value(hi - lo) AS width FROM g JOIN b USING (grp) WHERE NOT fit GROUP BY 1, 2) SELECT grp, round(avg(cov), 6) AS coverage, round(avg(width), 6) AS width FROM x GROUP BY 1""", P)
 def range_bands(spark: S, d: str) -> D:
-    top = F.row_number().over(BY.orderBy(F.desc("score"), "symbol")) <= 10
+    top = F.row_number().over(by().orderBy(F.desc("score"), "symbol")) <= 10
     g = cal(spark, d).withColumn("grp", F.when(top, "top").otherwise("rest"))
     fit = g.where("session < '1999-01-01'")
     band = ev.weighted_quantile(fit, "ret", "w", 0.1, "grp").withColumnRenamed("quantile", "lo").join(ev.weighted_quantile(fit, "ret", "w", 0.9, "grp").withColumnRenamed("quantile", "hi"), "grp")

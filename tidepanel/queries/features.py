@@ -92,14 +92,14 @@ def momentum(spark: S, d: str) -> D:
     round({_need(5, 'avg', 'volume')} / {_need(60, 'avg', 'volume')}, 6) AS volume_trend, round({_need(21, 'max', 'r')}, 6) AS max_ret_21, round(ln({_need(21, 'avg', 'ill')} * 1e9 + 1e-12), 6) AS illiquidity FROM x {_W}""", ("bars_d",))
 def ts_features(spark: S, d: str) -> D:
     c, vol = F.col("close"), F.col("volume")
-    b = v.bars_d(spark, d).withColumn("r", change(c, 1, WD)).withColumn("ill", F.abs("r") / (c * vol))
+    b = v.bars_d(spark, d).withColumn("r", change(c, 1, wd())).withColumn("ill", F.abs("r") / (c * vol))
     return b.select(
         "symbol", "trade_date",
-        r6(-change(c, 5, WD)).alias("reversal_5"),
-        r6(F.lag(c, 21).over(WD) / F.lag(c, 252).over(WD) - 1).alias("mom_12_1"),
-        r6(need(5, vol, F.avg, WD) / need(60, vol, F.avg, WD)).alias("volume_trend"),
-        r6(need(21, F.col("r"), F.max, WD)).alias("max_ret_21"),
-        r6(F.log(need(21, F.col("ill"), F.avg, WD) * 1e9 + 1e-12)).alias("illiquidity"),
+        r6(-change(c, 5, wd())).alias("reversal_5"),
+        r6(F.lag(c, 21).over(wd()) / F.lag(c, 252).over(wd()) - 1).alias("mom_12_1"),
+        r6(need(5, vol, F.avg, wd()) / need(60, vol, F.avg, wd())).alias("volume_trend"),
+        r6(need(21, F.col("r"), F.max, wd())).alias("max_ret_21"),
+        r6(F.log(need(21, F.col("ill"), F.avg, wd()) * 1e9 + 1e-12)).alias("illiquidity"),
     )
 
 
@@ -109,20 +109,20 @@ def ts_features(spark: S, d: str) -> D:
   z AS (SELECT *, r - beta * m AS e FROM y)
   SELECT symbol, session, round(beta, 6) AS beta, CASE WHEN count(e) OVER f >= 20 THEN round(stddev_samp(e) OVER f, 6) END AS idio_vol FROM z WINDOW f AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", ("bars_w", "index_w"))
 def rolling_beta(spark: S, d: str) -> D:
-    i = v.index_w(spark, d).select("session", change(F.col("close"), 1, WS).alias("m"))  # one row a session
-    x = v.bars_w(spark, d).join(F.broadcast(i), "session").withColumn("r", change(F.col("close"), 1, WS))
-    f = rows(120, WS)
+    i = v.index_w(spark, d).select("session", change(F.col("close"), 1, ws()).alias("m"))  # one row a session
+    x = v.bars_w(spark, d).join(F.broadcast(i), "session").withColumn("r", change(F.col("close"), 1, ws()))
+    f = rows(120, ws())
     known = F.when(F.col("r").isNotNull(), F.col("m"))
     y = x.withColumn("beta", F.when((F.count("r").over(f) >= 60) & (F.var_samp("m").over(f) != 0), F.covar_samp("r", "m").over(f) / F.var_samp(known).over(f)))
     z = y.withColumn("e", F.col("r") - F.col("beta") * F.col("m"))
-    return z.select("symbol", "session", r6(F.col("beta")).alias("beta"), r6(need(20, F.col("e"), F.stddev_samp, WS)).alias("idio_vol"))
+    return z.select("symbol", "session", r6(F.col("beta")).alias("beta"), r6(need(20, F.col("e"), F.stddev_samp, ws())).alias("idio_vol"))
 
 
 @query("derived_features", f"""WITH x AS (SELECT symbol, trade_date, close, {_need(20, 'avg', 'close')} AS s20, {_need(50, 'avg', 'close')} AS s50 FROM bars_d)
   SELECT symbol, trade_date, round(close / s20 - 1, 6) AS price_to_sma_20, round(close / s50 - 1, 6) AS price_to_sma_50, round(s20 / s50 - 1, 6) AS trend FROM x""", ("bars_d",))
 def derived_features(spark: S, d: str) -> D:
     c = F.col("close")
-    b = v.bars_d(spark, d).withColumn("s20", need(20, c, F.avg, WD)).withColumn("s50", need(50, c, F.avg, WD))
+    b = v.bars_d(spark, d).withColumn("s20", need(20, c, F.avg, wd())).withColumn("s50", need(50, c, F.avg, wd()))
     return b.select("symbol", "trade_date", r6(ratio(c, F.col("s20")) - 1).alias("price_to_sma_20"), r6(ratio(c, F.col("s50")) - 1).alias("price_to_sma_50"), r6(ratio(F.col("s20"), F.col("s50")) - 1).alias("trend"))
 
 
@@ -157,7 +157,7 @@ def zscore(column: str, over) -> F.Column:
 
 @query("winsor_zscore", f"WITH {_WINSOR} SELECT symbol, session, round({_Z}, 6) AS z FROM c WINDOW s AS (PARTITION BY session)", ("panel_w",))
 def winsor_zscore(spark: S, d: str) -> D:
-    return winsorized(v.panel_w(spark, d), "score", "session").select("symbol", "session", r6(zscore("score", BY)).alias("z"))
+    return winsorized(v.panel_w(spark, d), "score", "session").select("symbol", "session", r6(zscore("score", by())).alias("z"))
 
 
 _AVG_RANK = "(rank() OVER (PARTITION BY session ORDER BY {x}) + (count(*) OVER (PARTITION BY session, {x}) - 1) / 2.0)"
@@ -165,19 +165,19 @@ _AVG_RANK = "(rank() OVER (PARTITION BY session ORDER BY {x}) + (count(*) OVER (
 
 @query("rank_normalize", f"SELECT symbol, session, round({_AVG_RANK.format(x='score')} / count(*) OVER (PARTITION BY session) - 0.5, 6) AS r FROM panel_w", ("panel_w",))
 def rank_normalize(spark: S, d: str) -> D:
-    return v.panel_w(spark, d).select("symbol", "session", r6(average_rank(F.col("score"), "session") / F.count("*").over(BY) - 0.5).alias("r"))
+    return v.panel_w(spark, d).select("symbol", "session", r6(average_rank(F.col("score"), "session") / F.count("*").over(by()) - 0.5).alias("r"))
 
 
 @query("sector_neutral_z", f"WITH c AS (SELECT symbol, session, score - avg(score) OVER (PARTITION BY session, industry) AS x FROM panel_w) SELECT symbol, session, round({_Z}, 5) AS z FROM c WINDOW s AS (PARTITION BY session)", ("panel_w",))
 def sector_neutral_z(spark: S, d: str) -> D:
     p = v.panel_w(spark, d).withColumn("x", F.col("score") - F.avg("score").over(Window.partitionBy("session", "industry")))
-    return p.select("symbol", "session", rnd(zscore("x", BY), 5).alias("z"))
+    return p.select("symbol", "session", rnd(zscore("x", by()), 5).alias("z"))
 
 
 @query("model_features", f"WITH {_WINSOR}, q2 AS (SELECT session, quantile_cont(vol, 0.01) AS lo, quantile_cont(vol, 0.99) AS hi, count(vol) AS n FROM panel_w GROUP BY 1), c2 AS (SELECT symbol, session, CASE WHEN n >= 2 THEN least(greatest(vol, lo), hi) ELSE vol END AS x FROM panel_w JOIN q2 USING (session) WHERE vol IS NOT NULL), a AS (SELECT symbol, session, round({_Z}, 5) AS momentum_z FROM c WINDOW s AS (PARTITION BY session)), b AS (SELECT symbol, session, round({_Z}, 5) AS vol_z FROM c2 WINDOW s AS (PARTITION BY session)) SELECT a.symbol, a.session, momentum_z, coalesce(vol_z, 0.0) AS vol_z FROM a LEFT JOIN b ON a.symbol = b.symbol AND a.session = b.session", ("panel_w",))
 def model_features(spark: S, d: str) -> D:
     p = winsorized(winsorized(v.panel_w(spark, d), "score", "session"), "vol", "session")
-    z = p.select("symbol", "session", rnd(zscore("score", BY), 5).alias("momentum_z"), rnd(zscore("vol", BY), 5).alias("vol_z"))
+    z = p.select("symbol", "session", rnd(zscore("score", by()), 5).alias("momentum_z"), rnd(zscore("vol", by()), 5).alias("vol_z"))
     return z.na.fill({"vol_z": 0.0})
 
 
@@ -234,20 +234,20 @@ def calendar_labels(spark: S, d: str) -> D:
 
 @query("calendar_momentum", "SELECT symbol, session, CASE WHEN lag(idx, 13) OVER w = idx - 13 THEN round(close / lag(close, 13) OVER w - 1, 6) END AS momentum FROM bars_x WINDOW w AS (PARTITION BY symbol ORDER BY idx)", ("bars_x",))
 def calendar_momentum(spark: S, d: str) -> D:
-    m = F.when(F.lag("idx", 13).over(WX) == F.col("idx") - 13, change(F.col("close"), 13, WX))
+    m = F.when(F.lag("idx", 13).over(wx()) == F.col("idx") - 13, change(F.col("close"), 13, wx()))
     return v.bars_x(spark, d).select("symbol", "session", r6(m).alias("momentum"))
 
 
 @query("forward_returns", "SELECT symbol, trade_date, round(lead(close, 5) OVER w / close - 1, 6) AS fwd_5, round(lead(close, 21) OVER w / close - 1, 6) AS fwd_21 FROM bars_d " + _W, ("bars_d",))
 def forward_returns(spark: S, d: str) -> D:
-    return v.bars_d(spark, d).select("symbol", "trade_date", *[r6(lab.forward_return(F.col("close"), h, WD)).alias(f"fwd_{h}") for h in (5, 21)])
+    return v.bars_d(spark, d).select("symbol", "trade_date", *[r6(lab.forward_return(F.col("close"), h, wd())).alias(f"fwd_{h}") for h in (5, 21)])
 
 
 @query("excess_returns", "WITH i AS (SELECT session, round(lead(close, 4) OVER (ORDER BY session) / close - 1, 6) AS index_ret FROM index_w) SELECT symbol, p.session, round(ret - avg(ret) OVER (PARTITION BY p.session), 6) AS excess, round(ret - index_ret, 6) AS over_index FROM panel_w p LEFT JOIN i ON p.session = i.session", ("panel_w", "index_w"))
 def excess_returns(spark: S, d: str) -> D:
-    i = v.index_w(spark, d).select("session", r6(lab.forward_return(F.col("close"), 4, WS)).alias("index_ret"))
+    i = v.index_w(spark, d).select("session", r6(lab.forward_return(F.col("close"), 4, ws())).alias("index_ret"))
     p = v.panel_w(spark, d).join(F.broadcast(i), "session", "left")
-    return p.select("symbol", "session", r6(F.col("ret") - F.avg("ret").over(BY)).alias("excess"), r6(F.col("ret") - F.col("index_ret")).alias("over_index"))
+    return p.select("symbol", "session", r6(F.col("ret") - F.avg("ret").over(by())).alias("excess"), r6(F.col("ret") - F.col("index_ret")).alias("over_index"))
 
 
 @query("complete_mean", "WITH x AS (SELECT session, CASE WHEN lead(idx, 4) OVER w = idx + 4 THEN lead(close, 4) OVER w / close - 1 END AS r FROM bars_x WINDOW w AS (PARTITION BY symbol ORDER BY idx)) SELECT session, CASE WHEN count(r) = count(*) THEN round(avg(r), 6) END AS universe_ret, count(r) AS known FROM x GROUP BY 1", ("bars_x",))
@@ -260,19 +260,19 @@ def complete_mean(spark: S, d: str) -> D:
 
 @query("rank_label", "SELECT symbol, session, round(percent_rank() OVER (PARTITION BY session ORDER BY ret) - 0.5, 6) AS y FROM panel_w", ("panel_w",))
 def rank_label(spark: S, d: str) -> D:
-    return v.panel_w(spark, d).select("symbol", "session", r6(F.percent_rank().over(BY.orderBy("ret")) - 0.5).alias("y"))
+    return v.panel_w(spark, d).select("symbol", "session", r6(F.percent_rank().over(by().orderBy("ret")) - 0.5).alias("y"))
 
 
 @query("rank_scores", "SELECT symbol, session, score, row_number() OVER (PARTITION BY session ORDER BY score DESC, symbol) AS rank FROM panel_w", ("panel_w",))
 def rank_scores(spark: S, d: str) -> D:
-    return v.panel_w(spark, d).select("symbol", "session", "score", F.row_number().over(BY.orderBy(F.desc("score"), "symbol")).cast("long").alias("rank"))
+    return v.panel_w(spark, d).select("symbol", "session", "score", F.row_number().over(by().orderBy(F.desc("score"), "symbol")).cast("long").alias("rank"))
 
 
 _Y = f"CASE WHEN count(*) OVER (PARTITION BY session) > 1 THEN ({_AVG_RANK.format(x='ret')} - 1) / (count(*) OVER (PARTITION BY session) - 1) - 0.5 END"
 
 
 def _y() -> F.Column:
-    n = F.count("*").over(BY)
+    n = F.count("*").over(by())
     return F.when(n > 1, (average_rank(F.col("ret"), "session") - 1) / (n - 1) - 0.5)
 
 
@@ -283,19 +283,19 @@ def rank_labels_avg(spark: S, d: str) -> D:
 
 @query("relevance_labels", f"WITH p AS (SELECT symbol, session, {_Y} AS y, dense_rank() OVER (PARTITION BY session ORDER BY ret) - 1 AS dense FROM panel_w) SELECT symbol, session, dense, CAST(least(9, floor(round((y + 0.5) * 10, 9))) AS BIGINT) AS grade FROM p", ("panel_w",))
 def relevance_labels(spark: S, d: str) -> D:
-    p = v.panel_w(spark, d).select("symbol", "session", _y().alias("y"), (F.dense_rank().over(BY.orderBy("ret")) - 1).cast("long").alias("dense"))
+    p = v.panel_w(spark, d).select("symbol", "session", _y().alias("y"), (F.dense_rank().over(by().orderBy("ret")) - 1).cast("long").alias("dense"))
     return p.select("symbol", "session", "dense", F.least(F.lit(9), F.floor(rnd((F.col("y") + 0.5) * 10, 9))).cast("long").alias("grade"))
 
 
 @query("date_weights", "WITH w AS (SELECT symbol, session, 1.0 / count(*) OVER (PARTITION BY session) AS w FROM panel_w) SELECT symbol, session, round(w / (SELECT avg(w) FROM w), 5) AS weight FROM w", ("panel_w",))
 def date_weights(spark: S, d: str) -> D:
-    w = v.panel_w(spark, d).select("symbol", "session", (1.0 / F.count("*").over(BY)).alias("w"))
+    w = v.panel_w(spark, d).select("symbol", "session", (1.0 / F.count("*").over(by())).alias("w"))
     return w.join(F.broadcast(w.agg(F.avg("w").alias("m")))).select("symbol", "session", rnd(F.col("w") / F.col("m"), 5).alias("weight"))
 
 
 @query("rank_percentile", "SELECT symbol, session, row_number() OVER (PARTITION BY session ORDER BY score DESC, symbol) AS rank, count(*) OVER (PARTITION BY session) AS universe_size, round(row_number() OVER (PARTITION BY session ORDER BY score DESC, symbol) / count(*) OVER (PARTITION BY session), 6) AS percentile FROM panel_w", ("panel_w",))
 def rank_percentile(spark: S, d: str) -> D:
-    r, n = F.row_number().over(BY.orderBy(F.desc("score"), "symbol")), F.count("*").over(BY)
+    r, n = F.row_number().over(by().orderBy(F.desc("score"), "symbol")), F.count("*").over(by())
     return v.panel_w(spark, d).select("symbol", "session", r.cast("long").alias("rank"), n.alias("universe_size"), r6(r / n).alias("percentile"))
 
 
@@ -315,15 +315,15 @@ def quant_equations(spark: S, d: str) -> D:
 def equations(spark: S, d: str) -> D:
     """Fixed equations on the dense calendar; rows whose last 52 sessions are all known."""
     c = F.col("close")
-    i = v.index_w(spark, d).select("session", F.log(c / F.lag(c).over(WS)).alias("m"))
-    x = dense(spark, d).join(F.broadcast(i), "session").withColumn("r", F.log(c / F.lag(c).over(WX)))
-    f, q = rows(52, WX), rows(13, WX)
-    sd, mom = F.stddev_samp("r").over(f), F.log(F.lag(c, 4).over(WX) / F.lag(c, 51).over(WX))
+    i = v.index_w(spark, d).select("session", F.log(c / F.lag(c).over(ws())).alias("m"))
+    x = dense(spark, d).join(F.broadcast(i), "session").withColumn("r", F.log(c / F.lag(c).over(wx())))
+    f, q = rows(52, wx()), rows(13, wx())
+    sd, mom = F.stddev_samp("r").over(f), F.log(F.lag(c, 4).over(wx()) / F.lag(c, 51).over(wx()))
     var = F.var_samp("m").over(f)
     beta = F.when(var != 0, F.covar_samp("r", "m").over(f) / var)
     y = x.select(
         "symbol", "session", F.count(c).over(f).alias("n"), mom.alias("log_momentum"), (mom / sd).alias("risk_adjusted"), (-F.avg("r").over(q) / sd).alias("reversal_z"),
-        (F.sum("r").over(q) - beta * F.sum("m").over(q)).alias("market_residual"), (c / F.max(c).over(WX.rowsBetween(-13, -1)) - 1).alias("breakout"),
+        (F.sum("r").over(q) - beta * F.sum("m").over(q)).alias("market_residual"), (c / F.max(c).over(wx().rowsBetween(-13, -1)) - 1).alias("breakout"),
     )
     return y.where("n = 52").drop("n")
 
@@ -331,7 +331,7 @@ def equations(spark: S, d: str) -> D:
 @query("rank_blend", f"WITH e AS ({_EQ}), p AS (SELECT symbol, session, {_AVG_RANK.format(x='log_momentum')} / count(*) OVER s AS a, {_AVG_RANK.format(x='reversal_z')} / count(*) OVER s AS b, {_AVG_RANK.format(x='breakout')} / count(*) OVER s AS c FROM e WINDOW s AS (PARTITION BY session)) SELECT symbol, session, round((a + b + c) / 3, 6) AS blend FROM p".replace("WITH e AS (WITH ", "WITH e AS (WITH "), (*DV, "index_w"))
 def rank_blend(spark: S, d: str) -> D:
     e = quant_equations(spark, d)
-    p = [average_rank(F.col(c), "session") / F.count("*").over(BY) for c in ("log_momentum", "reversal_z", "breakout")]
+    p = [average_rank(F.col(c), "session") / F.count("*").over(by()) for c in ("log_momentum", "reversal_z", "breakout")]
     return e.select("symbol", "session", r6(sum(p[1:], p[0]) / 3).alias("blend"))
 
 
@@ -340,14 +340,14 @@ def rank_blend(spark: S, d: str) -> D:
   SELECT symbol, session, round(r1, 6) AS market_ret_1, round(r4, 6) AS market_ret_4, round(trend, 6) AS market_trend, CASE WHEN n >= 13 THEN round(mvol, 6) END AS market_vol FROM panel_w JOIN i USING (session)""", ("panel_w", "index_w"))
 def market_context(spark: S, d: str) -> D:
     c = F.col("close")
-    i = v.index_w(spark, d).withColumn("r", change(c, 1, WS))
-    i = i.select("session", r6(F.col("r")).alias("market_ret_1"), r6(change(c, 4, WS)).alias("market_ret_4"), r6(c / F.avg(c).over(rows(40, WS)) - 1).alias("market_trend"), r6(need(13, F.col("r"), F.stddev_samp, WS)).alias("market_vol"))
+    i = v.index_w(spark, d).withColumn("r", change(c, 1, ws()))
+    i = i.select("session", r6(F.col("r")).alias("market_ret_1"), r6(change(c, 4, ws())).alias("market_ret_4"), r6(c / F.avg(c).over(rows(40, ws())) - 1).alias("market_trend"), r6(need(13, F.col("r"), F.stddev_samp, ws())).alias("market_vol"))
     return v.panel_w(spark, d).select("symbol", "session").join(F.broadcast(i), "session")
 
 
 @query("drawdown_curve", "WITH x AS (SELECT symbol, session, close / max(close) OVER (PARTITION BY symbol ORDER BY session) - 1 AS dd FROM bars_w) SELECT symbol, session, round(dd, 6) AS drawdown, round(min(dd) OVER (PARTITION BY symbol ORDER BY session), 6) AS worst FROM x", ("bars_w",))
 def drawdown_curve(spark: S, d: str) -> D:
-    run = WS.rowsBetween(Window.unboundedPreceding, 0)
+    run = ws().rowsBetween(Window.unboundedPreceding, 0)
     x = v.bars_w(spark, d).withColumn("dd", F.col("close") / F.max("close").over(run) - 1)
     return x.select("symbol", "session", r6(F.col("dd")).alias("drawdown"), r6(F.min("dd").over(run)).alias("worst"))
 
@@ -372,7 +372,7 @@ def segment_reset(spark: S, d: str) -> D:
 @query("mask_labels", """WITH x AS (SELECT symbol, session, lead(session, 4) OVER w AS exit, lead(close, 4) OVER w / close - 1 AS r FROM bars_w WINDOW w AS (PARTITION BY symbol ORDER BY session))
   SELECT x.symbol, session, CASE WHEN EXISTS (SELECT 1 FROM ledger l WHERE l.symbol = x.symbol AND x.session <= impact_end AND x.exit >= impact_start) THEN NULL ELSE round(r, 6) END AS fwd_4 FROM x WHERE exit IS NOT NULL""", ("bars_w", "ledger"))
 def mask_labels(spark: S, d: str) -> D:
-    x = v.bars_w(spark, d).select("symbol", "session", F.lead("session", 4).over(WS).alias("exit"), lab.forward_return(F.col("close"), 4, WS).alias("r")).where("exit is not null")
+    x = v.bars_w(spark, d).select("symbol", "session", F.lead("session", 4).over(ws()).alias("exit"), lab.forward_return(F.col("close"), 4, ws()).alias("r")).where("exit is not null")
     return lab.first_overlap(x, v.ledger(spark, d), "symbol", "session", "exit").select("symbol", "session", F.when(~F.col("crossed"), r6(F.col("r"))).alias("fwd_4"))
 
 
@@ -385,7 +385,7 @@ def event_overlap(spark: S, d: str) -> D:
 
 @query("sequences", "SELECT symbol, session, round(first_close, 4) AS first_close, CAST(20 AS BIGINT) AS n FROM (SELECT symbol, session, idx, first_value(idx) OVER f AS i0, first_value(close) OVER f AS first_close, count(*) OVER f AS n FROM bars_x WINDOW f AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE n = 20 AND idx - i0 = 19", ("bars_x",))
 def sequences(spark: S, d: str) -> D:
-    f = rows(20, WX)
+    f = rows(20, wx())
     x = v.bars_x(spark, d).select("symbol", "session", "idx", F.collect_list(F.struct("idx", "close", "volume")).over(f).alias("seq"))
     x = x.where((F.size("seq") == 20) & (F.col("idx") - F.get("seq", F.lit(0))["idx"] == 19))
     return x.select("symbol", "session", r4(F.get("seq", F.lit(0))["close"]).alias("first_close"), F.size("seq").cast("long").alias("n"))
@@ -397,9 +397,9 @@ def peer_inputs(spark: S, d: str) -> D:
     c, vol = F.col("close"), F.col("volume")
     return dense(spark, d).select(
         "symbol", "session",
-        (c > need(40, c, F.avg, WX)).alias("above_40"),
-        F.when(F.count(c).over(rows(5, WX)) == 5, c / F.lag(c, 4).over(WX) > 1).alias("up_4"),
-        r6(need(5, vol, F.avg, WX) / need(20, vol, F.avg, WX)).alias("volume_ratio"),
+        (c > need(40, c, F.avg, wx())).alias("above_40"),
+        F.when(F.count(c).over(rows(5, wx())) == 5, c / F.lag(c, 4).over(wx()) > 1).alias("up_4"),
+        r6(need(5, vol, F.avg, wx()) / need(20, vol, F.avg, wx())).alias("volume_ratio"),
     )
 
 
@@ -408,7 +408,7 @@ def peer_inputs(spark: S, d: str) -> D:
   SELECT symbol, session, CASE WHEN peers >= 5 AND known >= 0.5 * peers AND known > 0 THEN round(s / known, 6) END AS sector_ret FROM g""", DV)
 def sector_forward(spark: S, d: str) -> D:
     k = Window.partitionBy("session", "industry")
-    x = dense(spark, d).join(F.broadcast(v.universe(spark, d).select("symbol", "industry")), "symbol").withColumn("r", lab.forward_return(F.col("close"), 4, WX))
+    x = dense(spark, d).join(F.broadcast(v.universe(spark, d).select("symbol", "industry")), "symbol").withColumn("r", lab.forward_return(F.col("close"), 4, wx()))
     peers, known = F.count("*").over(k) - 1, F.count("r").over(k) - F.col("r").isNotNull().cast("int")
     s = F.coalesce(F.sum("r").over(k), F.lit(0.0)) - F.coalesce("r", F.lit(0.0))
     return x.select("symbol", "session", F.when((peers >= 5) & (known >= 0.5 * peers) & (known > 0), r6(s / known)).alias("sector_ret"))

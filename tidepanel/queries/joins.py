@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import average_rank, change, r6, ratio, series, rnd
+from ..functions.windows import change, r6, rnd, series
 from ..operators.asof import asof_join
 from ..operators.ingest import latest_rows
 from ..plans import views as v
