@@ -124,13 +124,22 @@ def failures(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """m (measures), base_failed, failed (rule names) and kept as one struct. One expression: Spark copies an expression to each place that
+    refers to it, such as a filter that it pushes down, and the measures must be taken once."""
+
+    def judge(m: Column) -> Column:
+        failed = failures(m, rules)
+        return F.struct(m.alias("m"), base_failed(m).alias("base_failed"), failed.alias("failed"), (~base_failed(m) & (F.size(failed) == 0)).alias("kept"))
+
+    return _let(measures(text), judge)
+
+
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """row (all columns of docs as a struct, whatever their names), m (measures), base_failed, failed (rule names), kept."""
-    once = docs.select(F.struct("*").alias("row"), measures(F.col(text)).alias("m"))
-    full = once.select("row", "m", base_failed(F.col("m")).alias("base_failed"), failures(F.col("m"), rules).alias("failed"))
-    return full.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    return docs.select(F.struct("*").alias("row"), verdict(F.col(text), rules).alias("v")).select("row", "v.m", "v.base_failed", "v.failed", "v.kept")
 
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """docs without the rows that the rules reject; same columns."""
-    return judged(docs, rules, text).where("kept").select("row.*")
+    return docs.where(verdict(F.col(text), rules)["kept"])
