@@ -52,3 +52,37 @@ def file_stats(rows: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     return rows.select("_metadata.file_name", "_metadata.file_size").groupBy("file_name").agg(F.max("file_size").alias("bytes"), F.count("*").alias("n_rows"))
+
+
+def ensure_table(spark: SparkSession, name: str, schema: StructType) -> None:
+    """Create a Parquet table, or create it anew if its columns have changed."""
+    if spark.catalog.tableExists(name):
+        if [(f.name, f.dataType) for f in spark.table(name).schema] == [(f.name, f.dataType) for f in schema]:
+            return
+        spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"CREATE TABLE {name} ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}) USING parquet")
+
+
+def write_policy(spark: SparkSession, path: str, policy: dict) -> str:
+    """Store the fingerprint of the rules that a table was made under, beside it."""
+    import hashlib
+    import json
+
+    digest = hashlib.sha256(json.dumps(policy, sort_keys=True).encode()).hexdigest()
+    spark.range(1).selectExpr(f"'{digest}' AS digest").write.mode("overwrite").parquet(f"{path}_policy")
+    return digest
+
+
+def check_policy(spark: SparkSession, path: str, digest: str) -> None:
+    """Raise if a table was made under other rules."""
+    found = spark.read.parquet(f"{path}_policy").first()["digest"]
+    if found != digest:
+        raise ValueError(f"{path} was made under policy {found[:12]}, not {digest[:12]}")
+
+
+def publish(rows: DataFrame, key: str, fmt: str, **options: str) -> None:
+    """Write rows as (key, JSON value) to a keyed sink such as kafka, or to files of a format that takes strings."""
+    from pyspark.sql import functions as F
+
+    out = rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
+    out.write.format(fmt).options(**options).mode("append").save()
