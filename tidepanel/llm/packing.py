@@ -11,6 +11,7 @@ Null texts count as empty: one token. Repeated rows are packed each. An empty ta
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from array import array
 
@@ -38,52 +39,48 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: How this kind of vocabulary cuts text into words, with letters and digits spelt out below U+0250, where they are beyond doubt.
+_LETTERS, _DIGITS, _SPACE = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be", r"\t-\r \x85\xa0"
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^{_SPACE}{_LETTERS}{_DIGITS}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
 class Ids:
     """Token ids of texts, equal to the library's over whole texts. Its pre-tokenizer attaches one blank to the word after it, so a
-    text without runs of blanks may be cut before each blank; each distinct piece is then looked at once, and a piece that is
-    letters, or letters and a comma or full stop, goes straight to the library's model. Other texts go to the library whole."""
+    text without runs of blanks may be cut at each blank; each distinct piece is then looked at once, and its words go to the
+    library's model. Other texts, and pieces with characters from U+0250 on, go through the library as they are."""
 
     def __init__(self, path: str):
-        self.lib, self.known, self.letters = _tokenizer(path), {}, {}
+        self.lib, self.known, self.words = _tokenizer(path), {}, {}
         self.model, self.special = self.lib.model, [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.byte = byte_symbols()
+        self.shown = {k: ord(c) for k, c in enumerate(byte_symbols())}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [None if "  " in t or t.endswith(" ") or any(s in t for s in self.special) else self.pieces(t) for t in texts]
-        for kept in (self.known, self.letters):
+        cut = [None if "  " in t or t.endswith(" ") or any(s in t for s in self.special) else t.split(" ") for t in texts]
+        for kept in (self.known, self.words):
             if len(kept) > CACHE_WORDS:
                 kept.clear()
-        new, hard = {w for ws in cut if ws is not None for w in ws} - self.known.keys(), []
-        for w in new:
-            if (found := self.simple(w)) is None:
-                hard.append(w)
-            else:
-                self.known[w] = found
-        self.known.update(zip(hard, self.library(hard), strict=True))
+        new: set[str] = set()
+        for ws in cut:
+            if ws is not None:
+                new.update(ws[1:])
+        new -= self.known.keys()
+        self.known.update({w: self.piece(" " + w) for w in new})
         whole = iter(self.library([t for t, ws in zip(texts, cut, strict=True) if ws is None]))
         get = self.known.__getitem__
-        return [next(whole) if ws is None else b"".join(map(get, ws)) for ws in cut]
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-
-    def simple(self, piece: str) -> bytes | None:
-        """Ids of one blank and letters (of blocks where everyone agrees what a letter is), perhaps with one mark after them."""
-        end = piece[-1:] if piece[-1:] in (".", ",") else ""
-        core = piece[: len(piece) - len(end)]
-        if not core[1:].isalpha() or core[0] != " " or max(core) >= "\u0250":
-            return None
-        return self.word(core) + self.word(end) if end else self.word(core)
-
-    def word(self, text: str) -> bytes:
-        out = self.letters.get(text)
-        if out is None:
-            mapped = "".join([self.byte[b] for b in text.encode()])
-            out = self.letters[text] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        return out
+        return [next(whole) if ws is None else self.piece(ws[0]) + b"".join(map(get, ws[1:])) for ws in cut]
+
+    def piece(self, piece: str) -> bytes:
+        if piece and max(piece) >= "\u0250":
+            return self.library([piece])[0]
+        out = []
+        for w in WORDS.findall(piece):
+            ids = self.words.get(w)
+            if ids is None:
+                mapped = w.encode().decode("latin-1").translate(self.shown)
+                ids = self.words[w] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
