@@ -11,8 +11,9 @@ from ..functions.windows import average_rank
 def rank_ic(panel: DataFrame, score: str, ret: str, keys: list[str], least: int = 2) -> DataFrame:
     """keys, n, ic: correlation of average ranks; null where either side is constant. Groups below `least` rows go."""
     r = panel.select(*keys, average_rank(F.col(score), *keys).alias("_a"), average_rank(F.col(ret), *keys).alias("_b"))
-    g = r.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.stddev_pop("_a") > 0) & (F.stddev_pop("_b") > 0), F.corr("_a", "_b")).alias("ic"))
-    return g.where(F.col("n") >= least)
+    g = r.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"), F.covar_pop("_a", "_b").alias("_c"))
+    ic = F.when((F.col("_sa") > 0) & (F.col("_sb") > 0), F.col("_c") / (F.col("_sa") * F.col("_sb")))
+    return g.where(F.col("n") >= least).select(*keys, "n", ic.alias("ic"))
 
 
 def top_k(panel: DataFrame, score: str, k: int, date: str = "session", key: str = "symbol", bottom: bool = False) -> DataFrame:
