@@ -68,6 +68,19 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
 
     The rows are written once with their digest (arrivals): the stream reads the narrow columns, hits read the content.
     digest: any function of the text; texts stay apart even where it collides."""
+    _, placed = _placed(docs, doc_id, text, digest, max_files)
+    sha = F.col("digest") if digest is sha256 else sha256(normalised(F.col("row")[text]))
+    return placed.select("row", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", sha.alias("text_sha256"))
+
+
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without copies; same columns. What stays is named by arrival, one row each, so no copy's text is shuffled to its hot digest."""
+    arrived, placed = _placed(docs, doc_id, text, sha256, None)
+    return arrived.select("at", "row").join(placed.where("kept").select("at"), "at", "left_semi").select("row.*")
+
+
+def _placed(docs: DataFrame, doc_id: str, text: str, digest: Callable[[Column], Column], max_files: int | None) -> tuple[DataFrame, DataFrame]:
+    """(arrivals, the same with keep_id, kept and group_size)."""
     spark = docs.sparkSession
     body = normalised(F.col(text))
     rows = docs.select(F.struct("*").alias("row"), _sort_key(F.col(doc_id)).alias("key"), F.monotonically_increasing_id().alias("at"), F.input_file_name().alias("file"), digest(body).alias("digest"))
@@ -81,11 +94,10 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     state, state_at = written(changes.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n")), "dedup-state")
     drop(spark, checkpoint, narrow_at)
 
-    # hits: all bytes of each digest that came more than once, compared after a pre-aggregation (equal texts meet once a task)
-    hits = state.where("n > 1").select("digest")
+    # all bytes of what a digest stands for: equal texts become one row in each task before anything is shuffled, so a hit with the
+    # whole corpus behind it is no more than a row a task; a digest with two texts left is a collision
     content = arrived.select("digest", normalised(F.col("row")[text]).alias("body"), "key", "at")
-    apart = content.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").select("digest")
-    apart, _ = written(apart, "dedup-collisions")
+    apart, _ = written(content.select("digest", "body").distinct().groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "dedup-collisions")
     placed = arrived.join(state, "digest").select("row", "key", "at", F.col("first.key.id").alias("keep_id"), (F.col("at") == F.col("first.at")).alias("kept"), F.col("n").alias("group_size"), "digest")
     if not apart.isEmpty():
         # one digest, several texts: their rows are grouped by content instead
@@ -99,10 +111,4 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
             F.coalesce("own_n", "group_size").alias("group_size"),
             "digest",
         )
-    sha = F.col("digest") if digest is sha256 else sha256(normalised(F.col("row")[text]))
-    return placed.select("row", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", sha.alias("text_sha256"))
-
-
-def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without copies; same columns."""
-    return deduplicate(docs, doc_id, text).where("kept").select("row.*")
+    return arrived, placed
