@@ -251,22 +251,24 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost: f
         return constant
     # a toxic document counts for a word only where the word follows one that it has not followed before: copies count once
     toxic, clean, clean_words, places = Counter(), Counter(), set(), set()
-    for t, label in zip(texts, labels, strict=True):
+    for t in (t for t, label in zip(texts, labels, strict=True) if label):
         tokens = [letters(w) for w in SENTENCE.sub(" ", joined(t)).split()]
-        if label:
-            new = set(zip(["", *tokens], tokens, strict=False)) - places
-            places |= new
-            toxic.update({c for _, w in new for c in candidates(w)})
-        else:
-            words = set(tokens)
-            clean_words |= words
-            clean.update({c for w in words for c in candidates(w)})
+        new = {(hash(p), w) for p, w in zip(["", *tokens], tokens, strict=False)} - places
+        places |= new
+        toxic.update({c for _, w in new for c in candidates(w)})
+    tried = len(toxic)
+    toxic = Counter({c: n for c, n in toxic.items() if n > 2})  # so few documents prove nothing among so many candidates
+    del places
+    for t in (t for t, label in zip(texts, labels, strict=True) if not label):
+        words = {letters(w) for w in set(SENTENCE.sub(" ", joined(t)).split())}
+        clean_words |= words
+        clean.update({c for w in words for c in candidates(w) if c in toxic})
     share, surprise = float(y.mean()), {}
     for c, n in toxic.items():
         all_in = n + clean[c]
         if n > share * all_in:  # likelihood ratio of the documents that have it against their labels
             surprise[c] = 2 * (n * math.log(n / (share * all_in)) + (clean[c] and clean[c] * math.log(clean[c] / ((1 - share) * all_in))))
-    enough = 2 * math.log(len(toxic) + len(clean))  # one candidate among so many gets so far by chance
+    enough = 2 * math.log(max(2, tried))  # one candidate among so many gets so far by chance
     ranked = sorted((c for c, g in surprise.items() if g > enough), key=lambda c: (-surprise[c], c))
     telling: list[str] = []
     vectors: list[dict[int, float]] = []
@@ -277,27 +279,34 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost: f
     if not telling:
         return constant
     first = Landmarks(telling, len(telling))
-    words = sorted(START + w + END for w in clean_words if w and START + w + END not in toxic)
-    index, sim = first(words)
-    like = [words[index[k]] for k in np.argsort(-sim.max(axis=1), kind="stable")[:landmarks]] if len(index) else []
-    marks = Landmarks(telling + like, len(telling))
+    words, likest = sorted(START + w + END for w in clean_words if w and START + w + END not in toxic), []
+    del clean_words
+    for at in range(0, len(words), 10_000):
+        index, sim = first(words[at : at + 10_000])
+        likest = sorted([*likest, *((-float(x.max()), words[at + k]) for k, x in zip(index.tolist(), sim, strict=True))])[:landmarks]
+    marks = Landmarks(telling + [w for _, w in likest], len(telling))
     vectors = _vectors(marks.words)
     values, axes = np.linalg.eigh(np.array([[_cosine(u, v) for v in vectors] for u in vectors]))
     root = axes @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ axes.T
     model = Model(marks, np.zeros(len(marks.words)), 0.0, 1.0, 0.0)
     scorer = Scorer(model)
-    bags = [[scorer.hits[w] @ root for w in ws] or [np.zeros(len(marks.words))] for ws in map(lambda t: scorer.words([t])[0], texts)]
+    found = [scorer.words([t])[0] for t in texts]
+    place = {w: k + 1 for k, w in enumerate(sorted({w for ws in found for w in ws}))}
+    # one row a distinct word, row 0 for a document without any
+    rows = np.stack([np.zeros(len(marks.words)), *[scorer.hits[w] @ root for w in place]])
+    bags = [np.array([place[w] for w in ws] or [0]) for ws in found]
+    times = Counter(int(k) for bag, label in zip(bags, labels, strict=True) if not label for k in bag)
+    negative = np.array(sorted(times))
+    many = np.array([times[k] for k in negative.tolist()], float)
     w = np.append(root @ np.where(np.arange(len(marks.words)) < len(telling), 1.0, 0.0), 0.0)
     for _ in range(rounds):
-        x, target = [], []
-        for bag, label in zip(bags, labels, strict=True):
-            rows = [max(bag, key=lambda s: float(s @ w[:-1]))] if label else bag
-            x += rows
-            target += [1.0 if label else -1.0] * len(rows)
-        t = np.array(target)
-        share = np.where(t > 0, len(t) / (2 * (t > 0).sum()), len(t) / (2 * (t < 0).sum()))
-        w = _svm(np.array(x), t, share / share.mean(), cost)
-    margin = np.array([max(float(s @ w[:-1]) for s in [*bag, np.zeros(len(marks.words))]) + w[-1] for bag in bags])
+        margins = rows @ w[:-1]
+        positive = np.array([bag[np.argmax(margins[bag])] for bag, label in zip(bags, labels, strict=True) if label])
+        t = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
+        weight = np.concatenate([np.full(len(positive), 0.5 / len(positive)), many * 0.5 / many.sum()]) * (len(positive) + many.sum())
+        w = _svm(rows[np.concatenate([positive, negative])], t, weight, cost)
+    margins = np.maximum(rows @ w[:-1], 0.0) + w[-1]
+    margin = np.array([margins[bag].max() for bag in bags])
     return Model(marks, root @ w[:-1], float(w[-1]), *_logistic(margin, y))
 
 
