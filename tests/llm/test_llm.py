@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
-from tidepanel.llm import bpe, chat, exact_dedup, packing, pii, quality, queries, sharding, simhash, substring, toxicity
+from tidepanel.llm import bpe, chat, exact_dedup, near, packing, pii, quality, queries, sharding, simhash, substring, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "one two three four five six seven eight nine ten"), (4, "one two three four five six seven eight nine ten"), (None, "no id"), (5, "é " * 4000), (6, "word " * 30)]
@@ -293,3 +293,42 @@ def test_pipeline_stages_by_brute_force(spark, data, docs, texts):
     for i, r in clean.items():
         assert r["text"] == pii.redacted(texts[i], pii.find(texts[i])) and r["n_chars"] == len(r["text"])
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, data).collect()} == set(clean)
+
+
+def brute_near(texts):
+    """Least identifier of each text's group by five-word shingles with a Jaccard of 0.8 or more."""
+    def cut(t):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t).split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, group = {i: cut(t) for i, t in texts.items()}, {i: i for i in texts}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return group
+
+
+def test_pipeline_drops_near_copies_by_five_word_shingles(spark, data):
+    """Near copies whose fingerprints differ in many bits; repeated and null identifiers; a bucket of several blocks."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = {}
+    for g in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        texts[g * 10] = " ".join(base)
+        for k in range(1, 6):
+            copy = list(base)
+            for at in rng.sample([0, 59, 20, 40], 1 + k % 2):
+                copy[at] = f"x{g}-{k}"
+            texts[g * 10 + k] = " ".join(copy)
+    assert min(bin(brute_fp(texts[g * 10]) ^ brute_fp(texts[g * 10 + 1])).count("1") for g in range(12)) > 2
+    want = brute_near(texts)
+    docs = spark.createDataFrame([*texts.items(), (None, texts[0] + " end")], "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, data).collect())
+    assert kept == sorted(set(want.values())) and len(kept) < len(want)
+    assert sorted(r["doc_id"] for r in near.representatives(docs, block=2).collect()) == kept
+    twice = spark.createDataFrame([(7, "one two three four five six"), (7, "another text of quite other words")], "doc_id long, text string")
+    assert near.representatives(twice).count() == 2

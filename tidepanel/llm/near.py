@@ -1,0 +1,131 @@
+"""Near-copies by five-word shingles, for the pipeline: two texts are linked when their sets of shingles have a Jaccard of 0.8 or more.
+
+Candidates share all ROWS minima of one of BANDS bands of a MinHash signature; a pair at exactly 0.8 shares none of them with a chance of
+(1 - 0.8**ROWS)**BANDS = 0.0004, more alike pairs less often. What shares a bucket is then compared exactly, set by set. Buckets with the
+same members are compared once, and buckets of more than BLOCK members block by block in separate tasks: the comparisons inside one bucket
+are quadratic. Nothing is capped.
+
+Words and case are those of `simhash.fingerprint`; a text of fewer than five words is one shingle, null and empty texts are that of no word.
+Rows are named by arrival, as in `exact_dedup`: of a group the row with the least identifier stays, null identifiers last.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import drop, written
+from .simhash import components
+
+WORDS, ALIKE = 5, 0.8
+#: Bands of a signature, and minima of a band.
+BANDS, ROWS = 20, 5
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 2048
+
+_random = np.random.default_rng(42)
+_XOR = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_TIMES = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_MIX = _random.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+_BAND = _random.integers(0, 1 << 64, BANDS, np.uint64)
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of a UTF-8 text's word shingles, sorted."""
+    parts = text.lower().split()
+    body = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([xxhash.xxh64_intdigest(body, 42)], np.uint64)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest, n = xxhash.xxh64_intdigest, len(parts) - words + 1
+    return np.unique(np.fromiter((digest(body[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One key a band; sets that share a key share the band's minima."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[at : at + 1024, None] ^ _XOR) * _TIMES).min(axis=0), out=least)
+    mixed = least ^ (least >> np.uint64(29))
+    return ((mixed.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray] | None = None, least: float = ALIKE) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs with a Jaccard of at least `least`: of left with right, or among left, each pair once."""
+    other = left if right is None else right
+    sizes = np.array([len(s) for s in other])
+    ids = np.unique(np.concatenate([*left, *other]))
+    flat, starts = np.searchsorted(ids, np.concatenate(other)), np.cumsum(sizes) - sizes
+    mark, a, b = np.zeros(len(ids), np.int64), [], []
+    for i, s in enumerate(left):
+        own = np.searchsorted(ids, s)
+        mark[own] = 1
+        first = i + 1 if right is None else 0
+        if first < len(other):
+            both = np.add.reduceat(mark[flat[starts[first] :]], starts[first:] - starts[first])
+            hit = np.flatnonzero(both >= least * (len(s) + sizes[first:] - both) - 1e-9) + first
+            a.append(np.full(len(hit), i))
+            b.append(hit)
+        mark[own] = 0
+    return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+
+
+def _bytes(value) -> bytes:
+    return value.as_buffer().to_pybytes() if value.is_valid else b""
+
+
+def links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows: at, text, a table. a, b: the rows (by `at`) that met in a bucket and are alike."""
+    spark = rows.sparkSession
+    plain = rows.select("at", F.col("text").cast("string").cast("binary").alias("text"))
+
+    def sign(batches):
+        for batch in batches:
+            keys = [bands(shingles(_bytes(t))) for t in batch.column(1)]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.concatenate(keys))], names=["at", "bucket"])
+
+    def cut(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(_bytes(t)).tobytes() for t in batch.column(1)], pa.binary())], names=["at", "shingles"])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, sets = pdf["at"].to_numpy(np.int64), [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+        one = np.flatnonzero(pdf["block"].to_numpy() == pdf["i"].iloc[0])
+        two = np.flatnonzero(pdf["block"].to_numpy() != pdf["i"].iloc[0])
+        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+            a, b = alike([sets[k] for k in one])
+            return pd.DataFrame({"a": at[one[a]], "b": at[one[b]]})
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": at[:0], "b": at[:0]})
+        a, b = alike([sets[k] for k in one], [sets[k] for k in two])
+        return pd.DataFrame({"a": at[one[a]], "b": at[two[b]]})
+
+    signed, signed_at = written(plain.mapInArrow(sign, "at long, bucket long"), "near-bands")
+    shared = signed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.bit_xor(F.xxhash64("at")).alias("who")).where("n > 1")
+    once = shared.groupBy("n", "first", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    members, members_at = written(signed.join(once, "bucket"), "near-members")
+    drop(spark, signed_at)
+    sets, sets_at = written(plain.join(members.select("at").distinct(), "at", "left_semi").mapInArrow(cut, "at long, shingles binary"), "near-shingles")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("at"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("at", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found, _ = written(dealt.join(sets, "at").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long"), "near-links")
+    drop(spark, members_at, sets_at)
+    return found
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """docs without near-copies: of each group that links lead through one row stays; same columns."""
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
+    arrived, _ = written(docs.select(F.struct("*").alias("row"), key.alias("key"), F.monotonically_increasing_id().alias("at")), "near-arrivals")
+    groups = components(links(arrived.select("at", F.col("row")[text].alias("text")), block)).withColumnRenamed("node", "at")
+    named, _ = written(arrived.select("at", "key").join(groups, "at"), "near-groups")
+    first = named.groupBy("component").agg(F.min(F.struct("key", "at")).alias("first"))
+    gone = named.join(first, "component").where("at <> first.at").select("at")
+    return arrived.join(gone, "at", "left_anti").select("row.*")
