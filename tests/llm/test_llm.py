@@ -332,3 +332,17 @@ def test_pipeline_drops_near_copies_by_five_word_shingles(spark, data):
     assert sorted(r["doc_id"] for r in near.representatives(docs, block=2).collect()) == kept
     twice = spark.createDataFrame([(7, "one two three four five six"), (7, "another text of quite other words")], "doc_id long, text string")
     assert near.representatives(twice).count() == 2
+
+
+def test_toxicity_fit_outlasts_the_word_cache(monkeypatch):
+    """More distinct words than a scorer remembers: the fit keeps what it found, and the model is the same."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("aeioulnrst", k=rng.randint(3, 8)))
+    texts = [" ".join([*[word() for _ in range(8)], *(["zorglub", f"muffluk{word()}"] if k % 4 == 0 else [])]) for k in range(200)]
+    labels = [int(k % 4 == 0) for k in range(200)]
+    want = toxicity.fit(texts, labels)
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 3)
+    got = toxicity.fit(texts, labels)
+    assert want.landmarks is not None and got.landmarks.words == want.landmarks.words
+    assert np.allclose(got.weights, want.weights) and np.allclose([got.bias, got.slope, got.shift], [want.bias, want.slope, want.shift])
+    assert toxicity.Scorer(got)(texts) == pytest.approx(toxicity.Scorer(want)(texts))

@@ -290,10 +290,13 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost: f
     root = axes @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ axes.T
     model = Model(marks, np.zeros(len(marks.words)), 0.0, 1.0, 0.0)
     scorer = Scorer(model)
-    found = [scorer.words([t])[0] for t in texts]
+    found, similar = [], {}  # the scorer forgets, so what counts is kept here
+    for t in texts:
+        found.append(scorer.words([t])[0])
+        similar.update((w, scorer.hits[w]) for w in found[-1] if w not in similar)
     place = {w: k + 1 for k, w in enumerate(sorted({w for ws in found for w in ws}))}
     # one row a distinct word, row 0 for a document without any
-    rows = np.stack([np.zeros(len(marks.words)), *[scorer.hits[w] @ root for w in place]])
+    rows = np.stack([np.zeros(len(marks.words)), *[similar[w] @ root for w in place]])
     bags = [np.array([place[w] for w in ws] or [0]) for ws in found]
     times = Counter(int(k) for bag, label in zip(bags, labels, strict=True) if not label for k in bag)
     negative = np.array(sorted(times))
