@@ -24,3 +24,12 @@ def test_query_matches_oracle(spark, data, con, name):
 def test_query_runs(spark, data, name):
     assert registry.QUERIES[name](spark, data).columns
     registry.QUERIES[name](spark, data).limit(5).collect()
+
+
+def test_sinks_and_folds_take_the_whole_table(spark, data):
+    from tidepanel.plans import views as v
+
+    run = lambda name: registry.QUERIES[name](spark, data)
+    assert run("publish_json").count() == v.bars_w(spark, data).count()
+    assert sum(r["n_rows"] for r in run("repartition_layout").collect()) == v.bars_d(spark, data).count()
+    assert sorted(r["fold"] for r in run("walk_forward_ic").collect()) == [0, 1, 2, 3, 4]

@@ -391,5 +391,8 @@ def walk_forward_ic(spark: S, d: str) -> D:
     from ..operators.learning import walk_forward
 
     p = v.panel_w(spark, d).where("vol is not null")
-    out = walk_forward(p, ["score", "vol"], "ret", [("1999-01-01", "2000-01-01"), ("2000-01-01", "2001-01-01")], embargo_days=28)
+    c = v.calendar_w(spark, d)
+    tests = lab.expanding_folds(c, 5, 4).where("role = 'test'").join(c, "idx").groupBy("fold").agg(F.min("session").alias("start"), F.date_add(F.max("session"), 1).alias("end"))
+    spans = [(str(r["start"]), str(r["end"])) for r in tests.orderBy("fold").collect()]  # one row a fold
+    out = walk_forward(p, ["score", "vol"], "ret", spans, embargo_days=28)
     return ev.rank_ic(out, "prediction", "ret", ["fold", "session"]).groupBy("fold").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("n_dates"))

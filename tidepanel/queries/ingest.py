@@ -155,7 +155,7 @@ def replace_date(spark: S, d: str) -> D:
 
 @query("publish_json")
 def publish_json(spark: S, d: str) -> D:
-    b = v.bars_w(spark, d).where("session >= '2001-10-01'")
+    b = v.bars_w(spark, d)
     keyed = b.select(F.col("symbol").cast("string").alias("key"), F.to_json(F.struct("symbol", "session", "close", "volume")).alias("value"))
     path = new_path(spark, "publish")
     keyed.write.json(path)
@@ -214,7 +214,7 @@ def schema_evolution(spark: S, d: str) -> D:
 @query("repartition_layout")
 def repartition_layout(spark: S, d: str) -> D:
     path = new_path(spark, "layout")
-    b = v.bars_d(spark, d).where("trade_date >= '2001-09-01'").withColumn("month", F.date_format("trade_date", "yyyy-MM"))
+    b = v.bars_d(spark, d).withColumn("month", F.date_format("trade_date", "yyyy-MM"))
     b.repartition("month").write.partitionBy("month").parquet(f"{path}/month")
     spark.read.parquet(f"{path}/month").withColumn("day", F.col("trade_date")).repartition("day").write.partitionBy("day").parquet(f"{path}/day")
     return spark.read.parquet(f"{path}/day").groupBy("day").agg(F.count("*").alias("n_rows"))
