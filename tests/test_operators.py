@@ -152,3 +152,15 @@ def test_entry_without_text_operators(data):
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0], timeout=120).returncode == 0
 
 
+
+
+def test_latest_state_is_kept_over_runs(spark, tmp_path):
+    from tidepanel.streaming.drain import latest_state
+
+    schema, at = "k long, t long, x string", [f"file://{tmp_path}/{n}" for n in ("in", "store", "check")]
+    rows = lambda path: {tuple(r) for r in spark.read.parquet(path).collect()}
+    for part in ([(1, 1, "a"), (2, 1, "b")], [(2, 2, "c"), (3, 1, "d")], []):
+        if part:
+            spark.createDataFrame(part, schema).write.mode("append").json(at[0])
+        out = latest_state(spark, at[0], spark.createDataFrame([], schema).schema, "k", "t", at[1], at[2])
+        assert rows(out) == ({(1, 1, "a"), (2, 1, "b")} if part and part[0][0] == 1 else {(1, 1, "a"), (2, 2, "c"), (3, 1, "d")})

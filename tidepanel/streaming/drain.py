@@ -22,20 +22,28 @@ def drain_json(spark: SparkSession, source: str, schema: StructType, judge: Call
     stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def latest_state(spark: SparkSession, source: str, schema: StructType, key: str, order: str, store: str, checkpoint: str) -> str:
+def latest_state(spark: SparkSession, source: str, schema: StructType, key: str, order: str, store: str, checkpoint: str) -> str | None:
     """Keep the newest row of each key of a JSON stream as a table; returns the folder of its newest version."""
     from pyspark.sql import functions as F
 
     stream = spark.readStream.schema(schema).json(source)
-    newest = {"path": None}
+
+    def newest(below: int | None = None) -> str | None:
+        """Folder of the newest whole version in the store, of those below a number."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(store)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/_SUCCESS"))]
+        found = [n for n in found if below is None or n < below]
+        return f"{store}/version={max(found)}" if found else None
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(newest["path"])) if newest["path"] else batch
+        before = newest(number)
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(before)) if before else batch
         cols = [c for c in rows.columns if c != key]
         best = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(order, *[c for c in cols if c != order])).alias("s")).select(key, "s.*").select(*batch.columns)
         path = f"{store}/version={number}"
         best.write.mode("overwrite").parquet(path)
-        newest["path"] = path
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return newest["path"]
+    return newest()
