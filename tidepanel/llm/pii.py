@@ -7,6 +7,7 @@ validation is passed over as a whole.
 
 Kinds, in this order: email, ip, card, phone (the base), and url, iban, account. Offsets are code points, ends exclusive.
 Null texts count as empty and have no spans. Repeated rows are searched each. An empty table gives no rows. Texts are searched whole.
+Spans of different kinds may overlap; redaction replaces spans that overlap as one, under the kind of the first of them.
 """
 
 from __future__ import annotations
@@ -54,6 +55,12 @@ def anchors():
     return found
 
 
+def octet(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    digits = digits.lstrip("0") or "0"
+    return len(digits) <= 3 and int(digits) <= 255
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -89,7 +96,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
         elif kind == "ip":
             if at >= past["ip"] and (m := IP.match(text, _start(text, at, past["ip"], DIGITS))):
                 past["ip"] = m.end()
-                if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+                if all(map(octet, m[0].split("."))):
                     spans["ip"].append(m.span())
         elif kind == "email":
             if at >= past["email"] and (first := _start(text, at, past["email"], LOCAL)) < at and (m := DOMAIN.match(text, at)):
