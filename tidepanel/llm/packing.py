@@ -28,8 +28,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Bits of sequence_id for the sequences of one partition.
 PART_BITS = 38
 
-#: Distinct words whose ids a task keeps.
-CACHE_WORDS = 600_000
+#: Distinct words whose ids a Python worker keeps, over the tasks that it runs.
+CACHE_WORDS = 800_000
 
 
 @functools.lru_cache(2)
@@ -44,48 +44,62 @@ _LETTERS, _DIGITS, _SPACE = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^{_SPACE}{_LETTERS}{_DIGITS}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+class _Known(dict):
+    """What `make` gives for each key, made at the first look."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = out = self.make(key)
+        return out
+
+
 class Ids:
     """Token ids of texts, equal to the library's over whole texts. Its pre-tokenizer attaches one blank to the word after it, so a
     text without runs of blanks may be cut at each blank; each distinct piece is then looked at once, and its words go to the
     library's model. Other texts, and pieces with characters from U+0250 on, go through the library as they are."""
 
     def __init__(self, path: str):
-        self.lib, self.known, self.words = _tokenizer(path), {}, {}
+        self.lib = _tokenizer(path)
+        self.known, self.words = _Known(lambda w: self.piece(" " + w)), _Known(self.word)
         self.model, self.special = self.lib.model, [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.shown = {k: ord(c) for k, c in enumerate(byte_symbols())}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [None if "  " in t or t.endswith(" ") or any(s in t for s in self.special) else t.split(" ") for t in texts]
         for kept in (self.known, self.words):
             if len(kept) > CACHE_WORDS:
                 kept.clear()
-        new: set[str] = set()
-        for ws in cut:
-            if ws is not None:
-                new.update(ws[1:])
-        new -= self.known.keys()
-        self.known.update({w: self.piece(" " + w) for w in new})
-        whole = iter(self.library([t for t, ws in zip(texts, cut, strict=True) if ws is None]))
-        get = self.known.__getitem__
-        return [next(whole) if ws is None else self.piece(ws[0]) + b"".join(map(get, ws[1:])) for ws in cut]
+        whole = [k for k, t in enumerate(texts) if "  " in t or t.endswith(" ") or any(s in t for s in self.special)]
+        out = dict(zip(whole, self.library([texts[k] for k in whole]), strict=True))
+        return [out[k] if k in out else self.cut(t) for k, t in enumerate(texts)]
+
+    def cut(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        return b"".join([self.piece(first), *map(self.known.__getitem__, rest)])
 
     def piece(self, piece: str) -> bytes:
-        if piece and max(piece) >= "\u0250":
+        if not piece.isascii() and max(piece) >= "\u0250":
             return self.library([piece])[0]
-        out = []
-        for w in WORDS.findall(piece):
-            ids = self.words.get(w)
-            if ids is None:
-                mapped = w.encode().decode("latin-1").translate(self.shown)
-                ids = self.words[w] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
+        if piece[1:].isalpha() and piece[0] == " ":
+            return self.word(piece)
+        return b"".join(map(self.words.__getitem__, WORDS.findall(piece)))
+
+    def word(self, word: str) -> bytes:
+        mapped = word.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
 
+@functools.lru_cache(1)
+def _ids(path: str) -> Ids:
+    """One for all tasks of a Python worker: what one task looked up, the next ones know."""
+    return Ids(path)
+
+
 def cost(length, linear: float, quadratic: float):
     return linear * length + quadratic * length * length
 
@@ -131,7 +145,7 @@ def pack_documents(
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. block_tokens: tokens that are packed together."""
 
     def run(batches):
-        ids, made = Ids(tokenizer), TaskContext.get().partitionId() << PART_BITS
+        ids, made = _ids(tokenizer), TaskContext.get().partitionId() << PART_BITS
         block: list[tuple[int | None, bytes]] = []
         size = 0
 
