@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
-from tidepanel.llm import bpe, chat, exact_dedup, near, packing, pii, quality, queries, sharding, simhash, substring, toxicity
+from tidepanel.llm import bpe, chat, exact_dedup, packing, pii, quality, queries, sharding, simhash, substring, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "one two three four five six seven eight nine ten"), (4, "one two three four five six seven eight nine ten"), (None, "no id"), (5, "é " * 4000), (6, "word " * 30)]
@@ -72,17 +72,19 @@ def test_exact_dedup_keeps_texts_apart_when_digests_collide(spark):
     assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in out} == {(1, 1, 2, True), (3, 1, 2, False), (2, 2, 1, True), (4, 4, 2, True), (5, 4, 2, False)}
 
 
-def test_stream_state_grows_with_arrivals(spark, tmp_path):
-    """A second run with the same checkpoint sees new files alone and knows the digests of the first."""
-    at, log = f"file://{tmp_path}/in", None
-    schema = "digest string, key struct<none:boolean,id:long>, at long, file string"
-    one = spark.createDataFrame([("x", (False, 7), 0, "f"), ("y", (False, 9), 1, "f")], schema)
-    two = spark.createDataFrame([("x", (False, 3), 2, "g")], schema)
-    for part in (one, two):
-        part.write.mode("append").parquet(at)
-        log = exact_dedup.first_seen(spark, at, one.schema, f"file://{tmp_path}/check")
-    state = spark.read.parquet(log).groupBy("digest").agg(F.min("first.key.id").alias("id"), F.max("n").alias("n"))
-    assert {(r["digest"], r["id"], r["n"]) for r in state.collect()} == {("x", 3, 2), ("y", 9, 1)}
+def test_later_arrivals_meet_earlier_ones(spark, tmp_path):
+    """Calls with one store: each sees what came before, its bytes too; without new rows nothing changes."""
+    store = f"file://{tmp_path}/store"
+    table = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda d, digest=exact_dedup.sha256: {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.deduplicate(d, digest=digest, store=store).select("row.doc_id", "keep_id", "group_size", "kept").collect()}
+    assert run(table((7, "x y"), (9, "z"))) == {(7, 7, 1, True), (9, 9, 1, True)}
+    assert run(table((8, "x  y"), (3, "z"))) == {(8, 7, 2, False), (3, 3, 2, True)}
+    assert run(table()) == set()
+    assert run(table((1, "new"), (10, "z"))) == {(1, 1, 1, True), (10, 3, 3, False)}
+    assert exact_dedup.kept_documents(table((11, "new"), (12, "newer")), store=store).collect() == [(12, "newer")]
+    other = f"file://{tmp_path}/other"
+    same = lambda d: {(r["doc_id"], r["keep_id"]) for r in exact_dedup.deduplicate(d, digest=lambda t: F.lit("same"), store=other).select("row.doc_id", "keep_id").collect()}
+    assert same(table((5, "a"))) == {(5, 5)} and same(table((6, "b"), (4, "a"))) == {(6, 6), (4, 4)}
 
 
 def brute_fp(text):
@@ -299,9 +301,8 @@ def test_pipeline_stages_by_brute_force(spark, data, docs, texts):
         firsts.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i]), i)
     once = stage["exact_dedup"](spark, kept, data)
     assert ids(once) == set(firsts.values())
-    comp = brute_components({i: brute_fp(texts[i]) for i in firsts.values()})
     near = stage["simhash_dedup"](spark, once, data)
-    assert ids(near) == {c for c in comp.values()}
+    assert ids(near) == set(brute_near({i: texts[i] for i in firsts.values()}).values())
     clean = {r["doc_id"]: r for r in stage["pii_redaction"](spark, near, data).collect()}
     for i, r in clean.items():
         assert r["text"] == pii.redacted(texts[i], pii.find(texts[i])) and r["n_chars"] == len(r["text"])
@@ -342,9 +343,9 @@ def test_pipeline_drops_near_copies_by_five_word_shingles(spark, data):
     docs = spark.createDataFrame([*texts.items(), (None, texts[0] + " end")], "doc_id long, text string").repartition(3)
     kept = sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, data).collect())
     assert kept == sorted(set(want.values())) and len(kept) < len(want)
-    assert sorted(r["doc_id"] for r in near.representatives(docs, block=2).collect()) == kept
+    assert sorted(r["doc_id"] for r in simhash.representatives(docs, block=2).collect()) == kept
     twice = spark.createDataFrame([(7, "one two three four five six"), (7, "another text of quite other words")], "doc_id long, text string")
-    assert near.representatives(twice).count() == 2
+    assert simhash.representatives(twice).count() == 2
 
 
 def test_toxicity_fit_outlasts_the_word_cache(monkeypatch):
@@ -359,3 +360,41 @@ def test_toxicity_fit_outlasts_the_word_cache(monkeypatch):
     assert want.landmarks is not None and got.landmarks.words == want.landmarks.words
     assert np.allclose(got.weights, want.weights) and np.allclose([got.bias, got.slope, got.shift], [want.bias, want.slope, want.shift])
     assert toxicity.Scorer(got)(texts) == pytest.approx(toxicity.Scorer(want)(texts))
+
+
+def test_search_opens_few_nodes_at_once_and_loses_nothing(monkeypatch):
+    rng = np.random.default_rng(6)
+    centre = rng.integers(0, 1 << 63, 40, np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (3, 1200)).astype(np.uint64)
+    fps = np.repeat(centre, 30) ^ flips[0] ^ flips[1] ^ flips[2]
+    rank = fps.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(k)
+    fps = fps[np.argsort(rank)]
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps) <= 4), strict=True)}
+    monkeypatch.setattr(simhash, "OPEN", 7)
+    got = [p for q, leaf in simhash._search(simhash._levels(fps), fps, 4, chunk=100) for p in zip(q.tolist(), leaf.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_views_meet_pairs_at_the_limit():
+    """Of planted pairs with a Jaccard of 0.8 or more at least 0.95 meet in a view, whatever the number of entries."""
+    rng, pairs = random.Random(1), []
+    while len(pairs) < 300:
+        n = int(2 ** rng.uniform(4, 11))
+        base = [f"w{rng.randrange(20000)}" for _ in range(n)]
+        copy = list(base)
+        for _ in range(max(1, int(n * rng.uniform(0.002, 0.05)))):
+            copy[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+        a, b = (simhash.shingle_set(" ".join(x).encode()) for x in (base, copy))
+        both = len(np.intersect1d(a, b))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            pairs.append((simhash.wide_fingerprint(a), simhash.wide_fingerprint(b)))
+    left, right = ([np.array([p[side][k] for p in pairs]) for k in range(simhash.WIDE // 64)] for side in (0, 1))
+    for n in (1000, 100_000, 10_000_000):
+        seen = simhash.views(n)
+        words = [simhash.view_words(lanes, seen) for lanes in (left, right)]
+        near = (np.bitwise_count(words[0] ^ words[1]) <= simhash.VIEW_LIMIT).any(axis=0)
+        near &= sum(np.bitwise_count(a ^ b).astype(int) for a, b in zip(left, right, strict=True)) <= simhash.WIDE_LIMIT
+        assert near.mean() >= 0.95
+        assert np.bitwise_count(words[0][0] ^ words[0][1]).min() > simhash.VIEW_LIMIT
