@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import exact_dedup, near, packing, pii, quality
+from tidepanel.llm import exact_dedup, packing, pii, quality, simhash
 from tidepanel.llm.queries import tokenizer_path
 from tidepanel.llm.shared import written
 
@@ -21,8 +21,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one stays."""
-    return near.representatives(docs)
+    """Of each group of texts with a Jaccard of 0.8 or more by five-word shingles one stays."""
+    return simhash.representatives(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
