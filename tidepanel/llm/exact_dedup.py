@@ -1,12 +1,16 @@
 """Exact dedup by a stateful stream.
 
-Documents arrive as a stream of (digest, identifier, locator). Keyed state on disk (RocksDB, checkpointed in the shared folder,
-without watermark or expiry) keeps for each digest the least identifier, where its content lies, and how many came. Rows are
-pre-aggregated before they are dealt to the state, so a text that a third of all rows have is one row a task. A digest that more
-than one document has is a hit: its full bytes are compared, and texts that differ under one digest are told apart by content.
+Documents arrive in a store of files that never change. A stream over it keeps state on disk (RocksDB, checkpointed in the store,
+without watermark or expiry): for each digest the least identifier, the locator of its content (file and row in the store) and how
+many came. Rows are pre-aggregated before they are dealt to the state, so a text that a third of all rows have is one row a task.
+A digest that came more than once is a hit: the full bytes of its rows are read from the store and compared, and texts that differ
+under one digest are told apart by content. Rows of other digests are passed over where they lie: their bytes are not shuffled.
+
+With a store of the caller's own, later calls know all earlier arrivals; without one, each call has a store to itself.
 
 Texts are equal when identical after each run of white space becomes one space; null counts as empty. The row with the least
-identifier stays (null identifiers last; of repeated rows with one identifier, one). An empty table gives no rows.
+identifier stays (null identifiers last; of repeated rows with one identifier, one). An empty table gives no rows. Texts are taken
+whole, one row each, of any length.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, drop, new_path, written
+from .shared import SPACE, exists, new_path, written
 
 #: State on disk; files grow as they fill, so a partition with little state takes little disk.
 STORE = {
@@ -24,6 +28,13 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
+KEY = "struct<none:boolean,id:{}>"
+STATE = "digest string, first struct<key:{key},file:string,at:bigint>, n bigint"
+
+#: Bits of the filter that every task gets of the digests that came more than once (64 a row, so 262,144 rows at most), and the share
+#: of all rows from which one digest is joined by broadcast: fewer than HOT digests can have that many.
+FILTER_BITS, HOT = 1 << 24, 10_000
+
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE, " ")
@@ -33,81 +44,83 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def first_seen(spark: SparkSession, arrivals: str, schema, checkpoint: str, max_files: int | None = None) -> str:
-    """Run the stream over what has arrived in the folder `arrivals` since the last run with this checkpoint, and return the
-    folder of its change log: digest, first (key, at, file), n, a row for each digest that a batch changed. n only grows and
-    first only shrinks, so the newest state of a digest is max(n), min(first), also where a batch was written twice."""
-    log = f"{checkpoint}/log"
-    stream = spark.readStream.schema(schema)
+def first_seen(spark: SparkSession, store: str, key_type: str, max_files: int | None = None) -> str:
+    """Run the stream over what has come to `store`/arrivals since its last run, and return the folder of its change log: digest,
+    first (key, file, at), n, a row for each digest that a batch changed. n only grows and first only shrinks, so the newest state of a
+    digest is max(n), min(first), also where a batch was written twice. The state's settings hold in a session of the stream's own."""
+    log, own = f"{store}/log", spark.newSession()
+    for k, v in {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"), **STORE}.items():
+        own.conf.set(k, v)
+    stream = own.readStream.schema(f"digest string, key {key_type}")
     if max_files:
         stream = stream.option("maxFilesPerTrigger", max_files)
-    state = stream.parquet(arrivals).groupBy("digest").agg(F.min(F.struct("key", "at", "file")).alias("first"), F.count("*").alias("n"))
+    came = stream.parquet(f"{store}/arrivals").select("digest", "key", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    state = came.groupBy("digest").agg(F.min(F.struct("key", "file", "at")).alias("first"), F.count("*").alias("n"))
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
-        spark.conf.set(k, v)
-    try:
-        query = state.writeStream.outputMode("update").option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).foreachBatch(save).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query = state.writeStream.outputMode("update").option("checkpointLocation", f"{store}/state").trigger(availableNow=True).foreachBatch(save).start()
+    query.awaitTermination()
     return log
 
 
-def _sort_key(doc_id: Column) -> Column:
-    """Orders identifiers with nulls last."""
-    return F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"))
-
-
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, max_files: int | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, max_files: int | None = None, store: str | None = None) -> DataFrame:
     """One row per row of docs: row (all its columns as a struct), keep_id, group_size, kept, text_sha256.
 
-    The rows are written once with their digest (arrivals): the stream reads the narrow columns, hits read the content.
-    digest: any function of the text; texts stay apart even where it collides."""
-    _, placed = _placed(docs, doc_id, text, digest, max_files)
+    digest: any function of the text; texts stay apart even where it collides. store: a shared folder that keeps arrivals and state
+    for later calls (of tables with the same columns); docs are then judged among all that came before, too."""
+    _, placed = _placed(docs, doc_id, text, digest, max_files, store)
     sha = F.col("digest") if digest is sha256 else sha256(normalised(F.col("row")[text]))
     return placed.select("row", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", sha.alias("text_sha256"))
 
 
-def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without copies; same columns. What stays is named by arrival, one row each, so no copy's text is shuffled to its hot digest."""
-    arrived, placed = _placed(docs, doc_id, text, sha256, None)
-    return arrived.select("at", "row").join(placed.where("kept").select("at"), "at", "left_semi").select("row.*")
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", store: str | None = None) -> DataFrame:
+    """docs without copies; same columns. What goes is named by its locator, one narrow row each."""
+    arrived, placed = _placed(docs, doc_id, text, sha256, None, store)
+    gone, _ = written(placed.where(~F.col("kept")).select("file", "at"), "dedup-gone")
+    return arrived.join(gone, ["file", "at"], "left_anti").select("row.*")
 
 
-def _placed(docs: DataFrame, doc_id: str, text: str, digest: Callable[[Column], Column], max_files: int | None) -> tuple[DataFrame, DataFrame]:
-    """(arrivals, the same with keep_id, kept and group_size)."""
+def _placed(docs: DataFrame, doc_id: str, text: str, digest: Callable[[Column], Column], max_files: int | None, store: str | None) -> tuple[DataFrame, DataFrame]:
+    """(arrivals of this call: row, digest, key, file, at; the same with keep_id, kept and group_size)."""
     spark = docs.sparkSession
-    body = normalised(F.col(text))
-    rows = docs.select(F.struct("*").alias("row"), _sort_key(F.col(doc_id)).alias("key"), F.monotonically_increasing_id().alias("at"), F.input_file_name().alias("file"), digest(body).alias("digest"))
-    arrived, arrived_at = written(rows, "arrivals")
-    narrow, narrow_at = written(arrived.select("digest", "key", "at", "file"), "arrivals-keys")
-    checkpoint = new_path(spark, "dedup-stream")
-    changes = narrow.groupBy("digest").agg(F.min(F.struct("key", "at", "file")).alias("first"), F.count("*").alias("n")).limit(0)
-    if not narrow.isEmpty():
-        log = first_seen(spark, narrow_at, narrow.schema, checkpoint, max_files)
-        changes = spark.read.schema(changes.schema).parquet(log)
-    state, state_at = written(changes.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n")), "dedup-state")
-    drop(spark, checkpoint, narrow_at)
-
-    # all bytes of what a digest stands for: equal texts become one row in each task before anything is shuffled, so a hit with the
-    # whole corpus behind it is no more than a row a task; a digest with two texts left is a collision
-    content = arrived.select("digest", normalised(F.col("row")[text]).alias("body"), "key", "at")
+    store = store or new_path(spark, "dedup-store")
+    call = new_path(spark, "call").rsplit("-", 1)[1]
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))  # nulls last
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), digest(normalised(F.col(text))).alias("digest"), F.lit(call).alias("call"))
+    rows.write.mode("append").parquet(f"{store}/arrivals")
+    key_type = KEY.format(docs.schema[doc_id].dataType.simpleString())
+    every = spark.read.schema(rows.schema).parquet(f"{store}/arrivals").select("row", "digest", "key", "call", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    arrived = every.where(F.col("call") == call).drop("call")
+    log = first_seen(spark, store, key_type, max_files)
+    changes = spark.read.schema(STATE.format(key=key_type)).parquet(log) if exists(spark, log) else spark.createDataFrame([], STATE.format(key=key_type))
+    state, _ = written(changes.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n")), "dedup-state")
+
+    # which digests are hits, as a filter of bounded size: it lets a few others through, and holds back no hit
+    place = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
+    hits = state.where("n > 1").select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(digest), {FILTER_BITS}) % 64))").alias("bit"))
+    words, _ = written(hits.groupBy("word").agg(F.bit_or("bit").alias("bits")), "dedup-filter")
+    seen = every.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(words), "word").where(F.expr(f"shiftrightunsigned(bits, int(pmod(xxhash64(digest), {FILTER_BITS}) % 64)) & 1 = 1"))
+    content = seen.select("digest", normalised(F.col("row")[text]).alias("body"), "key", "file", "at", "call")
+    # equal texts become one row in each task before anything is shuffled; a digest with two texts left is a collision
     apart, _ = written(content.select("digest", "body").distinct().groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "dedup-collisions")
-    placed = arrived.join(state, "digest").select("row", "key", "at", F.col("first.key.id").alias("keep_id"), (F.col("at") == F.col("first.at")).alias("kept"), F.col("n").alias("group_size"), "digest")
+
+    total = state.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(state.where(F.col("n") * HOT > total))  # fewer than HOT rows
+    common = arrived.join(hot, "digest")
+    rare = arrived.join(hot.select("digest"), "digest", "left_anti").join(state.where(F.col("n") * HOT <= total), "digest")
+    is_first = (F.col("at") == F.col("first.at")) & (F.col("file") == F.col("first.file"))
+    placed = common.unionByName(rare).select("row", "file", "at", F.col("first.key.id").alias("keep_id"), is_first.alias("kept"), F.col("n").alias("group_size"), "digest")
     if not apart.isEmpty():
         # one digest, several texts: their rows are grouped by content instead
         split = content.join(apart, "digest", "left_semi")
-        groups = split.groupBy("digest", "body").agg(F.min(F.struct("key", "at")).alias("own"), F.count("*").alias("own_n"))
-        mine = split.select("digest", "body", "at").join(groups, ["digest", "body"]).select("at", "own", "own_n")
-        placed = placed.join(mine, "at", "left").select(
-            "row", "key", "at",
+        groups = split.groupBy("digest", "body").agg(F.min(F.struct("key", "file", "at")).alias("own"), F.count("*").alias("own_n"))
+        mine = split.where(F.col("call") == call).select("digest", "body", "file", "at").join(groups, ["digest", "body"]).select("file", "at", "own", "own_n")
+        placed = placed.join(mine, ["file", "at"], "left").select(
+            "row", "file", "at",
             F.when(F.col("own").isNull(), F.col("keep_id")).otherwise(F.col("own.key.id")).alias("keep_id"),
-            F.coalesce(F.col("at") == F.col("own.at"), "kept").alias("kept"),
+            F.coalesce((F.col("at") == F.col("own.at")) & (F.col("file") == F.col("own.file")), "kept").alias("kept"),
             F.coalesce("own_n", "group_size").alias("group_size"),
             "digest",
         )

@@ -15,6 +15,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-shared-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -29,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tidepanel/{tag}-{uuid.uuid4().hex}"
+    """A folder that no other call has; `clear` deletes it once results are read."""
+    _made.append(f"{shared_dir(spark)}/tidepanel/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
@@ -40,14 +45,31 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = _folder(spark, path)
+    return system.exists(at)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables that no later step reads, and let Spark clear shuffle files that nothing refers to any more."""
     for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        at, system = _folder(spark, path)
+        system.delete(at, True)
+        if path in _made:
+            _made.remove(path)
     release(spark)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete every table that the operators of this process wrote and still hold. Results are lazy: call this once they have been read."""
+    drop(spark, *_made)
+
+
 def release(spark: SparkSession) -> None:
     gc.collect()
     spark._jvm.System.gc()
