@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from .shared import SPACE, exists, new_path, written
 
-#: State on disk; files grow as they fill, so a partition with little state takes little disk.
+#: State on disk; files grow as they fill, so a partition with little state takes little disk; all stores of an executor share its memory.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
 
 KEY = "struct<none:boolean,id:{}>"
