@@ -11,11 +11,12 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from tests.oracle import connect, same
 from tidepanel.llm import bpe, chat, exact_dedup, packing, pii, quality, queries, sharding, simhash, substring, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "one two three four five six seven eight nine ten"), (4, "one two three four five six seven eight nine ten"), (None, "no id"), (5, "é " * 4000), (6, "word " * 30)]
+EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "one two three four five six seven eight nine ten"), (4, "one two three four five six seven eight nine ten"), (None, "no id"), (5, "é " * 4000), (6, "word " * 30), (7, "ab" * 500_000), (8, "0" * 5000 + ".1.1.1 " + "x y " * 20_000)]
 DDL = "doc_id long, text string, kept string, shard string, keep_id string, fp string, row string, score string, `start` string"
 
 
@@ -45,8 +46,16 @@ def test_oracles(spark, data, name):
     same(queries.QUERIES[name](spark, data), connect(data), queries.ORACLES[name])
 
 
+def trained(seed=2):
+    """A model of three made-up insults, and a maker of texts with and without them."""
+    made, rng = ["zorglub", "krapfen", "muffluk"], random.Random(seed)
+    word = lambda: "".join(rng.choices("aeioulnrst", k=rng.randint(3, 8)))
+    make = lambda bad: ". ".join(" ".join([*[word() for _ in range(6)], *([rng.choice(made)] if bad and k == 1 else [])]) for k in range(3))
+    return toxicity.fit(*map(list, zip(*[(make(k % 4 == 0), int(k % 4 == 0)) for k in range(400)], strict=True))), make
+
+
 def test_every_operator_on_edges_and_empty_tables(edge, empty):
-    path = queries.tokenizer_path
+    path, model = queries.tokenizer_path, trained()[0]
     runs = {
         "exact": lambda d: exact_dedup.deduplicate(d).select("row.doc_id", "keep_id", "group_size", "kept"),
         "simhash": simhash.near_duplicates,
@@ -57,6 +66,7 @@ def test_every_operator_on_edges_and_empty_tables(edge, empty):
         "substring": substring.remove_repeats,
         "shard": sharding.shard_by_bytes,
         "toxicity": lambda d: toxicity.score(d, toxicity.fit([], [])),
+        "toxicity, fitted": lambda d: toxicity.score(d, model),
     }
     for name, run in runs.items():
         assert run(empty).count() == 0, name
@@ -215,12 +225,8 @@ def test_bpe_query_decodes_as_the_library(spark, data, texts):
 
 
 def test_toxicity_on_held_out_rows(spark, data):
-    made = ["zorglub", "krapfen", "muffluk"]
-    rng = random.Random(2)
-    word = lambda: "".join(rng.choices("aeioulnrst", k=rng.randint(3, 8)))
-    make = lambda bad: ". ".join(" ".join([*[word() for _ in range(6)], *([rng.choice(made)] if bad and k == 1 else [])]) for k in range(3))
-    train = [(make(k % 4 == 0), int(k % 4 == 0)) for k in range(400)]
-    score = toxicity.Scorer(toxicity.fit(*map(list, zip(*train, strict=True))))
+    model, make = trained()
+    score = toxicity.Scorer(model)
     clean, toxic = score([make(False) for _ in range(100)]), score([make(True) for _ in range(100)])
     assert min(toxic) > 0.3 > np.quantile(clean, 0.97)
     assert min(score(["nice zorgxlub day", "such a z o r g l u b here", "a krap*fen now"])) > 0.3
@@ -228,6 +234,52 @@ def test_toxicity_on_held_out_rows(spark, data):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
 
 
+def test_kernel_by_brute_force():
+    """Similarities of all words at once equal the kernel summed over all triples of places; long words, summed piece by piece, too."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("abcdeüß", k=n))
+
+    def vector(w):
+        code, out = toxicity._codes([w])[0].tolist(), Counter()
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + toxicity.SPAN)):
+                for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
+                    out[code[i], code[j], code[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def kernel(a, b):
+        dot = lambda u, v: sum(x * v[k] for k, x in u.items())
+        u, v = vector(a), vector(b)
+        return dot(u, v) / (dot(u, u) * dot(v, v)) ** 0.5 if u and v else 0.0
+
+    marks = ["^zorglub$", "^abcde$", *["^" + word(6) + "$" for _ in range(4)]]
+    words = [*marks, "^zorxglub$", "^abxcde$", "", "ab", "^abcdeabcde$", *["^" + word(rng.randint(3, 12)) + "$" for _ in range(300)]]
+    index, sim = toxicity.Landmarks(marks, 4)(words)
+    want = {k: [kernel(w, m) for m in marks] for k, w in enumerate(words)}
+    assert set(index.tolist()) == {k for k, x in want.items() if max(x[:4]) >= toxicity.NEAR}
+    for k, row in zip(index.tolist(), sim, strict=True):
+        assert row == pytest.approx(want[k])
+    long = "abcde" * 2000
+    assert toxicity.Landmarks(marks, 4)._long(long) == pytest.approx([kernel(long, m) for m in marks])
+
+
+def test_toxicity_quality_on_held_out_rows():
+    """At sf0.1, fitted as the query does; and the same model from the same rows."""
+    import pyarrow.parquet as pq
+
+    at = DATA.replace("sf0.001", "sf0.1")
+    texts = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{at}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    labels = {r["doc_id"]: int(r["toxic"]) for r in pq.read_table(f"{at}/labels.parquet").to_pylist() if r["toxic"] is not None and r["doc_id"] in texts}
+    held = {i for i in labels if zlib.crc32(str(i).encode()) % 4 == 2}
+    learn = [i for i in sorted(labels) if i not in held]
+    score = toxicity.Scorer(toxicity.fit([texts[i] for i in learn], [labels[i] for i in learn]))
+    got = {i: s for i, s in zip(sorted(held), score([texts[i] for i in sorted(held)]), strict=True)}
+    toxic, clean = [got[i] for i in held if labels[i]], [got[i] for i in held if not labels[i]]
+    found = sum(s >= 0.3 for s in toxic)
+    assert found / len(toxic) >= 0.88 and found / (found + sum(s >= 0.3 for s in clean)) >= 0.85
+    assert sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / len(toxic) / len(clean) >= 0.94
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

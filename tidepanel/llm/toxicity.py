@@ -3,15 +3,18 @@
 Words are compared by the subsequences of three letters that they share (the word's start and end count as letters); a subsequence
 of span s counts DECAY**s, so inserted letters and gaps lower the similarity instead of losing it. Case, punctuation inside words,
 common digit-for-letter swaps and letters spelt one by one are undone first. Nystrom features of a word are its similarities to all
-landmarks times the inverse square root of the landmarks' own kernel matrix; on them a linear SVM is trained. A sentence is as toxic
-as its worst word, a document as its worst sentence; a logistic curve turns that margin into the score.
-
-Labels are of documents, and their sentences inherit them: of a toxic document the most telling word of all sentences is the
-positive one, found again after each fit; all words of clean documents' sentences are negative.
-
-Landmarks are words and beginnings of words that toxic documents have more often than chance explains, and the clean words most like them. The model is fitted in the driver on at most
-MAX_ROWS labelled documents (those of the least hashes of their ids); all else runs in tasks. Null and empty texts have no sentence and get the score of
-one without a landmark's like. Without labelled rows of both kinds every score is the share of toxic ones, or 0. Repeated rows are scored each; an empty table gives no rows.
+landmarks, and a sentence has of each landmark the largest that its words reach, times the inverse square root of the landmarks' own
+kernel matrix. On sentences a linear SVM is trained. A document is as toxic as its worst sentence; a logistic curve turns that
+sentence's margin into the score. A word whose similarity to every telling landmark is below NEAR adds nothing.
+
+Labels are of documents, and their sentences inherit them: of a toxic document the most telling sentence is the positive row, found
+again after each fit; every sentence of clean documents is a negative one (alike ones of a document count once).
+
+Landmarks are words and beginnings of words that toxic documents have more often than chance explains, and the clean words most like
+them. The model is fitted in the driver on at most MAX_ROWS labelled documents of MAX_BYTES in all (those of the least hashes of their
+ids); all else runs in tasks. Of repeated ids the least text is learned from. Null and empty texts have no sentence and get the score of one without a
+landmark's like. Without labelled rows of both kinds every score is the share of toxic ones, or 0. Repeated rows are scored each; an
+empty table gives no rows. Texts and words are read whole, of any length: a word's subsequences are summed up piece by piece.
 """
 
 from __future__ import annotations
@@ -23,15 +26,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents that the model is fitted on, at most.
-MAX_ROWS = 6000
+#: Labelled documents that the model is fitted on, and bytes of their texts, at most.
+MAX_ROWS, MAX_BYTES = 6000, 64 << 20
 #: Landmarks of either kind, no two of the telling ones more alike than APART; similarity from which a word counts; decay a letter of span; longest span.
 LANDMARKS, APART, NEAR, DECAY, SPAN = 64, 0.6, 0.5, 0.7, 6
-#: Words that a task remembers.
-CACHE_WORDS = 400_000
+#: Words that a task remembers; words and letters that are compared at once; letters from which a word is summed up by itself.
+CACHE_WORDS, BATCH, LETTERS, LONG = 400_000, 20_000, 400_000, 4096
 
 SENTENCE = re.compile(r"[.!?\n|]+\s*")
 SPELT = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
@@ -126,33 +130,54 @@ class Landmarks:
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(indices of words that count, their similarities)."""
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        index, sim = self._short([words[k] for k in short])
+        index = np.array(short, np.int64)[index]
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                one = self._long(w)
+                if one[: self.toxic].max() >= NEAR:
+                    index, sim = np.append(index, k), np.vstack([sim, one])
+        return index, sim
+
+    def _long(self, word: str) -> np.ndarray:
+        """Similarities of one word; its subsequences are counted over pieces, each of those that start in it."""
+        full = np.zeros(32768)
+        for at in range(0, len(word), LONG):
+            code, _ = _codes([word[at : at + LONG + SPAN - 1]])
+            for b in range(2, SPAN):
+                n = min(LONG, len(code) - b)
+                for a in range(1, b):
+                    if n > 0:
+                        full += np.bincount(code[:n] * 1024 + code[a : a + n] * 32 + code[b : b + n], minlength=32768) * DECAY ** (b + 1)
+        keys = np.flatnonzero(self.row >= 0)
+        return full[keys] @ self.table[self.row[keys]] / max(np.sqrt(full @ full), 1e-12)
+
+    def _short(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64), np.zeros((0, len(self.words)))
         found = []
         for word, key, weight in _features(words):
             row = self.row[key]
             hit = row >= 0
             found.append((word[hit], row[hit], np.full(int(hit.sum()), weight)))
         if not found:
-            return np.zeros(0, np.int64), np.zeros((0, len(self.words)))
+            return none
         word, row, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(word, kind="stable")
-        word, row, weight = word[order], row[order], weight[order]
+        if not len(word):
+            return none
         # what a word could reach if all its shared weight lay on one landmark: most words end here
-        at = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros((0, len(self.words)))
-        own = word[at]
-        best = self.table[:, : self.toxic].max(axis=1)
-        bound = np.add.reduceat(best[row] * weight, at)
-        least = self.least_norm[np.minimum([len(words[w]) for w in own], 63)]
-        may = bound >= NEAR * least
-        keep = np.repeat(may, np.diff(np.append(at, len(word))))
-        own = own[may]
-        if not len(own):
-            return own, np.zeros((0, len(self.words)))
-        word, row, weight = word[keep], row[keep], weight[keep]
+        best, least = self.table[:, : self.toxic].max(axis=1), self.least_norm[np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 63)]
+        may = np.bincount(word, weights=best[row] * weight, minlength=len(words)) >= NEAR * least
+        keep = may[word]
+        # a word's weights of one subsequence add up first, so a word has at most as many rows as the landmarks have subsequences
+        pair, place = np.unique(word[keep] * len(self.table) + row[keep], return_inverse=True)
+        if not len(pair):
+            return none
+        weight, word, row = np.bincount(place, weights=weight[keep]), pair // len(self.table), pair % len(self.table)
         at = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        raw = np.add.reduceat(self.table[row] * weight[:, None], at, axis=0)
-        may = raw[:, : self.toxic].max(axis=1) >= NEAR * self.least_norm[np.minimum([len(words[w]) for w in own], 63)]
+        own, ends = word[at], np.append(at, len(word))
+        raw = np.concatenate([np.add.reduceat(self.table[row[a:b]] * weight[a:b, None], at[k : k + 32] - a, axis=0) for k in range(0, len(own), 32) for a, b in [(ends[k], ends[min(k + 32, len(own))])]])
+        may = raw[:, : self.toxic].max(axis=1) >= NEAR * least[own]
         own, raw = own[may], raw[may]
         norm = np.array([_norm(v) for v in _vectors([words[w] for w in own])]).reshape(-1, 1)
         sim = raw / np.maximum(norm, 1e-12)
@@ -162,7 +187,7 @@ class Landmarks:
 
 @dataclass
 class Model:
-    """margin of a word = similarities @ weights + bias; score of a document = logistic(slope * worst margin + shift)."""
+    """margin of a sentence = pooled similarities @ weights + bias; score of a document = logistic(slope * worst margin + shift)."""
 
     landmarks: Landmarks | None
     weights: np.ndarray
@@ -186,23 +211,33 @@ class Scorer:
             self.seen, self.hits = set(), {}
         new = list(tokens - self.seen)
         self.seen.update(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            index, sim = self.model.landmarks([marked(t) for t in part])
-            for k, s in zip(index.tolist(), sim, strict=True):
-                self.hits[part[k]] = s
-
-    def words(self, texts: list[str]) -> list[list[str]]:
-        """The distinct tokens of each text's sentences that count."""
-        cut = [set(SENTENCE.sub(" ", joined(t)).split()) for t in texts]
+        part, size = [], 0
+        for k, t in enumerate(new):
+            part.append(t)
+            size += len(t)
+            if len(part) == BATCH or size > LETTERS or k + 1 == len(new):
+                index, sim = self.model.landmarks([marked(t) for t in part])
+                self.hits.update((part[k], s) for k, s in zip(index.tolist(), sim, strict=True))
+                part, size = [], 0
+
+    def sentences(self, texts: list[str]) -> list[set[tuple[str, ...]]]:
+        """Of each text, the words that count in each of its sentences; () stands for sentences without any."""
+        whole = [joined(t) for t in texts]
+        cut = [set(SENTENCE.sub(" ", t).split()) for t in whole]
         self.learn(set().union(*cut) if cut else set())
-        return [sorted(ws & self.hits.keys()) for ws in cut]
+        known = self.hits.keys()
+        return [{tuple(sorted(known & set(s.split()))) for s in SENTENCE.split(t)} if ws & known else {()} for t, ws in zip(whole, cut, strict=True)]
 
     def __call__(self, texts: list[str]) -> list[float]:
         m = self.model
         if m.landmarks is None:
             return [m.score(0.0)] * len(texts)
-        return [m.score(max([m.bias, *[float(self.hits[w] @ m.weights) + m.bias for w in ws]])) for ws in self.words(texts)]
+        return [m.score(max([m.bias, *[float(pooled([self.hits[w] for w in s]) @ m.weights) + m.bias for s in found if s]])) for found in self.sentences(texts)]
+
+
+def pooled(similarities: list[np.ndarray]) -> np.ndarray:
+    """Of each landmark the largest similarity that words of a sentence have."""
+    return np.max(similarities, axis=0)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
@@ -253,7 +288,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost: f
     toxic, clean, clean_words, places = Counter(), Counter(), set(), set()
     for t in (t for t, label in zip(texts, labels, strict=True) if label):
         tokens = [letters(w) for w in SENTENCE.sub(" ", joined(t)).split()]
-        new = {(hash(p), w) for p, w in zip(["", *tokens], tokens, strict=False)} - places
+        new = {(xxhash.xxh64_intdigest(p), w) for p, w in zip(["", *tokens], tokens, strict=False)} - places
         places |= new
         toxic.update({c for _, w in new for c in candidates(w)})
     tried = len(toxic)
@@ -292,12 +327,12 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost: f
     scorer = Scorer(model)
     found, similar = [], {}  # the scorer forgets, so what counts is kept here
     for t in texts:
-        found.append(scorer.words([t])[0])
-        similar.update((w, scorer.hits[w]) for w in found[-1] if w not in similar)
-    place = {w: k + 1 for k, w in enumerate(sorted({w for ws in found for w in ws}))}
-    # one row a distinct word, row 0 for a document without any
-    rows = np.stack([np.zeros(len(marks.words)), *[similar[w] @ root for w in place]])
-    bags = [np.array([place[w] for w in ws] or [0]) for ws in found]
+        found.append(scorer.sentences([t])[0])
+        similar.update((w, scorer.hits[w]) for s in found[-1] for w in s if w not in similar)
+    # one row a distinct sentence, as far as its words count; row 0 for one without any
+    place = {s: k + 1 for k, s in enumerate(sorted({s for ss in found for s in ss if s}))} | {(): 0}
+    rows = np.stack([np.zeros(len(marks.words)), *[pooled([similar[w] for w in s]) @ root for s in place if s]])
+    bags = [np.array(sorted(place[s] for s in ss)) for ss in found]
     times = Counter(int(k) for bag, label in zip(bags, labels, strict=True) if not label for k in bag)
     negative = np.array(sorted(times))
     many = np.array([times[k] for k in negative.tolist()], float)
@@ -308,16 +343,19 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost: f
         t = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         weight = np.concatenate([np.full(len(positive), 0.5 / len(positive)), many * 0.5 / many.sum()]) * (len(positive) + many.sum())
         w = _svm(rows[np.concatenate([positive, negative])], t, weight, cost)
-    margins = np.maximum(rows @ w[:-1], 0.0) + w[-1]
+    margins = np.maximum(rows @ w[:-1], 0.0) + w[-1]  # as a scorer has it: no sentence lies below one without any
     margin = np.array([margins[bag].max() for bag in bags])
     return Model(marks, root @ w[:-1], float(w[-1]), *_logistic(margin, y))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most max_rows labelled documents. docs: doc_id, text; labels: doc_id, toxic."""
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most max_rows labelled documents, and of their first ones that have max_bytes in all.
+    docs: doc_id, text; labels: doc_id, toxic."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so few rows that every task may have them
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over at most max_rows rows
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(before)).where(F.col("bytes") <= max_bytes).orderBy("doc_id").collect()
     return [r["text"] for r in rows], [int(r["toxic"] != 0) for r in rows]
 
 
