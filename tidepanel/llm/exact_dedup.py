@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, exists, new_path, written
+from .shared import SPACE, exists, hot_join, new_path, written
 
 #: State on disk; files grow as they fill, so a partition with little state takes little disk; all stores of an executor share its memory.
 STORE = {
@@ -33,9 +33,8 @@ STORE = {
 KEY = "struct<none:boolean,id:{}>"
 STATE = "digest string, first struct<key:{key},file:string,at:bigint>, n bigint"
 
-#: Bits of the filter that every task gets of the digests that came more than once (64 a row, so 262,144 rows at most), and the share
-#: of all rows from which one digest is joined by broadcast: fewer than HOT digests can have that many.
-FILTER_BITS, HOT = 1 << 24, 10_000
+#: Bits of the filter that every task gets of the digests that came more than once (64 a row, so 262,144 rows at most).
+FILTER_BITS = 1 << 24
 
 
 def normalised(text: Column) -> Column:
@@ -108,12 +107,8 @@ def _placed(docs: DataFrame, doc_id: str, text: str, digest: Callable[[Column],
     # equal texts become one row in each task before anything is shuffled; a digest with two texts left is a collision
     apart, _ = written(content.select("digest", "body").distinct().groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "dedup-collisions")
 
-    total = state.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(state.where(F.col("n") * HOT > total))  # fewer than HOT rows
-    common = arrived.join(hot, "digest")
-    rare = arrived.join(hot.select("digest"), "digest", "left_anti").join(state.where(F.col("n") * HOT <= total), "digest")
     is_first = (F.col("at") == F.col("first.at")) & (F.col("file") == F.col("first.file"))
-    placed = common.unionByName(rare).select("row", "file", "at", F.col("first.key.id").alias("keep_id"), is_first.alias("kept"), F.col("n").alias("group_size"), "digest")
+    placed = hot_join(arrived, state.withColumn("group_size", F.col("n")), ["digest"]).select("row", "file", "at", F.col("first.key.id").alias("keep_id"), is_first.alias("kept"), "group_size", "digest")
     if not apart.isEmpty():
         # one digest, several texts: their rows are grouped by content instead
         split = content.join(apart, "digest", "left_semi")

@@ -9,11 +9,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space and what it separates; the same class everywhere in this package.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A key counts as hot from this share of all rows on: fewer than HOT keys can have that many.
+HOT = 10_000
+
 _own: list[str] = []
 _made: list[str] = []
 
@@ -70,6 +74,15 @@ def clear(spark: SparkSession) -> None:
     drop(spark, *_made)
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """left joined with right, which has one row a key and in column n how many rows the key has; n is dropped. Keys with more than the
+    HOTth part of all those rows, fewer than HOT of them, are joined by broadcast, so that none of them fills a task; the rest by shuffle."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(n) * HOT > total))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(n) * HOT <= total), keys)
+    return left.join(hot, keys).unionByName(rest).drop(n)
+
+
 def release(spark: SparkSession) -> None:
     gc.collect()
     spark._jvm.System.gc()
