@@ -33,16 +33,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, written
+from .shared import drop, hot_join, written
 
 FANOUT = 16
 #: Entries of one range, and how many ranges there are at least and at most (their nodes, 24 bytes each, are what every task gets).
 #: An entry's visits grow with the square of the logarithm of the number of ranges, so ranges are large and searched as trees.
-RANGE_ROWS, MIN_RANGES, MAX_RANGES = 65536, 64, 1 << 17
+RANGE_ROWS, MIN_RANGES, MAX_RANGES = 1 << 18, 16, 1 << 17
 #: Visiting entries that one task searches in a range; beyond it the range is searched by several tasks.
-VISITS = 200_000
+VISITS = 1 << 18
 #: Nodes that a search opens at once, and pairs that it holds before they are folded into labels: what bounds a task's memory in a dense range.
-OPEN, HELD = 1 << 16, 1 << 20
+OPEN, HELD = 1 << 14, 1 << 18
 
 #: Shingles and likeness of near-copies, and the share of pairs at exactly that likeness that the views may lose.
 WORDS, ALIKE, LOST = 5, 0.8, 0.03
@@ -272,13 +272,13 @@ def components(found: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, limit: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (signed long), component_id: least doc_id that links of at most `limit` differing bits lead to, itself included."""
     fps, _ = written(fingerprints(docs, words, doc_id=doc_id, text=text), "simhash-fingerprints")
-    entries, entries_at = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-entries")
+    entries, entries_at = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-entries")
     comps = components(links(entries.select("fp", F.col("fp").alias("node")), limit))
-    groups = entries.join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    groups = entries.join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    final, _ = written(groups.join(least, "component").select("fp", "component_id"), "simhash-components")
+    final, _ = written(groups.join(least, "component").select("fp", "component_id", "n"), "simhash-components")
     drop(docs.sparkSession, entries_at)
-    return fps.join(final, "fp").select("doc_id", "fp", "component_id")
+    return hot_join(fps, final, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -409,10 +409,13 @@ def alike_links(rows: DataFrame, words: int = WORDS, alike: float = ALIKE, block
         if not len(one) or not len(two):
             return pd.DataFrame({"a": at[:0], "b": at[:0]})
         a, b = _alike([sets[k] for k in one], [sets[k] for k in two], alike)
-        a, b = at[one[a]], at[two[b]]
-        return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+        names, place = np.unique(at, return_inverse=True)
+        label = _fold(np.arange(len(names)), place[one[a]], place[two[b]])
+        linked = np.flatnonzero(label != np.arange(len(names)))
+        return pd.DataFrame({"a": names[label[linked]], "b": names[linked]})
 
-    rest = asked.unionByName(there).groupBy("group", "chunk", "block").applyInPandas(compare, "a long, b long")
+    # dealt by all three: left to itself, Spark would keep the blocks of a group together, as the join above did
+    rest = asked.unionByName(there).repartition("group", "chunk", "block").groupBy("group", "chunk", "block").applyInPandas(compare, "a long, b long")
     found, _ = written(judged.where("near and at <> first").select(F.col("first").alias("a"), F.col("at").alias("b")).unionByName(rest), "simhash-alike")
     drop(spark, judged_at)
     return found
