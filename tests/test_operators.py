@@ -164,3 +164,65 @@ def test_latest_state_is_kept_over_runs(spark, tmp_path):
             spark.createDataFrame(part, schema).write.mode("append").json(at[0])
         out = latest_state(spark, at[0], spark.createDataFrame([], schema).schema, "k", "t", at[1], at[2])
         assert rows(out) == ({(1, 1, "a"), (2, 1, "b")} if part and part[0][0] == 1 else {(1, 1, "a"), (2, 2, "c"), (3, 1, "d")})
+
+
+def test_ranks_pass_over_what_is_unknown(spark):
+    """Scores null, 1, 2, 3 and NaN: the unknown ones have no rank, so three rows are left and they agree."""
+    from tidepanel.functions.windows import average_rank
+    from tidepanel.operators import evaluation
+
+    rows = [(1, None, 1.0), (1, 1.0, 2.0), (1, 2.0, 3.0), (1, 3.0, 4.0), (1, float("nan"), 0.5), (2, 1.0, float("inf")), (2, 2.0, None)]
+    panel = spark.createDataFrame(rows, "session int, score double, ret double")
+    assert [tuple(r) for r in evaluation.rank_ic(panel, "score", "ret", ["session"]).collect()] == [(1, 3, pytest.approx(1.0))]
+    assert evaluation.rank_ic(panel, "score", "ret", ["session"], least=4).count() == 0
+    ranks = spark.createDataFrame([(3.0,), (None,), (1.0,), (1.0,)], "x double")
+    for descending, want in ((False, {3.0: 3.0, None: None, 1.0: 1.5}), (True, {3.0: 1.0, None: None, 1.0: 2.5})):
+        assert {r["x"]: r["r"] for r in ranks.select("x", average_rank(F.col("x"), F.lit(1), descending=descending).alias("r")).collect()} == want
+
+
+def test_captures_tell_nulls_and_separators_apart(spark):
+    from tidepanel.operators.ingest import capture_once
+
+    table = lambda *rows: spark.createDataFrame(rows, "a string, b string, c string")
+    got = capture_once(table(("x", None, "y"), ("a|b", "c", "")), table(("x", "y", None), ("a", "b|c", ""), ("x", None, "y"), ("n", "n", "n"), ("n", "n", "n")), ["a", "b", "c"])
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [("a", "b|c"), ("n", "n"), ("x", "y")]
+
+
+def test_latest_state_outlives_its_run(spark, tmp_path):
+    """Three runs on one checkpoint: new rows merge into what was there, and a run without new rows finds it."""
+    from pyspark.sql.types import StructType
+
+    from tidepanel.streaming.drain import latest_state
+
+    schema = StructType.fromDDL("k string, at int, x int")
+    source = f"file://{tmp_path}/in"
+    run = lambda: latest_state(spark, source, schema, "k", "at", f"file://{tmp_path}/store", f"file://{tmp_path}/check")
+    state = lambda at: {r["k"]: r["x"] for r in spark.read.parquet(at).collect()}
+    spark.createDataFrame([("a", 1, 10), ("b", 1, 20)], schema).write.mode("append").json(source)
+    assert state(run()) == {"a": 10, "b": 20}
+    spark.createDataFrame([("a", 2, 11), ("b", 0, 5)], schema).write.mode("append").json(source)
+    assert state(run()) == {"a": 11, "b": 20}
+    assert state(run()) == {"a": 11, "b": 20}
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    from tidepanel.functions.windows import normal_ppf
+
+    points = [1e-9, 0.001, 0.02, 0.02425, 0.3, 0.5, 0.9, 0.99999]
+    out = spark.createDataFrame([(p,) for p in [*points, 0.0, 1.0]], "p double").select("p", normal_ppf(F.col("p")).alias("z")).collect()
+    for r in out:
+        assert r["z"] is None if r["p"] in (0.0, 1.0) else r["z"] == pytest.approx(NormalDist().inv_cdf(r["p"]), abs=1e-7)
+
+
+def test_learning_gates_and_empty_stages(spark):
+    from tidepanel.operators import learning
+    from tidepanel.sources.tables import unless_empty
+
+    rows = spark.createDataFrame([(i / 100, float(i % 7 > i % 3), 1.0, i % 30) for i in range(200)], "score double, up double, w double, day int")
+    assert learning.platt(rows.limit(50), "score", "up") is None and learning.platt(rows.withColumn("up", F.lit(1.0)), "score", "up") is None
+    assert learning.platt(rows, "score", "up").transform(rows).select("platt").count() == 200
+    assert learning.probability(rows, ["score"], "up", "w", date="day") is None
+    assert learning.probability(rows, ["score"], "up", "w", date="day", least_dates=30) is not None
+    assert unless_empty(rows.limit(0), lambda r: r.count()) is None and unless_empty(rows, lambda r: r.count()) == 200

@@ -37,10 +37,10 @@ def finite(x: Column) -> Column:
 
 
 def average_rank(value: Column, *keys: str, descending: bool = False) -> Column:
-    """Rank within keys; rows of one value share the mean of their places."""
-    order = Window.partitionBy(*keys).orderBy(value.desc() if descending else value.asc())
+    """Rank within keys; rows of one value share the mean of their places. Nulls have no rank and take no place."""
+    order = Window.partitionBy(*keys).orderBy(value.desc_nulls_last() if descending else value.asc_nulls_last())
     ties = Window.partitionBy(*keys, value)
-    return F.rank().over(order) + (F.count(value).over(ties) - 1) / 2
+    return F.when(value.isNotNull(), F.rank().over(order) + (F.count(value).over(ties) - 1) / 2)
 
 
 def complete_mean(value: Column) -> Column:
@@ -66,6 +66,30 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
+#: Coefficients of the rational approximation of the inverse normal distribution function, relative error below 1.15e-9.
+PPF_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239)
+PPF_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+PPF_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+PPF_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+PPF_TAIL = 0.02425
+
+
+def normal_ppf(p: Column) -> Column:
+    """Inverse of the standard normal distribution function; null outside (0, 1)."""
+
+    def horner(x: Column, coefficients: tuple[float, ...]) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + c
+        return out
+
+    low = F.least(p, 1 - p)
+    q, z = F.sqrt(-2 * F.log(low)), p - 0.5
+    tail = horner(q, PPF_C) / horner(q, PPF_D)
+    middle = horner(z * z, PPF_A) * z / horner(z * z, PPF_B)
+    return F.when((p > 0) & (p < 1), F.when(low >= PPF_TAIL, middle).otherwise(F.when(p < 0.5, tail).otherwise(-tail)))
+
+
 def rnd(x: Column, digits: int) -> Column:
     """x to so many decimals by plain double arithmetic. Halves go up, also those that summing left a hair below a half, so two engines that
     add in different orders agree."""

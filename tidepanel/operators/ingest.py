@@ -25,10 +25,15 @@ def replace_keys(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return stored.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+def content_id(*columns: str) -> Column:
+    """SHA-256 of the columns as a JSON array of strings, so that nulls and separators inside values keep contents apart."""
+    return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])), 256)
+
+
 def capture_once(stored: DataFrame, new: DataFrame, content: list[str]) -> DataFrame:
-    """Rows of new, with an id of their content, that were not stored before."""
-    ident = lambda df: df.withColumn("capture_id", F.sha2(F.concat_ws("|", *content), 256))
-    return ident(new).join(ident(stored).select("capture_id"), "capture_id", "left_anti")
+    """Rows of new, with an id of their content, that were not stored before; of rows with one content, one."""
+    ident = lambda df: df.withColumn("capture_id", content_id(*content))
+    return ident(new).dropDuplicates(["capture_id"]).join(ident(stored).select("capture_id"), "capture_id", "left_anti")
 
 
 def merge_first_seen(stored: DataFrame, new: DataFrame, keys: list[str], value: str, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame]:

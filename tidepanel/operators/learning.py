@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -31,12 +33,13 @@ def fitted(train: DataFrame, features: list[str], label: str, kind: str, **param
 
 
 def tune(fit: DataFrame, check: DataFrame, features: list[str], label: str, kind: str, grid: list[dict]) -> tuple[dict, float]:
-    """The settings of least error on `check`; settings that fail to fit are passed over."""
+    """The settings of least error on `check`. Settings that a learner refuses are passed over with a warning; other errors are raised."""
     best = None
     for params in grid:
         try:
             error = RegressionEvaluator(labelCol=label).evaluate(fitted(fit, features, label, kind, **dict(params)).transform(check))
-        except Exception:  # noqa: BLE001
+        except (IllegalArgumentException, TypeError) as e:
+            warnings.warn(f"{kind} {params}: {e}", stacklevel=2)
             continue
         if best is None or error < best[1]:
             best = (params, error)
@@ -61,6 +64,46 @@ def ensemble_scores(train: DataFrame, rows: DataFrame, features: list[str], labe
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), "symbol")).cast("long"))
 
 
+def save_ensemble(models: dict[str, PipelineModel], path: str) -> None:
+    """Each member in a folder of its name."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/{name}")
+
+
+def load_ensemble(path: str, names: list[str]) -> dict[str, PipelineModel]:
+    return {n: PipelineModel.load(f"{path}/{n}") for n in names}
+
+
+def ensemble_mean(models: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
+    """rows with `score`, the mean of the members' predictions; rows with an unknown feature go."""
+    columns, out = rows.columns, rows
+    for name, model in models.items():
+        out = model.transform(out.drop("features")).withColumnRenamed("prediction", f"p_{name}")
+    return out.select(*columns, (reduce(lambda a, b: a + b, [F.col(f"p_{n}") for n in models]) / len(models)).alias("score"))
+
+
+def ablation(train: DataFrame, check: DataFrame, sets: dict[str, list[str]], labels: list[str], kinds: list[str]) -> list[tuple[str, str, str, int, float]]:
+    """(feature set, label, learner, rows checked, root mean squared error) of every combination."""
+    out = []
+    for name, features in sets.items():
+        for label in labels:
+            known = check.where(F.col(label).isNotNull())
+            for kind in kinds:
+                error = F.col(label) - F.col("prediction")
+                r = fitted(train, features, label, kind).transform(known).agg(F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse")).first()
+                out.append((name, label, kind, r["n"], r["rmse"]))
+    return out
+
+
+def platt(rows: DataFrame, score: str, target: str, least_rows: int = 100):
+    """Logistic curve from out-of-sample scores to probabilities; None below least_rows or where the target is constant."""
+    known = rows.where(F.col(score).isNotNull() & F.col(target).isNotNull())
+    size = known.agg(F.count("*").alias("n"), F.countDistinct(target).alias("kinds")).first()
+    if size["n"] < least_rows or size["kinds"] < 2:
+        return None
+    return Pipeline(stages=[VectorAssembler(inputCols=[score], outputCol="platt_score"), LogisticRegression(featuresCol="platt_score", labelCol=target, probabilityCol="platt", predictionCol="platt_class", rawPredictionCol="platt_raw")]).fit(known)
+
+
 def walk_forward(panel: DataFrame, features: list[str], label: str, folds: list[tuple[str, str]], embargo_days: int, kind: str = "linear") -> DataFrame:
     """Predictions of each test span [start, end) by a model fitted on all rows that end an embargo before it."""
     parts = []
@@ -71,9 +114,10 @@ def walk_forward(panel: DataFrame, features: list[str], label: str, folds: list[
     return reduce(DataFrame.unionByName, parts)
 
 
-def probability(rows: DataFrame, inputs: list[str], target: str, weight: str, penalty: float = 0.01, least_rows: int = 100):
-    """Penalized logistic model on standardized inputs with row weights; None below least_rows."""
-    if rows.count() < least_rows:
+def probability(rows: DataFrame, inputs: list[str], target: str, weight: str, penalty: float = 0.01, least_rows: int = 100, date: str | None = None, least_dates: int = 40):
+    """Penalized logistic model on standardized inputs with row weights; None below least_rows, or below least_dates dates where `date` names their column."""
+    size = rows.agg(F.count("*").alias("n"), (F.countDistinct(date) if date else F.lit(least_dates)).alias("dates")).first()
+    if size["n"] < least_rows or size["dates"] < least_dates:
         return None
     steps = [VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"), LogisticRegression(labelCol=target, weightCol=weight, regParam=penalty, standardization=True)]
     return Pipeline(stages=steps).fit(rows)

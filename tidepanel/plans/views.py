@@ -98,7 +98,7 @@ def panel_w(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.count("r1").over(w.rowsBetween(-12, 0)) == 13, rnd(F.stddev_samp("r1").over(w.rowsBetween(-12, 0)), 6)).alias("vol"),
         rnd(F.lead("close", 4).over(w) / close - 1, 6).alias("ret"),
     )
-    return b.where("score is not null and ret is not null").join(F.broadcast(universe(spark, d).select("symbol", "industry")), "symbol")
+    return b.where("score is not null and ret is not null").join(universe(spark, d).select("symbol", "industry"), "symbol")
 
 
 _UNIT = "round(l_extendedprice / l_quantity, 4)"

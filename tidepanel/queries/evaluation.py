@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import change, normal_cdf, r4, r6, series, sigmoid, rnd
+from ..functions.windows import PPF_A, PPF_B, PPF_C, PPF_D, PPF_TAIL, average_rank, change, normal_cdf, normal_ppf, r4, r6, series, sigmoid, rnd
 from ..operators import evaluation as ev
 from ..operators import labels as lab
 from ..plans import views as v
@@ -23,7 +23,7 @@ P = ("panel_w",)
 
 def _ic_sql(score: str = "score", keys: str = "session", source: str = "panel_w", least: int = 2) -> str:
     rk = lambda x: f"rank() OVER (PARTITION BY {keys} ORDER BY {x}) + (count(*) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0"
-    return f"SELECT {keys}, count(*) AS n, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM (SELECT {keys}, {rk(score)} AS a, {rk('ret')} AS b FROM {source}) GROUP BY {keys} HAVING count(*) >= {least}"
+    return f"SELECT {keys}, count(*) AS n, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM (SELECT {keys}, {rk(score)} AS a, {rk('ret')} AS b FROM {source} WHERE {score} IS NOT NULL AND ret IS NOT NULL) GROUP BY {keys} HAVING count(*) >= {least}"
 
 
 @query("information_coefficient", f"SELECT count(ic) AS n_dates, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS std_ic, round(avg(ic) / stddev_samp(ic), 5) AS ir FROM ({_ic_sql()})", P)
@@ -37,6 +37,13 @@ def rank_ic_min(spark: S, d: str) -> D:
     return ev.rank_ic(v.panel_w(spark, d), "score", "ret", ["session"], 20).select("session", "n", r6(F.col("ic")).alias("ic"))
 
 
+@query("rank_ic_gaps", f"WITH g AS (SELECT panel_w.symbol, panel_w.session, ret, CASE WHEN volume > 20 THEN score END AS thick FROM panel_w) SELECT session, n, round(ic, 6) AS ic FROM ({_ic_sql('thick', source='g', least=3)})", P)
+def rank_ic_gaps(spark: S, d: str) -> D:
+    """Scores are unknown for thinly traded weeks; those rows have no rank."""
+    g = v.panel_w(spark, d).select("session", "ret", F.when(F.col("volume") > 20, F.col("score")).alias("thick"))
+    return ev.rank_ic(g, "thick", "ret", ["session"], 3).select("session", "n", r6(F.col("ic")).alias("ic"))
+
+
 @query("sector_neutral_ic", f"WITH s AS (SELECT session, round(score - avg(score) OVER g, 9) AS score, round(ret - avg(ret) OVER g, 9) AS ret FROM panel_w WINDOW g AS (PARTITION BY session, industry)) SELECT session, round(ic, 6) AS ic FROM ({_ic_sql(source='s')})", P)
 def sector_neutral_ic(spark: S, d: str) -> D:
     g = Window.partitionBy("session", "industry")
@@ -284,10 +291,13 @@ def liquidity_median(spark: S, d: str) -> D:
     return b.groupBy("symbol").agg(r4(F.percentile(F.col("close") * F.col("volume"), F.lit(0.5))).alias("median_value"), F.count("*").alias("n")).where("n >= 20").drop("n")
 
 
-@query("coverage_readiness", """WITH dd AS (SELECT session, count(vol) / count(*) AS frac FROM panel_w GROUP BY 1), q AS (SELECT year(session) * 10 + quarter(session) AS q, avg(frac) AS mean_frac, avg(CASE WHEN frac >= 0.9 THEN 1.0 ELSE 0.0 END) AS pass FROM dd GROUP BY 1)
-  SELECT q, round(mean_frac, 6) AS mean_coverage, round(pass, 6) AS days_passed, CASE WHEN mean_frac < 0.8 THEN 'coverage' WHEN pass < 0.9 THEN 'days' END AS reason FROM q""", P)
+@query("coverage_readiness", """WITH dd AS (SELECT c.session, count(b.close) / count(*) AS frac FROM universe u CROSS JOIN calendar_w c LEFT JOIN bars_w b ON b.symbol = u.symbol AND b.session = c.session GROUP BY 1), q AS (SELECT year(session) * 10 + quarter(session) AS q, avg(frac) AS mean_frac, avg(CASE WHEN frac >= 0.9 THEN 1.0 ELSE 0.0 END) AS pass FROM dd GROUP BY 1)
+  SELECT q, round(mean_frac, 6) AS mean_coverage, round(pass, 6) AS days_passed, CASE WHEN mean_frac < 0.8 THEN 'coverage' WHEN pass < 0.9 THEN 'days' END AS reason FROM q""", ("universe", "calendar_w", "bars_w"))
 def coverage_readiness(spark: S, d: str) -> D:
-    day = v.panel_w(spark, d).groupBy("session").agg((F.count("vol") / F.count("*")).alias("frac"))
+    """How much of the grid of symbols and sessions has a bar, by quarter, and why a quarter is not ready."""
+    from .features import dense
+
+    day = dense(spark, d).groupBy("session").agg((F.count("close") / F.count("*")).alias("frac"))
     q = day.groupBy((F.year("session") * 10 + F.quarter("session")).cast("long").alias("q")).agg(F.avg("frac").alias("m"), F.avg((F.col("frac") >= 0.9).cast("double")).alias("pass"))
     return q.select("q", r6(F.col("m")).alias("mean_coverage"), r6(F.col("pass")).alias("days_passed"), F.when(F.col("m") < 0.8, "coverage").when(F.col("pass") < 0.9, "days").alias("reason"))
 
@@ -377,13 +387,79 @@ def qualify_reasons(spark: S, d: str) -> D:
     return fold_metrics(spark, d).select("label", "fold", F.array_join(why, ",").alias("reasons"))
 
 
+def _split(spark: S, d: str) -> tuple[D, D]:
+    """(rows that end before the last fifth of the sessions and an embargo, rows of that fifth), with known features."""
+    p = v.panel_w(spark, d).where("vol is not null")
+    parts = F.broadcast(lab.assign_split(v.calendar_w(spark, d), 0.2, 4).select("session", "split"))  # one row a session
+    both = p.join(parts, "session")
+    return both.where("split not in ('test', 'embargo')").drop("split"), both.where("split = 'test'").drop("split")
+
+
 @query("model_score")
 def model_score(spark: S, d: str) -> D:
-    """Fit on the past, score the last year with an ensemble of two learners, rank each session."""
+    """Fit on the past, score the last fifth of the sessions with an ensemble of two learners, rank each session."""
     from ..operators.learning import ensemble_scores
 
-    p = v.panel_w(spark, d).where("vol is not null")
-    return ensemble_scores(p.where("session < '2000-11-01'"), p.where("session >= '2001-01-01'"), ["score", "vol"], "ret")
+    return ensemble_scores(*_split(spark, d), ["score", "vol"], "ret")
+
+
+@query("model_reload", "WITH c AS (SELECT *, count(*) OVER () AS n FROM calendar_w) SELECT session, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed FROM panel_w JOIN c USING (session) WHERE idx >= floor(n * 0.8) AND vol IS NOT NULL GROUP BY 1", ("panel_w", "calendar_w"))
+def model_reload(spark: S, d: str) -> D:
+    """Scores of an ensemble that was saved and loaded again, against those of the one that was fitted."""
+    from ..operators.learning import ensemble_mean, fitted, load_ensemble, save_ensemble
+    from ..sources.tables import new_path
+
+    rename = lambda df: df.withColumnRenamed("score", "momentum")
+    train, rows = map(rename, _split(spark, d))
+    models, path = {k: fitted(train, ["momentum", "vol"], "ret", k) for k in ("linear", "forest")}, new_path(spark, "ensemble")
+    save_ensemble(models, path)
+    first, again = (ensemble_mean(m, rows.select("symbol", "session", "momentum", "vol")) for m in (models, load_ensemble(path, list(models))))
+    both = first.join(again.select("symbol", "session", F.col("score").alias("again")), ["symbol", "session"])
+    return both.groupBy("session").agg(F.count("*").alias("n_rows"), F.count_if(F.col("score") != F.col("again")).alias("n_changed"))
+
+
+@query("feature_ablation")
+def feature_ablation(spark: S, d: str) -> D:
+    """Every feature set, label and learner, fitted on the past and checked on the last fifth of the sessions."""
+    from ..operators.learning import ablation
+
+    train, rows = (x.withColumn("demeaned", F.col("ret") - F.avg("ret").over(by())) for x in _split(spark, d))
+    sets = {"momentum": ["score"], "risk": ["vol"], "both": ["score", "vol"]}
+    found = ablation(train, rows, sets, ["ret", "demeaned"], ["linear", "forest"])  # one row a combination
+    return spark.createDataFrame(found, "feature_set string, label string, learner string, n_rows long, rmse double")
+
+
+@query("platt_probability")
+def platt_probability(spark: S, d: str) -> D:
+    """Chance of a positive return by a curve that was fitted on the scores of the sessions before the last fifth."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators.learning import platt
+
+    train, rows = (x.withColumn("up", (F.col("ret") > 0).cast("double")) for x in _split(spark, d))
+    model = platt(train, "score", "up")
+    if model is None:
+        return rows.select("symbol", "session", "score", F.lit(None).cast("double").alias("probability"))
+    return model.transform(rows).select("symbol", "session", "score", vector_to_array("platt")[1].alias("probability"))
+
+
+_PPF = {k: list(map(repr, c)) for k, c in (("a", PPF_A), ("b", PPF_B), ("c", PPF_C), ("d", PPF_D))}
+
+
+def _horner(x: str, name: str) -> str:
+    out = _PPF[name][0] + "::DOUBLE"
+    for c in _PPF[name][1:]:
+        out = f"(({out}) * {x} + ({c}::DOUBLE))"
+    return out
+
+
+@query("normal_scores", f"""WITH r AS (SELECT symbol, session, (rank() OVER (PARTITION BY session ORDER BY score) + (count(*) OVER (PARTITION BY session, score) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY session) AS p FROM panel_w),
+  x AS (SELECT *, least(p, 1 - p) AS low, sqrt(-2 * ln(least(p, 1 - p))) AS q, p - 0.5 AS z FROM r)
+  SELECT symbol, session, round(CASE WHEN low >= {PPF_TAIL} THEN {_horner('(z * z)', 'a')} * z / {_horner('(z * z)', 'b')} ELSE sign(p - 0.5) * -1 * {_horner('q', 'c')} / {_horner('q', 'd')} END, 5) AS normal_score FROM x""", P)
+def normal_scores(spark: S, d: str) -> D:
+    """Ranks as quantiles of the standard normal distribution."""
+    p = (average_rank(F.col("score"), "session") - 0.5) / F.count("*").over(by())
+    return v.panel_w(spark, d).select("symbol", "session", rnd(normal_ppf(p), 5).alias("normal_score"))
 
 
 @query("walk_forward_ic")

@@ -219,9 +219,9 @@ def dense_panel(spark: S, d: str) -> D:
     return dense(spark, d).select("symbol", "session", "idx", "close")
 
 
-@query("missing_cells", f"WITH {DENSE} SELECT symbol, session FROM dense WHERE close IS NULL AND session >= DATE '2001-01-01'", DV)
+@query("missing_cells", f"WITH {DENSE} SELECT symbol, session FROM dense WHERE close IS NULL", DV)
 def missing_cells(spark: S, d: str) -> D:
-    cal = v.calendar_w(spark, d).where("session >= '2001-01-01'").select("session")
+    cal = v.calendar_w(spark, d).select("session")
     grid = v.universe(spark, d).select("symbol").join(F.broadcast(cal))
     return grid.join(v.bars_w(spark, d).select("symbol", "session"), ["symbol", "session"], "left_anti")
 
@@ -250,12 +250,12 @@ def excess_returns(spark: S, d: str) -> D:
     return p.select("symbol", "session", r6(F.col("ret") - F.avg("ret").over(by())).alias("excess"), r6(F.col("ret") - F.col("index_ret")).alias("over_index"))
 
 
-@query("complete_mean", "WITH x AS (SELECT session, CASE WHEN lead(idx, 4) OVER w = idx + 4 THEN lead(close, 4) OVER w / close - 1 END AS r FROM bars_x WINDOW w AS (PARTITION BY symbol ORDER BY idx)) SELECT session, CASE WHEN count(r) = count(*) THEN round(avg(r), 6) END AS universe_ret, count(r) AS known FROM x GROUP BY 1", ("bars_x",))
+@query("complete_mean", "WITH x AS (SELECT session, lead(close, 4) OVER w / close - 1 AS r FROM bars_x WINDOW w AS (PARTITION BY symbol ORDER BY idx)) SELECT session, CASE WHEN count(r) = count(*) THEN round(avg(r), 6) END AS universe_ret, count(r) AS known FROM x GROUP BY 1", ("bars_x",))
 def complete_mean(spark: S, d: str) -> D:
     from ..functions.windows import complete_mean as cm
 
     b = v.bars_x(spark, d)
-    return b.select("session", lab.calendar_forward_return(b, 4).alias("r")).groupBy("session").agg(r6(cm(F.col("r"))).alias("universe_ret"), F.count("r").alias("known"))
+    return b.select("session", lab.forward_return(F.col("close"), 4, wx()).alias("r")).groupBy("session").agg(r6(cm(F.col("r"))).alias("universe_ret"), F.count("r").alias("known"))
 
 
 @query("rank_label", "SELECT symbol, session, round(percent_rank() OVER (PARTITION BY session ORDER BY ret) - 0.5, 6) AS y FROM panel_w", ("panel_w",))
@@ -301,10 +301,10 @@ def rank_percentile(spark: S, d: str) -> D:
 
 _EQ = f"""WITH {DENSE}, i AS (SELECT session, ln(close / lag(close) OVER (ORDER BY session)) AS m FROM index_w),
   x AS (SELECT dense.*, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY idx)) AS r, m FROM dense JOIN i USING (session)),
-  y AS (SELECT symbol, session, close, count(close) OVER f AS n, ln(lag(close, 4) OVER w / lag(close, 51) OVER w) AS mom, stddev_samp(r) OVER f AS sd, avg(r) OVER q AS recent, max(close) OVER p AS prior_high,
+  y AS (SELECT symbol, session, close, count(close) OVER f AS n, ln(lag(close, 1) OVER w / lag(close, 12) OVER w) AS mom, stddev_samp(r) OVER f AS sd, avg(r) OVER q AS recent, max(close) OVER p AS prior_high,
     covar_samp(r, m) OVER f / nullif(var_samp(m) OVER f, 0) AS beta, sum(r) OVER q AS sr, sum(m) OVER q AS sm FROM x
-    WINDOW w AS (PARTITION BY symbol ORDER BY idx), f AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 51 PRECEDING AND CURRENT ROW), q AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), p AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING))
-  SELECT symbol, session, round(mom, 5) AS log_momentum, round(mom / sd, 4) AS risk_adjusted, round(-recent / sd, 4) AS reversal_z, round(sr - beta * sm, 4) AS market_residual, round(close / prior_high - 1, 5) AS breakout FROM y WHERE n = 52"""
+    WINDOW w AS (PARTITION BY symbol ORDER BY idx), f AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), q AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), p AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
+  SELECT symbol, session, round(mom, 5) AS log_momentum, round(mom / sd, 4) AS risk_adjusted, round(-recent / sd, 4) AS reversal_z, round(sr - beta * sm, 4) AS market_residual, round(close / prior_high - 1, 5) AS breakout FROM y WHERE n = 13"""
 
 
 @query("quant_equations", _EQ, (*DV, "index_w"))
@@ -312,20 +312,21 @@ def quant_equations(spark: S, d: str) -> D:
     return equations(spark, d).select("symbol", "session", rnd(F.col("log_momentum"), 5).alias("log_momentum"), rnd(F.col("risk_adjusted"), 4).alias("risk_adjusted"), rnd(F.col("reversal_z"), 4).alias("reversal_z"), rnd(F.col("market_residual"), 4).alias("market_residual"), rnd(F.col("breakout"), 5).alias("breakout"))
 
 
-def equations(spark: S, d: str) -> D:
-    """Fixed equations on the dense calendar; rows whose last 52 sessions are all known."""
+def equations(spark: S, d: str, span: int = 13, skip: int = 1, recent: int = 4) -> D:
+    """Fixed equations on the dense calendar; rows whose last `span` sessions are all known (a quarter here; of a year's 52 hardly
+    any series of these tables has all). Momentum leaves out the last `skip` sessions; reversal, residual and breakout look at `recent` ones."""
     c = F.col("close")
     i = v.index_w(spark, d).select("session", F.log(c / F.lag(c).over(ws())).alias("m"))
     x = dense(spark, d).join(F.broadcast(i), "session").withColumn("r", F.log(c / F.lag(c).over(wx())))
-    f, q = rows(52, wx()), rows(13, wx())
-    sd, mom = F.stddev_samp("r").over(f), F.log(F.lag(c, 4).over(wx()) / F.lag(c, 51).over(wx()))
+    f, q = rows(span, wx()), rows(recent, wx())
+    sd, mom = F.stddev_samp("r").over(f), F.log(F.lag(c, skip).over(wx()) / F.lag(c, span - 1).over(wx()))
     var = F.var_samp("m").over(f)
     beta = F.when(var != 0, F.covar_samp("r", "m").over(f) / var)
     y = x.select(
         "symbol", "session", F.count(c).over(f).alias("n"), mom.alias("log_momentum"), (mom / sd).alias("risk_adjusted"), (-F.avg("r").over(q) / sd).alias("reversal_z"),
-        (F.sum("r").over(q) - beta * F.sum("m").over(q)).alias("market_residual"), (c / F.max(c).over(wx().rowsBetween(-13, -1)) - 1).alias("breakout"),
+        (F.sum("r").over(q) - beta * F.sum("m").over(q)).alias("market_residual"), (c / F.max(c).over(wx().rowsBetween(-recent, -1)) - 1).alias("breakout"),
     )
-    return y.where("n = 52").drop("n")
+    return y.where(F.col("n") == span).drop("n")
 
 
 @query("rank_blend", f"WITH e AS ({_EQ}), p AS (SELECT symbol, session, {_AVG_RANK.format(x='log_momentum')} / count(*) OVER s AS a, {_AVG_RANK.format(x='reversal_z')} / count(*) OVER s AS b, {_AVG_RANK.format(x='breakout')} / count(*) OVER s AS c FROM e WINDOW s AS (PARTITION BY session)) SELECT symbol, session, round((a + b + c) / 3, 6) AS blend FROM p".replace("WITH e AS (WITH ", "WITH e AS (WITH "), (*DV, "index_w"))
@@ -335,14 +336,24 @@ def rank_blend(spark: S, d: str) -> D:
     return e.select("symbol", "session", r6(sum(p[1:], p[0]) / 3).alias("blend"))
 
 
-@query("market_context", """WITH i AS (SELECT session, close, close / lag(close) OVER o - 1 AS r1, close / lag(close, 4) OVER o - 1 AS r4, close / avg(close) OVER l - 1 AS trend, stddev_samp(r) OVER s AS mvol, count(r) OVER s AS n FROM (SELECT *, close / lag(close) OVER (ORDER BY session) - 1 AS r FROM index_w)
-    WINDOW o AS (ORDER BY session), l AS (ORDER BY session ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), s AS (ORDER BY session ROWS BETWEEN 12 PRECEDING AND CURRENT ROW))
-  SELECT symbol, session, round(r1, 6) AS market_ret_1, round(r4, 6) AS market_ret_4, round(trend, 6) AS market_trend, CASE WHEN n >= 13 THEN round(mvol, 6) END AS market_vol FROM panel_w JOIN i USING (session)""", ("panel_w", "index_w"))
+@query("market_context", """WITH i AS (SELECT session, close, r, close / lag(close, 4) OVER o - 1 AS r4, close / lag(close, 13) OVER o - 1 AS r13, close / avg(close) OVER l - 1 AS trend, stddev_samp(r) OVER s AS mvol, count(r) OVER s AS n FROM (SELECT *, close / lag(close) OVER (ORDER BY session) - 1 AS r FROM index_w)
+    WINDOW o AS (ORDER BY session), l AS (ORDER BY session ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), s AS (ORDER BY session ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)),
+  x AS (SELECT symbol, b.session, b.close / lag(b.close) OVER (PARTITION BY symbol ORDER BY b.session) - 1 AS own, i.r AS m FROM bars_w b JOIN i ON b.session = i.session),
+  y AS (SELECT symbol, session, CASE WHEN count(own) OVER f = 13 AND count(m) OVER f = 13 THEN covar_samp(own, m) OVER f / var_samp(m) OVER f END AS beta FROM x WINDOW f AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 12 PRECEDING AND CURRENT ROW))
+  SELECT p.symbol, p.session, round(r, 6) AS market_ret_1, round(r4, 6) AS market_ret_4, round(r13, 6) AS market_ret_13, round(trend, 6) AS market_trend, CASE WHEN n >= 13 THEN round(mvol, 6) END AS market_vol, round(beta, 5) AS beta
+  FROM panel_w p JOIN i ON p.session = i.session JOIN y ON p.symbol = y.symbol AND p.session = y.session""", ("panel_w", "index_w", "bars_w"))
 def market_context(spark: S, d: str) -> D:
     c = F.col("close")
     i = v.index_w(spark, d).withColumn("r", change(c, 1, ws()))
-    i = i.select("session", r6(F.col("r")).alias("market_ret_1"), r6(change(c, 4, ws())).alias("market_ret_4"), r6(c / F.avg(c).over(rows(40, ws())) - 1).alias("market_trend"), r6(need(13, F.col("r"), F.stddev_samp, ws())).alias("market_vol"))
-    return v.panel_w(spark, d).select("symbol", "session").join(F.broadcast(i), "session")
+    i = i.select(
+        "session", "r", r6(F.col("r")).alias("market_ret_1"), *[r6(change(c, n, ws())).alias(f"market_ret_{n}") for n in (4, 13)],
+        r6(c / F.avg(c).over(rows(40, ws())) - 1).alias("market_trend"), r6(need(13, F.col("r"), F.stddev_samp, ws())).alias("market_vol"),
+    )
+    own, f = series("session"), rows(13, series("session"))
+    b = v.bars_w(spark, d).withColumn("own", change(c, 1, own)).join(F.broadcast(i), "session")
+    known = (F.count("own").over(f) == 13) & (F.count("r").over(f) == 13)
+    b = b.withColumn("beta", F.when(known, rnd(F.covar_samp("own", "r").over(f) / F.var_samp("r").over(f), 5))).drop("own", "r", "open", "high", "low", "close", "volume")
+    return v.panel_w(spark, d).select("symbol", "session").join(b, ["symbol", "session"])
 
 
 @query("drawdown_curve", "WITH x AS (SELECT symbol, session, close / max(close) OVER (PARTITION BY symbol ORDER BY session) - 1 AS dd FROM bars_w) SELECT symbol, session, round(dd, 6) AS drawdown, round(min(dd) OVER (PARTITION BY symbol ORDER BY session), 6) AS worst FROM x", ("bars_w",))
@@ -408,7 +419,7 @@ def peer_inputs(spark: S, d: str) -> D:
   SELECT symbol, session, CASE WHEN peers >= 5 AND known >= 0.5 * peers AND known > 0 THEN round(s / known, 6) END AS sector_ret FROM g""", DV)
 def sector_forward(spark: S, d: str) -> D:
     k = Window.partitionBy("session", "industry")
-    x = dense(spark, d).join(F.broadcast(v.universe(spark, d).select("symbol", "industry")), "symbol").withColumn("r", lab.forward_return(F.col("close"), 4, wx()))
+    x = dense(spark, d).join(v.universe(spark, d).select("symbol", "industry"), "symbol").withColumn("r", lab.forward_return(F.col("close"), 4, wx()))
     peers, known = F.count("*").over(k) - 1, F.count("r").over(k) - F.col("r").isNotNull().cast("int")
     s = F.coalesce(F.sum("r").over(k), F.lit(0.0)) - F.coalesce("r", F.lit(0.0))
     return x.select("symbol", "session", F.when((peers >= 5) & (known >= 0.5 * peers) & (known > 0), r6(s / known)).alias("sector_ret"))

@@ -26,7 +26,7 @@ def join_features(spark: S, d: str) -> D:
 
 @query("join_dim_broadcast", "SELECT symbol, trade_date, close, industry FROM bars_d LEFT JOIN universe USING (symbol)", ("bars_d", "universe"))
 def join_dim_broadcast(spark: S, d: str) -> D:
-    return v.bars_d(spark, d).select("symbol", "trade_date", "close").join(F.broadcast(v.universe(spark, d).select("symbol", "industry")), "symbol", "left")
+    return v.bars_d(spark, d).select("symbol", "trade_date", "close").join(v.universe(spark, d).select("symbol", "industry"), "symbol", "left")
 
 
 def snapshot(spark: S, d: str) -> D:
@@ -38,7 +38,7 @@ def snapshot(spark: S, d: str) -> D:
     m = b.withColumn("score", r6(change(F.col("close"), 13, ws()))).where("score is not null").select("symbol", "session", "score", rank("score").alias("rank"))
     out = last.join(facts, "symbol", "left").join(m, ["symbol", "session"], "left")
     pe = F.when(F.col("net_income") > 0, r6(F.col("close") * F.col("shares") / F.col("net_income") / 1000))
-    return out.join(F.broadcast(v.universe(spark, d).select("symbol", "industry", "sub_industry")), "symbol", "left").withColumn("pe", pe)
+    return out.join(v.universe(spark, d).select("symbol", "industry", "sub_industry"), "symbol", "left").withColumn("pe", pe)
 
 
 SNAP = """snap AS (WITH b AS (SELECT *, close / lag(close) OVER w - 1 AS chg, round(close / lag(close, 13) OVER w - 1, 6) AS score, row_number() OVER (PARTITION BY symbol ORDER BY session DESC) AS n FROM bars_w WINDOW w AS (PARTITION BY symbol ORDER BY session)),

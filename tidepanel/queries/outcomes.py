@@ -86,12 +86,12 @@ def basket_return(spark: S, d: str) -> D:
     return baskets(spark, d).withColumn("basket", r6(F.col("basket")))
 
 
-@query("cycle_summary", f"WITH {OUT}, {_BASKET}, cy AS (SELECT idx // 6 AS i, basket FROM bk WHERE idx % 6 = 0), g AS (SELECT count(*) AS cycles, count(basket) AS known FROM cy) SELECT g.cycles, g.known, CASE WHEN g.cycles = g.known THEN round((SELECT exp(sum(ln(1 + basket))) - 1 FROM cy), 6) END AS total, round((SELECT avg(basket) FROM cy), 6) AS mean_known FROM g", OV)
+@query("cycle_summary", f"WITH {OUT}, {_BASKET}, cy AS (SELECT idx // 12 AS span, basket FROM bk WHERE idx % 6 = 0) SELECT span, count(*) AS cycles, count(basket) AS known, CASE WHEN count(*) = count(basket) THEN round(exp(sum(ln(1 + basket))) - 1, 6) END AS total, round(avg(basket), 6) AS mean_known FROM cy GROUP BY 1", OV)
 def cycle_summary(spark: S, d: str) -> D:
-    """Cycles of six sessions; the total is withheld where any is unknown."""
+    """Cycles of six sessions, two to a span; a span's total is withheld where one of its cycles is unknown."""
     c = baskets(spark, d).where("idx % 6 = 0")
     whole = F.count("basket") == F.count("*")
-    return c.agg(F.count("*").alias("cycles"), F.count("basket").alias("known"), F.when(whole, r6(F.exp(F.sum(F.log1p("basket"))) - 1)).alias("total"), r6(F.avg("basket")).alias("mean_known"))
+    return c.groupBy(F.expr("idx div 12").alias("span")).agg(F.count("*").alias("cycles"), F.count("basket").alias("known"), F.when(whole, r6(F.exp(F.sum(F.log1p("basket"))) - 1)).alias("total"), r6(F.avg("basket")).alias("mean_known"))
 
 
 _COH = f"""{_SIG}, ix AS (SELECT idx, close FROM index_w JOIN calendar_w USING (session)),

@@ -26,7 +26,7 @@ def picks(spark: S, d: str) -> D:
     b = v.bars_d(spark, d).select("symbol", "trade_date", "close", r4(need(20, F.col("close"), F.avg, w)).alias("sma_20"), r6(change(F.col("close"), 63, w)).alias("momentum"))
     last = b.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("trade_date")))).where("n = 1 and momentum is not null")
     ranked = last.orderBy(F.desc("momentum"), "symbol").limit(20).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("momentum"), "symbol")).cast("long"))
-    return ranked.join(F.broadcast(v.universe(spark, d).select("symbol", "industry")), "symbol").select("symbol", "industry", "trade_date", "close", "sma_20", "momentum", "rank")
+    return ranked.join(v.universe(spark, d).select("symbol", "industry"), "symbol").select("symbol", "industry", "trade_date", "close", "sma_20", "momentum", "rank")
 
 
 @query("topk_per_date", "SELECT session, symbol, score, place FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, symbol) AS place FROM panel_w) WHERE place <= 10", ("panel_w",))

@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-shared-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -32,6 +34,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tidepanel/{tag}-{uuid.uuid4().hex}"
 
 
+def unless_empty(rows: DataFrame, step):
+    """step(rows), or None where there is no row to work on: a stage that has nothing to do is passed over."""
+    return None if rows.isEmpty() else step(rows)
+
+
 def table_or_empty(spark: SparkSession, name: str, schema: StructType) -> DataFrame:
     """A catalog table, or no rows of its schema where it does not exist."""
     return spark.table(name) if spark.catalog.tableExists(name) else spark.range(0).selectExpr(*[f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema])
