@@ -138,8 +138,10 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 
 
 def _run(docs: DataFrame, text: str, result, schema: str, rows: int = 1000) -> DataFrame:
-    """row (all columns of docs as a struct) and what `result` makes of the texts."""
-    given = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    """row (the other columns of docs as a struct, and whether the text is null) and what `result` makes of the texts."""
+    others = [F.col(c) for c in docs.columns if c != text]
+    row = F.struct(F.struct(F.lit(None).cast("string").alias("none") if not others else others[0], *others[1:]).alias("others"), F.col(text).isNull().alias("null"))
+    given = docs.select(row.alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     fields = StructType.fromDDL(schema).fields
     names = [f.name for f in fields]
 
@@ -158,7 +160,7 @@ def search(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def result(texts: list[str]):
         return [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in find(t)] for t in texts], _ARROW_SPANS)]
 
-    return _run(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", result, f"spans {SPANS}").select("row.doc_id", "spans")
+    return _run(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", result, f"spans {SPANS}").select("row.others.doc_id", "spans")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -168,8 +170,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return [pa.array([redacted(t, found) if (found := find(t)) else t for t in texts], pa.string())]
 
     out = _run(docs, text, result, "clean string")
-    body = F.when(F.col("row")[text].isNull(), F.lit(None).cast("string")).otherwise(F.col("clean"))
-    return out.select(*[(body if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
+    body = F.when(~F.col("row")["null"], F.col("clean"))
+    return out.select(*[(body if c == text else F.col("row")["others"][c]).alias(c) for c in docs.columns])
 
 
 def of_kind(spans: Column, kind: str) -> Column:

@@ -189,6 +189,7 @@ def links(entries: DataFrame, limit: int = 2, wide: tuple[str, ...] = (), wide_l
             yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(visits), *[pa.array(b.column(1 + k).to_numpy()[who]) for k in range(len(carried))]], names=["range", "visits", *carried])
 
     routed, routed_at = written(dealt.select("range", *carried).mapInArrow(route, "range int, visits boolean, " + ", ".join(f"{c} long" for c in carried)), "simhash-routed")
+    drop(spark, dealt_at)
     # ranges with many visitors are searched by several tasks, each with the range's own entries and a share of the visitors
     loads = routed.groupBy("range").agg(F.ceil(F.sum(F.col("visits").cast("long")) / VISITS).cast("int").alias("shares")).where("shares > 1")
     busy = {r["range"]: r["shares"] for r in loads.collect()}  # at most MAX_RANGES rows
@@ -239,7 +240,7 @@ def links(entries: DataFrame, limit: int = 2, wide: tuple[str, ...] = (), wide_l
         return pd.DataFrame({"a": node[label[linked]], "b": node[linked]})
 
     found, _ = written(routed.groupBy("range", "share").applyInPandas(search, "a long, b long"), "simhash-links")
-    drop(spark, dealt_at, routed_at)
+    drop(spark, routed_at)
     return found
 
 
