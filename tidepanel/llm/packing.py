@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
+from .shared import give_back
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -157,15 +158,17 @@ def pack_documents(
             return out
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 500):
-                for key, b in zip(keys[at : at + 500], ids(texts[at : at + 500]), strict=True):
+            for at in range(0, batch.num_rows, 500):
+                keys, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
+                for key, b in zip(keys, ids(texts), strict=True):
                     block.append((key, b + b"\0\0\0\0"))
                     size += len(b) // 4 + 1
                     if size >= block_tokens:
                         yield flush()
         if block:
             yield flush()
+        del ids
+        give_back()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, SCHEMA)

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import sparing
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "account")
 
@@ -151,7 +153,7 @@ def _run(docs: DataFrame, text: str, result, schema: str, rows: int = 1000) -> D
                 part = batch.slice(at, rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), *result(part.column(1).to_pylist())], names=["row", *names])
 
-    return given.mapInArrow(run, StructType([given.schema["row"], *fields]))
+    return given.mapInArrow(sparing(run), StructType([given.schema["row"], *fields]))
 
 
 def search(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

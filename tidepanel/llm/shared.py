@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,25 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -
     return left.join(hot, keys).unionByName(rest).drop(n)
 
 
+def give_back() -> None:
+    """Return memory that a Python worker no longer uses to the machine: workers outlive their tasks, and what one stage took would
+    stand beside the needs of the next. Does nothing where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def sparing(run):
+    """A function of Arrow batches that gives its memory back when it has seen them all."""
+
+    def kept(batches):
+        yield from run(batches)
+        give_back()
+
+    return kept
+
+
 def release(spark: SparkSession) -> None:
     gc.collect()
     spark._jvm.System.gc()

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, hot_join, written
+from .shared import drop, give_back, hot_join, sparing, written
 
 FANOUT = 16
 #: Entries of one range, and how many ranges there are at least and at most (their nodes, 24 bytes each, are what every task gets).
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, doc_id: str =
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(sparing(run), "doc_id long, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -188,7 +188,7 @@ def links(entries: DataFrame, limit: int = 2, wide: tuple[str, ...] = (), wide_l
             visits = np.arange(len(to)) >= len(fp)
             yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(visits), *[pa.array(b.column(1 + k).to_numpy()[who]) for k in range(len(carried))]], names=["range", "visits", *carried])
 
-    routed, routed_at = written(dealt.select("range", *carried).mapInArrow(route, "range int, visits boolean, " + ", ".join(f"{c} long" for c in carried)), "simhash-routed")
+    routed, routed_at = written(dealt.select("range", *carried).mapInArrow(sparing(route), "range int, visits boolean, " + ", ".join(f"{c} long" for c in carried)), "simhash-routed")
     drop(spark, dealt_at)
     # ranges with many visitors are searched by several tasks, each with the range's own entries and a share of the visitors
     loads = routed.groupBy("range").agg(F.ceil(F.sum(F.col("visits").cast("long")) / VISITS).cast("int").alias("shares")).where("shares > 1")
@@ -202,6 +202,7 @@ def links(entries: DataFrame, limit: int = 2, wide: tuple[str, ...] = (), wide_l
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         fps, node = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
+        give_back()  # what the group before took
         rank = fps.copy()
         for k in (1, 2, 4, 8, 16, 32):
             rank ^= rank >> np.uint64(k)
@@ -209,6 +210,8 @@ def links(entries: DataFrame, limit: int = 2, wide: tuple[str, ...] = (), wide_l
         order = np.lexsort((node, rank, visits))  # the range's own entries first, in Gray order
         n = len(order) - int(visits.sum())
         fps, node, full = fps[order], node[order], [pdf[c].to_numpy(np.int64).view(np.uint64)[order] for c in wide]
+        searched = pdf["share"].iloc[0] == 0
+        del pdf, rank, order, visits
 
         def close(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if full:
@@ -226,7 +229,7 @@ def links(entries: DataFrame, limit: int = 2, wide: tuple[str, ...] = (), wide_l
         held, size = [], 0
         came = np.arange(n, len(fps))
         for asked, own in ((leaves, True), (came, False)):
-            if own and pdf["share"].iloc[0] != 0:
+            if own and not searched:
                 continue
             for q, leaf in _search(levels, fps[asked], limit):
                 pair = close(asked[q[q < leaf]], leaves[leaf[q < leaf]]) if own else close(asked[q], leaves[leaf])
@@ -341,7 +344,7 @@ def candidates(rows: DataFrame, words: int = WORDS, alike: float = ALIKE) -> Dat
             if fps:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*fps, strict=True)]], names=["at", *lanes])
 
-    fps, fps_at = written(rows.select("at", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(sign, f"at long, {longs}"), "simhash-wide")
+    fps, fps_at = written(rows.select("at", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(sparing(sign), f"at long, {longs}"), "simhash-wide")
     entries, entries_at = written(fps.groupBy(*lanes).agg(F.min("at").alias("node"), F.count("*").alias("rows")), "simhash-entries")
     seen = views(entries.count(), alike)
 
@@ -352,7 +355,7 @@ def candidates(rows: DataFrame, words: int = WORDS, alike: float = ALIKE) -> Dat
                 many = [pa.array(np.tile(c.to_numpy(), len(seen))) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), *many], names=["fp", "node", *lanes])
 
-    found = links(entries.select("node", *lanes).mapInArrow(look, f"fp long, node long, {longs}"), VIEW_LIMIT, tuple(lanes), WIDE_LIMIT)
+    found = links(entries.select("node", *lanes).mapInArrow(sparing(look), f"fp long, node long, {longs}"), VIEW_LIMIT, tuple(lanes), WIDE_LIMIT)
     grouped, grouped_at = written(entries.join(components(found), "node", "left").select(*lanes, "rows", F.coalesce("component", "node").alias("group")), "simhash-grouped")
     several = grouped.groupBy("group").agg(F.sum("rows").alias("rows")).where("rows > 1")
     members, _ = written(fps.join(grouped.join(several.select("group"), "group", "left_semi"), lanes).select("at", "group"), "simhash-members")
@@ -391,7 +394,7 @@ def alike_links(rows: DataFrame, words: int = WORDS, alike: float = ALIKE, block
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets)))], names=["at", "group", "shingles"])
 
     texts = rows.join(members, "at").select("at", "group", F.col("text").cast("string").cast("binary").alias("text"))
-    sets, sets_at = written(texts.mapInArrow(cut, "at long, group long, shingles array<long>"), "simhash-shingles")
+    sets, sets_at = written(texts.mapInArrow(sparing(cut), "at long, group long, shingles array<long>"), "simhash-shingles")
     firsts = members.groupBy("group").agg(F.min("at").alias("at"))
     centre = sets.join(firsts, ["group", "at"]).select("group", F.col("at").alias("first"), F.col("shingles").alias("first_shingles"))
     both = F.size(F.array_intersect("shingles", "first_shingles"))
