@@ -11,7 +11,7 @@ from tidepanel.operators import indicators as ind
 from tidepanel.operators import ingest as op
 from tidepanel.operators import labels as lab
 from tidepanel.operators import learning
-from tidepanel.operators.asof import asof_join
+from tidepanel.operators.asof import asof_join, newest_known, next_within
 from tidepanel.operators.outcomes import cohorts, trade_outcomes
 from tidepanel.plans.views import stable_round
 
@@ -226,3 +226,17 @@ def test_learning_gates_and_empty_stages(spark):
     assert learning.probability(rows, ["score"], "up", "w", date="day") is None
     assert learning.probability(rows, ["score"], "up", "w", date="day", least_dates=30) is not None
     assert unless_empty(rows.limit(0), lambda r: r.count()) is None and unless_empty(rows, lambda r: r.count()) == 200
+
+
+def test_newest_known_and_next_within_agree_with_a_loop(spark):
+    day = lambda k: DAY + dt.timedelta(k)
+    facts = [(s, day(p), day(p + lag), p) for s in (1, 2) for p, lag in ((0, 9), (3, 2), (3, 6), (8, 0), (8, 40))]
+    days = [(s, day(k)) for s in (1, 2, 3) for k in range(0, 30, 2)]
+    f = spark.createDataFrame(facts, "symbol long, period date, seen date, x long")
+    q = spark.createDataFrame(days, "symbol long, day date")
+    got = {(r["symbol"], r["day"]): (r["period"], r["seen"]) for r in newest_known(q, f, "symbol", F.col("day"), F.col("seen"), ["period", "seen"]).collect()}
+    want = {(s, d): max((p, a) for t, p, a, _ in facts if t == s and a <= d) for s, d in days if any(t == s and a <= d for t, _, a, _ in facts)}
+    assert got == want
+    held = next_within(q, f, "symbol", F.col("day"), F.date_add("day", 3), F.col("seen"))
+    assert {tuple(r) for r in held.collect()} == {(s, d) for s, d in days if any(t == s and d <= a <= d + dt.timedelta(3) for t, _, a, _ in facts)}
+    assert next_within(q, f.limit(0), "symbol", F.col("day"), F.col("day"), F.col("seen")).count() == 0

@@ -425,11 +425,11 @@ def sector_forward(spark: S, d: str) -> D:
     return x.select("symbol", "session", F.when((peers >= 5) & (known >= 0.5 * peers) & (known > 0), r6(s / known)).alias("sector_ret"))
 
 
-@query("nonoverlap_schedule", """WITH RECURSIVE c AS (SELECT idx, session FROM calendar_w WHERE idx % 3 <> 1), s AS (SELECT min(idx) AS idx FROM c UNION ALL SELECT (SELECT min(c.idx) FROM c WHERE c.idx > s.idx + 4) FROM s WHERE s.idx IS NOT NULL)
+@query("nonoverlap_schedule", """WITH RECURSIVE c AS (SELECT idx, session FROM calendar_w), s AS (SELECT min(idx) AS idx FROM c UNION ALL SELECT (SELECT min(c.idx) FROM c WHERE c.idx > s.idx + 4) FROM s WHERE s.idx IS NOT NULL)
   SELECT session, idx FROM c WHERE idx IN (SELECT idx FROM s WHERE idx IS NOT NULL)""", ("calendar_w",))
 def nonoverlap_schedule(spark: S, d: str) -> D:
     """Greedy: the next entry is the first candidate after the previous exit, 4 sessions on. One strategy's sessions are one short list."""
-    c = v.calendar_w(spark, d).where("idx % 3 <> 1").agg(F.sort_array(F.collect_list(F.struct("idx", "session"))).alias("cs"))
+    c = v.calendar_w(spark, d).agg(F.sort_array(F.collect_list(F.struct("idx", "session"))).alias("cs"))
     start = F.struct(F.lit(None).cast("array<struct<idx:bigint,session:date>>").alias("taken"), F.lit(-5).cast("long").alias("last"))
     empty = F.array().cast("array<struct<idx:bigint,session:date>>")
     fold = F.aggregate(

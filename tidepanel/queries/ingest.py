@@ -28,10 +28,10 @@ def csv_roundtrip(spark: S, d: str) -> D:
     return spark.read.schema(u.schema).csv(path, header=True)
 
 
-@query("dim_json", "SELECT s_suppkey AS symbol, coalesce(n_name, 'Unknown') AS sub_industry FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) ON s_nationkey = n_nationkey")
+@query("dim_json", "SELECT s_suppkey AS symbol, coalesce(n_name, 'Unknown') AS sub_industry FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def dim_json(spark: S, d: str) -> D:
     path = new_path(spark, "json")
-    table(spark, d, "nation").where("n_nationkey % 5 <> 0").select(F.struct("n_nationkey", "n_name").alias("m")).agg(F.collect_list("m").alias("members")).write.json(path)
+    table(spark, d, "nation").select(F.struct("n_nationkey", "n_name").alias("m")).agg(F.collect_list("m").alias("members")).write.json(path)
     dim = spark.read.schema("members array<struct<n_nationkey:int,n_name:string>>").json(path).select(F.explode("members").alias("m")).select("m.*")
     sup = table(spark, d, "supplier")
     return sup.join(F.broadcast(dim), sup.s_nationkey == dim.n_nationkey, "left").select(F.col("s_suppkey").alias("symbol"), F.coalesce("n_name", F.lit("Unknown")).alias("sub_industry"))
@@ -332,9 +332,9 @@ def bounds(spark: S, d: str) -> D:
     return v.bars_d(spark, d).groupBy("symbol").agg(F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
 
 
-@query("history_start", "SELECT universe.symbol, coalesce(w.last - 5, DATE '1995-01-01')::DATE AS start_date FROM universe LEFT JOIN (SELECT symbol, max(trade_date) AS last FROM bars_d WHERE symbol % 3 <> 0 GROUP BY 1) w ON universe.symbol = w.symbol", ("universe", "bars_d"))
+@query("history_start", "SELECT universe.symbol, coalesce(w.last - 5, DATE '1995-01-01')::DATE AS start_date FROM universe LEFT JOIN (SELECT symbol, max(trade_date) AS last FROM bars_d GROUP BY 1) w ON universe.symbol = w.symbol", ("universe", "bars_d"))
 def history_start(spark: S, d: str) -> D:
-    marks = v.bars_d(spark, d).where("symbol % 3 <> 0").groupBy("symbol").agg(F.max("trade_date").alias("last"))
+    marks = v.bars_d(spark, d).groupBy("symbol").agg(F.max("trade_date").alias("last"))
     return v.universe(spark, d).join(marks, "symbol", "left").select("symbol", F.coalesce(F.date_sub("last", 5), F.lit("1995-01-01").cast("date")).alias("start_date"))
 
 
@@ -389,11 +389,11 @@ def distinct_dates(spark: S, d: str) -> D:
     return v.bars_d(spark, d).select("trade_date").distinct()
 
 
-@query("upsert_keep_last", "SELECT symbol, session, close FROM bars_w WHERE symbol % 4 <> 0 AND session < DATE '2001-06-04' UNION ALL SELECT symbol, session, round(close / 2, 4) FROM bars_w WHERE symbol % 4 = 0 AND session >= DATE '2000-06-05'", ("bars_w",))
+@query("upsert_keep_last", "SELECT symbol, session, close FROM bars_w WHERE symbol NOT IN (SELECT symbol FROM ledger) UNION ALL SELECT symbol, session, round(close / 2, 4) FROM bars_w WHERE symbol IN (SELECT symbol FROM ledger)", ("bars_w", "ledger"))
 def upsert_keep_last(spark: S, d: str) -> D:
     b = v.bars_w(spark, d).select("symbol", "session", "close")
-    new = b.where("symbol % 4 = 0 and session >= '2000-06-05'").withColumn("close", rnd(F.col("close") / 2, 4))
-    return op.replace_keys(b.where("session < '2001-06-04'"), new, ["symbol"])
+    new = b.join(v.ledger(spark, d).select("symbol"), "symbol", "left_semi").withColumn("close", rnd(F.col("close") / 2, 4))
+    return op.replace_keys(b, new, ["symbol"])
 
 
 # scalar functions

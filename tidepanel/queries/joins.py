@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import change, r6, rnd, series
-from ..operators.asof import asof_join
+from ..operators.asof import asof_join, newest_known
 from ..operators.ingest import latest_rows
 from ..plans import views as v
 from ..sources.tables import table
@@ -87,28 +87,27 @@ def asof_single(spark: S, d: str) -> D:
 FACTS = "facts AS (SELECT symbol, period_end, (period_end + CAST(60 + symbol % 40 AS INT))::DATE AS available, (period_end + 400)::DATE AS observed, revenue FROM statements UNION ALL SELECT symbol, period_end, (period_end + CAST(60 + symbol % 40 AS INT))::DATE, (period_end + CAST(60 + symbol % 40 AS INT))::DATE, round(revenue * 0.9, 2) FROM statements)"
 
 
-@query("bitemporal_asof", f"""WITH {FACTS}, days AS (SELECT symbol, session AS day FROM bars_w WHERE session BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'),
+@query("bitemporal_asof", f"""WITH {FACTS}, days AS (SELECT symbol, session AS day FROM bars_w),
   k AS (SELECT days.symbol, day, period_end, revenue, observed, row_number() OVER (PARTITION BY days.symbol, day ORDER BY period_end DESC, observed DESC) AS n FROM days JOIN facts f ON f.symbol = days.symbol AND f.available <= day AND f.observed <= day + 30)
   SELECT k.symbol, day, k.period_end, k.revenue, p.revenue AS prior_revenue FROM k LEFT JOIN (SELECT symbol, period_end, max(revenue) AS revenue FROM facts GROUP BY 1, 2) p ON p.symbol = k.symbol AND p.period_end = last_day((k.period_end - INTERVAL 12 MONTH)::DATE) WHERE n = 1 AND date_diff('day', k.period_end, day) <= 540""", ("statements", "bars_w"))
 def bitemporal_asof(spark: S, d: str) -> D:
-    """Newest period among facts available by the day and observed by 30 days after it; facts of a symbol are few."""
+    """Newest period among facts available by the day and observed by 30 days after it."""
     s = v.statements(spark, d)
     avail = F.expr("date_add(period_end, cast(60 + symbol % 40 as int))")
     late = s.select("symbol", "period_end", avail.alias("available"), F.date_add("period_end", 400).alias("observed"), "revenue")
     early = s.select("symbol", "period_end", avail.alias("available"), avail.alias("observed"), rnd(F.col("revenue") * 0.9, 2).alias("revenue"))
     facts = late.unionByName(early)
-    days = v.bars_w(spark, d).where("session between '1999-01-01' and '1999-12-31'").select("symbol", F.col("session").alias("day"))
-    seen = days.join(facts, "symbol").where("available <= day and observed <= date_add(day, 30)")
-    best = seen.groupBy("symbol", "day").agg(F.max(F.struct("period_end", "observed", "revenue")).alias("f")).select("symbol", "day", "f.period_end", "f.revenue")
+    days = v.bars_w(spark, d).select("symbol", F.col("session").alias("day"))
+    best = newest_known(days, facts, "symbol", F.col("day"), F.greatest("available", F.date_sub("observed", 30)), ["period_end", "observed", "revenue"]).drop("observed")
     best = best.where(F.datediff("day", "period_end") <= 540)
     prior = facts.groupBy("symbol", "period_end").agg(F.max("revenue").alias("prior_revenue")).withColumnRenamed("period_end", "prior_end")
     return best.withColumn("prior_end", F.last_day(F.add_months("period_end", -12))).join(prior, ["symbol", "prior_end"], "left").select("symbol", "day", "period_end", "revenue", "prior_revenue")
 
 
-@query("prior_year_statement", "WITH s AS (SELECT *, lag(period_end) OVER w AS pe, lag(revenue) OVER w AS pr FROM statements WHERE symbol % 9 <> year(period_end) % 9 WINDOW w AS (PARTITION BY symbol ORDER BY period_end)) SELECT symbol, period_end, revenue, CASE WHEN date_diff('month', pe, period_end) BETWEEN 10 AND 14 THEN pr END AS prev_revenue FROM s", ("statements",))
+@query("prior_year_statement", "WITH s AS (SELECT *, lag(period_end) OVER w AS pe, lag(revenue) OVER w AS pr FROM statements WINDOW w AS (PARTITION BY symbol ORDER BY period_end)) SELECT symbol, period_end, revenue, CASE WHEN date_diff('month', pe, period_end) BETWEEN 10 AND 14 THEN pr END AS prev_revenue FROM s", ("statements",))
 def prior_year_statement(spark: S, d: str) -> D:
     w = Window.partitionBy("symbol").orderBy("period_end")
-    s = v.statements(spark, d).where("symbol % 9 <> year(period_end) % 9")
+    s = v.statements(spark, d)
     near = F.months_between("period_end", F.lag("period_end").over(w)).between(10, 14)
     return s.select("symbol", "period_end", "revenue", F.when(near, F.lag("revenue").over(w)).alias("prev_revenue"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import net_return, r4, r6, rnd
 from ..operators import outcomes as op
+from ..operators.asof import next_within
 from ..operators.evaluation import top_k
 from ..operators.labels import first_overlap
 from ..plans import views as v
@@ -207,11 +208,11 @@ def entitlement_value(spark: S, d: str) -> D:
     return g.agg(F.count("*").alias("parts"), F.count("close").alias("quoted"), F.when(F.count("close") == F.count("*"), r4(F.sum(F.col("ratio") * F.col("close")))).alias("value"))
 
 
-@query("held_revisions", "WITH h AS (SELECT symbol, session AS a, (session + 35)::DATE AS b FROM panel_w WHERE score > 1), r AS (SELECT symbol, session FROM bars_w WHERE symbol % 7 = 0 AND session >= DATE '1999-01-01') SELECT DISTINCT h.symbol, h.a AS entry FROM h WHERE EXISTS (SELECT 1 FROM r WHERE r.symbol = h.symbol AND r.session BETWEEN h.a AND h.b)", ("panel_w", "bars_w"))
+@query("held_revisions", "WITH h AS (SELECT symbol, session AS a, (session + 35)::DATE AS b FROM panel_w WHERE score > 1), r AS (SELECT symbol, (period_end + 400)::DATE AS session FROM statements) SELECT DISTINCT h.symbol, h.a AS entry FROM h WHERE EXISTS (SELECT 1 FROM r WHERE r.symbol = h.symbol AND r.session BETWEEN h.a AND h.b)", ("panel_w", "statements"))
 def held_revisions(spark: S, d: str) -> D:
     h = v.panel_w(spark, d).where("score > 1").select("symbol", F.col("session").alias("entry"), F.date_add("session", 35).alias("until"))
-    r = v.bars_w(spark, d).where("symbol % 7 = 0 and session >= '1999-01-01'").select(F.col("symbol").alias("s"), F.col("session").alias("at"))
-    return h.join(r, (F.col("symbol") == F.col("s")) & F.col("at").between(F.col("entry"), F.col("until")), "left_semi").select("symbol", "entry")
+    r = v.statements(spark, d).select("symbol", F.date_add("period_end", 400).alias("at"))  # when a statement's later version is seen
+    return next_within(h, r, "symbol", F.col("entry"), F.col("until"), F.col("at")).select("symbol", "entry")
 
 
 @query("size_basket", f"""WITH {_SIG}, x AS (SELECT s.symbol, s.session, b.close, b.volume, count(*) OVER (PARTITION BY s.session) AS n, 100000.0 AS cash FROM sig s JOIN bars_w b ON b.symbol = s.symbol AND b.session = s.session),
