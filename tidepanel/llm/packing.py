@@ -56,15 +56,24 @@ class _Known(dict):
         return out
 
 
+#: Where a text may be cut: before a blank that a word follows. Of a run of blanks that is the last one.
+CUT = re.compile(r" (?=\S)")
+
+
 class Ids:
     """Token ids of texts, equal to the library's over whole texts. Its pre-tokenizer attaches one blank to the word after it, so a
-    text without runs of blanks may be cut at each blank; each distinct piece is then looked at once, and its words go to the
-    library's model. Other texts, and pieces with characters from U+0250 on, go through the library as they are."""
+    text may be cut before each blank that a word follows; each distinct piece is then looked at once, and its words go to the
+    library's model. Pieces with characters from U+0250 on go through the library. Special tokens are found first, as the library
+    does, and what is between them is cut; texts with special tokens that take blanks or words around them in go through the library
+    as they are. So a worker holds the library's records of a piece, not of a long text."""
 
     def __init__(self, path: str):
         self.lib = _tokenizer(path)
         self.known, self.words = _Known(lambda w: self.piece(" " + w)), _Known(self.word)
-        self.model, self.special = self.lib.model, [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        added = self.lib.get_added_tokens_decoder()
+        self.model, self.special = self.lib.model, {t.content: array("I", [k]).tobytes() for k, t in added.items()}
+        self.plain = all(t.special and not (t.lstrip or t.rstrip or t.single_word or " " in t.content) for t in added.values())
+        self.between = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.shown = {k: ord(c) for k, c in enumerate(byte_symbols())}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -72,12 +81,16 @@ class Ids:
         for kept in (self.known, self.words):
             if len(kept) > CACHE_WORDS:
                 kept.clear()
-        whole = [k for k, t in enumerate(texts) if "  " in t or t.endswith(" ") or any(s in t for s in self.special)]
-        out = dict(zip(whole, self.library([texts[k] for k in whole]), strict=True))
-        return [out[k] if k in out else self.cut(t) for k, t in enumerate(texts)]
+        return [self.marked(t) if any(s in t for s in self.special) else self.cut(t) for t in texts]
+
+    def marked(self, text: str) -> bytes:
+        """Ids of a text with special tokens."""
+        if not self.plain:
+            return self.library([text])[0]
+        return b"".join([self.special[part] if k % 2 else self.cut(part) for k, part in enumerate(self.between.split(text))])
 
     def cut(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
+        first, *rest = CUT.split(text) if "  " in text or text.endswith(" ") else text.split(" ")
         return b"".join([self.piece(first), *map(self.known.__getitem__, rest)])
 
     def piece(self, piece: str) -> bytes:
