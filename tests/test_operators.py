@@ -240,3 +240,23 @@ def test_newest_known_and_next_within_agree_with_a_loop(spark):
     held = next_within(q, f, "symbol", F.col("day"), F.date_add("day", 3), F.col("seen"))
     assert {tuple(r) for r in held.collect()} == {(s, d) for s, d in days if any(t == s and d <= a <= d + dt.timedelta(3) for t, _, a, _ in facts)}
     assert next_within(q, f.limit(0), "symbol", F.col("day"), F.col("day"), F.col("seen")).count() == 0
+
+
+def test_quantiles_of_one_large_group_agree_with_numpy(spark):
+    """Hot groups, hot values, null keys and unknown values; partitions add up to the same places as a sort of the whole."""
+    import numpy as np
+
+    from tidepanel.operators.evaluation import percentiles, weighted_quantile
+
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(round(x, 1)), 1.0) for x in rng.normal(size=3000)] + [("hot", 7.0, 0.5)] * 500 + [("small", 3.0, 2.0), ("small", None, 9.0), (None, 1.0, 1.0), (None, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, x double, w double").repartition(7)
+    found = {r["k"]: (r["n"], r["p"], r["q"]) for r in percentiles(df, "x", {"p": 0.5, "q": 0.93}, "k").collect()}
+    for key in ("hot", "small", None):
+        x = [v for k, v, _ in rows if k == key and v is not None]
+        assert found[key][0] == len(x) and np.allclose(found[key][1:], np.percentile(x, [50, 93]))
+    x = sorted((v, w) for k, v, w in rows if k == "hot")
+    mass = np.cumsum([w for _, w in x])
+    got = {r["k"]: r["quantile"] for r in weighted_quantile(df, "x", "w", 0.9, "k").collect()}
+    assert got == {"hot": x[int(np.argmax(mass >= 0.9 * mass[-1] - 1e-9))][0], "small": 3.0, None: 2.0}
+    assert percentiles(df.where("false"), "x", {"p": 0.5}, "k").count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import average_rank, finite
+from ..sources.tables import new_path
 
 
 def rank_ic(panel: DataFrame, score: str, ret: str, keys: list[str], least: int = 2) -> DataFrame:
@@ -56,11 +57,45 @@ def compounded(value: Column) -> Column:
     return F.exp(F.sum(F.log1p(value))) - 1
 
 
+def cumulative_mass(rows: DataFrame, value: str, mass: Column, *keys: str) -> DataFrame:
+    """keys, value, mass, upto (mass of the group's values up to this one), total. Mass is summed by value first; the distinct values are
+    then range-partitioned, written, and each partition adds up its own on top of the totals of those before it, so no group has to fit
+    one task. Rows whose value or mass is unknown do not count."""
+    spark = rows.sparkSession
+    known = rows.select(*keys, F.col(value).alias("value"), mass.cast("double").alias("mass")).where("value is not null and mass is not null")
+    summed = known.groupBy(*keys, "value").agg(F.sum("mass").alias("mass")).repartitionByRange(*keys, "value").withColumn("_part", F.spark_partition_id())
+    path = new_path(spark, "mass")
+    summed.write.parquet(path)
+    t = spark.read.schema(summed.schema).parquet(path)
+    parts, by = t.groupBy(*keys, "_part").agg(F.sum("mass").alias("_own")), Window.partitionBy(*keys)
+    parts = parts.select(*keys, "_part", (F.sum("_own").over(by.orderBy("_part")) - F.col("_own")).alias("_before"), F.sum("_own").over(by).alias("total"))
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"p.{k}")) for k in (*keys, "_part")]
+    both = t.alias("t").join(parts.alias("p"), same).select("t.*", "_before", "total")
+    upto = F.col("_before") + F.sum("mass").over(Window.partitionBy(*keys, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    return both.select(*keys, "value", "mass", upto.alias("upto"), "total")
+
+
+def weighted_quantiles(rows: DataFrame, value: str, mass: str, quantiles: dict[str, float], *keys: str) -> DataFrame:
+    """keys and, by name, the least value whose cumulative mass reaches each share of the total."""
+    c = cumulative_mass(rows, value, F.col(mass), *keys)
+    return c.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= q * F.col("total") - 1e-12, F.col("value"))).alias(name) for name, q in quantiles.items()])
+
+
 def weighted_quantile(rows: DataFrame, value: str, mass: str, q: float, *keys: str) -> DataFrame:
     """Least value whose cumulative mass reaches q of the total."""
-    by = Window.partitionBy(*keys)
-    c = rows.withColumn("_c", F.sum(mass).over(by.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum(mass).over(by))
-    return c.where(F.col("_c") >= q * F.col("_t") - 1e-12).groupBy(*keys).agg(F.min(value).alias("quantile"))
+    return weighted_quantiles(rows, value, mass, {"quantile": q}, *keys)
+
+
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """keys, n and, by name, exact percentiles, interpolated between the two values that hold the place."""
+    c = cumulative_mass(rows, value, F.lit(1), *keys)
+    ends = []
+    for name, q in shares.items():
+        place = q * (F.col("total") - 1)
+        ends += [F.min(F.when(F.col("upto") > F.floor(place), F.col("value"))).alias(f"_{name}_lo"), F.min(F.when(F.col("upto") > F.ceil(place), F.col("value"))).alias(f"_{name}_hi")]
+    g = c.groupBy(*keys).agg(F.sum("mass").cast("long").alias("n"), *ends)
+    at = lambda q: q * (F.col("n") - 1) - F.floor(q * (F.col("n") - 1))
+    return g.select(*keys, "n", *[(F.col(f"_{k}_lo") + at(q) * (F.col(f"_{k}_hi") - F.col(f"_{k}_lo"))).alias(k) for k, q in shares.items()])
 
 
 def bootstrap_interval(diffs: DataFrame, value: str, draws: int, seed: int = 7) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import percentiles
+
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
     """Name of the first rule whose condition holds; null if none does. A condition that is unknown does not hold."""
@@ -64,8 +66,8 @@ def adjustment_revision(records: DataFrame, reference: DataFrame, keys: list[str
 def robust_outliers(rows: DataFrame, key: list[str], columns: list[str], limit: float = 8.0, least: int = 4) -> DataFrame:
     """key, column_name, value of values whose modified z-score exceeds the limit."""
     long = rows.select(*key, F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select(*key, "x.*").where("value is not null")
-    med = long.groupBy("column_name").agg(F.percentile("value", F.lit(0.5)).alias("med"), F.count("*").alias("n"))
+    med = percentiles(long, "value", {"med": 0.5}, "column_name")
     dev = long.join(F.broadcast(med), "column_name").withColumn("dev", F.abs(F.col("value") - F.col("med")))
-    mad = dev.groupBy("column_name").agg(F.percentile("dev", F.lit(0.5)).alias("mad"))
+    mad = percentiles(dev, "dev", {"mad": 0.5}, "column_name").drop("n")
     hit = dev.join(F.broadcast(mad), "column_name").where((F.col("n") >= least) & (F.col("mad") != 0) & (0.6745 * F.col("dev") / F.col("mad") > limit))
     return hit.select(*key, "column_name", "value")

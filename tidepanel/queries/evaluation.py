@@ -198,21 +198,34 @@ def block_means(spark: S, d: str) -> D:
     return x.groupBy(F.expr("i div 4").alias("block")).agg(r6(F.avg("r")).alias("mean_ret"), F.count("*").alias("n")).where("n = 4").drop("n")
 
 
-@query("range_bands", f"""WITH {_CAL}, g AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY session ORDER BY score DESC, symbol) <= 10 THEN 'top' ELSE 'rest' END AS grp, session < DATE '1999-01-01' AS fit FROM cal),
-  c AS (SELECT grp, ret, sum(w) OVER (PARTITION BY grp ORDER BY ret RANGE UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY grp) AS t FROM g WHERE fit), b AS (SELECT grp, min(ret) FILTER (WHERE c >= 0.1 * t - 1e-12) AS lo, min(ret) FILTER (WHERE c >= 0.9 * t - 1e-12) AS hi FROM c GROUP BY 1),
-  x AS (SELECT grp, session, avg(CASE WHEN ret BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END) AS cov, any_value(hi - lo) AS width FROM g JOIN b USING (grp) WHERE NOT fit GROUP BY 1, 2) SELECT grp, round(avg(cov), 6) AS coverage, round(avg(width), 6) AS width FROM x GROUP BY 1""", P)
+@query("range_bands", f"""WITH {_CAL}, g AS (SELECT *, least(3, (row_number() OVER (PARTITION BY session ORDER BY score DESC, symbol) - 1) // 5) AS bucket, CASE WHEN session < DATE '1998-01-01' THEN 'fit' WHEN session < DATE '1999-01-01' THEN 'expand' ELSE 'assess' END AS part FROM cal),
+  f AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY session, bucket) AS wb FROM g WHERE part = 'fit'), c AS (SELECT bucket, ret, sum(wb) OVER (PARTITION BY bucket ORDER BY ret RANGE UNBOUNDED PRECEDING) AS c, sum(wb) OVER (PARTITION BY bucket) AS t FROM f),
+  b AS (SELECT bucket, min(ret) FILTER (WHERE c >= 0.1 * t - 1e-12) AS lo, min(ret) FILTER (WHERE c >= 0.5 * t - 1e-12) AS mid, min(ret) FILTER (WHERE c >= 0.9 * t - 1e-12) AS hi FROM c GROUP BY 1),
+  bc AS (SELECT ret, sum(w) OVER (ORDER BY ret RANGE UNBOUNDED PRECEDING) AS c, sum(w) OVER () AS t FROM f), base AS (SELECT min(ret) AS base FROM bc WHERE c >= 0.5 * t - 1e-12),
+  e AS (SELECT greatest(lo - ret, ret - hi, 0) AS e, w FROM g JOIN b USING (bucket) WHERE part = 'expand'), ec AS (SELECT e, sum(w) OVER (ORDER BY e RANGE UNBOUNDED PRECEDING) AS c, sum(w) OVER () AS t FROM e), x AS (SELECT min(e) AS x FROM ec WHERE c >= 0.8 * t - 1e-12),
+  d AS (SELECT bucket, session, avg(CASE WHEN ret BETWEEN greatest(-1, lo - x) AND hi + x THEN 1.0 ELSE 0.0 END) AS cov, avg(hi + x - greatest(-1, lo - x)) AS width, avg(abs(ret - mid)) AS m, avg(abs(ret - base)) AS n FROM g JOIN b USING (bucket), base, x WHERE part = 'assess' GROUP BY 1, 2)
+  SELECT bucket, count(*) AS n_dates, round(avg(cov), 5) AS coverage, round(avg(width), 5) AS width, round(avg(m), 5) AS median_mae, round(avg(n), 5) AS baseline_mae FROM d GROUP BY 1""", P)
 def range_bands(spark: S, d: str) -> D:
-    top = F.row_number().over(by().orderBy(F.desc("score"), "symbol")) <= 10
-    g = cal(spark, d).withColumn("grp", F.when(top, "top").otherwise("rest"))
-    fit = g.where("session < '1999-01-01'")
-    band = ev.weighted_quantile(fit, "ret", "w", 0.1, "grp").withColumnRenamed("quantile", "lo").join(ev.weighted_quantile(fit, "ret", "w", 0.9, "grp").withColumnRenamed("quantile", "hi"), "grp")
-    x = g.where("session >= '1999-01-01'").join(F.broadcast(band), "grp").groupBy("grp", "session").agg(F.avg(F.col("ret").between(F.col("lo"), F.col("hi")).cast("double")).alias("cov"), F.max(F.col("hi") - F.col("lo")).alias("width"))
-    return x.groupBy("grp").agg(r6(F.avg("cov")).alias("coverage"), r6(F.avg("width")).alias("width"))
+    """Return bands of rank groups, fitted on one span, widened by how far returns of a second one lie outside, and assessed on a third."""
+    place = F.row_number().over(by().orderBy(F.desc("score"), "symbol"))
+    g = cal(spark, d).withColumn("bucket", F.least(F.lit(3), F.floor((place - 1) / 5)).cast("long"))
+    fit = g.where("session < '1998-01-01'").withColumn("wb", 1.0 / F.count("*").over(Window.partitionBy("session", "bucket")))
+    bands = ev.weighted_quantiles(fit, "ret", "wb", {"lo": 0.1, "mid": 0.5, "hi": 0.9}, "bucket")
+    base = ev.weighted_quantiles(fit, "ret", "w", {"base": 0.5})
+    off = g.where("session >= '1998-01-01' and session < '1999-01-01'").join(bands, "bucket").select(F.greatest(F.col("lo") - F.col("ret"), F.col("ret") - F.col("hi"), F.lit(0.0)).alias("e"), "w")
+    wider = ev.weighted_quantiles(off, "e", "w", {"x": 0.8})
+    one = bands.join(F.broadcast(base)).join(F.broadcast(wider)).withColumn("lo", F.greatest(F.lit(-1.0), F.col("lo") - F.col("x"))).withColumn("hi", F.col("hi") + F.col("x"))
+    near = [F.avg(F.abs(F.col("ret") - F.col(k))).alias(f"mae_{k}") for k in ("mid", "base")]
+    inside = F.col("ret").between(F.col("lo"), F.col("hi")).cast("double")
+    x = g.where("session >= '1999-01-01'").join(one, "bucket").groupBy("bucket", "session").agg(F.avg(inside).alias("cov"), F.avg(F.col("hi") - F.col("lo")).alias("width"), *near)
+    r5 = lambda c, name: rnd(F.avg(c), 5).alias(name)
+    return x.groupBy("bucket").agg(F.count("*").alias("n_dates"), r5("cov", "coverage"), r5("width", "width"), r5("mae_mid", "median_mae"), r5("mae_base", "baseline_mae"))
 
 
 @query("percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def percentiles(spark: S, d: str) -> D:
-    return table(spark, d, "events").groupBy("event_type").agg(r6(F.percentile("value", F.lit(0.5))).alias("p50"), r6(F.percentile("value", F.lit(0.95))).alias("p95"))
+    p = ev.percentiles(table(spark, d, "events"), "value", {"p50": 0.5, "p95": 0.95}, "event_type")
+    return p.select("event_type", r6(F.col("p50")).alias("p50"), r6(F.col("p95")).alias("p95"))
 
 
 @query("split_counts", "WITH c AS (SELECT *, count(*) OVER () AS n FROM calendar_w) SELECT CASE WHEN idx >= floor(n * 0.8) THEN 'test' WHEN idx >= floor(n * 0.8) - 21 THEN 'embargo' ELSE 'train' END AS split, count(*) AS n_rows FROM bars_w JOIN c USING (session) GROUP BY 1", ("calendar_w", "bars_w"))
@@ -276,12 +289,15 @@ def score_stability(spark: S, d: str) -> D:
     return v.panel_w(spark, d).groupBy("symbol").agg(r6(F.stddev_samp("score")).alias("score_vol"), rnd(F.regr_slope(F.col("score"), day) * 365, 5).alias("trend"))
 
 
-@query("event_counts_7d", "WITH e AS (SELECT user_id, event_id, ts, event_type FROM events) SELECT event_id, count(*) FILTER (WHERE event_type = 'purchase') OVER w AS purchases, count(*) FILTER (WHERE event_type IN ('error', 'signup')) OVER w AS notices FROM e WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW)")
+@query("event_counts_7d", """WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000000 AS sec, epoch_us(ts) // 1000000 - 604800 >= (SELECT min(epoch_us(ts) // 1000000) FROM events) AS covered FROM events)
+  SELECT event_id, CASE WHEN covered THEN count(*) FILTER (WHERE event_type = 'purchase') OVER w END AS purchases, CASE WHEN covered THEN count(*) FILTER (WHERE event_type IN ('error', 'signup')) OVER w END AS notices FROM e WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW)""")
 def event_counts_7d(spark: S, d: str) -> D:
-    sec = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    """Counts of a user's last seven days by kind of event; unknown where the archive begins within those days."""
+    e = table(spark, d, "events").withColumn("sec", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    e = e.join(F.broadcast(e.agg(F.min("sec").alias("since"))))
     w = Window.partitionBy("user_id").orderBy("sec").rangeBetween(-7 * 86400, 0)
-    e = table(spark, d, "events").withColumn("sec", sec)
-    return e.select("event_id", F.count_if(F.col("event_type") == "purchase").over(w).alias("purchases"), F.count_if(F.col("event_type").rlike("error|signup")).over(w).alias("notices"))
+    counted = lambda kinds: F.when(F.col("sec") - 7 * 86400 >= F.col("since"), F.count_if(F.col("event_type").rlike(kinds)).over(w))
+    return e.select("event_id", counted("^purchase$").alias("purchases"), counted("error|signup").alias("notices"))
 
 
 @query("liquidity_median", "WITH l AS (SELECT *, idx > (SELECT max(idx) FROM calendar_w) - 26 AS recent FROM bars_x) SELECT symbol, round(quantile_cont(close * volume, 0.5), 4) AS median_value FROM l WHERE recent GROUP BY 1 HAVING count(*) >= 20", ("bars_x", "calendar_w"))
@@ -324,6 +340,28 @@ def portfolio_robustness(spark: S, d: str) -> D:
     return x.groupBy(F.year("session").cast("long").alias("y")).agg(F.count("*").alias("n"), r4(beta).alias("beta"), rnd(F.avg("r") - beta * F.avg("m"), 5).alias("residual"), rnd(ev.compounded(F.col("r") / 10), 5).alias("compounded"))
 
 
+@query("pnl_concentration", f"""WITH t AS (SELECT year(session) AS y, symbol, greatest(sum(ret), 0) AS gain FROM {_TOP} WHERE place <= 5 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY gain DESC, symbol) AS place FROM t)
+  SELECT y, count(*) AS n_symbols, CASE WHEN sum(gain) > 0 THEN round(max(gain) / sum(gain), 5) END AS top_share, CASE WHEN sum(gain) > 0 THEN round(sum(gain) FILTER (WHERE place <= 5) / sum(gain), 5) END AS top_five_share FROM o GROUP BY 1""", P)
+def pnl_concentration(spark: S, d: str) -> D:
+    """Share of a year's gains that the best symbol, and the best five, made."""
+    t = ev.top_k(v.panel_w(spark, d), "score", 5).groupBy(F.year("session").cast("long").alias("y"), "symbol").agg(F.greatest(F.sum("ret"), F.lit(0.0)).alias("gain"))
+    o = t.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(F.desc("gain"), "symbol")))
+    share = lambda part: F.when(F.sum("gain") > 0, rnd(part / F.sum("gain"), 5))
+    return o.groupBy("y").agg(F.count("*").alias("n_symbols"), share(F.max("gain")).alias("top_share"), share(F.sum(F.when(F.col("place") <= 5, F.col("gain")))).alias("top_five_share"))
+
+
+@query("regime_contribution", f"""WITH i AS (SELECT session, CASE WHEN close >= avg(close) OVER (ORDER BY session ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) THEN 'above' ELSE 'below' END AS regime FROM index_w), r AS (SELECT session, avg(ret) AS r, count(*) / 10 AS exposure FROM {_TOP} WHERE place <= 5 GROUP BY 1)
+  SELECT regime, count(*) AS n_dates, round(sum(ln(1 + r * exposure)), 5) AS log_growth, round(avg(exposure), 5) AS mean_exposure FROM r JOIN i USING (session) GROUP BY 1""", ("panel_w", "index_w"))
+def regime_contribution(spark: S, d: str) -> D:
+    """What a portfolio of a tenth of the capital in each of five picks made while the market stood above its average, and below."""
+    c = F.col("close")
+    above = c >= F.avg(c).over(Window.orderBy("session").rowsBetween(-39, 0))
+    i = v.index_w(spark, d).select("session", F.when(above, "above").otherwise("below").alias("regime"))
+    r = ev.top_k(v.panel_w(spark, d), "score", 5).groupBy("session").agg(F.avg("ret").alias("r"), (F.count("*") / 10).alias("exposure"))
+    x = r.join(F.broadcast(i), "session")
+    return x.groupBy("regime").agg(F.count("*").alias("n_dates"), rnd(F.sum(F.log1p(F.col("r") * F.col("exposure"))), 5).alias("log_growth"), rnd(F.avg("exposure"), 5).alias("mean_exposure"))
+
+
 # folds and model choice
 
 
