@@ -104,13 +104,13 @@ def platt(rows: DataFrame, score: str, target: str, least_rows: int = 100):
     return Pipeline(stages=[VectorAssembler(inputCols=[score], outputCol="platt_score"), LogisticRegression(featuresCol="platt_score", labelCol=target, probabilityCol="platt", predictionCol="platt_class", rawPredictionCol="platt_raw")]).fit(known)
 
 
-def walk_forward(panel: DataFrame, features: list[str], label: str, folds: list[tuple[str, str]], embargo_days: int, kind: str = "linear") -> DataFrame:
+def walk_forward(panel: DataFrame, features: list[str], label: str, folds: list[tuple[str, str]], embargo_days: int, kind: str = "linear", **params) -> DataFrame:
     """Predictions of each test span [start, end) by a model fitted on all rows that end an embargo before it."""
     parts = []
     for k, (start, end) in enumerate(folds):
         cut = F.date_sub(F.lit(start).cast("date"), embargo_days)
         test = panel.where((F.col("session") >= start) & (F.col("session") < end))
-        parts.append(fitted(panel.where(F.col("session") < cut), features, label, kind).transform(test).select(F.lit(k).alias("fold"), "symbol", "session", label, "prediction"))
+        parts.append(fitted(panel.where(F.col("session") < cut), features, label, kind, **params).transform(test).select(F.lit(k).alias("fold"), "symbol", "session", label, "prediction"))
     return reduce(DataFrame.unionByName, parts)
 
 

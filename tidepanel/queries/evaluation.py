@@ -500,13 +500,40 @@ def normal_scores(spark: S, d: str) -> D:
     return v.panel_w(spark, d).select("symbol", "session", rnd(normal_ppf(p), 5).alias("normal_score"))
 
 
+def _spans(spark: S, d: str) -> list[tuple[str, str]]:
+    """First session and the day after the last one of each fold's test span; one row a fold comes to the driver."""
+    c = v.calendar_w(spark, d)
+    tests = lab.expanding_folds(c, 5, 4).where("role = 'test'").join(c, "idx").groupBy("fold").agg(F.min("session").alias("start"), F.date_add(F.max("session"), 1).alias("end"))
+    return [(str(r["start"]), str(r["end"])) for r in tests.orderBy("fold").collect()]
+
+
 @query("walk_forward_ic")
 def walk_forward_ic(spark: S, d: str) -> D:
     from ..operators.learning import walk_forward
 
-    p = v.panel_w(spark, d).where("vol is not null")
-    c = v.calendar_w(spark, d)
-    tests = lab.expanding_folds(c, 5, 4).where("role = 'test'").join(c, "idx").groupBy("fold").agg(F.min("session").alias("start"), F.date_add(F.max("session"), 1).alias("end"))
-    spans = [(str(r["start"]), str(r["end"])) for r in tests.orderBy("fold").collect()]  # one row a fold
+    p, spans = v.panel_w(spark, d).where("vol is not null"), _spans(spark, d)
     out = walk_forward(p, ["score", "vol"], "ret", spans, embargo_days=28)
     return ev.rank_ic(out, "prediction", "ret", ["fold", "session"]).groupBy("fold").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("n_dates"))
+
+
+@query("fold_predictions", """WITH c AS (SELECT *, count(*) OVER () AS n FROM calendar_w), f AS (SELECT unnest(range(5)) AS fold), x AS (SELECT fold, n, floor(n * 0.4) + fold * floor(n * (1 - 0.4) / 5) AS s, CASE WHEN fold = 4 THEN n ELSE floor(n * 0.4) + (fold + 1) * floor(n * (1 - 0.4) / 5) END AS e FROM f, (SELECT any_value(n) AS n FROM c)),
+  t AS (SELECT fold, min(session) AS first, max(session) AS last FROM x JOIN c ON idx >= s AND idx < e GROUP BY 1), m AS (SELECT fold, regr_slope(ret, score) AS b, regr_intercept(ret, score) AS a FROM t JOIN panel_w ON session < first - 28 GROUP BY 1)
+  SELECT fold, count(*) AS n_rows, round(avg(a + b * score), 4) AS mean_prediction, round(sqrt(avg((ret - a - b * score) * (ret - a - b * score))), 4) AS rmse FROM t JOIN m USING (fold) JOIN panel_w ON session BETWEEN first AND last GROUP BY 1""", ("panel_w", "calendar_w"))
+def fold_predictions(spark: S, d: str) -> D:
+    """Predictions of all folds put together: each by least squares on the sessions that end four weeks before its test span."""
+    from ..operators.learning import walk_forward
+
+    p = walk_forward(v.panel_w(spark, d), ["score"], "ret", _spans(spark, d), 28, regParam=0.0)
+    error = F.col("ret") - F.col("prediction")
+    return p.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n_rows"), r4(F.avg("prediction")).alias("mean_prediction"), r4(F.sqrt(F.avg(error * error))).alias("rmse"))
+
+
+@query("linear_attribution", """WITH m AS (SELECT covar_samp(ret, score) AS y1, covar_samp(ret, vol) AS y2, covar_samp(score, vol) AS c, var_samp(score) AS v1, var_samp(vol) AS v2 FROM panel_w WHERE vol IS NOT NULL)
+  SELECT 'score' AS feature, round((y1 * v2 - y2 * c) / (v1 * v2 - c * c), 4) AS weight FROM m UNION ALL SELECT 'vol', round((y2 * v1 - y1 * c) / (v1 * v2 - c * c), 4) FROM m""", P)
+def linear_attribution(spark: S, d: str) -> D:
+    """Weights of a least-squares model; rows with an unknown feature do not train."""
+    from ..operators.learning import attribution, fitted
+
+    features = ["score", "vol"]
+    weights = attribution(fitted(v.panel_w(spark, d), features, "ret", "linear", regParam=0.0), features)  # one number a feature
+    return spark.createDataFrame(list(weights.items()), "feature string, weight double").select("feature", r4(F.col("weight")).alias("weight"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import net_return, r6, sigmoid, rnd
 from ..operators import ingest as op
 from ..plans import views as v
-from ..sources.tables import file_stats, latest_version, new_path, table
+from ..sources.tables import check_policy, file_stats, latest_version, new_path, policy_digest, table, write_policy
 from ..streaming.drain import drain_json, latest_state
 from .registry import query
 
@@ -79,6 +79,32 @@ def stream_dead_letter(spark: S, d: str) -> D:
     return _stream(spark, d)[1].select("event_id", "reason")
 
 
+@query("stream_replayed", f"SELECT coalesce(({QUOTE_RULES}), 'valid') AS reason, count(*) AS n_rows FROM quotes_log GROUP BY 1", ("quotes_log",))
+def stream_replayed(spark: S, d: str) -> D:
+    """Rows of either sink by reason after a run, one with nothing new, and one that takes everything again because its checkpoint was lost."""
+    base, q = new_path(spark, "replay"), v.quotes_log(spark, d)
+    q.write.json(f"{base}/in")
+    for checkpoint in ("first", "first", "second"):
+        drain_json(spark, f"{base}/in", q.schema, _judge, f"{base}/valid", f"{base}/invalid", f"{base}/{checkpoint}")
+    judged = spark.read.parquet(f"{base}/valid").select(F.lit("valid").alias("reason")).unionByName(spark.read.parquet(f"{base}/invalid").select("reason"))
+    return judged.groupBy("reason").agg(F.count("*").alias("n_rows"))
+
+
+@query("policy_checked", "SELECT symbol, count(*) AS n_rows, true AS other_policy_refused FROM bars_w GROUP BY 1", ("bars_w",))
+def policy_checked(spark: S, d: str) -> D:
+    """A table written with the fingerprint of its rules: readers of the same rules get it, readers of others do not."""
+    path = new_path(spark, "policy")
+    v.bars_w(spark, d).write.parquet(path)
+    digest = write_policy(spark, path, {"bars": "weekly", "gaps": "absent"})
+    check_policy(spark, path, digest)
+    try:
+        check_policy(spark, path, policy_digest({"bars": "weekly", "gaps": "null"}))
+        refused = False
+    except ValueError:
+        refused = True
+    return spark.read.parquet(path).groupBy("symbol").agg(F.count("*").alias("n_rows")).withColumn("other_policy_refused", F.lit(refused))
+
+
 @query("latest_quote", "SELECT symbol, event_id, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS n FROM quotes_log) WHERE n = 1", ("quotes_log",))
 def latest_quote(spark: S, d: str) -> D:
     base, q = new_path(spark, "state"), v.quotes_log(spark, d).select("ts", "event_id", "symbol", "price", "volume", "event_type")

@@ -70,12 +70,16 @@ def ensure_table(spark: SparkSession, name: str, schema: StructType) -> None:
     spark.sql(f"CREATE TABLE {name} ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}) USING parquet")
 
 
-def write_policy(spark: SparkSession, path: str, policy: dict) -> str:
-    """Store the fingerprint of the rules that a table was made under, beside it."""
+def policy_digest(policy: dict) -> str:
     import hashlib
     import json
 
-    digest = hashlib.sha256(json.dumps(policy, sort_keys=True).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(policy, sort_keys=True).encode()).hexdigest()
+
+
+def write_policy(spark: SparkSession, path: str, policy: dict) -> str:
+    """Store the fingerprint of the rules that a table was made under, beside it."""
+    digest = policy_digest(policy)
     spark.range(1).selectExpr(f"'{digest}' AS digest").write.mode("overwrite").parquet(f"{path}_policy")
     return digest
 
