@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, pii, quality, sharding, simhash, substring, toxicity
+from . import attention_quality, bpe, chat, exact_dedup, packing, pii, prefix_trie, quality, sharding, simhash, substring, toxicity, vector_codes
+from .shared import labelled_sample
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +61,19 @@ FROM sized GROUP BY conv_id
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return _classified(spark, sf_dir, "toxic", toxicity, 0.3)
+
+
+def op12_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, "quality", attention_quality, 0.7)
+
+
+def _classified(spark: SparkSession, sf_dir: str, label: str, operator, least: float) -> DataFrame:
+    """Scores of a model that has not seen the labels of held-out rows."""
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", label)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    model = toxicity.fit(*toxicity.sample(docs, labels.where(~held_out)))
-    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    model = operator.fit(*labelled_sample(docs, labels.where(~held_out), label, operator.MAX_ROWS, operator.MAX_BYTES))
+    return operator.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +153,64 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op4_pack_sequences": op4_pack_sequences, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op9_substring_dedup": op9_substring_dedup, "op3_chat_format": op3_chat_format, "op7_quality_rules": op7_quality_rules, "op10_shard_bytes": op10_shard_bytes}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    head = F.crc32(conv.cast("string").cast("binary")) % 4
+    turns = prefix_trie.records(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_borrowed_heads(turns, head, conv - conv % 20, 3))
+
+
+#: SQL without a CRC-32 gets it bit by bit: a byte is mixed in, -1 stands for one shift.
+_CRC = "xor(list_reduce(flatten([[CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))]), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"
+
+OP11_SQL = rf"""
+WITH src AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM src)),
+re AS (SELECT ids.conv_id, 1 AS own, k, role, text FROM ids JOIN src ON src.conv_id = base AND k <= h
+  UNION ALL SELECT ids.conv_id, 2, k, role, text FROM ids JOIN src ON src.conv_id = ids.conv_id AND k > h),
+steps AS (SELECT conv_id, row_number() OVER w AS d, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words,
+  string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY own, k ROWS UNBOUNDED PRECEDING) AS path FROM re WINDOW w AS (PARTITION BY conv_id ORDER BY own, k)),
+members AS (SELECT conv_id, d, path, coalesce(lag(path) OVER (PARTITION BY conv_id ORDER BY d), '') AS above, words FROM steps
+  UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM ids),
+last AS (SELECT conv_id, max(d) AS d FROM members GROUP BY conv_id),
+nodes AS (SELECT path, min(members.d) AS d, min(above) AS above, min(words) AS words, min(members.conv_id) AS conv_id, count(*) AS n,
+  coalesce(string_agg(CAST(members.conv_id AS VARCHAR), ',' ORDER BY members.conv_id) FILTER (WHERE last.d = members.d), '') AS ends
+  FROM members JOIN last ON last.conv_id = members.conv_id GROUP BY path),
+children AS (SELECT above, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+valued AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children ON children.above = nodes.path),
+below AS (SELECT m.path, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum((n - 1) * v.words) AS saved FROM valued v JOIN members m ON m.conv_id = v.conv_id AND m.d <= v.d GROUP BY m.path)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM valued v JOIN below ON below.path = v.path LEFT JOIN nodes up ON up.path = v.above
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+def _op13_sql(rounds: int = 6) -> str:
+    steps = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "c AS MATERIALIZED (SELECT r, i // (n // 8) AS part, i % (n // 8) AS pos, CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM (SELECT r, len(embedding) AS n, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM v))",
+        "b0 AS MATERIALIZED (SELECT part, entry, pos, x FROM c JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 16) USING (r))",
+    ]
+    for k in range(rounds + 1):
+        near = f"SELECT c.r, c.part, b.entry, CAST(sum((c.x - b.x) * (c.x - b.x)) AS BIGINT) AS far FROM c JOIN b{k} b ON b.part = c.part AND b.pos = c.pos GROUP BY c.r, c.part, b.entry"
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, part, entry, far FROM ({near}) QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY far, entry) = 1)")
+        if k < rounds:
+            mean = f"SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM c JOIN a{k} USING (r, part) GROUP BY part, entry, pos"
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce((s - ((s % n + n) % n)) // n, b.x) AS x FROM b{k} b LEFT JOIN ({mean}) m ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos)")
+    return f"""
+WITH {", ".join(steps)},
+book AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds}),
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN coded USING (r), book
+"""
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op4_pack_sequences": op4_pack_sequences, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op9_substring_dedup": op9_substring_dedup, "op3_chat_format": op3_chat_format, "op7_quality_rules": op7_quality_rules, "op10_shard_bytes": op10_shard_bytes, "op11_prefix_trie": op11_prefix_trie, "op12_attention_quality": op12_attention_quality, "op13_vector_codes": op13_vector_codes}
 
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_vector_codes": _op13_sql()}

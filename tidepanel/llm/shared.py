@@ -8,6 +8,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,29 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -
     return left.join(hot, keys).unionByName(rest).drop(n)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int) -> tuple[list[str], list[int]]:
+    """Texts and labels (0 or 1) to fit a model on in the driver: of at most max_rows labelled documents, those of the least hashes of their ids,
+    with max_bytes of text in all. A text that no longer fits is passed over; those after it still count. Null labels and ids do not count, of
+    repeated ids the least text and the largest label do. docs: doc_id, text; labels: doc_id and the label."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label) != 0).cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so few rows that every task may have them
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows, path = written(rows, "labelled")
+    room, taken = max_bytes, []
+    for r in rows.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["size"] <= room:
+            room -= r["size"]
+            taken.append((r["doc_id"],))
+    if not taken:
+        warnings.warn(f"no labelled text to learn {label} from", stacklevel=2)
+        drop(docs.sparkSession, path)
+        return [], []
+    ids = docs.sparkSession.createDataFrame(taken, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}")
+    out = rows.join(F.broadcast(ids), "doc_id").orderBy("doc_id").collect()
+    drop(docs.sparkSession, path)
+    return [r["text"] for r in out], [r["label"] for r in out]
+
+
 def give_back() -> None:
     """Return memory that a Python worker no longer uses to the machine: workers outlive their tasks, and what one stage took would
     stand beside the needs of the next. Does nothing where the C library has no such call."""
