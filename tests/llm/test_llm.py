@@ -16,7 +16,7 @@ from tests.oracle import connect, same
 from tidepanel.llm import bpe, chat, exact_dedup, packing, pii, quality, queries, sharding, simhash, substring, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "one two three four five six seven eight nine ten"), (4, "one two three four five six seven eight nine ten"), (None, "no id"), (5, "é " * 4000), (6, "word " * 30), (7, "ab" * 500_000), (8, "0" * 5000 + ".1.1.1 " + "x y " * 20_000)]
+EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "one two three four five six seven eight nine ten"), (4, "one two three four five six seven eight nine ten"), (None, "no id"), (5, "é " * 4000), (6, "word " * 30), (7, "ab" * 500_000), (8, "0" * 5000 + ".1.1.1 " + "x y " * 20_000), (9, "no\xa0 \xa0break \u3000\u3000 wide \xa0")]
 DDL = "doc_id long, text string, kept string, shard string, keep_id string, fp string, row string, score string, `start` string"
 
 
@@ -56,6 +56,10 @@ def trained(seed=2):
 
 def test_every_operator_on_edges_and_empty_tables(edge, empty):
     path, model = queries.tokenizer_path, trained()[0]
+    chats = lambda d: chat.format_chats(d.select(F.col("doc_id").alias("conv_id"), F.col("fp").alias("role"), F.lit(0).alias("turn"), chat.text_part(F.col("text")).alias("parts"), "row", "score"))
+    assert chats(empty).count() == 0
+    out = chats(edge).select("conv_id", F.size(chat.read_back(F.col("formatted"))).alias("n")).collect()
+    assert sum(r["n"] for r in out) == len(EDGE) and len(out) == len({i for i, _ in EDGE})
     runs = {
         "exact": lambda d: exact_dedup.deduplicate(d).select("row.doc_id", "keep_id", "group_size", "kept"),
         "simhash": simhash.near_duplicates,
@@ -199,7 +203,7 @@ def test_packing_balances_cost():
     assert len(cost) == n and spread[-1] < 1.5 * spread[len(spread) // 2]
 
 
-ODD = ["", " ", "  ", "a  b", "a \n b", "foo\n  bar ", "x<|endoftext|> y", "İstanbul ΑΣ Σ", "a\x1cb c\x1f", "don't I'LL we've", "½ 12345 ²", "日本語 テスト　全角", "😀 hi", "aaaaaaaa aaa", "\xa0 x", "<|startoftext|>Hi<|endoftext|>", "é é", "ǅ ﬁ ẞ", "\x00 z"]
+ODD = ["", " ", "  ", "a  b", "a \n b", "foo\n  bar ", "x<|endoftext|> y", "İstanbul ΑΣ Σ", "a\x1cb c\x1f", "don't I'LL we've", "½ 12345 ²", "日本語 テスト　全角", "😀 hi", "aaaaaaaa aaa", "\xa0 x", "<|startoftext|>Hi<|endoftext|>", "é é", "ǅ ﬁ ẞ", "\x00 z", "a \xa0 \xa0 b", "Price:\xa0 \xa0 \xa0 5", "x \xa0 \xa0", "全\u3000\u3000 角 \u3000"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -214,6 +218,39 @@ def test_ids_equal_the_library(texts, name):
     assert ours(some) == want
 
 
+def test_packing_ids_among_white_space_of_all_kinds():
+    """Blanks between other white space, at ends and around special tokens: the library takes a run as one word."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    space = [" ", " ", " ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u3000", "\ufeff"]
+    pool = [*space, *space, "a", "b c", "É", "ß", "7", "½", "'s", ".", "é", "日", "😀", "<|endoftext|>", "Word"]
+    some = ["".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(100_000)]
+    lib = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    ours = packing.Ids(queries.tokenizer_path("byte_bpe_50k.json"))
+    for at in range(0, len(some), 20_000):
+        part = some[at : at + 20_000]
+        assert ours(part) == [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(part, add_special_tokens=False)]
+
+
+def test_packing_takes_the_cheapest_sequence_with_room():
+    """Against a search of all sequences for each document."""
+    rng = random.Random(12)
+    for sizes in ([rng.randint(1, 100) for _ in range(300)], [60] * 50 + [7] * 90, [1] * 500):
+        pieces, n = packing.pack(sizes, 100, 1.0, 0.01)
+        room, spent, want = [100] * n, [0.0] * n, {}
+        full = sum(s // 100 for s in sizes)
+        for size, d in sorted((-(s % 100), d) for d, s in enumerate(sizes) if s % 100):
+            fits = [(spent[k], k) for k in range(full, n) if room[k] >= -size]
+            if fits:
+                k = min(fits)[1]
+                want[d, sizes[d] // 100 * 100] = k
+                room[k] += size
+                spent[k] += packing.cost(-size, 1.0, 0.01)
+        got = {(d, start): s for d, start, length, s, _ in pieces}
+        assert all(got[k] == s for k, s in want.items()) and sum(p[2] for p in pieces) == sum(sizes)
+
+
 def test_bpe_query_decodes_as_the_library(spark, data, texts):
     from tokenizers import Tokenizer
 
@@ -324,6 +361,17 @@ def test_substring_ties_and_self_repeats(spark):
     assert got[3]["n_removed"] == 49 and got[4]["n_removed"] == 0 and got[5]["n_words"] == 0
 
 
+def test_shards_are_cut_where_a_plain_loop_cuts(spark, data, texts):
+    sizes = {i: len(t.encode()) + 8 for i, t in texts.items()}
+    total, before, slots, want = sum(sizes.values()), 0, Counter(), {}
+    for i in sorted(sizes):
+        shard = min(23, (2 * before + sizes[i]) * 24 // (2 * total))  # where its middle byte lies among 24 equal parts
+        want[i] = (shard, slots[shard])
+        slots[shard] += 1
+        before += sizes[i]
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in queries.op10_shard_bytes(spark, data).collect()} == want
+
+
 def test_sharding_is_contiguous_and_balanced(spark, data, texts):
     rows = sorted(queries.op10_shard_bytes(spark, data).collect(), key=lambda r: r["doc_id"])
     assert [r["doc_id"] for r in rows] == sorted(texts)

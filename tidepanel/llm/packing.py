@@ -5,12 +5,14 @@ is its ids and a closing id 0. Pieces of the full length fill sequences of their
 in descending order to the sequence of the lowest estimated cost (linear plus quadratic, as attention has it) among those that
 have room. What fits nowhere whole is cut over the room that is left, so a block pads less than one sequence in all.
 
-Null texts count as empty: one token. Repeated rows are packed each. An empty table gives no rows.
+Null texts count as empty: one token. Repeated rows are packed each. An empty table gives no rows. Texts of any length are tokenized whole
+and cut over as many sequences as they need; a block ends with the document that fills it.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import zlib
 from array import array
@@ -58,6 +60,8 @@ class _Known(dict):
 
 #: Where a text may be cut: before a blank that a word follows. Of a run of blanks that is the last one.
 CUT = re.compile(r" (?=\S)")
+#: Where each blank is such a place if this is nowhere found: two characters of white space (of any kind) in a row, or one at the end.
+RUNS = re.compile(r"\s\s|\s$|\s\Z")
 
 
 class Ids:
@@ -90,7 +94,7 @@ class Ids:
         return b"".join([self.special[part] if k % 2 else self.cut(part) for k, part in enumerate(self.between.split(text))])
 
     def cut(self, text: str) -> bytes:
-        first, *rest = CUT.split(text) if "  " in text or text.endswith(" ") else text.split(" ")
+        first, *rest = CUT.split(text) if RUNS.search(text) else text.split(" ")
         return b"".join([self.piece(first), *map(self.known.__getitem__, rest)])
 
     def piece(self, piece: str) -> bytes:
@@ -125,24 +129,35 @@ def pack(lengths: list[int], capacity: int, linear: float, quadratic: float) ->
     if not rest:
         return pieces, n
     bins = -(-sum(-r for r, _, _ in rest) // capacity)
-    room, spent, left = np.full(bins, capacity), np.zeros(bins), []
+    room, left = [capacity] * bins, []
+    # sequences by cost; one whose room is too small for this document is set aside until a smaller one comes
+    open_, aside = [(0.0, at) for at in range(bins)], []
 
-    def put(d: int, start: int, length: int, at: int) -> None:
-        pieces.append((d, start, length, n + at, capacity - int(room[at])))
+    def put(d: int, start: int, length: int, at: int, spent: float) -> None:
+        pieces.append((d, start, length, n + at, capacity - room[at]))
         room[at] -= length
-        spent[at] += cost(length, linear, quadratic)
+        if room[at]:
+            heapq.heappush(open_, (spent + cost(length, linear, quadratic), at))
 
     for size, d, start in sorted(rest):
-        at = int(np.argmin(np.where(room >= -size, spent, np.inf)))
-        if room[at] >= -size:
-            put(d, start, -size, at)
+        while aside and -aside[0][0] >= -size:
+            _, spent, at = heapq.heappop(aside)
+            heapq.heappush(open_, (spent, at))
+        while open_ and room[open_[0][1]] < -size:
+            spent, at = heapq.heappop(open_)
+            heapq.heappush(aside, (-room[at], spent, at))
+        if open_:
+            spent, at = heapq.heappop(open_)
+            put(d, start, -size, at, spent)
         else:
             left.append((d, start, -size))
+    for _, spent, at in aside:
+        heapq.heappush(open_, (spent, at))
     for d, start, size in left:
         while size:
-            at = int(np.argmin(np.where(room > 0, spent, np.inf)))
-            part = min(size, int(room[at]))
-            put(d, start, part, at)
+            spent, at = heapq.heappop(open_)
+            part = min(size, room[at])
+            put(d, start, part, at, spent)
             start, size = start + part, size - part
     return pieces, n + bins
 
