@@ -81,11 +81,13 @@ def stream_dead_letter(spark: S, d: str) -> D:
 
 @query("stream_replayed", f"SELECT coalesce(({QUOTE_RULES}), 'valid') AS reason, count(*) AS n_rows FROM quotes_log GROUP BY 1", ("quotes_log",))
 def stream_replayed(spark: S, d: str) -> D:
-    """Rows of either sink by reason after a run, one with nothing new, and one that takes everything again because its checkpoint was lost."""
+    """Rows of either sink by reason: a run over some files in batches of one, more files, the checkpoint lost so that all comes again in one
+    batch, and the last files."""
     base, q = new_path(spark, "replay"), v.quotes_log(spark, d)
-    q.write.json(f"{base}/in")
-    for checkpoint in ("first", "first", "second"):
-        drain_json(spark, f"{base}/in", q.schema, _judge, f"{base}/valid", f"{base}/invalid", f"{base}/{checkpoint}")
+    part = F.pmod(F.col("event_id"), F.lit(5))
+    for k, checkpoint, files in ((0, "first", "1"), (1, "first", "1"), (2, "second", "100"), (3, "second", "2"), (4, "third", "3")):
+        q.where(part == k).repartition(2).write.json(f"{base}/in/arrived={k}")
+        drain_json(spark, f"{base}/in/*", q.schema, _judge, f"{base}/valid", f"{base}/invalid", f"{base}/{checkpoint}", maxFilesPerTrigger=files)
     judged = spark.read.parquet(f"{base}/valid").select(F.lit("valid").alias("reason")).unionByName(spark.read.parquet(f"{base}/invalid").select("reason"))
     return judged.groupBy("reason").agg(F.count("*").alias("n_rows"))
 
@@ -107,10 +109,14 @@ def policy_checked(spark: S, d: str) -> D:
 
 @query("latest_quote", "SELECT symbol, event_id, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS n FROM quotes_log) WHERE n = 1", ("quotes_log",))
 def latest_quote(spark: S, d: str) -> D:
+    """From keyed state: half of the log, then, after a lost checkpoint, all of it, the older half last."""
     base, q = new_path(spark, "state"), v.quotes_log(spark, d).select("ts", "event_id", "symbol", "price", "volume", "event_type")
-    q.write.json(f"{base}/in")
-    path = latest_state(spark, f"{base}/in", q.schema, "symbol", "ts", f"{base}/store", f"{base}/checkpoint")
-    return spark.read.schema(q.schema).parquet(path).select("symbol", "event_id", "price")
+    late = F.pmod(F.col("event_id"), F.lit(2)) == 0
+    q.where(~late).write.json(f"{base}/in/part=1")
+    latest_state(spark, f"{base}/in/*", q.schema, "symbol", "ts", f"{base}/store", f"{base}/first")
+    q.where(late).write.json(f"{base}/in/part=2")
+    out = latest_state(spark, f"{base}/in/*", q.schema, "symbol", "ts", f"{base}/store", f"{base}/second")
+    return out.select("symbol", "event_id", "price")
 
 
 @query("late_corrections", """WITH log AS (SELECT *, 0 AS batch FROM bars_w UNION ALL SELECT symbol, session, open, high, low, round(close * 1.01, 4), volume, 1 FROM bars_w WHERE session >= DATE '2001-09-03' AND symbol % 2 = 0)

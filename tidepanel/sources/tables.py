@@ -34,6 +34,46 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tidepanel/{tag}-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if it does not exist."""
+    at, system = _at(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to its end."""
+    at, system = _at(spark, f"{path}/_SUCCESS")
+    return system.exists(at)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder; one that stands at the target already is replaced, and without a source nothing happens."""
+    (a, system), (b, _) = _at(spark, source), _at(spark, target)
+    if system.exists(a):
+        system.mkdirs(b.getParent())
+        system.delete(b, True)
+        if not system.rename(a, b):
+            raise OSError(f"{source} could not be moved to {target}")
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at, system = _at(spark, path)
+        system.delete(at, True)
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table of its own in the shared folder: lineage ends there."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unless_empty(rows: DataFrame, step):
     """step(rows), or None where there is no row to work on: a stage that has nothing to do is passed over."""
     return None if rows.isEmpty() else step(rows)
