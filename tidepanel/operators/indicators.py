@@ -1,47 +1,7 @@
-"""Indicators that depend on all earlier rows of a series: exponential averages and what is made of them."""
+"""Indicators that depend on all earlier rows of a series: exponential averages and what is made of them, and the trend filter."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from .scans import ema_macd_rsi, kalman_trend
 
-EMA_SCHEMA = "symbol long, trade_date date, ema_12 double, ema_26 double, macd double, macd_signal double, rsi_14 double"
-
-
-def ema_macd_rsi(bars: DataFrame) -> DataFrame:
-    """Averages start at the first bar; RSI is known from bar 15, 100 without a loss, null where nothing moved. A series is a task's group: one symbol's bars."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date")
-        close = pdf["close"]
-        fast, slow = close.ewm(span=12, adjust=False).mean(), close.ewm(span=26, adjust=False).mean()
-        macd = fast - slow
-        move = close.diff()
-        gain = move.clip(lower=0).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()
-        loss = (-move).clip(lower=0).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rsi = 100 - 100 / (1 + gain / loss)
-        rsi = rsi.where(loss != 0, np.where(gain > 0, 100.0, np.nan)).where(gain.notna())
-        return pd.DataFrame({"symbol": pdf["symbol"], "trade_date": pdf["trade_date"], "ema_12": fast, "ema_26": slow, "macd": macd, "macd_signal": macd.ewm(span=9, adjust=False).mean(), "rsi_14": rsi.astype(object).where(rsi.notna(), None)})
-
-    return bars.select("symbol", "trade_date", "close").groupBy("symbol").applyInPandas(run, EMA_SCHEMA)
-
-
-def kalman_trend(bars: DataFrame, level: float = 0.01, slope: float = 0.0001, noise: float = 0.05) -> DataFrame:
-    """Local linear trend filter of log closes per (symbol, segment): filtered slope and its standard score."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date")
-        y = np.log(pdf["close"].to_numpy(float))
-        x, p = np.array([y[0], 0.0]), np.eye(2)
-        step, drift = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([level**2, slope**2])
-        out = np.empty((len(y), 2))
-        for k, value in enumerate(y):
-            x, p = step @ x, step @ p @ step.T + drift
-            gain = p[:, 0] / (p[0, 0] + noise**2)
-            x, p = x + gain * (value - x[0]), p - np.outer(gain, p[0])
-            out[k] = x[1], x[1] / np.sqrt(p[1, 1])
-        return pd.DataFrame({"symbol": pdf["symbol"], "trade_date": pdf["trade_date"], "trend": out[:, 0], "trend_score": out[:, 1]})
-
-    return bars.select("symbol", "segment", "trade_date", "close").groupBy("symbol", "segment").applyInPandas(run, "symbol long, trade_date date, trend double, trend_score double")
+__all__ = ["ema_macd_rsi", "kalman_trend"]

@@ -45,10 +45,3 @@ def purged_folds(calendar: DataFrame, folds: int, embargo: int) -> DataFrame:
     role = F.when((F.col("idx") >= start) & (F.col("idx") < end), "test").when((F.col("idx") < start - embargo) | (F.col("idx") >= end + embargo), "train")
     return c.withColumn("role", role).where("role is not null").select("fold", "idx", "role")
 
-
-def first_overlap(rows: DataFrame, events: DataFrame, key: str, entry: str, exit_: str) -> DataFrame:
-    """rows with `crossed`: whether a window [impact_start, impact_end] of its key meets [entry, exit]. events: few rows, sent to all tasks by the planner if they are."""
-    e = events.select(F.col(key).alias("_k"), "impact_start", "impact_end")
-    meets = (F.col(key) == F.col("_k")) & (F.col(entry) <= F.col("impact_end")) & (F.col(exit_) >= F.col("impact_start"))
-    hit, clear = rows.join(e, meets, "left_semi"), rows.join(e, meets, "left_anti")
-    return hit.withColumn("crossed", F.lit(True)).unionByName(clear.withColumn("crossed", F.lit(False)))

@@ -82,6 +82,15 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
     return sup.select(F.concat(F.lit("E"), F.col("s_suppkey")).alias("event_id"), F.col("s_suppkey").alias("symbol"), F.lit("1996-03-04").cast("date").alias("impact_start"), F.lit("1996-03-18").cast("date").alias("impact_end"))
 
 
+def ledger_many(spark: SparkSession, d: str) -> DataFrame:
+    """Windows that the shipments give: two for each first line of every fortieth order, the second inside or past the first."""
+    li = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 40 = 0")
+    k, ship, size = F.col("k"), F.to_date("l_shipdate"), F.col("l_quantity").cast("int")
+    return li.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.concat(F.lit("L"), "l_orderkey", F.lit("-"), "k").alias("event_id"), F.col("l_suppkey").alias("symbol"), F.date_add(ship, 5 * k).alias("impact_start"), F.date_add(ship, size + 20 * k).alias("impact_end")
+    )
+
+
 def quotes_log(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select("event_id", F.col("user_id").alias("symbol"), "ts", F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("volume"), "event_type")
@@ -127,6 +136,7 @@ SQL = {
     round(sum(l_extendedprice * l_tax), 2) AS debt, CAST(sum(l_quantity) AS BIGINT) AS shares FROM lineitem GROUP BY 1, 2) JOIN supplier ON l_suppkey = s_suppkey""",
     ),
     "ledger": ((), "SELECT 'E' || s_suppkey AS event_id, s_suppkey AS symbol, DATE '1996-03-04' AS impact_start, DATE '1996-03-18' AS impact_end FROM supplier WHERE s_suppkey % 10 = 3"),
+    "ledger_many": ((), "SELECT 'L' || l_orderkey || '-' || k AS event_id, l_suppkey AS symbol, CAST(l_shipdate AS DATE) + CAST(5 * k AS INT) AS impact_start, CAST(l_shipdate AS DATE) + CAST(l_quantity + 20 * k AS INT) AS impact_end FROM lineitem, (SELECT unnest([0, 1]) AS k) WHERE l_linenumber = 1 AND l_orderkey % 40 = 0"),
     "quotes_log": ((), "SELECT event_id, user_id AS symbol, ts, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS volume, event_type FROM events"),
     "panel_w": (
         ("bars_w", "universe"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import average_rank, change, need, r4, r6, ratio, rows, series, rnd
 from ..operators import indicators as ind
 from ..operators import labels as lab
+from ..operators.events import crossed, mark_segments, meeting_pairs
 from ..plans import views as v
 from .registry import query
 
@@ -54,7 +55,8 @@ def ema_macd_rsi(spark: S, d: str) -> D:
 
 @query("kalman_trend")
 def kalman_trend(spark: S, d: str) -> D:
-    return ind.kalman_trend(_segments(spark, d).withColumnRenamed("session", "trade_date"))
+    s = mark_segments(v.bars_w(spark, d), v.ledger(spark, d)).withColumnRenamed("session", "trade_date")
+    return ind.kalman_trend(s).drop("segment")
 
 
 _RET = "SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS r FROM bars_d"
@@ -363,35 +365,69 @@ def drawdown_curve(spark: S, d: str) -> D:
     return x.select("symbol", "session", r6(F.col("dd")).alias("drawdown"), r6(F.min("dd").over(run)).alias("worst"))
 
 
-def _segments(spark: S, d: str) -> D:
-    """Weekly bars with `segment` (events that began before) and `impacted` (inside a window)."""
-    e = v.ledger(spark, d).select("symbol", "impact_start", "impact_end")
-    b = v.bars_w(spark, d).join(F.broadcast(e), "symbol", "left")
-    inside = F.coalesce(F.col("session").between(F.col("impact_start"), F.col("impact_end")), F.lit(False))
-    return b.withColumn("impacted", inside).withColumn("segment", F.coalesce((F.col("session") > F.col("impact_end")).cast("int"), F.lit(0)))
-
-
 @query("segment_reset", """WITH s AS (SELECT b.symbol, session, close, coalesce(session BETWEEN impact_start AND impact_end, false) AS impacted, coalesce(CAST(session > impact_end AS INT), 0) AS segment FROM bars_w b LEFT JOIN ledger l ON b.symbol = l.symbol),
   k AS (SELECT *, count(*) OVER f AS n, avg(close) OVER f AS m FROM s WHERE NOT impacted WINDOW f AS (PARTITION BY symbol, segment ORDER BY session ROWS BETWEEN 12 PRECEDING AND CURRENT ROW))
   SELECT s.symbol, s.session, s.segment, CASE WHEN n >= 13 THEN round(m, 4) END AS sma_13 FROM s LEFT JOIN k ON s.symbol = k.symbol AND s.session = k.session""", ("bars_w", "ledger"))
 def segment_reset(spark: S, d: str) -> D:
-    s = _segments(spark, d)
-    w = Window.partitionBy("symbol", "segment", "impacted").orderBy("session")
-    return s.select("symbol", "session", "segment", F.when(~F.col("impacted"), r4(need(13, F.col("close"), F.avg, w))).alias("sma_13"))
+    s = mark_segments(v.bars_w(spark, d), v.ledger(spark, d))
+    w = Window.partitionBy("symbol", "segment").orderBy("session")
+    return s.select("symbol", "session", F.col("ended").cast("int").alias("segment"), F.when(~F.col("impacted"), r4(need(13, F.col("close"), F.avg, w))).alias("sma_13"))
+
+
+_MANY = """s AS (SELECT symbol, session, close, (SELECT count(*) FROM ledger_many l WHERE l.symbol = b.symbol AND impact_start <= session) + (SELECT count(*) FROM ledger_many l WHERE l.symbol = b.symbol AND impact_end < session) AS segment,
+  EXISTS (SELECT 1 FROM ledger_many l WHERE l.symbol = b.symbol AND session BETWEEN impact_start AND impact_end) AS impacted FROM bars_w b)"""
+
+
+@query("segments_many", f"""WITH {_MANY} SELECT symbol, session, segment, impacted, CASE WHEN NOT impacted AND count(*) OVER f = 5 THEN round(avg(close) OVER f, 4) END AS sma_5 FROM s
+  WINDOW f AS (PARTITION BY symbol, segment ORDER BY session ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""", ("bars_w", "ledger_many"))
+def segments_many(spark: S, d: str) -> D:
+    """Features start anew at each start and end of any of a symbol's windows, and are unknown inside."""
+    s = mark_segments(v.bars_w(spark, d), v.ledger_many(spark, d))
+    w = Window.partitionBy("symbol", "segment").orderBy("session")
+    return s.select("symbol", "session", "segment", "impacted", F.when(~F.col("impacted"), r4(need(5, F.col("close"), F.avg, w))).alias("sma_5"))
+
+
+@query("trend_segments", f"""WITH RECURSIVE {_MANY}, b AS (SELECT symbol, segment, session, ln(close) AS y, row_number() OVER (PARTITION BY symbol, segment ORDER BY session) AS n FROM s),
+  g AS (SELECT 1 AS n, 1.0::DOUBLE AS p, 0.0::DOUBLE AS c, 1.0::DOUBLE AS q, 0.0::DOUBLE AS a, 0.0::DOUBLE AS h UNION ALL SELECT n + 1, (1 - a2) * pp, (1 - a2) * pc, pq - h2 * pc, a2, h2 FROM
+    (SELECT *, pp / (pp + 0.0025) AS a2, pc / (pp + 0.0025) AS h2 FROM (SELECT n, p + 2 * c + q + 0.0001 AS pp, c + q AS pc, q + 0.00000001 AS pq FROM g WHERE n <= 400))),
+  e AS (SELECT symbol, segment, n, y AS x0, 0.0::DOUBLE AS v0, y, 1 AS k FROM b WHERE n = 1),
+  f AS (SELECT e.symbol, e.segment, e.n, (1 - g.a) * (x0 + v0) + g.a * e.y AS x, v0 + g.h * (e.y - x0 - v0) AS v FROM e JOIN g ON g.n = 2
+    UNION ALL SELECT b.symbol, b.segment, b.n, (1 - g.a) * (f.x + f.v) + g.a * b.y, f.v + g.h * (b.y - f.x - f.v) FROM f JOIN b ON b.symbol = f.symbol AND b.segment = f.segment AND b.n = f.n + 1 JOIN g ON g.n = b.n + 1)
+  SELECT b.symbol, b.session, round(f.v, 6) AS trend, round(f.v / sqrt(g.q), 4) AS trend_score FROM f JOIN b ON b.symbol = f.symbol AND b.segment = f.segment AND b.n = f.n JOIN g ON g.n = f.n + 1""", ("bars_w", "ledger_many"))
+def trend_segments(spark: S, d: str) -> D:
+    """The trend filter, begun anew in each segment of several windows a symbol."""
+    s = mark_segments(v.bars_w(spark, d), v.ledger_many(spark, d)).withColumnRenamed("session", "trade_date")
+    return ind.kalman_trend(s).select("symbol", F.col("trade_date").alias("session"), r6(F.col("trend")).alias("trend"), r4(F.col("trend_score")).alias("trend_score"))
 
 
 @query("mask_labels", """WITH x AS (SELECT symbol, session, lead(session, 4) OVER w AS exit, lead(close, 4) OVER w / close - 1 AS r FROM bars_w WINDOW w AS (PARTITION BY symbol ORDER BY session))
   SELECT x.symbol, session, CASE WHEN EXISTS (SELECT 1 FROM ledger l WHERE l.symbol = x.symbol AND x.session <= impact_end AND x.exit >= impact_start) THEN NULL ELSE round(r, 6) END AS fwd_4 FROM x WHERE exit IS NOT NULL""", ("bars_w", "ledger"))
 def mask_labels(spark: S, d: str) -> D:
     x = v.bars_w(spark, d).select("symbol", "session", F.lead("session", 4).over(ws()).alias("exit"), lab.forward_return(F.col("close"), 4, ws()).alias("r")).where("exit is not null")
-    return lab.first_overlap(x, v.ledger(spark, d), "symbol", "session", "exit").select("symbol", "session", F.when(~F.col("crossed"), r6(F.col("r"))).alias("fwd_4"))
+    return crossed(x, v.ledger(spark, d), "symbol", "session", "exit").select("symbol", "session", F.when(~F.col("crossed"), r6(F.col("r"))).alias("fwd_4"))
+
+
+@query("mask_labels_many", """WITH x AS (SELECT symbol, session, lead(session, 4) OVER w AS exit, lead(close, 4) OVER w / close - 1 AS r FROM bars_w WINDOW w AS (PARTITION BY symbol ORDER BY session))
+  SELECT x.symbol, session, CASE WHEN EXISTS (SELECT 1 FROM ledger_many l WHERE l.symbol = x.symbol AND x.session <= impact_end AND x.exit >= impact_start) THEN NULL ELSE round(r, 6) END AS fwd_4 FROM x""", ("bars_w", "ledger_many"))
+def mask_labels_many(spark: S, d: str) -> D:
+    """Labels whose holding window meets any of several, also overlapping, event windows of the symbol are unknown."""
+    x = v.bars_w(spark, d).select("symbol", "session", F.lead("session", 4).over(ws()).alias("exit"), lab.forward_return(F.col("close"), 4, ws()).alias("r"))
+    return crossed(x, v.ledger_many(spark, d), "symbol", "session", "exit").select("symbol", "session", F.when(~F.col("crossed"), r6(F.col("r"))).alias("fwd_4"))
 
 
 @query("event_overlap", "SELECT symbol, session, event_id FROM bars_w JOIN ledger USING (symbol) WHERE session <= impact_end AND session + 28 >= impact_start", ("bars_w", "ledger"))
 def event_overlap(spark: S, d: str) -> D:
-    b, e = v.bars_w(spark, d), v.ledger(spark, d)
-    near = (b.symbol == e.symbol) & (b.session <= e.impact_end) & (F.date_add(b.session, 28) >= e.impact_start)
-    return b.join(e, near).select(b.symbol, "session", "event_id")
+    return _overlaps(spark, d, v.ledger(spark, d))
+
+
+@query("event_overlap_many", "SELECT symbol, session, event_id FROM bars_w JOIN ledger_many USING (symbol) WHERE session <= impact_end AND session + 28 >= impact_start", ("bars_w", "ledger_many"))
+def event_overlap_many(spark: S, d: str) -> D:
+    return _overlaps(spark, d, v.ledger_many(spark, d))
+
+
+def _overlaps(spark: S, d: str, events: D) -> D:
+    held = v.bars_w(spark, d).select("symbol", "session", F.date_add("session", 28).alias("until"))
+    return meeting_pairs(held, events, "symbol", ("session", "until"), ("impact_start", "impact_end")).select("symbol", "session", "event_id")
 
 
 @query("sequences", "SELECT symbol, session, round(first_close, 4) AS first_close, CAST(20 AS BIGINT) AS n FROM (SELECT symbol, session, idx, first_value(idx) OVER f AS i0, first_value(close) OVER f AS first_close, count(*) OVER f AS n FROM bars_x WINDOW f AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE n = 20 AND idx - i0 = 19", ("bars_x",))

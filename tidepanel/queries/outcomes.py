@@ -9,7 +9,7 @@ from ..functions.windows import net_return, r4, r6, rnd
 from ..operators import outcomes as op
 from ..operators.asof import next_within
 from ..operators.evaluation import top_k
-from ..operators.labels import first_overlap
+from ..operators.events import crossed
 from ..plans import views as v
 from .registry import query
 
@@ -149,7 +149,7 @@ def eligibility(spark: S, d: str) -> D:
     """Every reason that holds, not the first; events count from their start as known then."""
     p = v.panel_w(spark, d).withColumn("until", F.col("session"))
     e = v.ledger(spark, d).select("symbol", "impact_start", F.date_add("impact_end", 90).alias("impact_end"))
-    x = first_overlap(p, e, "symbol", "session", "until")
+    x = crossed(p, e, "symbol", "session", "until")
     why = F.array(F.when(F.col("close") < 1500, "price"), F.when(F.col("vol").isNull() | (F.col("vol") > 0.5), "volatility"), F.when(F.col("volume") < 100, "liquidity"), F.when(F.col("crossed"), "event"))
     return x.withColumn("reasons", F.array_compact(why)).withColumn("eligible", F.size("reasons") == 0)
 
@@ -184,7 +184,7 @@ def matched_control(spark: S, d: str) -> D:
 def adjusted_return(spark: S, d: str) -> D:
     w = Window.partitionBy("symbol").orderBy("session")
     x = v.bars_w(spark, d).select("symbol", "session", F.coalesce(F.lead("session", 4).over(w), "session").alias("until"), (F.lead("close", 4).over(w) / F.col("close") - 1).alias("r"))
-    x = first_overlap(x, v.ledger(spark, d), "symbol", "session", "until")
+    x = crossed(x, v.ledger(spark, d), "symbol", "session", "until")
     return x.select("symbol", "session", F.when(F.col("crossed"), "corporate_action").when(F.col("r").isNull(), "missing_price").alias("reason"), F.when(~F.col("crossed"), r6(F.col("r"))).alias("adjusted"))
 
 
