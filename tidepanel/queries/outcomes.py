@@ -66,12 +66,18 @@ _SC = "sc AS (SELECT s.*, name, fee AS f, delay AS dl FROM sig s, (VALUES ('base
 
 @query("scenarios", f"WITH {_SIG}, {_SC}, {_out_sql('o', 'sc', fee='s.f', delay='s.dl', extra='name')} SELECT name, count(*) AS n, count(net) AS complete, round(avg(net), 6) AS mean_net FROM o GROUP BY 1", OV)
 def scenarios(spark: S, d: str) -> D:
-    """Costs and delays over the same signals."""
-    base, parts = signals(spark, d).select("symbol", "idx"), []
-    for name, fee, delay in (("base", 0.001, 1), ("costly", 0.003, 1), ("late", 0.001, 2)):
-        o = op.trade_outcomes(base, v.bars_x(spark, d), v.ledger(spark, d), H, 0.3, fee, 0.001, last_idx(spark, d), delay)
-        parts.append(o.agg(F.count("*").alias("n"), F.count("net").alias("complete"), r6(F.avg("net")).alias("mean_net")).withColumn("name", F.lit(name)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Costs and delays over the same signals, all in one pass."""
+    cases = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("fee"), F.lit(w).alias("delay")) for n, f, w in (("base", 0.001, 1), ("costly", 0.003, 1), ("late", 0.001, 2))])
+    s = signals(spark, d).select("symbol", "idx", F.explode(cases).alias("c")).select("symbol", "idx", "c.*")
+    o = op.trade_outcomes(s, v.bars_x(spark, d), v.ledger(spark, d), H, 0.3, F.col("fee"), 0.001, last_idx(spark, d), F.col("delay"))
+    return o.groupBy("name").agg(F.count("*").alias("n"), F.count("net").alias("complete"), r6(F.avg("net")).alias("mean_net"))
+
+
+@query("long_outcome", f"WITH {_SIG}, {_out_sql('o', 'sig', h='60', stop='0.5')} SELECT symbol, idx, status, entry_idx, exit_idx, round(net, 6) AS net FROM o".replace("ledger l", "ledger_many l"), ("panel_w", "calendar_w", "bars_x", "ledger_many"))
+def long_outcome(spark: S, d: str) -> D:
+    """Held for sixty sessions with a wide stop, among several event windows a symbol."""
+    o = op.trade_outcomes(signals(spark, d).select("symbol", "idx"), v.bars_x(spark, d), v.ledger_many(spark, d), 60, 0.5, 0.001, 0.001, last_idx(spark, d))
+    return o.withColumn("net", r6(F.col("net")))
 
 
 _BASKET = "bk AS (SELECT idx, count(*) AS members, count(net) AS known, CASE WHEN count(net) = count(*) THEN sum(net) / 5 END AS basket FROM o GROUP BY 1)"
