@@ -60,8 +60,6 @@ class _Known(dict):
 
 #: Where a text may be cut: before a blank that a word follows. Of a run of blanks that is the last one.
 CUT = re.compile(r" (?=\S)")
-#: Where each blank is such a place if this is nowhere found: two characters of white space (of any kind) in a row, or one at the end.
-RUNS = re.compile(r"\s\s|\s$|\s\Z")
 
 
 class Ids:
@@ -73,7 +71,7 @@ class Ids:
 
     def __init__(self, path: str):
         self.lib = _tokenizer(path)
-        self.known, self.words = _Known(lambda w: self.piece(" " + w)), _Known(self.word)
+        self.known, self.words = _Known(self.after_blank), _Known(self.word)
         added = self.lib.get_added_tokens_decoder()
         self.model, self.special = self.lib.model, {t.content: array("I", [k]).tobytes() for k, t in added.items()}
         self.plain = all(t.special and not (t.lstrip or t.rstrip or t.single_word or " " in t.content) for t in added.values())
@@ -94,8 +92,16 @@ class Ids:
         return b"".join([self.special[part] if k % 2 else self.cut(part) for k, part in enumerate(self.between.split(text))])
 
     def cut(self, text: str) -> bytes:
-        first, *rest = CUT.split(text) if RUNS.search(text) else text.split(" ")
-        return b"".join([self.piece(first), *map(self.known.__getitem__, rest)])
+        first, *rest = text.split(" ")
+        try:
+            return b"".join([self.piece(first), *map(self.known.__getitem__, rest)])
+        except TypeError:  # some blank has no word after it
+            first, *rest = CUT.split(text)
+            return b"".join([self.piece(first), *map(self.known.__getitem__, rest)])
+
+    def after_blank(self, piece: str) -> bytes | None:
+        """Ids of a blank and what follows it; None where that is the end or white space of any kind, as the library takes such runs whole."""
+        return self.piece(" " + piece) if piece and not piece[0].isspace() else None
 
     def piece(self, piece: str) -> bytes:
         if not piece.isascii() and max(piece) >= "\u0250":
