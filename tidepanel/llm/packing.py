@@ -77,6 +77,7 @@ class Ids:
         self.plain = all(t.special and not (t.lstrip or t.rstrip or t.single_word or " " in t.content) for t in added.values())
         self.between = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.shown = {k: ord(c) for k, c in enumerate(byte_symbols())}
+        self.blank = chr(self.shown[32])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -101,6 +102,8 @@ class Ids:
 
     def after_blank(self, piece: str) -> bytes | None:
         """Ids of a blank and what follows it; None where that is the end or white space of any kind, as the library takes such runs whole."""
+        if piece.isascii() and piece.isalpha():
+            return self.tokens(self.blank + piece)
         return self.piece(" " + piece) if piece and not piece[0].isspace() else None
 
     def piece(self, piece: str) -> bytes:
@@ -111,8 +114,10 @@ class Ids:
         return b"".join(map(self.words.__getitem__, WORDS.findall(piece)))
 
     def word(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.shown)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return self.tokens(word.encode().decode("latin-1").translate(self.shown))
+
+    def tokens(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
