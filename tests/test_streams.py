@@ -7,8 +7,9 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from tidepanel.sources import topics
 from tidepanel.sources.tables import delete, folder
-from tidepanel.streaming.drain import compact_changes, drain_json, latest_state, read_state
+from tidepanel.streaming.drain import compact_changes, drain, drain_json, latest_state, log_topics, read_state
 
 SCHEMA = "id long, price double"
 
@@ -97,3 +98,25 @@ def test_latest_state_over_restarts_replays_and_late_rows(spark, tmp_path, schem
     assert {r["id"]: r["price"] for r in read_state(spark, schema, "id", "price", at("store")).collect()} == {1: 5.0, 2: 7.0, 3: 1.0, 4: 2.0}
     delete(spark, at("store"))
     assert read_state(spark, schema, "id", "price", at("store")).count() == 0
+
+
+def test_a_log_of_topics_is_read_by_offsets(spark, tmp_path, schema):
+    """Segments go on where a partition ended; the checkpoint keeps an offset for each partition of each topic; lost, it doubles nothing."""
+    topics.register(spark)
+    at = f"file://{tmp_path}/log"
+    rows = lambda *ids: spark.createDataFrame([(i, float(i) if i % 3 else None) for i in ids], SCHEMA)
+    run = lambda checkpoint, **o: drain(log_topics(spark, topics.FORMAT, schema, path=at, **o), judge, f"file://{tmp_path}/valid", f"file://{tmp_path}/invalid", f"file://{tmp_path}/{checkpoint}")
+    assert topics.append(rows(*range(10)), at, "a", "id", partitions=2, segment=3) == 10 and topics.append(rows(20, 21), at, "b", "id", partitions=1) == 2
+    run("first")
+    assert taken(spark, tmp_path) == ([1, 2, 4, 5, 7, 8, 20], [0, 3, 6, 9, 21])
+    topics.append(rows(10, 11), at, "a", "id", partitions=2)
+    topics.append(rows(12), at, "c", "id")
+    run("first", subscribe="a,b")
+    assert taken(spark, tmp_path) == ([1, 2, 4, 5, 7, 8, 10, 11, 20], [0, 3, 6, 9, 21])
+    ends = {k: v[-1][1] + 1 for k, v in topics.segments(at).items()}
+    assert sum(n for k, n in ends.items() if k.startswith("a/")) == 12 and ends["b/0"] == 2
+    offsets = sorted((f for f in os.listdir(f"{tmp_path}/first/offsets") if f.isdigit()), key=int)
+    last = json.loads(open(f"{tmp_path}/first/offsets/{offsets[-1]}").read().splitlines()[-1])
+    assert last == {k: n for k, n in ends.items() if not k.startswith("c/")}
+    run("second")
+    assert taken(spark, tmp_path) == ([1, 2, 4, 5, 7, 8, 10, 11, 20], [0, 3, 6, 9, 12, 21])

@@ -37,12 +37,18 @@ def finite(x: Column) -> Column:
 
 
 def average_rank(value: Column, *keys: str, descending: bool = False) -> Column:
-    """Rank within keys; rows of one value share the mean of their places. Nulls have no rank and take no place."""
+    """Rank within keys; rows of one value share the mean of their places. What is unknown (null, or not a finite number) has no rank and takes no place."""
+    value = finite(value.cast("double"))
     order = Window.partitionBy(*keys).orderBy(value.desc_nulls_last() if descending else value.asc_nulls_last())
     ties = Window.partitionBy(*keys, value)
     return F.when(value.isNotNull(), F.rank().over(order) + (F.count(value).over(ties) - 1) / 2)
 
 
+def known_count(value: Column, *keys: str) -> Column:
+    """How many rows within keys have a rank."""
+    return F.count(finite(value.cast("double"))).over(Window.partitionBy(*keys))
+
+
 def complete_mean(value: Column) -> Column:
     """Mean that is unknown unless every row's value is known."""
     return F.when(F.count(value) == F.count(F.lit(1)), F.avg(value))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +110,51 @@ def bootstrap_interval(diffs: DataFrame, value: str, draws: int, seed: int = 7)
     means = picked.groupBy("draw").agg(F.avg("x").alias("m"))
     ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return diffs.agg(F.avg(value).alias("mean")).join(F.broadcast(ends))
+
+
+def _draw_weights(date: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """How often each draw takes each date: Poisson(1) counts from a hash of (seed, date, draw), the same wherever a row of the date lies."""
+    with np.errstate(over="ignore"):
+        x = (date.astype(np.uint64)[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + (np.arange(draws, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0xD1342543DE82EF95)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    share = (x >> np.uint64(11)).astype(float) / 2.0**53
+    upto = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(upto, share, side="right").astype(float)
+
+
+def bootstrap_family(diffs: DataFrame, pair: str, date: str, value: str, draws: int = 2000, level: float = 0.05, seed: int = 7) -> DataFrame:
+    """Per pair of a family: n, mean, low and high (quantiles of its resampled means at level / (2 pairs) on either side), and simultaneous_low and
+    _high (the mean -+ the quantile of the draws' largest deviation among all pairs, in each pair's own standard deviations).
+
+    All pairs share the draws: a draw takes a date as often as a hash of both says, so the pairs' dependence is kept, and rows may lie
+    anywhere. Tasks add up weights and weighted values of all draws; (pairs x draws) sums leave each, whatever its rows; no row is copied."""
+    names = [r[0] for r in diffs.select(F.col(pair).cast("string")).distinct().orderBy(pair).collect()]  # a family is a handful
+    place = {p: k for k, p in enumerate(names)}
+
+    def sums(frames):
+        total = np.zeros((len(names), draws, 2))
+        for pdf in frames:
+            pdf = pdf[pdf["x"].notna()]
+            for name, part in pdf.groupby("pair"):
+                for at in range(0, len(part), 512):
+                    w = _draw_weights(part["i"].to_numpy(np.int64)[at : at + 512], draws, seed)
+                    total[place[name], :, 0] += w.sum(axis=0)
+                    total[place[name], :, 1] += part["x"].to_numpy(float)[at : at + 512] @ w
+        p, d = np.meshgrid(np.arange(len(names)), np.arange(draws), indexing="ij")
+        yield pd.DataFrame({"p": p.ravel(), "draw": d.ravel(), "w": total[..., 0].ravel(), "s": total[..., 1].ravel()})
+
+    rows = diffs.select(F.col(pair).cast("string").alias("pair"), F.datediff(date, F.lit("1970-01-01").cast("date")).cast("long").alias("i"), F.col(value).cast("double").alias("x"))
+    means = rows.mapInPandas(sums, "p int, draw int, w double, s double").groupBy("p", "draw").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    stats = rows.groupBy("pair").agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
+    spread = means.groupBy("p").agg(F.stddev_samp("m").alias("sd"))
+    key = F.create_map(*[F.lit(x) for k, p in enumerate(names) for x in (p, k)]) if names else F.create_map().cast("map<string,int>")
+    stats = stats.withColumn("p", key[F.col("pair")])
+    both = means.join(F.broadcast(stats.join(spread, "p").select("p", "mean", "sd")), "p")  # one row a pair
+    largest = both.groupBy("draw").agg(F.max(F.abs(F.col("m") - F.col("mean")) / F.nullif("sd", F.lit(0.0))).alias("t")).agg(F.percentile("t", F.lit(1 - level)).alias("c"))
+    tail = level / (2 * max(1, len(names)))
+    ends = means.groupBy("p").agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    out = stats.join(ends, "p").join(spread, "p").join(F.broadcast(largest))
+    reach = F.coalesce(F.col("c") * F.col("sd"), F.lit(0.0))
+    return out.select(F.col("pair"), "n", "mean", "low", "high", (F.col("mean") - reach).alias("simultaneous_low"), (F.col("mean") + reach).alias("simultaneous_high"))

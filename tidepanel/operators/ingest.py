@@ -38,6 +38,18 @@ def capture_once(stored: DataFrame, new: DataFrame, content: list[str]) -> DataF
     return ident(new).dropDuplicates(["capture_id"]).join(ident(stored).select("capture_id"), "capture_id", "left_anti")
 
 
+def version_availability(rows: DataFrame, group: list[str], content: str, order: list[str], available: str) -> DataFrame:
+    """rows with `changed`, and `available` moved where it is true. order: the day a row was first seen, then what settles ties.
+
+    Within a group (a source and a date of publication) the first content is what was published; a content that none of the earlier rows
+    had has been put in its place later, and is available from the day after it was seen at the earliest. A content that comes back is
+    known already and moves nothing. Two windows by group; unknown contents are one content."""
+    first = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1
+    new = F.row_number().over(Window.partitionBy(*group, content).orderBy(*order)) == 1
+    out = rows.withColumn("changed", ~first & new)
+    return out.withColumn(available, F.when(F.col("changed"), F.greatest(F.date_add(order[0], 1), available)).otherwise(F.col(available)))
+
+
 def merge_first_seen(stored: DataFrame, new: DataFrame, keys: list[str], value: str, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame]:
     """(stored and rows with new keys, revisions): what was observed first stays, later values that differ go to revisions."""
     merged = stored.unionByName(new.join(stored, keys, "left_anti"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import PPF_A, PPF_B, PPF_C, PPF_D, PPF_TAIL, average_rank, change, normal_cdf, normal_ppf, r4, r6, series, sigmoid, rnd
+from ..functions.windows import PPF_A, PPF_B, PPF_C, PPF_D, PPF_TAIL, average_rank, known_count, change, normal_cdf, normal_ppf, r4, r6, series, sigmoid, rnd
 from ..operators import evaluation as ev
 from ..operators import labels as lab
 from ..plans import views as v
+from ..sources.tables import written
 from ..sources.tables import table
 from .registry import query
 
@@ -268,6 +269,17 @@ def bootstrap_ci(spark: S, d: str) -> D:
     return ev.bootstrap_interval(ev.indexed(_pairs(spark, d)), "diff", 2000)
 
 
+@query("bootstrap_family")
+def bootstrap_family(spark: S, d: str) -> D:
+    """Advantages of momentum over three other picks, with intervals that hold for all three at once."""
+    p = v.panel_w(spark, d).where("vol is not null")
+    mean = lambda df, name: df.groupBy("session").agg(F.avg("ret").alias(name))
+    a = mean(ev.top_k(p, "score", 5), "a")
+    rivals = {"calm": ev.top_k(p, "vol", 5, bottom=True), "losers": ev.top_k(p, "score", 5, bottom=True), "all": p}
+    parts = [a.join(mean(r, "b"), "session").select(F.lit(name).alias("pair"), "session", (F.col("a") - F.col("b")).alias("diff")) for name, r in rivals.items()]
+    return ev.bootstrap_family(parts[0].unionByName(parts[1]).unionByName(parts[2]), "pair", "session", "diff")
+
+
 @query("prospective_summary")
 def prospective_summary(spark: S, d: str) -> D:
     """Pairs on a prescheduled grid, gated on coverage of 98 % and 8 pairs, with an interval."""
@@ -429,7 +441,7 @@ def _split(spark: S, d: str) -> tuple[D, D]:
     """(rows that end before the last fifth of the sessions and an embargo, rows of that fifth), with known features."""
     p = v.panel_w(spark, d).where("vol is not null")
     parts = F.broadcast(lab.assign_split(v.calendar_w(spark, d), 0.2, 4).select("session", "split"))  # one row a session
-    both = p.join(parts, "session")
+    both = written(p.join(parts, "session"), "split-panel")  # learners read it many times
     return both.where("split not in ('test', 'embargo')").drop("split"), both.where("split = 'test'").drop("split")
 
 
@@ -496,7 +508,7 @@ def _horner(x: str, name: str) -> str:
   SELECT symbol, session, round(CASE WHEN low >= {PPF_TAIL} THEN {_horner('(z * z)', 'a')} * z / {_horner('(z * z)', 'b')} ELSE sign(p - 0.5) * -1 * {_horner('q', 'c')} / {_horner('q', 'd')} END, 5) AS normal_score FROM x""", P)
 def normal_scores(spark: S, d: str) -> D:
     """Ranks as quantiles of the standard normal distribution."""
-    p = (average_rank(F.col("score"), "session") - 0.5) / F.count("*").over(by())
+    p = (average_rank(F.col("score"), "session") - 0.5) / known_count(F.col("score"), "session")
     return v.panel_w(spark, d).select("symbol", "session", rnd(normal_ppf(p), 5).alias("normal_score"))
 
 
@@ -511,7 +523,7 @@ def _spans(spark: S, d: str) -> list[tuple[str, str]]:
 def walk_forward_ic(spark: S, d: str) -> D:
     from ..operators.learning import walk_forward
 
-    p, spans = v.panel_w(spark, d).where("vol is not null"), _spans(spark, d)
+    p, spans = written(v.panel_w(spark, d).where("vol is not null"), "fold-panel"), _spans(spark, d)
     out = walk_forward(p, ["score", "vol"], "ret", spans, embargo_days=28)
     return ev.rank_ic(out, "prediction", "ret", ["fold", "session"]).groupBy("fold").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("n_dates"))
 
@@ -520,12 +532,32 @@ def walk_forward_ic(spark: S, d: str) -> D:
   t AS (SELECT fold, min(session) AS first, max(session) AS last FROM x JOIN c ON idx >= s AND idx < e GROUP BY 1), m AS (SELECT fold, regr_slope(ret, score) AS b, regr_intercept(ret, score) AS a FROM t JOIN panel_w ON session < first - 28 GROUP BY 1)
   SELECT fold, count(*) AS n_rows, round(avg(a + b * score), 4) AS mean_prediction, round(sqrt(avg((ret - a - b * score) * (ret - a - b * score))), 4) AS rmse FROM t JOIN m USING (fold) JOIN panel_w ON session BETWEEN first AND last GROUP BY 1""", ("panel_w", "calendar_w"))
 def fold_predictions(spark: S, d: str) -> D:
-    """Predictions of all folds put together: each by least squares on the sessions that end four weeks before its test span."""
-    from ..operators.learning import walk_forward
+    """Predictions of all folds put together: each by least squares on the sessions that end four weeks before its test span, all from one pass."""
+    from ..operators.moments import linear_folds, session_moments
+
+    found = linear_folds(session_moments(v.panel_w(spark, d), ["score"], ["ret"]), ["score"], "ret", _spans(spark, d), 28)  # one row a fold
+    out = spark.createDataFrame([f[:4] for f in found], "fold long, n_rows long, mean_prediction double, rmse double")
+    return out.withColumn("mean_prediction", r4(F.col("mean_prediction"))).withColumn("rmse", r4(F.col("rmse")))
+
+
+_ABLATION = """WITH c AS (SELECT *, count(*) OVER () AS n FROM calendar_w), p AS (SELECT panel_w.*, ret - avg(ret) OVER (PARTITION BY panel_w.session) AS demeaned, CASE WHEN idx >= floor(n * 0.8) THEN 'test' WHEN idx < floor(n * 0.8) - 4 THEN 'train' END AS part FROM panel_w JOIN c ON c.session = panel_w.session WHERE vol IS NOT NULL),
+  x AS (SELECT part, label, CASE label WHEN 'ret' THEN ret ELSE demeaned END AS y, score, vol FROM p, (SELECT unnest(['ret', 'demeaned']) AS label) WHERE part IS NOT NULL),
+  m AS (SELECT label, avg(y) AS my, avg(score) AS m1, avg(vol) AS m2, covar_pop(y, score) AS y1, covar_pop(y, vol) AS y2, covar_pop(score, vol) AS c12, var_pop(score) AS v1, var_pop(vol) AS v2 FROM x WHERE part = 'train' GROUP BY 1),
+  w AS (SELECT label, 'momentum' AS feature_set, my, m1, m2, y1 / v1 AS a, 0.0 AS b FROM m UNION ALL SELECT label, 'risk', my, m1, m2, 0.0, y2 / v2 FROM m UNION ALL SELECT label, 'both', my, m1, m2, (y1 * v2 - y2 * c12) / (v1 * v2 - c12 * c12), (y2 * v1 - y1 * c12) / (v1 * v2 - c12 * c12) FROM m)
+  SELECT feature_set, w.label, count(*) AS n_rows, round(sqrt(avg((y - my - a * (score - m1) - b * (vol - m2)) * (y - my - a * (score - m1) - b * (vol - m2)))), 5) AS rmse FROM w JOIN x ON x.label = w.label AND part = 'test' GROUP BY 1, 2"""
+
+
+@query("linear_ablation", _ABLATION, ("panel_w", "calendar_w"))
+def linear_ablation(spark: S, d: str) -> D:
+    """Linear fits of every feature set and label on the past, checked on the last fifth of the sessions, all from one pass over the panel."""
+    from ..operators import moments
 
-    p = walk_forward(v.panel_w(spark, d), ["score"], "ret", _spans(spark, d), 28, regParam=0.0)
-    error = F.col("ret") - F.col("prediction")
-    return p.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n_rows"), r4(F.avg("prediction")).alias("mean_prediction"), r4(F.sqrt(F.avg(error * error))).alias("rmse"))
+    p = v.panel_w(spark, d).where("vol is not null").withColumn("demeaned", F.col("ret") - F.avg("ret").over(by()))
+    split = lab.assign_split(v.calendar_w(spark, d), 0.2, 4).groupBy("split").agg(F.min("session").alias("first"))
+    first = {r["split"]: str(r["first"]) for r in split.collect()}
+    m = moments.session_moments(p, ["score", "vol"], ["ret", "demeaned"])
+    found = moments.linear_ablation(m, {"momentum": ["score"], "risk": ["vol"], "both": ["score", "vol"]}, ["ret", "demeaned"], first["embargo"], first["test"])
+    return spark.createDataFrame(found, "feature_set string, label string, n_rows long, rmse double").withColumn("rmse", rnd(F.col("rmse"), 5))
 
 
 @query("linear_attribution", """WITH m AS (SELECT covar_samp(ret, score) AS y1, covar_samp(ret, vol) AS y2, covar_samp(score, vol) AS c, var_samp(score) AS v1, var_samp(vol) AS v2 FROM panel_w WHERE vol IS NOT NULL)

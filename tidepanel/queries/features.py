@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import average_rank, change, need, r4, r6, ratio, rows, series, rnd
+from ..functions.windows import average_rank, change, known_count, need, r4, r6, ratio, rows, series, rnd
 from ..operators import indicators as ind
 from ..operators import labels as lab
 from ..operators.events import crossed, mark_segments, meeting_pairs
@@ -167,7 +167,30 @@ _AVG_RANK = "(rank() OVER (PARTITION BY session ORDER BY {x}) + (count(*) OVER (
 
 @query("rank_normalize", f"SELECT symbol, session, round({_AVG_RANK.format(x='score')} / count(*) OVER (PARTITION BY session) - 0.5, 6) AS r FROM panel_w", ("panel_w",))
 def rank_normalize(spark: S, d: str) -> D:
-    return v.panel_w(spark, d).select("symbol", "session", r6(average_rank(F.col("score"), "session") / F.count("*").over(by()) - 0.5).alias("r"))
+    return v.panel_w(spark, d).select("symbol", "session", r6(average_rank(F.col("score"), "session") / known_count(F.col("score"), "session") - 0.5).alias("r"))
+
+
+def _gappy(column: str, shift: int = 0) -> F.Column:
+    """The column with some values unknown, in each of the ways that are met."""
+    key = F.col("symbol") + shift
+    return F.when(key % 7 == 0, None).when(key % 7 == 1, float("nan")).when(key % 13 == 2, float("inf")).when(key % 13 == 3, float("-inf")).otherwise(F.floor(F.col(column) * 20) / 20)
+
+
+_GAPPY = "CASE WHEN symbol % 7 = 0 OR symbol % 7 = 1 OR symbol % 13 = 2 OR symbol % 13 = 3 THEN NULL ELSE floor({0} * 20) / 20 END AS {0}"
+
+
+@query("rank_unknowns", f"""WITH g AS (SELECT symbol, session, {_GAPPY.format('score')}, {_GAPPY.format('vol').replace('symbol', '(symbol + 2)')}, {_GAPPY.format('ret').replace('symbol', '(symbol + 1)')} FROM panel_w),
+  k AS (SELECT *, count(score) OVER s AS ns, count(ret) OVER s AS nr, count(vol) OVER s AS nv,
+    CASE WHEN score IS NOT NULL THEN rank() OVER (PARTITION BY session ORDER BY score NULLS LAST) + (count(score) OVER (PARTITION BY session, score) - 1) / 2.0 END AS a,
+    CASE WHEN ret IS NOT NULL THEN rank() OVER (PARTITION BY session ORDER BY ret NULLS LAST) + (count(ret) OVER (PARTITION BY session, ret) - 1) / 2.0 END AS b,
+    CASE WHEN vol IS NOT NULL THEN rank() OVER (PARTITION BY session ORDER BY vol DESC NULLS LAST) + (count(vol) OVER (PARTITION BY session, vol) - 1) / 2.0 END AS c FROM g WINDOW s AS (PARTITION BY session))
+  SELECT symbol, session, a AS place, round(a / ns - 0.5, 6) AS r, round(CASE WHEN nr > 1 THEN (b - 1) / (nr - 1) - 0.5 END, 6) AS y, round((a / ns + c / nv) / 2, 6) AS blend FROM k""", ("panel_w",))
+def rank_unknowns(spark: S, d: str) -> D:
+    """Ranks, normalized ranks, labels and a blend where values are null, not numbers, or infinite: those have no rank and do not count."""
+    g = v.panel_w(spark, d).select("symbol", "session", _gappy("score").alias("score"), _gappy("vol", 2).alias("vol"), _gappy("ret", 1).alias("ret"))
+    a, c = average_rank(F.col("score"), "session"), average_rank(F.col("vol"), "session", descending=True)
+    ns, nv = known_count(F.col("score"), "session"), known_count(F.col("vol"), "session")
+    return g.select("symbol", "session", a.alias("place"), r6(a / ns - 0.5).alias("r"), r6(_y()).alias("y"), r6((a / ns + c / nv) / 2).alias("blend"))
 
 
 @query("sector_neutral_z", f"WITH c AS (SELECT symbol, session, score - avg(score) OVER (PARTITION BY session, industry) AS x FROM panel_w) SELECT symbol, session, round({_Z}, 5) AS z FROM c WINDOW s AS (PARTITION BY session)", ("panel_w",))
@@ -274,7 +297,7 @@ _Y = f"CASE WHEN count(*) OVER (PARTITION BY session) > 1 THEN ({_AVG_RANK.forma
 
 
 def _y() -> F.Column:
-    n = F.count("*").over(by())
+    n = known_count(F.col("ret"), "session")
     return F.when(n > 1, (average_rank(F.col("ret"), "session") - 1) / (n - 1) - 0.5)
 
 
@@ -334,7 +357,7 @@ def equations(spark: S, d: str, span: int = 13, skip: int = 1, recent: int = 4)
 @query("rank_blend", f"WITH e AS ({_EQ}), p AS (SELECT symbol, session, {_AVG_RANK.format(x='log_momentum')} / count(*) OVER s AS a, {_AVG_RANK.format(x='reversal_z')} / count(*) OVER s AS b, {_AVG_RANK.format(x='breakout')} / count(*) OVER s AS c FROM e WINDOW s AS (PARTITION BY session)) SELECT symbol, session, round((a + b + c) / 3, 6) AS blend FROM p".replace("WITH e AS (WITH ", "WITH e AS (WITH "), (*DV, "index_w"))
 def rank_blend(spark: S, d: str) -> D:
     e = quant_equations(spark, d)
-    p = [average_rank(F.col(c), "session") / F.count("*").over(by()) for c in ("log_momentum", "reversal_z", "breakout")]
+    p = [average_rank(F.col(c), "session") / known_count(F.col(c), "session") for c in ("log_momentum", "reversal_z", "breakout")]
     return e.select("symbol", "session", r6(sum(p[1:], p[0]) / 3).alias("blend"))
 
 
@@ -481,3 +504,20 @@ def version_availability(spark: S, d: str) -> D:
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     day = F.to_date("o_orderdate")
     return table(spark, d, "orders").select(F.col("o_custkey").alias("source"), "o_orderkey", day.alias("first_seen"), n.cast("long").alias("version"), F.when(n == 1, day).otherwise(F.date_add(day, 1)).alias("available"))
+
+
+_CONTENT = "SELECT o_custkey AS source, CAST(year(o_orderdate) AS BIGINT) AS published, o_orderkey, o_orderstatus || o_orderpriority AS content, CAST(o_orderdate AS DATE) AS seen, CAST(o_orderdate AS DATE) - CAST(o_orderkey % 3 AS INT) + 1 AS available FROM orders"
+
+
+@query("content_versions", f"""WITH c AS ({_CONTENT}), n AS (SELECT *, row_number() OVER (PARTITION BY source, published ORDER BY seen, o_orderkey) AS place, row_number() OVER (PARTITION BY source, published, content ORDER BY seen, o_orderkey) AS again FROM c)
+  SELECT source, published, o_orderkey, place > 1 AND again = 1 AS changed, CASE WHEN place > 1 AND again = 1 THEN greatest((seen + 1)::DATE, available::DATE) ELSE available::DATE END AS available FROM n""")
+def content_versions(spark: S, d: str) -> D:
+    """Documents that a source shows under one date of publication: contents that come back are not new, and a new one counts from the day after it was seen."""
+    from ..operators.ingest import version_availability as va
+    from ..sources.tables import table
+
+    day = F.to_date("o_orderdate")
+    o = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("source"), F.year("o_orderdate").cast("long").alias("published"), "o_orderkey", F.concat("o_orderstatus", "o_orderpriority").alias("content"), day.alias("seen"), F.date_add(day, 1 - (F.col("o_orderkey") % 3).cast("int")).alias("available")
+    )
+    return va(o, ["source", "published"], "content", ["seen", "o_orderkey"], "available").select("source", "published", "o_orderkey", "changed", "available")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.windows import net_return, r6, sigmoid, rnd
+from ..functions.windows import net_return, r6, rnd, series, sigmoid
 from ..operators import ingest as op
 from ..plans import views as v
-from ..sources.tables import check_policy, file_stats, latest_version, new_path, policy_digest, table, write_policy
-from ..streaming.drain import drain_json, latest_state
+from ..sources.tables import check_policy, file_stats, latest_version, new_path, policy_digest, table, write_policy, written
+from ..sources.upkeep import Refused, canonical, compact, expire, publish_checked, record_experiment, served
+from ..streaming.drain import drain, drain_json, latest_state, log_topics
 from .registry import query
 
 D, S = DataFrame, SparkSession
@@ -92,6 +93,38 @@ def stream_replayed(spark: S, d: str) -> D:
     return judged.groupBy("reason").agg(F.count("*").alias("n_rows"))
 
 
+@query("topics_drained", f"""WITH t AS (SELECT 'quotes' AS topic, event_id AS id, price, ({QUOTE_RULES}) AS reason FROM quotes_log WHERE event_type <> 'error' UNION ALL SELECT 'errors', event_id, price, ({QUOTE_RULES}) FROM quotes_log WHERE event_type = 'error'
+    UNION ALL SELECT 'bars', symbol, close, CASE WHEN close <= 1 THEN 'bad price' END FROM bars_w WHERE session >= DATE '2001-09-03' UNION ALL SELECT 'names', symbol, acctbal, CASE WHEN acctbal <= 1 THEN 'bad price' END FROM universe)
+  SELECT topic, reason IS NULL AS valid, count(*) AS n_rows, round(sum(price), 2) AS total FROM t GROUP BY 1, 2""", ("quotes_log", "bars_w", "universe"))
+def topics_drained(spark: S, d: str) -> D:
+    """Four topics of a log, read twice with more arriving in between, into one pair of sinks: offsets by topic and partition, rows taken once."""
+    from ..sources import topics
+
+    topics.register(spark)
+    base, q = new_path(spark, "topics"), v.quotes_log(spark, d)
+    row = lambda df, i, p, **more: df.select(F.col(i).alias("id"), F.col(p).alias("price"), more.get("volume", F.lit(None).cast("long")).alias("volume"), more.get("event_type", F.lit(None).cast("string")).alias("event_type"))
+    parts = {
+        "quotes": row(q.where("event_type <> 'error'"), "event_id", "price", volume=F.col("volume"), event_type=F.col("event_type")),
+        "errors": row(q.where("event_type = 'error'"), "event_id", "price", volume=F.col("volume"), event_type=F.col("event_type")),
+        "bars": row(v.bars_w(spark, d).where("session >= '2001-09-03'"), "symbol", "close"),
+        "names": row(v.universe(spark, d), "symbol", "acctbal"),
+    }
+    schema = parts["quotes"].schema
+
+    def judge(x: D) -> D:
+        quotes = F.col("topic").isin("quotes", "errors")
+        c = F.col
+        rules = [("bad price", c("price").isNull() | (c("price") <= 1)), ("bad volume", quotes & (c("volume").isNull() | (c("volume") < 5))), ("error event", c("event_type") == "error")]
+        return x.withColumn("reason", op.first_reason(rules))
+
+    for half in (0, 1):
+        for topic, rows in parts.items():
+            topics.append(rows.where(F.pmod(F.col("id"), F.lit(2)) == half), f"{base}/log", topic, "id", partitions=2)
+        drain(log_topics(spark, topics.FORMAT, schema, path=f"{base}/log"), judge, f"{base}/valid", f"{base}/invalid", f"{base}/checkpoint")
+    got = spark.read.parquet(f"{base}/valid").select("topic", "price", F.lit(True).alias("valid")).unionByName(spark.read.parquet(f"{base}/invalid").select("topic", "price", F.lit(False).alias("valid")))
+    return got.groupBy("topic", "valid").agg(F.count("*").alias("n_rows"), rnd(F.sum("price"), 2).alias("total"))
+
+
 @query("policy_checked", "SELECT symbol, count(*) AS n_rows, true AS other_policy_refused FROM bars_w GROUP BY 1", ("bars_w",))
 def policy_checked(spark: S, d: str) -> D:
     """A table written with the fingerprint of its rules: readers of the same rules get it, readers of others do not."""
@@ -243,7 +276,7 @@ def schema_evolution(spark: S, d: str) -> D:
     return spark.read.option("mergeSchema", "true").parquet(path).select("symbol", "session", "volume")
 
 
-@query("repartition_layout")
+@query("repartition_layout", "SELECT trade_date AS day, count(*) AS n_rows FROM bars_d GROUP BY 1", ("bars_d",))
 def repartition_layout(spark: S, d: str) -> D:
     path = new_path(spark, "layout")
     b = v.bars_d(spark, d).withColumn("month", F.date_format("trade_date", "yyyy-MM"))
@@ -254,14 +287,56 @@ def repartition_layout(spark: S, d: str) -> D:
 
 @query("compact_files")
 def compact_files(spark: S, d: str) -> D:
+    """Small files of each year's folder put together by bytes; files and rows before and after."""
     path = new_path(spark, "compact")
-    v.bars_w(spark, d).repartition(24).write.parquet(f"{path}/small")
-    small = spark.read.parquet(f"{path}/small")
-    small.coalesce(2).write.parquet(f"{path}/large")
+    b = v.bars_w(spark, d).withColumn("year", F.year("session"))
+    b.repartition(24).write.partitionBy("year").parquet(f"{path}/small")
+    compact(spark, f"{path}/small", f"{path}/large", 1 << 18, ("year",))
     stats = lambda p, name: file_stats(spark.read.parquet(p)).agg(F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows")).withColumn("state", F.lit(name))
     return stats(f"{path}/small", "before").unionByName(stats(f"{path}/large", "after"))
 
 
+@query("compact_rows", "SELECT symbol, session, close, CAST(year(session) AS INT) AS year FROM bars_w", ("bars_w",))
+def compact_rows(spark: S, d: str) -> D:
+    """What a compacted table holds."""
+    path = new_path(spark, "compact")
+    b = v.bars_w(spark, d).select("symbol", "session", "close", F.year("session").alias("year"))
+    b.repartition(12).write.partitionBy("year").parquet(f"{path}/small")
+    compact(spark, f"{path}/small", f"{path}/large", 1 << 18, ("year",))
+    return spark.read.parquet(f"{path}/large")
+
+
+@query("retention_applied", """WITH s AS (SELECT session, count(*) AS n FROM bars_w GROUP BY 1), m AS (SELECT max(session) AS last FROM s)
+  SELECT 'prices' AS name, session AS snapshot_at, n AS n_rows FROM s, m WHERE session >= DATE '2001-06-04' OR session = last UNION ALL SELECT 'training', session, n FROM s, m WHERE session >= DATE '1998-06-01' OR session = last""", ("bars_w",))
+def retention_applied(spark: S, d: str) -> D:
+    """What two tables still hold after each dropped its snapshots before its own cutoff."""
+    path = new_path(spark, "retention")
+    b = v.bars_w(spark, d).select("symbol", "close", F.col("session").alias("snapshot_at"))
+    for name in ("prices", "training"):
+        b.repartition("snapshot_at").write.partitionBy("snapshot_at").parquet(f"{path}/{name}")
+    expire(spark, {f"{path}/prices": "2001-06-04", f"{path}/training": "1998-06-01"}, "snapshot_at")
+    left = [spark.read.parquet(f"{path}/{name}").groupBy(F.col("snapshot_at").cast("date").alias("snapshot_at")).agg(F.count("*").alias("n_rows")).withColumn("name", F.lit(name)) for name in ("prices", "training")]
+    return left[0].unionByName(left[1])
+
+
+@query("gated_publish", "SELECT symbol, session, score FROM panel_w", ("panel_w",))
+def gated_publish(spark: S, d: str) -> D:
+    """What is served after a whole cross-section was published, and then ones with too few scores and of a wrong size were tried."""
+    root, p = new_path(spark, "gate"), written(v.panel_w(spark, d).select("symbol", "session", "score"), "gate-rows")
+    metrics = {"n": F.count("*"), "scored": F.count("score")}
+    size = p.count()
+    rules = {"fewer than half are scored": lambda m: m["scored"] >= 0.5 * m["n"], "not the expected rows": lambda m: m["n"] == size}
+    publish_checked(p, root, metrics, rules)
+    thin = p.withColumn("score", F.when(F.pmod(F.xxhash64("symbol", "session"), F.lit(100)) < 45, F.col("score")))
+    for bad in (thin, p.where("symbol % 2 = 0")):
+        try:
+            publish_checked(bad, root, metrics, rules)
+        except Refused:
+            continue
+        raise AssertionError("a bad version was published")
+    return served(spark, root)
+
+
 @query("retention_plan", "SELECT session AS snapshot_at, session < DATE '2001-10-01' AND session <> (SELECT max(session) FROM bars_w) AS expired FROM (SELECT DISTINCT session FROM bars_w)", ("bars_w",))
 def retention_plan(spark: S, d: str) -> D:
     s = v.bars_w(spark, d).select(F.col("session").alias("snapshot_at")).distinct()
@@ -269,13 +344,28 @@ def retention_plan(spark: S, d: str) -> D:
     return s.join(F.broadcast(last)).select("snapshot_at", ((F.col("snapshot_at") < F.lit("2001-10-01").cast("date")) & (F.col("snapshot_at") != F.col("last"))).alias("expired"))
 
 
-@query("experiment_log")
+_CONFIGS = ({"horizon": 4, "top": 5}, {"horizon": 13, "top": 5}, {"horizon": 4, "top": 10})
+
+
+def _experiment_sql(config: dict) -> str:
+    h, k, text = config["horizon"], config["top"], canonical(config)
+    return f"""SELECT 'momentum' AS name, '{text}' AS config, sha256('{text}') AS config_id, count(*) AS n_dates, round(avg(r), 5) AS mean_return FROM (SELECT session, avg(r) AS r FROM (SELECT session, r, row_number() OVER (PARTITION BY session ORDER BY score DESC, symbol) AS place
+      FROM (SELECT symbol, session, close / lag(close, 13) OVER w - 1 AS score, lead(close, {h}) OVER w / close - 1 AS r FROM bars_w WINDOW w AS (PARTITION BY symbol ORDER BY session)) WHERE score IS NOT NULL AND r IS NOT NULL) WHERE place <= {k} GROUP BY 1)"""
+
+
+@query("experiment_log", " UNION ALL ".join(_experiment_sql(c) for c in _CONFIGS), ("bars_w",))
 def experiment_log(spark: S, d: str) -> D:
-    path = new_path(spark, "experiments")
-    for k in (4, 13):
-        m = v.panel_w(spark, d).agg(F.avg("ret").alias("value"), F.count("*").alias("n")).select(F.lit(f"horizon-{k}").alias("name"), F.sha2(F.lit(str(k)), 256).alias("config_id"), "value", "n", F.current_timestamp().alias("recorded_at"))
-        m.write.mode("append").parquet(path)
-    return spark.read.parquet(path).select("name", "config_id", "n")
+    """One record for each configuration that ran: the mean return of the top names held for its own horizon."""
+    from ..operators.evaluation import top_k
+    from ..operators.labels import forward_return
+
+    path, w = new_path(spark, "experiments"), series("session")
+    b = written(v.bars_w(spark, d).select("symbol", "session", "close"), "experiment-bars")
+    for config in _CONFIGS:
+        p = b.select("symbol", "session", (F.col("close") / F.lag("close", 13).over(w) - 1).alias("score"), forward_return(F.col("close"), config["horizon"], w).alias("r")).where("score is not null and r is not null")
+        r = top_k(p, "score", config["top"]).groupBy("session").agg(F.avg("r").alias("r"))
+        record_experiment(r.agg(F.count("*").alias("n_dates"), F.avg("r").alias("mean_return")), path, "momentum", config, "none", "bars_w")
+    return spark.read.parquet(path).select("name", "config", "config_id", "metrics.n_dates", rnd(F.col("metrics.mean_return"), 5).alias("mean_return"))
 
 
 @query("normalize_quotes", "SELECT event_id, CAST(CAST(price AS DECIMAL(18,2)) AS DOUBLE) AS price, CAST(ts AS DATE) AS trade_date, replace(upper(event_type), 'VIEW', 'QUOTE') AS kind FROM quotes_log", ("quotes_log",))

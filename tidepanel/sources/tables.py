@@ -45,10 +45,20 @@ def folder(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = _at(spark, path)
+    return system.exists(at)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file; it is there whole or not at all."""
+    at, system = _at(spark, path)
+    system.create(at, True).close()
+
+
 def finished(spark: SparkSession, path: str) -> bool:
     """Whether a table has been written to its end."""
-    at, system = _at(spark, f"{path}/_SUCCESS")
-    return system.exists(at)
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def rename(spark: SparkSession, source: str, target: str) -> None:
