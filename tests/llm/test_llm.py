@@ -101,6 +101,34 @@ def test_later_arrivals_meet_earlier_ones(spark, tmp_path):
     assert same(table((5, "a"))) == {(5, 5)} and same(table((6, "b"), (4, "a"))) == {(6, 6), (4, 4)}
 
 
+def test_a_table_delivered_twice_keeps_nothing_twice(spark, tmp_path):
+    """Under another name all of it is a copy; under its own name, as a retry, it is judged as before and counts once."""
+    store = f"file://{tmp_path}/store"
+    table = spark.createDataFrame([(k, f"text {k % 7}") for k in range(40)], "doc_id long, text string").repartition(3)
+    run = lambda d, batch=None: {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.deduplicate(d, store=store, batch=batch).select("row.doc_id", "keep_id", "group_size", "kept").collect()}
+    size = lambda k, n: (5 + (k % 7 < 5)) * n
+    first = {(k, k % 7, size(k, 1), k < 7) for k in range(40)}
+    assert run(table, "monday") == first
+    assert run(table, "monday") == first
+    assert run(table.repartition(5), "tuesday") == {(k, k % 7, size(k, 2), False) for k in range(40)}
+    assert exact_dedup.kept_documents(table, store=store).count() == 0
+    import os
+
+    assert len(os.listdir(f"{tmp_path}/store/arrivals")) == 3
+    assert len([n for n in os.listdir(f"{tmp_path}/store/snapshots") if n.startswith("upto")]) == 1 and not [n for n in os.listdir(f"{tmp_path}/store/log") if n.startswith("batch")]
+    # a call whose write broke off: its folder has no mark of an end
+    new = spark.createDataFrame([(100, "text 1"), (101, "other")], "doc_id long, text string")
+    os.makedirs(f"{tmp_path}/store/arrivals/call=00000009-{exact_dedup.call_name('friday')}")
+    assert run(new, "friday") == {(100, 1, 19, False), (101, 101, 1, True)}
+
+
+def test_many_hits_are_matched_by_a_join(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FILTER_MOST", 3)
+    d = spark.createDataFrame([(k, f"text {k % 9}") for k in range(30)], "doc_id long, text string")
+    out = exact_dedup.deduplicate(d, digest=lambda t: F.substring(t, 1, 6)).select("row.doc_id", "keep_id", "kept").collect()
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in out} == {(k, k % 9, k < 9) for k in range(30)}
+
+
 def brute_fp(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
     if not words:
