@@ -194,6 +194,18 @@ def test_chat_parts_and_reversible_escapes(spark):
     assert out[2]["formatted"] == "<|im_start|>\n<|im_end|>\n"
 
 
+def test_a_long_conversation_is_formatted_in_order(spark):
+    """Thousands of turns, attachments among them: numbers and spans go on through all."""
+    part = lambda **k: {n: k.get(n) for n in ("kind", "text", "ref", "width", "height", "millis", "pages")}
+    n = 5000
+    rows = [(1, k, "assistant" if k % 2 else "user", [part(kind="text", text=f"say {k}"), *([part(kind="audio", ref=f"a{k}", millis=80)] if k % 10 == 0 else [])]) for k in range(n)]
+    random.Random(3).shuffle(rows)
+    r = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>").repartition(3)).first()
+    assert [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]] == [f"say {k}" for k in range(1, n, 2)]
+    assert [(a["n"], a["ref"]) for a in r["attachments"]] == [(k // 10, f"a{k}") for k in range(0, n, 10)]
+    assert r["formatted"].count("<|audio:") == n // 10 and f"say 4990<|audio:{n // 10 - 1}|>" in r["formatted"]
+
+
 def test_packing_is_whole_and_tight(spark, data, texts):
     from tokenizers import Tokenizer
 

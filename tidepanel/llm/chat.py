@@ -12,7 +12,7 @@ exist; an empty table gives no rows. One conversation is one output string, so i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -72,38 +72,23 @@ def visit(parts: Column, first: Column) -> Column:
 def format_chats(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
     """conv_id, formatted, loss_spans (start, length in code points of `formatted`, one for each assistant turn),
     attachments (n, kind, ref, tokens), expanded_tokens."""
-    m = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts"))
-    convs = messages.select(F.col(conv_id).alias("conv_id"), m.alias("m")).groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    count = lambda ps: F.size(F.filter(ps, is_attachment))
-    # a turn's first attachment number: attachments of the turns before
-    numbered = F.aggregate(
-        F.col("ms"),
-        F.struct(F.array().cast("array<int>").alias("firsts"), F.lit(0).alias("n")),
-        lambda a, x: F.struct(F.concat(a["firsts"], F.array(a["n"])).alias("firsts"), (a["n"] + count(x["parts"])).alias("n")),
-        lambda a: a["firsts"],
+    rows = messages.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "parts")
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
+    # what stands before a turn, as running sums over its conversation: attachments, then characters
+    first = F.coalesce(F.sum(F.size(F.filter("parts", is_attachment))).over(before), F.lit(0))
+    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("first", first)
+    rows = rows.withColumn("head", F.concat(F.lit(START), _role(F.col("role")), F.lit("\n"))).withColumn("body", visit(F.col("parts"), F.col("first")))
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("head") + F.length("body") + len(END)).over(before), F.lit(0)) + F.length("head"))
+    seen = F.transform(F.filter("parts", is_attachment), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
+    t = F.struct(
+        "at", F.concat("head", "body", F.lit(END)).alias("block"), (F.col("role") == "assistant").alias("loss"), F.col("start").cast("int").alias("start"), F.length("body").alias("length"), seen.alias("seen")
     )
-    simple = F.transform("ms", lambda x: F.lit(0))
-    has_some = F.exists("ms", lambda x: F.exists(x["parts"], is_attachment))
-    convs = convs.withColumn("firsts", F.when(has_some, numbered).otherwise(simple))
-    bodies = convs.select(
+    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("turns")).withColumn("seen", F.flatten("turns.seen"))
+    return convs.select(
         "conv_id",
-        F.transform("ms", lambda x, i: F.struct(_role(x["role"]).alias("role"), (x["role"] == "assistant").alias("loss"), visit(x["parts"], F.get(F.col("firsts"), i)).alias("body"))).alias("turns"),
-        F.filter(F.flatten(F.transform("ms", lambda x: F.transform(x["parts"], lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"), is_attachment(p).alias("yes"))))), lambda p: p["yes"]).alias("seen"),
-    )
-    head = lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"))
-    spans = F.aggregate(
-        "turns",
-        F.struct(F.array().cast("array<struct<start:int,length:int>>").alias("spans"), F.lit(0).alias("at")),
-        lambda a, t: F.struct(
-            F.when(t["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(head(t))).alias("start"), F.length(t["body"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-            (a["at"] + F.length(head(t)) + F.length(t["body"]) + len(END)).alias("at"),
-        ),
-        lambda a: a["spans"],
-    )
-    return bodies.select(
-        "conv_id",
-        F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["body"], F.lit(END))), "").alias("formatted"),
-        spans.alias("loss_spans"),
+        F.array_join("turns.block", "").alias("formatted"),
+        F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("loss_spans"),
         F.transform("seen", lambda p, i: F.struct(i.alias("n"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"))).alias("attachments"),
         F.aggregate("seen", F.lit(0).cast("long"), lambda a, p: a + p["tokens"]).alias("expanded_tokens"),
     )
