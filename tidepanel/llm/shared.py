@@ -83,10 +83,12 @@ def clear(spark: SparkSession) -> None:
     drop(spark, *_made)
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", total: int | None = None) -> DataFrame:
     """left joined with right, which has one row a key and in column n how many rows the key has; n is dropped. Keys with more than the
-    HOTth part of all those rows, fewer than HOT of them, are joined by broadcast, so that none of them fills a task; the rest by shuffle."""
-    total = right.agg(F.sum(n)).first()[0] or 0
+    HOTth part of all those rows, fewer than HOT of them, are joined by broadcast, so that none of them fills a task; the rest by shuffle.
+    total: the sum of n, where it is known."""
+    if total is None:
+        total = right.agg(F.sum(n)).first()[0] or 0
     hot = F.broadcast(right.where(F.col(n) * HOT > total))
     rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(n) * HOT <= total), keys)
     return left.join(hot, keys).unionByName(rest).drop(n)

@@ -257,15 +257,15 @@ def components(found: DataFrame) -> DataFrame:
     while size[0]:
         round_ += 1
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+        # a star's centre may have most of the links: its rows are not dealt by it
+        low, low_at = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"), F.count("*").alias("n")), "links-low")
         # large star: larger neighbours go to the least; small star: smaller neighbours and the node itself do
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = pair(large)
-        low2 = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low2, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
+        large, large_at = written(pair(hot_join(both, low, ["a"], total=2 * size[0]).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))), "links-large")
+        low2, low2_at = written(large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), "links-low")
+        small = hot_join(large, low2, ["a"]).select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
         new, new_at = written(pair(small), f"links-{round_}")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop(spark, at)
+        drop(spark, at, low_at, large_at, low2_at)
         edges, at = new, new_at
         if now == size:
             break
