@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -468,6 +470,42 @@ def model_reload(spark: S, d: str) -> D:
     return both.groupBy("session").agg(F.count("*").alias("n_rows"), F.count_if(F.col("score") != F.col("again")).alias("n_changed"))
 
 
+@query("assembled_rows", "SELECT session, count(*) AS n_rows, round(sum(score + 2 * vol), 4) AS total FROM panel_w WHERE vol IS NOT NULL GROUP BY 1", P)
+def assembled_rows(spark: S, d: str) -> D:
+    """Rows whose features are all known, as vectors; the others are passed over."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = VectorAssembler(inputCols=["score", "vol"], outputCol="features", handleInvalid="skip").transform(v.panel_w(spark, d))
+    x = vector_to_array("features")
+    return rows.groupBy("session").agg(F.count("*").alias("n_rows"), r4(F.sum(x[0] + 2 * x[1])).alias("total"))
+
+
+_RIDGES = (0.0, 0.05, 0.5, 5.0)
+
+
+@query("grid_choice", f"""WITH c AS (SELECT *, count(*) OVER () AS n FROM calendar_w), p AS (SELECT panel_w.*, CASE WHEN idx >= floor(n * 0.8) THEN 'test' WHEN idx < floor(n * 0.8) - 4 THEN 'train' END AS part FROM panel_w JOIN c ON c.session = panel_w.session WHERE vol IS NOT NULL),
+  m AS (SELECT avg(ret) AS my, avg(score) AS mx, covar_pop(ret, score) / var_pop(score) AS w, stddev_samp(ret) AS sy FROM p WHERE part = 'train'), g AS (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in _RIDGES)}]) AS ridge),
+  e AS (SELECT ridge, sqrt(avg((ret - my - w / (1 + ridge / sy) * (score - mx)) * (ret - my - w / (1 + ridge / sy) * (score - mx)))) AS rmse FROM g, m, p WHERE part = 'test' GROUP BY 1)
+  SELECT ridge, round(rmse, 5) AS rmse, rmse = (SELECT min(rmse) FROM e) AS chosen FROM e""", ("panel_w", "calendar_w"))
+def grid_choice(spark: S, d: str) -> D:
+    """A grid of penalties by the error on later sessions; one that the learner refuses is passed over."""
+    from ..operators.learning import tune
+
+    train, check = _split(spark, d)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        best, _ = tune(train, check, ["score"], "ret", "linear", [{"regParam": -1.0}, *[{"regParam": r} for r in _RIDGES]])
+    found = [(r, tune(train, check, ["score"], "ret", "linear", [{"regParam": r}])[1], best["regParam"] == r) for r in _RIDGES]  # one row a setting
+    return spark.createDataFrame(found, "ridge double, rmse double, chosen boolean").withColumn("rmse", rnd(F.col("rmse"), 5))
+
+
+@query("prospective_gate", f"WITH {_PAIR}, x AS (SELECT row_number() OVER (ORDER BY session) - 1 AS i, a.r - b.r AS diff FROM a JOIN b USING (session)), g AS (SELECT count(*) AS n_pairs, avg(diff) AS m FROM x WHERE i % 4 = 0) SELECT n_pairs, (SELECT count(DISTINCT session) FROM panel_w) / 4.0 AS expected, n_pairs >= 8 AND n_pairs >= 0.98 * floor((SELECT count(DISTINCT session) FROM panel_w) / 4.0) AS ready, round(m, 6) AS mean FROM g", P)
+def prospective_gate(spark: S, d: str) -> D:
+    """As prospective_summary, without the interval that is drawn."""
+    return prospective_summary(spark, d).select("n_pairs", "expected", "ready", r6(F.col("mean")).alias("mean"))
+
+
 @query("feature_ablation")
 def feature_ablation(spark: S, d: str) -> D:
     """Every feature set, label and learner, fitted on the past and checked on the last fifth of the sessions."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.windows import net_return, r6, rnd, series, sigmoid
 from ..operators import ingest as op
 from ..plans import views as v
-from ..sources.tables import check_policy, file_stats, latest_version, new_path, policy_digest, table, write_policy, written
+from ..sources.tables import check_policy, ensure_table, file_stats, latest_version, new_path, policy_digest, publish, table, table_or_empty, unless_empty, write_policy, written
 from ..sources.upkeep import Refused, canonical, compact, expire, publish_checked, record_experiment, served
 from ..streaming.drain import drain, drain_json, latest_state, log_topics
 from .registry import query
@@ -179,6 +182,55 @@ def files(spark: S, d: str) -> D:
     return file_stats(table(spark, d, "lineitem"))
 
 
+@query("snapshot_files", "SELECT session AS snapshot_at, CAST(1 AS BIGINT) AS n_files, count(*) AS n_rows, true AS has_bytes FROM bars_w GROUP BY 1", ("bars_w",))
+def snapshot_files(spark: S, d: str) -> D:
+    """Files, rows and bytes of each snapshot of a table that writes one file a snapshot."""
+    path = new_path(spark, "snapshot-files")
+    v.bars_w(spark, d).withColumnRenamed("session", "snapshot_at").repartition("snapshot_at").write.partitionBy("snapshot_at").parquet(path)
+    files = spark.read.parquet(path).select("snapshot_at", "_metadata.file_name", "_metadata.file_size")
+    one = files.groupBy("snapshot_at", "file_name").agg(F.count("*").alias("n"), F.max("file_size").alias("bytes"))
+    return one.groupBy("snapshot_at").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_rows"), (F.sum("bytes") > 0).alias("has_bytes"))
+
+
+@query("empty_source_skipped", "SELECT symbol, session, close FROM bars_w WHERE session < DATE '2001-10-01'", ("bars_w",))
+def empty_source_skipped(spark: S, d: str) -> D:
+    """A stage replaces what is stored by what arrived; where nothing arrived it is passed over and the stored rows stay."""
+    b = v.bars_w(spark, d).select("symbol", "session", "close")
+    stored, arrived = b.where("session < '2001-10-01'"), b.where("session > '2030-01-01'")
+    done = unless_empty(arrived, lambda rows: op.replace_keys(stored, rows, ["session"]))
+    return stored if done is None else done
+
+
+@query("missing_table_neutral", "SELECT symbol, session, CAST(0 AS DOUBLE) AS sentiment, CAST(0 AS BIGINT) AS n_news FROM bars_w", ("bars_w",))
+def missing_table_neutral(spark: S, d: str) -> D:
+    """Features of a table that does not exist here are neutral, not an error."""
+    news = table_or_empty(spark, "panel_news_that_is_not_here", StructType().add("symbol", "long").add("session", "date").add("sentiment", "double").add("n_news", "long"))
+    return v.bars_w(spark, d).select("symbol", "session").join(news, ["symbol", "session"], "left").na.fill({"sentiment": 0.0, "n_news": 0})
+
+
+@query("table_recreated", "SELECT symbol, industry, acctbal FROM universe", ("universe",))
+def table_recreated(spark: S, d: str) -> D:
+    """A catalog table is made, filled, and made anew when its columns have changed."""
+    name, u = f"panel_universe_{uuid.uuid4().hex}", v.universe(spark, d).select("symbol", "industry", "acctbal")
+    ensure_table(spark, name, u.select("symbol").schema)
+    u.select("symbol").write.insertInto(name)
+    ensure_table(spark, name, u.schema)
+    u.write.insertInto(name)
+    ensure_table(spark, name, u.schema)  # the same columns: rows stay
+    out = written(spark.table(name), "table-recreated")
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+@query("publish_decoded", "SELECT symbol, session, close, volume FROM bars_w", ("bars_w",))
+def publish_decoded(spark: S, d: str) -> D:
+    """What a reader of the keyed sink decodes."""
+    path, b = new_path(spark, "decoded"), v.bars_w(spark, d).select("symbol", "session", "close", "volume")
+    publish(b, "symbol", "json", path=path)
+    got = spark.read.schema("key string, value string").json(path)
+    return got.select(F.col("key").cast("long").alias("symbol"), F.from_json("value", b.drop("symbol").schema).alias("v")).select("symbol", "v.*")
+
+
 @query("quote_validate", """WITH q AS (SELECT o_custkey AS symbol, CAST(o_orderdate AS DATE) AS trade_date, o_totalprice AS price, o_orderpriority AS basis FROM orders)
   SELECT symbol, trade_date, price, CASE WHEN price IS NULL OR price < 0 THEN 'bad price' WHEN basis = '5-LOW' THEN 'wrong basis' WHEN count(*) OVER (PARTITION BY symbol, trade_date) > 1 THEN 'duplicate' END AS reason FROM q""")
 def quote_validate(spark: S, d: str) -> D:
