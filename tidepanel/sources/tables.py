@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tidepanel/{tag}-{uuid.uuid4().hex}"
+    """A folder that no other call has; `clear` deletes it once results are read."""
+    _made.append(f"{shared_dir(spark)}/tidepanel/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this process wrote for itself and still holds. Results are lazy: call this once they have been read."""
+    delete(spark, *_made)
 
 
 def _at(spark: SparkSession, path: str):
@@ -75,6 +83,8 @@ def delete(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at, system = _at(spark, path)
         system.delete(at, True)
+        if path in _made:
+            _made.remove(path)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
