@@ -488,6 +488,31 @@ def test_pipeline_drops_near_copies_by_five_word_shingles(spark, data):
     assert simhash.representatives(twice).count() == 2
 
 
+def test_hot_keys_are_spread_and_lose_nothing(spark, monkeypatch):
+    from tidepanel.llm import shared
+
+    monkeypatch.setattr(shared, "SPREAD_ROWS", 5)
+    left = spark.createDataFrame([(k, 1 if k < 60 else k % 20) for k in range(100)], "at long, key int")
+    right = left.groupBy("key").agg(F.count("*").alias("n"), F.max("at").alias("last"))
+    want = {(r["at"], r["key"], r["last"]) for r in left.join(right, "key").collect()}
+    for join in (lambda: shared.spread_join(left, right, ["key"], "at"), lambda: shared.hot_join(left, right, ["key"])):
+        got = [(r["at"], r["key"], r["last"]) for r in join().select("at", "key", "last").collect()]
+        assert len(got) == 100 and set(got) == want
+
+
+def test_pipeline_on_empty_null_and_repeated_rows(spark, tmp_path):
+    """The whole pipeline on an empty corpus, and on null texts and ids, repeated rows, odd white space and extra columns."""
+    import corpus_pipeline
+
+    good = " ".join(f"the word{k} of it and what{k} is" for k in range(30)) + "."
+    rows = [(1, None), (2, ""), (None, good), (3, good), (3, good), (4, good.replace("word7", "\xa0 \xa0x")), (5, "x " * 4000)]
+    for name, some in (("empty", []), ("odd", rows)):
+        frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "extra") for i, t in some], "doc_id long, text string, lang string, source string, n_chars long, row string")
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").collect()
+        assert {r["doc_id"] for r in out} == ({3} if some else set())
+
+
 def test_toxicity_fit_outlasts_the_word_cache(monkeypatch):
     """More distinct words than a scorer remembers: the fit keeps what it found, and the model is the same."""
     rng = random.Random(3)

@@ -2,46 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import delete, exists, folder, new_path
+
+__all__ = ["HOT", "SPACE", "WORD", "drop", "exists", "folder", "give_back", "hot_join", "labelled_sample", "new_path", "release", "sparing", "spread_join", "written"]
+
 #: ASCII white space and what it separates; the same class everywhere in this package.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A key counts as hot from this share of all rows on: fewer than HOT keys can have that many.
 HOT = 10_000
-
-_own: list[str] = []
-_made: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of this process's own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="spark-shared-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return _own[0]
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A folder that no other call has; `clear` deletes it once results are read."""
-    _made.append(f"{shared_dir(spark)}/tidepanel/{tag}-{uuid.uuid4().hex}")
-    return _made[-1]
+#: Rows of a key below which it is not worth splitting, whatever its share.
+SPREAD_ROWS = 4096
 
 
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
@@ -52,37 +32,12 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def _at(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at, system = _at(spark, path)
-    return system.exists(at)
-
-
-def folder(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder, sorted; none if it does not exist."""
-    at, system = _at(spark, path)
-    return sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
-
-
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables that no later step reads, and let Spark clear shuffle files that nothing refers to any more."""
-    for path in paths:
-        at, system = _at(spark, path)
-        system.delete(at, True)
-        if path in _made:
-            _made.remove(path)
+    delete(spark, *paths)
     release(spark)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every table that the operators of this process wrote and still hold. Results are lazy: call this once they have been read."""
-    drop(spark, *_made)
-
-
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", total: int | None = None) -> DataFrame:
     """left joined with right, which has one row a key and in column n how many rows the key has; n is dropped. Keys with more than the
     HOTth part of all those rows, fewer than HOT of them, are joined by broadcast, so that none of them fills a task; the rest by shuffle.
@@ -94,6 +49,18 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", t
     return left.join(hot, keys).unionByName(rest).drop(n)
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, n: str = "n") -> DataFrame:
+    """As hot_join where the rows of right are not small: left's rows of a key with many are dealt by a hash of column `spread` to shares, and
+    right's row is copied to each share, so a share has at most SPREAD_ROWS rows, or the HOTth part of all. Only keys and numbers are broadcast, of fewer than HOT keys."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    share = max(SPREAD_ROWS, -(-total // HOT))
+    shares = F.ceil(F.col(n) / share).cast("int")
+    hot = right.where(F.col(n) > share).select(*keys, shares.alias("_shares"))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_share", F.pmod(F.xxhash64(spread), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
+    copied = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), shares) - 1))).drop(n)
+    return dealt.join(copied, [*keys, "_share"]).drop("_share")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int) -> tuple[list[str], list[int]]:
     """Texts and labels (0 or 1) to fit a model on in the driver: of at most max_rows labelled documents, those of the least hashes of their ids,
     with max_bytes of text in all. A text that no longer fits is passed over; those after it still count. Null labels and ids do not count, of

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, give_back, hot_join, sparing, written
+from .shared import drop, give_back, hot_join, sparing, spread_join, written
 
 FANOUT = 16
 #: Entries of one range, and how many ranges there are at least and at most (their nodes, 24 bytes each, are what every task gets).
@@ -358,8 +358,9 @@ def candidates(rows: DataFrame, words: int = WORDS, alike: float = ALIKE) -> Dat
     found = links(entries.select("node", *lanes).mapInArrow(sparing(look), f"fp long, node long, {longs}"), VIEW_LIMIT, tuple(lanes), WIDE_LIMIT)
     grouped, grouped_at = written(entries.join(components(found), "node", "left").select(*lanes, "rows", F.coalesce("component", "node").alias("group")), "simhash-grouped")
     several = grouped.groupBy("group").agg(F.sum("rows").alias("rows")).where("rows > 1")
-    members, _ = written(fps.join(grouped.join(several.select("group"), "group", "left_semi"), lanes).select("at", "group"), "simhash-members")
-    drop(spark, fps_at, entries_at, grouped_at)
+    kept, kept_at = written(grouped.join(several.select("group"), "group", "left_semi"), "simhash-kept")
+    members, _ = written(spread_join(fps, kept, lanes, "at", "rows").select("at", "group"), "simhash-members")
+    drop(spark, fps_at, entries_at, grouped_at, kept_at)
     return members
 
 
@@ -395,15 +396,16 @@ def alike_links(rows: DataFrame, words: int = WORDS, alike: float = ALIKE, block
 
     texts = rows.join(members, "at").select("at", "group", F.col("text").cast("string").cast("binary").alias("text"))
     sets, sets_at = written(texts.mapInArrow(sparing(cut), "at long, group long, shingles array<long>"), "simhash-shingles")
-    firsts = members.groupBy("group").agg(F.min("at").alias("at"))
-    centre = sets.join(firsts, ["group", "at"]).select("group", F.col("at").alias("first"), F.col("shingles").alias("first_shingles"))
+    firsts = members.groupBy("group").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    centre, centre_at = written(sets.join(firsts, ["group", "at"]).select("group", F.col("at").alias("first"), F.col("shingles").alias("first_shingles"), "n"), "simhash-centres")
     both = F.size(F.array_intersect("shingles", "first_shingles"))
     near = both >= F.lit(alike) * (F.size("shingles") + F.size("first_shingles") - both) - F.lit(1e-9)
-    judged, judged_at = written(sets.join(centre, "group").select("at", "group", "first", "shingles", near.alias("near")), "simhash-judged")
-    drop(spark, sets_at)
+    judged, judged_at = written(spread_join(sets, centre, ["group"], "at").select("at", "group", "first", "shingles", near.alias("near")), "simhash-judged")
+    drop(spark, sets_at, centre_at)
 
-    loads = judged.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("near")) / block).cast("int").alias("chunks")).where("chunks > 0")
-    left = judged.join(loads, "group").select("at", "group", "shingles", "near", "blocks", "chunks", F.xxhash64("at").alias("h"))
+    loads = judged.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("near")) / block).cast("int").alias("chunks"), F.count("*").alias("n")).where("chunks > 0")
+    loads, loads_at = written(loads, "simhash-loads")
+    left = spread_join(judged, loads, ["group"], "at").select("at", "group", "shingles", "near", "blocks", "chunks", F.xxhash64("at").alias("h"))
     asked = left.where(~F.col("near")).select("at", "group", "shingles", F.lit(True).alias("asks"), F.pmod("h", "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     there = left.select("at", "group", "shingles", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod("h", "blocks").cast("int").alias("block"))
 
@@ -421,7 +423,7 @@ def alike_links(rows: DataFrame, words: int = WORDS, alike: float = ALIKE, block
     # dealt by all three: left to itself, Spark would keep the blocks of a group together, as the join above did
     rest = asked.unionByName(there).repartition("group", "chunk", "block").groupBy("group", "chunk", "block").applyInPandas(compare, "a long, b long")
     found, _ = written(judged.where("near and at <> first").select(F.col("first").alias("a"), F.col("at").alias("b")).unionByName(rest), "simhash-alike")
-    drop(spark, judged_at)
+    drop(spark, judged_at, loads_at)
     return found
 
 
@@ -432,6 +434,6 @@ def representatives(docs: DataFrame, words: int = WORDS, alike: float = ALIKE, d
     arrived, _ = written(docs.select(F.struct("*").alias("row"), key.alias("key"), F.monotonically_increasing_id().alias("at")), "simhash-arrivals")
     groups = components(alike_links(arrived.select("at", F.col("row")[text].alias("text")), words, alike, block)).withColumnRenamed("node", "at")
     named, _ = written(arrived.select("at", "key").join(groups, "at"), "simhash-groups")
-    first = named.groupBy("component").agg(F.min(F.struct("key", "at")).alias("first"))
-    gone = named.join(first, "component").where("at <> first.at").select("at")
+    first = named.groupBy("component").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n"))
+    gone = hot_join(named, first, ["component"]).where("at <> first.at").select("at")
     return arrived.join(gone, "at", "left_anti").select("row.*")
