@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.sources import topics
 from tidepanel.sources.tables import delete, folder
-from tidepanel.streaming.drain import compact_changes, drain, drain_json, latest_state, log_topics, read_state
+from tidepanel.streaming.drain import compact_changes, drain, drain_json, follow_latest, latest_state, log_topics, read_state
 
 SCHEMA = "id long, price double"
 
@@ -79,7 +79,7 @@ def test_a_batch_that_broke_off_is_not_seen_and_comes_again(spark, tmp_path, sch
 
 def test_latest_state_over_restarts_replays_and_late_rows(spark, tmp_path, schema):
     at = lambda name: f"file://{tmp_path}/{name}"
-    state = lambda checkpoint: {r["id"]: r["price"] for r in latest_state(spark, at("in"), schema, "id", "price", at("store"), at(checkpoint)).collect()}
+    state = lambda checkpoint: {r["id"]: r["price"] for r in follow_latest(spark, at("in"), schema, "id", "price", at("store"), at(checkpoint)).collect()}
     put(f"{tmp_path}/in", "a", (1, 5.0), (2, 1.0))
     assert state("first") == {1: 5.0, 2: 1.0}
     put(f"{tmp_path}/in", "b", (2, 7.0), (1, 3.0))
@@ -94,6 +94,7 @@ def test_latest_state_over_restarts_replays_and_late_rows(spark, tmp_path, schem
         os.remove(f"{tmp_path}/in/{f}")
     put(f"{tmp_path}/in", "d", (3, 0.5), (4, 2.0))
     assert state("third") == {1: 5.0, 2: 7.0, 3: 1.0, 4: 2.0}
+    assert {r["id"]: r["price"] for r in spark.read.parquet(latest_state(spark, at("in"), schema, "id", "price", at("store"), at("third"))).collect()} == {1: 5.0, 2: 7.0, 3: 1.0, 4: 2.0}
     assert compact_changes(spark, schema, "id", "price", at("store"), more_than=1) == 1
     assert {r["id"]: r["price"] for r in read_state(spark, schema, "id", "price", at("store")).collect()} == {1: 5.0, 2: 7.0, 3: 1.0, 4: 2.0}
     delete(spark, at("store"))

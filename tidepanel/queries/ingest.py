@@ -13,7 +13,7 @@ from ..operators import ingest as op
 from ..plans import views as v
 from ..sources.tables import check_policy, ensure_table, file_stats, latest_version, new_path, policy_digest, publish, table, table_or_empty, unless_empty, write_policy, written
 from ..sources.upkeep import Refused, canonical, compact, expire, publish_checked, record_experiment, served
-from ..streaming.drain import drain, drain_json, latest_state, log_topics
+from ..streaming.drain import drain, drain_json, follow_latest, log_topics
 from .registry import query
 
 D, S = DataFrame, SparkSession
@@ -149,9 +149,9 @@ def latest_quote(spark: S, d: str) -> D:
     base, q = new_path(spark, "state"), v.quotes_log(spark, d).select("ts", "event_id", "symbol", "price", "volume", "event_type")
     late = F.pmod(F.col("event_id"), F.lit(2)) == 0
     q.where(~late).write.json(f"{base}/in/part=1")
-    latest_state(spark, f"{base}/in/*", q.schema, "symbol", "ts", f"{base}/store", f"{base}/first")
+    follow_latest(spark, f"{base}/in/*", q.schema, "symbol", "ts", f"{base}/store", f"{base}/first")
     q.where(late).write.json(f"{base}/in/part=2")
-    out = latest_state(spark, f"{base}/in/*", q.schema, "symbol", "ts", f"{base}/store", f"{base}/second")
+    out = follow_latest(spark, f"{base}/in/*", q.schema, "symbol", "ts", f"{base}/store", f"{base}/second")
     return out.select("symbol", "event_id", "price")
 
 

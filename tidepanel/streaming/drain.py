@@ -6,13 +6,14 @@ A batch takes only places that no record covers, so nothing is doubled when a ch
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.tables import finished, folder, rename
+from ..sources.tables import delete, finished, folder, rename
 
 
 def json_files(spark: SparkSession, source: str, schema: StructType, **options: str) -> DataFrame:
@@ -83,7 +84,7 @@ def _newest(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFr
     return rows.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_s")).select(key, "_s.*").select(*columns)
 
 
-def latest_state(spark: SparkSession, source: str, schema: StructType, key: str, order: str, store: str, checkpoint: str, **options: str) -> DataFrame:
+def follow_latest(spark: SparkSession, source: str, schema: StructType, key: str, order: str, store: str, checkpoint: str, **options: str) -> DataFrame:
     """The newest row of each key of a JSON stream, after taking what has arrived.
 
     State by key lives in the stream's own store; a batch writes the rows of the keys that it changed, and nothing else, to a folder named
@@ -103,6 +104,14 @@ def latest_state(spark: SparkSession, source: str, schema: StructType, key: str,
     return read_state(spark, schema, key, order, store)
 
 
+def latest_state(spark: SparkSession, source: str, schema: StructType, key: str, order: str, store: str, checkpoint: str, **options: str) -> str | None:
+    """`follow_latest`, and the folder of a table of the result: the changes of all runs put together, once a run that brought any."""
+    follow_latest(spark, source, schema, key, order, store, checkpoint, **options)
+    compact_changes(spark, schema, key, order, store, more_than=0)
+    names = _changes(spark, store)
+    return f"{store}/{names[-1]}" if names else None
+
+
 def _changes(spark: SparkSession, store: str) -> list[str]:
     return [n for n in folder(spark, store) if n.startswith("changes=") and finished(spark, f"{store}/{n}")]
 
@@ -116,12 +125,8 @@ def read_state(spark: SparkSession, schema: StructType, key: str, order: str, st
 def compact_changes(spark: SparkSession, schema: StructType, key: str, order: str, store: str, more_than: int = 16) -> int:
     """Make one set of changes of more than so many; returns how many are left. Sets that are gone are covered by the new one, and where a run
     ends between the two, both stand and say the same."""
-    import uuid
-
-    from ..sources.tables import delete
-
     names = _changes(spark, store)
-    if len(names) <= more_than:
+    if len(names) <= more_than or len(names) == 1 and names[0].startswith("changes=compacted-"):
         return len(names)
     read_state(spark, schema, key, order, store).write.parquet(f"{store}/changes=compacted-{uuid.uuid4().hex}")
     for n in names:
