@@ -40,12 +40,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", total: int | None = None) -> DataFrame:
     """left joined with right, which has one row a key and in column n how many rows the key has; n is dropped. Keys with more than the
-    HOTth part of all those rows, fewer than HOT of them, are joined by broadcast, so that none of them fills a task; the rest by shuffle.
-    total: the sum of n, where it is known."""
+    HOTth part of all those rows, fewer than HOT of them, are joined by broadcast, so that none of them fills a task; the rest by shuffle, at every size alike (a small
+    right is not broadcast). total: the sum of n, where it is known."""
     if total is None:
         total = right.agg(F.sum(n)).first()[0] or 0
     hot = F.broadcast(right.where(F.col(n) * HOT > total))
-    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(n) * HOT <= total), keys)
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(n) * HOT <= total).hint("merge"), keys)
     return left.join(hot, keys).unionByName(rest).drop(n)
 
 
@@ -58,7 +58,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str,
     hot = right.where(F.col(n) > share).select(*keys, shares.alias("_shares"))
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_share", F.pmod(F.xxhash64(spread), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
     copied = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), shares) - 1))).drop(n)
-    return dealt.join(copied, [*keys, "_share"]).drop("_share")
+    return dealt.join(copied.hint("merge"), [*keys, "_share"]).drop("_share")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int) -> tuple[list[str], list[int]]:
