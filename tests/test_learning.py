@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidepanel.operators import evaluation as ev
@@ -44,6 +45,10 @@ def test_platt_curve_by_newton(sample):
     got = model.transform(frame).select(vector_to_array("platt")[1].alias("p"), "a").collect()
     assert [r["p"] for r in got] == pytest.approx([1 / (1 + np.exp(-want[0] - want[1] * r["a"])) for r in got], abs=2e-3)
     assert learning.platt(frame.limit(50), "a", "y") is None
+    # a session that has observed metrics cannot be sent to tasks; a model must not hold it
+    seen = Observation("seen")
+    frame.observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 400} and model.transform(frame).select(vector_to_array("platt")[1].alias("p")).where("p > 0").count() == 400
 
 
 def test_ridge_ranker_by_closed_form(spark):

@@ -14,6 +14,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_path
+
 SEED = 42
 
 
@@ -95,13 +97,22 @@ def ablation(train: DataFrame, check: DataFrame, sets: dict[str, list[str]], lab
     return out
 
 
+def _stored(model: PipelineModel, spark) -> PipelineModel:
+    """The model as it is read from storage: without its training summary, which holds the session and so keeps a logistic model from being sent
+    to tasks once that session has observed metrics."""
+    path = new_path(spark, "model")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def platt(rows: DataFrame, score: str, target: str, least_rows: int = 100):
     """Logistic curve from out-of-sample scores to probabilities; None below least_rows or where the target is constant."""
     known = rows.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     size = known.agg(F.count("*").alias("n"), F.countDistinct(target).alias("kinds")).first()
     if size["n"] < least_rows or size["kinds"] < 2:
         return None
-    return Pipeline(stages=[VectorAssembler(inputCols=[score], outputCol="platt_score"), LogisticRegression(featuresCol="platt_score", labelCol=target, probabilityCol="platt", predictionCol="platt_class", rawPredictionCol="platt_raw")]).fit(known)
+    curve = LogisticRegression(featuresCol="platt_score", labelCol=target, probabilityCol="platt", predictionCol="platt_class", rawPredictionCol="platt_raw")
+    return _stored(Pipeline(stages=[VectorAssembler(inputCols=[score], outputCol="platt_score"), curve]).fit(known), rows.sparkSession)
 
 
 def walk_forward(panel: DataFrame, features: list[str], label: str, folds: list[tuple[str, str]], embargo_days: int, kind: str = "linear", **params) -> DataFrame:
@@ -120,7 +131,7 @@ def probability(rows: DataFrame, inputs: list[str], target: str, weight: str, pe
     if size["n"] < least_rows or size["dates"] < least_dates:
         return None
     steps = [VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"), LogisticRegression(labelCol=target, weightCol=weight, regParam=penalty, standardization=True)]
-    return Pipeline(stages=steps).fit(rows)
+    return _stored(Pipeline(stages=steps).fit(rows), rows.sparkSession)
 
 
 def ridge_ranker(train: DataFrame, numeric: list[str], category: str, label: str, penalty: float = 1.0) -> PipelineModel:
