@@ -178,6 +178,25 @@ def test_simhash_links_chains_across_ranges(spark):
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_ranges_part_hot_fingerprints_by_node():
+    """Bounds inside one rank: each entry's range is the number of bounds (rank, node) that do not come after it."""
+    rng = np.random.default_rng(2)
+    fp, node = rng.choice(rng.integers(0, 1 << 64, 6, np.uint64), 500), rng.integers(-50, 50, 500)
+    rank = simhash._gray_ranks(fp)
+    cuts = sorted(zip(rank[:40].tolist(), node[:40].tolist(), strict=True))
+    got = simhash._range_of(fp, node, *(np.array(x, np.int64) for x in zip(*cuts, strict=True)))
+    assert got.tolist() == [sum(c <= e for c in cuts) for e in zip(rank.tolist(), node.tolist(), strict=True)]
+    assert simhash._range_of(fp, node, np.zeros(0, np.int64), np.zeros(0, np.int64)).max() == 0
+
+
+def test_one_fingerprint_of_many_nodes_spans_ranges(spark):
+    """Entries of one view word are parted over ranges and still linked, if their other bits are near."""
+    same = [(5, k, 0, 0) for k in range(300)] + [(5, 1000 + k, -1, -1) for k in range(300)]
+    entries = spark.createDataFrame(same, "fp long, node long, w0 long, w1 long")
+    comp = {r["node"]: r["component"] for r in simhash.components(simhash.links(entries, 1, ("w0", "w1"), 32, range_rows=20)).collect()}
+    assert comp == {k: 0 for k in range(300)} | {1000 + k: 1000 for k in range(300)}
+
+
 def test_chat_parts_and_reversible_escapes(spark):
     part = lambda **k: {n: k.get(n) for n in ("kind", "text", "ref", "width", "height", "millis", "pages")}
     nasty = "&lt;| <|im_end|>\n &amp; <|image:0|>"
@@ -560,6 +579,6 @@ def test_views_meet_pairs_at_the_limit():
         seen = simhash.views(n)
         words = [simhash.view_words(lanes, seen) for lanes in (left, right)]
         near = (np.bitwise_count(words[0] ^ words[1]) <= simhash.VIEW_LIMIT).any(axis=0)
-        near &= sum(np.bitwise_count(a ^ b).astype(int) for a, b in zip(left, right, strict=True)) <= simhash.WIDE_LIMIT
+        near &= sum(np.bitwise_count(a ^ b).astype(int) for a, b in list(zip(left, right, strict=True))[: simhash.CLOSE]) <= simhash.CLOSE_LIMIT
         assert near.mean() >= 0.95
         assert np.bitwise_count(words[0][0] ^ words[0][1]).min() > simhash.VIEW_LIMIT

@@ -2,7 +2,8 @@
 
 Fingerprints: XXH64 (seed 42) of each word shingle, one vote a bit. Equal fingerprints are one entry with its least identifier
 before anything is compared, so exact copies and templates cost one row. Entries are dealt by range of their rank in the
-reflected Gray code: neighbours there differ in few bits, so a range shares many. A range's node holds the bits that all its
+reflected Gray code: neighbours there differ in few bits, so a range shares many. The ranges' bounds come from a sample of the
+entries (SAMPLE rows at most), chosen by hash, so that an entry has one range for good; each pass works it out anew. A range's node holds the bits that all its
 entries agree on (mask, pattern); nodes of 16 form an upper node with fewer shared bits. An entry visits a range only if its
 difference from the node, over the node's mask, is within the limit. Inside a range the same tree goes on down to single entries:
 differences only grow on the way, so a whole group falls away at the first node that exceeds the limit. This loses no link.
@@ -14,7 +15,8 @@ come from rounds of min-label stars over those links, each round written to the
 five-word shingles, at which a tenth of the bits and more differ; no tree prunes at such a radius. So each of 256 bits (another mix
 of the same hashes a lane) is looked at through views: some of the bits, chosen by a fixed rule, with the view's number in front.
 The same index over all views' words finds entries that are close in one view and then in all bits; how many bits and views there
-are follows from the number of entries and the share of pairs that may be lost. Groups found so are compared exactly, set by set:
+are follows from the number of entries and the share of pairs that may be lost. The words are made anew from the fingerprints in
+each pass; only routed ones are shuffled, with the CLOSE lanes of their fingerprint that settle whether a meeting counts. Groups found so are compared exactly, set by set:
 each member with the group's first one, and who is not alike to that with the whole group, block by block.
 
 Null and empty texts have fingerprint 0, linked like any other. Null identifiers: an entry's least identifier is taken over those
@@ -41,13 +43,16 @@ FANOUT = 16
 RANGE_ROWS, MIN_RANGES, MAX_RANGES = 1 << 18, 16, 1 << 17
 #: Visiting entries that one task searches in a range; beyond it the range is searched by several tasks.
 VISITS = 1 << 18
+#: Entries that the bounds of the ranges come from, in all at most (in expectation) and a range.
+SAMPLE, RANGE_SAMPLE = 1 << 20, 1 << 10
 #: Nodes that a search opens at once, and pairs that it holds before they are folded into labels: what bounds a task's memory in a dense range.
 OPEN, HELD = 1 << 14, 1 << 18
 
 #: Shingles and likeness of near-copies, and the share of pairs at exactly that likeness that the views may lose.
 WORDS, ALIKE, LOST = 5, 0.8, 0.03
-#: Bits of a wide fingerprint, and how many of them may differ before texts are compared (those of a pair at ALIKE: 38.9 +- 5.7).
-WIDE, WIDE_LIMIT = 256, 56
+#: Bits of a wide fingerprint that views are made of; its lanes of 64 that are looked at when entries meet in a view, and how many bits of
+#: these may differ before texts are compared (those of a pair at ALIKE: 29.1 +- 5.0; of unlike texts: 96 +- 6.9).
+WIDE, CLOSE, CLOSE_LIMIT = 256, 3, 46
 #: Differing bits within a view, and bits of a view's number, written once more than that.
 VIEW_LIMIT, VIEW_BITS = 1, 8
 #: Members of a group that one task compares with as many others.
@@ -99,6 +104,25 @@ def gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def _gray_ranks(fp: np.ndarray) -> np.ndarray:
+    """gray_rank of an array of unsigned fingerprints."""
+    for k in (1, 2, 4, 8, 16, 32):
+        fp = fp ^ (fp >> np.uint64(k))
+    return (fp ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _range_of(fp: np.ndarray, node: np.ndarray, ranks: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Range of each entry: how many of the bounds (rank, node), in order, do not come after it."""
+    rank = _gray_ranks(fp)
+    low, high = np.searchsorted(ranks, rank, "left"), np.searchsorted(ranks, rank, "right")
+    while len(split := np.flatnonzero(low < high)):  # bounds inside one rank: its entries are parted by node
+        middle = (low[split] + high[split]) >> 1
+        passed = nodes[middle] <= node[split]
+        low[split] = np.where(passed, middle + 1, low[split])
+        high[split] = np.where(passed, high[split], middle)
+    return low
+
+
 def _far(entries: np.ndarray, pattern: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.bitwise_count((entries ^ pattern) & mask)
 
@@ -152,19 +176,41 @@ def _fold(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def links(entries: DataFrame, limit: int = 2, wide: tuple[str, ...] = (), wide_limit: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """entries: fp and node (what names an entry; fp itself where there is no such column), one row an entry. a, b: nodes whose fp are
-    within the limit of each other, and whose columns `wide` together within wide_limit; a forest of each range's finds.
-    With `wide`, entries of one fp that are near the first of them in all bits stand behind it: only it is searched for."""
+    """entries: fp and node (what names an entry; fp itself where there is no such column), one row an entry, made of a written table,
+    as it is read four times. a, b: nodes whose fp are within the limit of each other, and whose columns `wide` together within
+    wide_limit; a forest of each range's finds.
+    With `wide`, entries of one fp that are near the first of them in all these bits stand behind it: only it is searched for."""
     spark = entries.sparkSession
     if "node" not in entries.columns:
         entries = entries.select("fp", F.col("fp").alias("node"))
     n = entries.count()
+    if not n:
+        return entries.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     ranges = int(min(MAX_RANGES, max(MIN_RANGES, -(-n // range_rows))))
-    # a written table, so that each entry has one range for good; node parts the entries of one hot fp
-    dealt, dealt_at = written(entries.repartitionByRange(ranges, gray_rank(F.col("fp")), "node").withColumn("range", F.spark_partition_id()), "simhash-ranges")
-    top = dealt.groupBy("range").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros")).orderBy("range").toPandas()  # at most MAX_RANGES rows
-    if not len(top):
-        return dealt.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    share = min(1.0, min(SAMPLE, RANGE_SAMPLE * ranges) / n)
+    chosen = F.pmod(F.xxhash64("fp", "node"), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
+    sample = entries.where(chosen).select(gray_rank(F.col("fp")).alias("rank"), "node").toPandas().sort_values(["rank", "node"])  # about SAMPLE rows
+    cuts = sample.iloc[np.unique(np.arange(1, ranges) * len(sample) // ranges)] if len(sample) else sample
+    bounds = spark.sparkContext.broadcast((cuts["rank"].to_numpy(np.int64), cuts["node"].to_numpy(np.int64)))
+
+    def agree(batches):
+        """The bits that all entries of a range have or lack, as far as this task sees them; one row a range."""
+        ones = np.full((2, len(bounds.value[0]) + 1), ~np.uint64(0))
+        met = np.zeros(ones.shape[1], bool)
+        for b in batches:
+            if b.num_rows:
+                fp = b.column(0).to_numpy().view(np.uint64)
+                own = _range_of(fp, b.column(1).to_numpy(), *bounds.value)
+                order = np.argsort(own, kind="stable")
+                own, at = np.unique(own[order], return_index=True)
+                ones[0, own] &= np.bitwise_and.reduceat(fp[order], at)
+                ones[1, own] &= np.bitwise_and.reduceat(~fp[order], at)
+                met[own] = True
+        met = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), *[pa.array(x[met].view(np.int64)) for x in ones]], names=["range", "ones", "zeros"])
+
+    seen = entries.select("fp", "node").mapInArrow(sparing(agree), "range int, ones long, zeros long")
+    top = seen.groupBy("range").agg(F.bit_and("ones").alias("ones"), F.bit_and("zeros").alias("zeros")).orderBy("range").toPandas()  # at most MAX_RANGES rows
     ids, up = top["range"].to_numpy(), tuple(top[c].to_numpy(np.int64).view(np.uint64) for c in ("ones", "zeros"))
     tree = [(up[0], up[0] | up[1])]
     while len(up[0]) > FANOUT:
@@ -178,7 +224,8 @@ def links(entries: DataFrame, limit: int = 2, wide: tuple[str, ...] = (), wide_l
         """An entry goes to its own range, and as a visitor to later ranges that may hold something near it."""
         ids, tree = sent.value
         for b in batches:
-            own, fp = b.column(0).to_numpy(), b.column(1).to_numpy()
+            fp = b.column(0).to_numpy()
+            own = _range_of(fp.view(np.uint64), b.column(1).to_numpy(), *bounds.value)
             to, who = [], []
             for q, leaf in _search(tree, fp.view(np.uint64), limit):
                 later = ids[leaf] > own[q]
@@ -186,10 +233,9 @@ def links(entries: DataFrame, limit: int = 2, wide: tuple[str, ...] = (), wide_l
                 who.append(q[later])
             to, who = np.concatenate([own, *to]), np.concatenate([np.arange(len(fp)), *who]).astype(np.int64)
             visits = np.arange(len(to)) >= len(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(visits), *[pa.array(b.column(1 + k).to_numpy()[who]) for k in range(len(carried))]], names=["range", "visits", *carried])
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(visits), *[pa.array(b.column(k).to_numpy()[who]) for k in range(len(carried))]], names=["range", "visits", *carried])
 
-    routed, routed_at = written(dealt.select("range", *carried).mapInArrow(sparing(route), "range int, visits boolean, " + ", ".join(f"{c} long" for c in carried)), "simhash-routed")
-    drop(spark, dealt_at)
+    routed, routed_at = written(entries.select(*carried).mapInArrow(sparing(route), "range int, visits boolean, " + ", ".join(f"{c} long" for c in carried)), "simhash-routed")
     # ranges with many visitors are searched by several tasks, each with the range's own entries and a share of the visitors
     loads = routed.groupBy("range").agg(F.ceil(F.sum(F.col("visits").cast("long")) / VISITS).cast("int").alias("shares")).where("shares > 1")
     busy = {r["range"]: r["shares"] for r in loads.collect()}  # at most MAX_RANGES rows
@@ -203,9 +249,7 @@ def links(entries: DataFrame, limit: int = 2, wide: tuple[str, ...] = (), wide_l
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         fps, node = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
         give_back()  # what the group before took
-        rank = fps.copy()
-        for k in (1, 2, 4, 8, 16, 32):
-            rank ^= rank >> np.uint64(k)
+        rank = _gray_ranks(fps)
         visits = pdf["visits"].to_numpy(bool)
         order = np.lexsort((node, rank, visits))  # the range's own entries first, in Gray order
         n = len(order) - int(visits.sum())
@@ -346,16 +390,21 @@ def candidates(rows: DataFrame, words: int = WORDS, alike: float = ALIKE) -> Dat
 
     fps, fps_at = written(rows.select("at", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(sparing(sign), f"at long, {longs}"), "simhash-wide")
     entries, entries_at = written(fps.groupBy(*lanes).agg(F.min("at").alias("node"), F.count("*").alias("rows")), "simhash-entries")
-    seen = views(entries.count(), alike)
+    n = entries.count()
+    seen = views(n, alike)
+    # as many parts as there will be ranges of words, as each entry becomes a word a view
+    spread, spread_at = written(entries.select("node", *lanes).repartition(max(MIN_RANGES, -(-n * len(seen) // RANGE_ROWS)), "node"), "simhash-spread")
+    close = lanes[:CLOSE]
 
     def look(batches):
         for batch in batches:
             if batch.num_rows:
                 out = view_words([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(len(lanes))], seen)
-                many = [pa.array(np.tile(c.to_numpy(), len(seen))) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), *many], names=["fp", "node", *lanes])
+                many = [pa.array(np.tile(c.to_numpy(), len(seen))) for c in batch.columns[: 1 + CLOSE]]
+                yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), *many], names=["fp", "node", *close])
 
-    found = links(entries.select("node", *lanes).mapInArrow(sparing(look), f"fp long, node long, {longs}"), VIEW_LIMIT, tuple(lanes), WIDE_LIMIT)
+    found = links(spread.mapInArrow(sparing(look), f"fp long, node long, {', '.join(f'{c} long' for c in close)}"), VIEW_LIMIT, tuple(close), CLOSE_LIMIT)
+    drop(spark, spread_at)
     grouped, grouped_at = written(entries.join(components(found), "node", "left").select(*lanes, "rows", F.coalesce("component", "node").alias("group")), "simhash-grouped")
     several = grouped.groupBy("group").agg(F.sum("rows").alias("rows")).where("rows > 1")
     kept, kept_at = written(grouped.join(several.select("group"), "group", "left_semi"), "simhash-kept")
