@@ -70,3 +70,35 @@ def test_trend_by_a_plain_loop(spark, block):
 def test_no_rows(spark):
     frame, _ = series(spark, [3])
     assert scans.ema_macd_rsi(frame.limit(0)).count() == 0 and scans.kalman_trend(frame.limit(0)).count() == 0
+
+
+def test_short_series_run_side_by_side(spark):
+    """Only series at the ends of a batch, and one that goes on from the block before, run by themselves; all others of a batch step at once."""
+    frame, _ = series(spark, [3] * 400)
+    table = scans.blocks(frame.select("symbol", "trade_date", "close"), ["symbol"], "trade_date", 100_000)
+
+    def run(values, before, carried, goes_on):
+        return {"alone": np.ones(len(values)), "rest": np.zeros(len(values)), "_next": 0}
+
+    step = lambda now, values, n: {"alone": np.zeros(len(values))}
+    got = scans.scan(table, ["symbol"], "trade_date", "close", {}, run, step, ["alone"], {"rest": 1.0}).collect()
+    tasks = len({r["block"] for r in got})
+    assert len(got) == 1200 and sum(r["alone"] for r in got) <= 6 * tasks and all(r["alone"] + r["rest"] == 1 for r in got)
+    assert sorted(r["n"] for r in got) == [1] * 400 + [2] * 400 + [3] * 400 and all(r["k"] is None for r in got)
+
+
+@pytest.mark.parametrize("batch", [5, 64, 10_000])
+def test_batches_cut_series_anywhere(spark, batch):
+    """Series that span batches, blocks or both, short ones and ones too long to run beside others."""
+    frame, rows = series(spark, [1500, 4, 4, 1, 700, 9], 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for block in (300, 100_000):
+            got = {(r["symbol"], r["trade_date"]): (r["ema_12"], r["ema_26"], r["macd"], r["macd_signal"], r["rsi_14"]) for r in scans.ema_macd_rsi(frame, block_rows=block).collect()}
+            assert len(got) == len(rows)
+            for k in range(6):
+                mine = sorted((d, c) for s, _, d, c in rows if s == k)
+                for (d, _), want in zip(mine, plain_ema([c for _, c in mine]), strict=True):
+                    assert got[k, d] == tuple(w if w is None else pytest.approx(w, abs=1e-8) for w in want), (k, d)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -48,30 +48,66 @@ def beginnings(table: DataFrame, keys: list[str], value: str) -> dict[int, tuple
     return out
 
 
-def scan(table: DataFrame, keys: list[str], time: str, value: str, start: dict[int, tuple[int, float]], run: Callable, state: list[str], extra: str = "") -> DataFrame:
+#: Longer series than this run by themselves; shorter ones of a batch run side by side, row by row of all of them at once.
+SIDE_BY_SIDE = 1024
+
+
+def beside(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: Callable[[dict | None, np.ndarray, int], dict], state: list[str], out: dict[str, np.ndarray]) -> None:
+    """Run many whole series at once and put their states into `out`. step(state, value, n) makes row n of series from their state at the row before (None at n = 1)."""
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes, now = starts[order], sizes[order], None
+    running = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left") if len(sizes) else []  # series that have a row of each number
+    for k, m in enumerate(running):
+        at = starts[:m] + k
+        now = step(now and {s: x[:m] for s, x in now.items()}, values[at], k + 1)
+        for s in state:
+            out[s][at] = now[s]
+
+
+def scan(table: DataFrame, keys: list[str], time: str, value: str, start: dict[int, tuple[int, float]], run: Callable, step: Callable, state: list[str], rest: dict[str, float] | None = None) -> DataFrame:
     """Local filters of all blocks: keys, time, block, at, n (row of the series, from 1), k (row of the block if its first series goes on, else null),
-    the state columns, and `extra` ones. run(values, before, carried) gives those columns of some consecutive rows of a series as a dict;
-    before: (rows that came before, the last value or None); carried: what run() gave as "_next" for the rows just before, None at a start."""
+    the state columns, and those of `rest`, which hold its values in series that began in the block. run(values, before, carried, goes_on) gives those
+    columns of some consecutive rows of a series as a dict; before: (rows that came before, the last value or None); carried: what run() gave as
+    "_next" for the rows just before, None at a start. step: as `beside` takes it, for series that lie whole in a batch, where run() would cost more
+    for a series than for its rows."""
     types = {f.name: f.dataType.simpleString() for f in table.schema}
-    schema = ", ".join([f"{c} {types[c]}" for c in (*keys, time)] + ["block int, at long, n long, k long", *[f"{s} double" for s in state], *([extra] if extra else [])])
+    rest = rest or {}
+    schema = ", ".join([f"{c} {types[c]}" for c in (*keys, time)] + ["block int, at long, n long, k long", *[f"{s} double" for s in (*state, *rest)]])
 
     def local(frames):
         now, n, goes_on, first, carried = None, 0, False, 0, None
         for pdf in frames:
-            series = pdf.groupby(["block", *keys], sort=False, dropna=False)
-            for _, part in series:
-                here = (int(part["block"].iloc[0]), *(part[k].iloc[0] for k in keys))
+            if not len(pdf):
+                continue
+            ids = pdf[["block", *keys]]
+            before = ids.shift()
+            starts = np.flatnonzero(((ids != before) & ~(ids.isna() & before.isna())).any(axis=1).to_numpy() | (np.arange(len(pdf)) == 0))
+            sizes = np.diff(starts, append=len(pdf))
+            blocks, values = pdf["block"].to_numpy(), pdf[value].to_numpy(float)
+            out = {s: np.empty(len(pdf)) for s in state} | {s: np.full(len(pdf), x) for s, x in rest.items()}
+            place = np.arange(len(pdf)) - np.repeat(starts, sizes) + 1
+            begun = np.zeros(len(pdf), np.int64)  # rows of the series before the block, where it goes on
+            known = np.zeros(len(pdf), bool)
+            opens = np.fromiter((b in start for b in blocks[starts]), bool, len(starts)) & (pdf["at"].to_numpy()[starts] == 0)
+            alone = opens | (sizes > SIDE_BY_SIDE)
+            alone[[0, -1]] = True  # these may come from the batch before, or go on in the next one
+            beside(values, starts[~alone], sizes[~alone], step, state, out)
+            for j in np.flatnonzero(alone):
+                here, span = tuple(None if pd.isna(x) else x for x in ids.iloc[starts[j]]), slice(starts[j], starts[j] + sizes[j])
                 last = None
                 if here != now:
-                    goes_on = int(part["at"].iloc[0]) == 0 and here[0] in start
+                    goes_on = bool(opens[j])
                     first, last = start[here[0]] if goes_on else (0, None)
                     now, n, carried = here, first, None
-                out = run(part[value].to_numpy(float), (n, last), carried, goes_on)
-                carried = out.pop("_next")
-                place = np.arange(n + 1, n + 1 + len(part))
-                n += len(part)
-                head = part[[*keys, time, "block", "at"]].reset_index(drop=True)
-                yield head.assign(n=place, k=pd.Series(place - first, dtype="Int64") if goes_on else pd.array([pd.NA] * len(part), dtype="Int64"), **out)
+                made = run(values[span], (n, last), carried, goes_on)
+                carried = made.pop("_next")
+                for s, x in made.items():
+                    out[s][span] = x
+                place[span] += n
+                begun[span], known[span] = first, goes_on
+                n += sizes[j]
+            k = pd.arrays.IntegerArray(place - begun, ~known)
+            yield pdf[[*keys, time, "block", "at"]].assign(n=place, k=k, **out)
 
     dealt = table.repartition("block").sortWithinPartitions("block", "at").select(*keys, time, "block", "at", value)
     return written(dealt.mapInPandas(local, schema), "scan-local")
@@ -138,6 +174,19 @@ def _ema_run(close: np.ndarray, before: tuple[int, float | None], carried: dict
     return out | {"_next": nxt | {s: None for s in ("gain", "loss") if carried[s] is None}}
 
 
+def _ema_step(now: dict | None, close: np.ndarray, n: int) -> dict:
+    if now is None:
+        zero = np.zeros(len(close))
+        return {"fast": close, "slow": close, "signal": zero, "gain": zero, "loss": zero, "last": close}
+    out, move = {"last": close}, close - now["last"]
+    for s, rate in (("fast", FAST), ("slow", SLOW)):
+        out[s] = now[s] + (close - now[s]) * rate
+    out["signal"] = now["signal"] + (out["fast"] - out["slow"] - now["signal"]) * SIGNAL
+    for s, x in (("gain", np.maximum(move, 0)), ("loss", np.maximum(-move, 0))):
+        out[s] = x if n == 2 else now[s] + (x - now[s]) * WILDER
+    return out
+
+
 def _response(rate: float, k: Column) -> Column:
     """What k rows make of a unit in an average that decays by `rate`, in the average over it that is the signal."""
     keep = 1 - SIGNAL
@@ -148,7 +197,7 @@ def ema_macd_rsi(bars: DataFrame, key: str = "symbol", time: str = "trade_date",
     """Averages start at the first bar; RSI is known from bar 15, 100 without a loss, null where nothing moved."""
     table = blocks(bars.select(key, time, F.col(close).cast("double").alias("close")).where("close is not null"), [key], time, block_rows)
     start = beginnings(table, [key], "close")
-    local = scan(table, [key], time, "close", start, _ema_run, EMA_STATE)
+    local = scan(table, [key], time, "close", start, _ema_run, _ema_step, EMA_STATE)
     keep = {"fast": 1 - FAST, "slow": 1 - SLOW, "signal": 1 - SIGNAL, "gain": 1 - WILDER, "loss": 1 - WILDER}
 
     def carry_over(end: dict, carry: dict) -> dict:
@@ -213,7 +262,11 @@ def kalman_trend(bars: DataFrame, level: float = 0.01, slope: float = 0.0001, no
         cols = dict(zip(TREND_STATE + TREND_MAP, out.T, strict=True))
         return cols | {"_next": ((x, v), m)}
 
-    local = scan(table, [key, part], time, "y", start, run, TREND_STATE + TREND_MAP)
+    def step(now: dict | None, y: np.ndarray, n: int) -> dict:
+        (a, b, _), x, v = gains[min(n, len(gains)) - 1], *((now["x"], now["v"]) if now else (y, np.zeros(len(y))))
+        return {"x": (1 - a) * (x + v) + a * y, "v": v + b * (y - x - v)}
+
+    local = scan(table, [key, part], time, "y", start, run, step, TREND_STATE, dict(zip(TREND_MAP, (1.0, 0.0, 0.0, 1.0), strict=True)))
 
     def carry_over(end: dict, carry: dict) -> dict:
         return {"x": end["x"] + end["xx"] * carry["x"] + end["xv"] * carry["v"], "v": end["v"] + end["vx"] * carry["x"] + end["vv"] * carry["v"]}
