@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import average_rank, change, known_count, need, r4, r6, ratio, rows, series, rnd
+from ..functions.windows import change, need, r4, r6, ratio, rows, series, rnd
 from ..operators import indicators as ind
 from ..operators import labels as lab
+from ..operators.ranks import ranked
 from ..operators.events import crossed, mark_segments, meeting_pairs
 from ..plans import views as v
 from .registry import query
@@ -167,7 +168,8 @@ _AVG_RANK = "(rank() OVER (PARTITION BY session ORDER BY {x}) + (count(*) OVER (
 
 @query("rank_normalize", f"SELECT symbol, session, round({_AVG_RANK.format(x='score')} / count(*) OVER (PARTITION BY session) - 0.5, 6) AS r FROM panel_w", ("panel_w",))
 def rank_normalize(spark: S, d: str) -> D:
-    return v.panel_w(spark, d).select("symbol", "session", r6(average_rank(F.col("score"), "session") / known_count(F.col("score"), "session") - 0.5).alias("r"))
+    r = ranked(v.panel_w(spark, d).select("symbol", "session", "score"), {"place": F.col("score")}, "session", keep=("symbol",))
+    return r.select("symbol", "session", r6(F.col("place") / F.col("n_place") - 0.5).alias("r"))
 
 
 def _gappy(column: str, shift: int = 0) -> F.Column:
@@ -188,9 +190,9 @@ _GAPPY = "CASE WHEN symbol % 7 = 0 OR symbol % 7 = 1 OR symbol % 13 = 2 OR symbo
 def rank_unknowns(spark: S, d: str) -> D:
     """Ranks, normalized ranks, labels and a blend where values are null, not numbers, or infinite: those have no rank and do not count."""
     g = v.panel_w(spark, d).select("symbol", "session", _gappy("score").alias("score"), _gappy("vol", 2).alias("vol"), _gappy("ret", 1).alias("ret"))
-    a, c = average_rank(F.col("score"), "session"), average_rank(F.col("vol"), "session", descending=True)
-    ns, nv = known_count(F.col("score"), "session"), known_count(F.col("vol"), "session")
-    return g.select("symbol", "session", a.alias("place"), r6(a / ns - 0.5).alias("r"), r6(_y()).alias("y"), r6((a / ns + c / nv) / 2).alias("blend"))
+    g = ranked(g, {"place": F.col("score"), "b": F.col("ret"), "c": F.col("vol")}, "session", keep=("symbol",), descending=("c",))
+    a, c = F.col("place") / F.col("n_place"), F.col("c") / F.col("n_c")
+    return g.select("symbol", "session", "place", r6(a - 0.5).alias("r"), r6(_y()).alias("y"), r6((a + c) / 2).alias("blend"))
 
 
 @query("sector_neutral_z", f"WITH c AS (SELECT symbol, session, score - avg(score) OVER (PARTITION BY session, industry) AS x FROM panel_w) SELECT symbol, session, round({_Z}, 5) AS z FROM c WINDOW s AS (PARTITION BY session)", ("panel_w",))
@@ -296,19 +298,20 @@ def rank_scores(spark: S, d: str) -> D:
 _Y = f"CASE WHEN count(*) OVER (PARTITION BY session) > 1 THEN ({_AVG_RANK.format(x='ret')} - 1) / (count(*) OVER (PARTITION BY session) - 1) - 0.5 END"
 
 
-def _y() -> F.Column:
-    n = known_count(F.col("ret"), "session")
-    return F.when(n > 1, (average_rank(F.col("ret"), "session") - 1) / (n - 1) - 0.5)
+def _y(place: str = "b") -> F.Column:
+    """The label of a ranked return."""
+    n = F.col(f"n_{place}")
+    return F.when(n > 1, (F.col(place) - 1) / (n - 1) - 0.5)
 
 
 @query("rank_labels_avg", f"SELECT symbol, session, round({_Y}, 6) AS y FROM panel_w", ("panel_w",))
 def rank_labels_avg(spark: S, d: str) -> D:
-    return v.panel_w(spark, d).select("symbol", "session", r6(_y()).alias("y"))
+    return ranked(v.panel_w(spark, d).select("symbol", "session", "ret"), {"b": F.col("ret")}, "session", keep=("symbol",)).select("symbol", "session", r6(_y()).alias("y"))
 
 
 @query("relevance_labels", f"WITH p AS (SELECT symbol, session, {_Y} AS y, dense_rank() OVER (PARTITION BY session ORDER BY ret) - 1 AS dense FROM panel_w) SELECT symbol, session, dense, CAST(least(9, floor(round((y + 0.5) * 10, 9))) AS BIGINT) AS grade FROM p", ("panel_w",))
 def relevance_labels(spark: S, d: str) -> D:
-    p = v.panel_w(spark, d).select("symbol", "session", _y().alias("y"), (F.dense_rank().over(by().orderBy("ret")) - 1).cast("long").alias("dense"))
+    p = ranked(v.panel_w(spark, d).select("symbol", "session", "ret"), {"b": F.col("ret")}, "session").select("symbol", "session", _y().alias("y"), (F.dense_rank().over(by().orderBy("ret")) - 1).cast("long").alias("dense"))
     return p.select("symbol", "session", "dense", F.least(F.lit(9), F.floor(rnd((F.col("y") + 0.5) * 10, 9))).cast("long").alias("grade"))
 
 
@@ -357,8 +360,10 @@ def equations(spark: S, d: str, span: int = 13, skip: int = 1, recent: int = 4)
 @query("rank_blend", f"WITH e AS ({_EQ}), p AS (SELECT symbol, session, {_AVG_RANK.format(x='log_momentum')} / count(*) OVER s AS a, {_AVG_RANK.format(x='reversal_z')} / count(*) OVER s AS b, {_AVG_RANK.format(x='breakout')} / count(*) OVER s AS c FROM e WINDOW s AS (PARTITION BY session)) SELECT symbol, session, round((a + b + c) / 3, 6) AS blend FROM p".replace("WITH e AS (WITH ", "WITH e AS (WITH "), (*DV, "index_w"))
 def rank_blend(spark: S, d: str) -> D:
     e = quant_equations(spark, d)
-    p = [average_rank(F.col(c), "session") / known_count(F.col(c), "session") for c in ("log_momentum", "reversal_z", "breakout")]
-    return e.select("symbol", "session", r6(sum(p[1:], p[0]) / 3).alias("blend"))
+    parts = ("log_momentum", "reversal_z", "breakout")
+    r = ranked(e.select("symbol", "session", *parts), {f"r_{c}": F.col(c) for c in parts}, "session", keep=("symbol",))
+    p = [F.col(f"r_{c}") / F.col(f"n_r_{c}") for c in parts]
+    return r.select("symbol", "session", r6(sum(p[1:], p[0]) / 3).alias("blend"))
 
 
 @query("market_context", """WITH i AS (SELECT session, close, r, close / lag(close, 4) OVER o - 1 AS r4, close / lag(close, 13) OVER o - 1 AS r13, close / avg(close) OVER l - 1 AS trend, stddev_samp(r) OVER s AS mvol, count(r) OVER s AS n FROM (SELECT *, close / lag(close) OVER (ORDER BY session) - 1 AS r FROM index_w)
