@@ -9,15 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import average_rank, finite
+from ..functions.windows import finite
 from ..sources.tables import new_path
+from .ranks import ranked
 
 
 def rank_ic(panel: DataFrame, score: str, ret: str, keys: list[str], least: int = 2) -> DataFrame:
     """keys, n, ic: correlation of average ranks; null where either side is constant. Rows whose score or return is not a finite
     number have no rank and do not count; groups below `least` rows go."""
     known = panel.select(*keys, finite(F.col(score).cast("double")).alias(score), finite(F.col(ret).cast("double")).alias(ret)).where(F.col(score).isNotNull() & F.col(ret).isNotNull())
-    r = known.select(*keys, average_rank(F.col(score), *keys).alias("_a"), average_rank(F.col(ret), *keys).alias("_b"))
+    r = ranked(known, {"_a": F.col(score), "_b": F.col(ret)}, *keys, keep=())
     g = r.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"), F.covar_pop("_a", "_b").alias("_c"))
     ic = F.when((F.col("_sa") > 0) & (F.col("_sb") > 0), F.col("_c") / (F.col("_sa") * F.col("_sb")))
     return g.where(F.col("n") >= least).select(*keys, "n", ic.alias("ic"))
