@@ -7,9 +7,10 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import PPF_A, PPF_B, PPF_C, PPF_D, PPF_TAIL, average_rank, known_count, change, normal_cdf, normal_ppf, r4, r6, series, sigmoid, rnd
+from ..functions.windows import PPF_A, PPF_B, PPF_C, PPF_D, PPF_TAIL, change, normal_cdf, normal_ppf, r4, r6, series, sigmoid, rnd
 from ..operators import evaluation as ev
 from ..operators import labels as lab
+from ..operators.ranks import ranked
 from ..plans import views as v
 from ..sources.tables import written
 from ..sources.tables import table
@@ -546,8 +547,8 @@ def _horner(x: str, name: str) -> str:
   SELECT symbol, session, round(CASE WHEN low >= {PPF_TAIL} THEN {_horner('(z * z)', 'a')} * z / {_horner('(z * z)', 'b')} ELSE sign(p - 0.5) * -1 * {_horner('q', 'c')} / {_horner('q', 'd')} END, 5) AS normal_score FROM x""", P)
 def normal_scores(spark: S, d: str) -> D:
     """Ranks as quantiles of the standard normal distribution."""
-    p = (average_rank(F.col("score"), "session") - 0.5) / known_count(F.col("score"), "session")
-    return v.panel_w(spark, d).select("symbol", "session", rnd(normal_ppf(p), 5).alias("normal_score"))
+    r = ranked(v.panel_w(spark, d).select("symbol", "session", "score"), {"place": F.col("score")}, "session", keep=("symbol",))
+    return r.select("symbol", "session", rnd(normal_ppf((F.col("place") - 0.5) / F.col("n_place")), 5).alias("normal_score"))
 
 
 def _spans(spark: S, d: str) -> list[tuple[str, str]]:
