@@ -79,3 +79,24 @@ def test_bootstrap_interval_by_the_same_draws(spark):
         by.setdefault(r["draw"], []).append(values[r["i"]])
     means = [np.mean(x) for x in by.values()]
     assert (got["mean"], got["low"], got["high"]) == pytest.approx((np.mean(values), np.quantile(means, 0.025), np.quantile(means, 0.975)))
+
+
+def test_ablation_checks_a_feature_set_in_one_pass(spark):
+    """Figures are those of each learner by itself, and rows to check are read once a feature set, not once a combination."""
+    rng = np.random.default_rng(4)
+    data = [(float(a), float(b), float(a + 0.1 * e), None if k % 5 == 0 else float(b - e)) for k, (a, b, e) in enumerate(rng.normal(size=(200, 3)))]
+    frame = spark.createDataFrame(data, "a double, b double, y double, z double")
+    train, check, seen = frame.limit(150).localCheckpoint(), frame.localCheckpoint(), spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    got = learning.ablation(train, check.withColumn("a", counted.asNondeterministic()("a")), {"one": ["a"], "two": ["a", "b"]}, ["y", "z"], ["linear", "forest"])
+    assert seen.value == 2 * 200
+    assert [g[:4] for g in got] == [(s, label, kind, n) for s in ("one", "two") for label, n in (("y", 200), ("z", 160)) for kind in ("linear", "forest")]
+    for name, label, kind, _, error in got:
+        model = learning.fitted(train, {"one": ["a"], "two": ["a", "b"]}[name], label, kind)
+        alone = model.transform(check).agg(F.sqrt(F.avg((F.col(label) - F.col("prediction")) ** 2))).first()[0]
+        assert error == pytest.approx(alone, rel=1e-9)

@@ -512,7 +512,11 @@ def feature_ablation(spark: S, d: str) -> D:
     """Every feature set, label and learner, fitted on the past and checked on the last fifth of the sessions."""
     from ..operators.learning import ablation
 
-    train, rows = (x.withColumn("demeaned", F.col("ret") - F.avg("ret").over(by())) for x in _split(spark, d))
+    parts = []
+    for x in _split(spark, d):  # written with the label: every learner reads it several times
+        means = F.broadcast(x.groupBy("session").agg(F.avg("ret").alias("mean")))  # one row a session
+        parts.append(written(x.select("session", "score", "vol", "ret").join(means, "session").select("score", "vol", "ret", (F.col("ret") - F.col("mean")).alias("demeaned")), "ablation"))
+    train, rows = parts
     sets = {"momentum": ["score"], "risk": ["vol"], "both": ["score", "vol"]}
     found = ablation(train, rows, sets, ["ret", "demeaned"], ["linear", "forest"])  # one row a combination
     return spark.createDataFrame(found, "feature_set string, label string, learner string, n_rows long, rmse double")
