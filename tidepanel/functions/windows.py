@@ -44,11 +44,6 @@ def average_rank(value: Column, *keys: str, descending: bool = False) -> Column:
     return F.when(value.isNotNull(), F.rank().over(order) + (F.count(value).over(ties) - 1) / 2)
 
 
-def known_count(value: Column, *keys: str) -> Column:
-    """How many rows within keys have a rank."""
-    return F.count(finite(value.cast("double"))).over(Window.partitionBy(*keys))
-
-
 def complete_mean(value: Column) -> Column:
     """Mean that is unknown unless every row's value is known."""
     return F.when(F.count(value) == F.count(F.lit(1)), F.avg(value))
